@@ -8,10 +8,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, simhash, suffix_dedup
-from .common import read
+from . import bpe, decontam, quality, sharding, simhash, suffix_dedup, token_files
+from .common import read, shared_path
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, END_ID, shared_path(spark, "tokens"))
+    found = token_files.read_tokens(spark, files)
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.write_shards(read(spark, sf_dir, "documents"), shared_path(spark, "shards"), shards=24)
+    return rows.select(
+        "doc_id",
+        sharding.row_bytes().alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +56,12 @@ def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality.scored(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~quality.learnable("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= quality.PASS, 1).otherwise(0).alias("predicted"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +81,10 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_suffix": op2_suffix,
+    "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
+    "op7_tokens": op7_tokens,
+    "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
 }
 SQL: dict[str, str] = {}
