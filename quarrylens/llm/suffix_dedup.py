@@ -217,12 +217,12 @@ class Block:
                 elif doc < self.least[number]:
                     self.least[number] = doc
                 self.local.append((row, at, number))
+        self.order = np.argsort(np.array(self.bucket, np.int64), kind="stable")
 
     def strings(self) -> Iterator[tuple[int, pa.Table]]:
         if not self.least:
             return
         table = pa.table({"string": pa.array(list(self.sent), pa.binary()), "doc": pa.array(self.least, pa.int64()), "anchor": pa.array(self.anchor, pa.uint64())})
-        self.order = np.argsort(np.array(self.bucket), kind="stable")
         of = np.array(self.bucket)[self.order]
         heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         for a, b in zip(heads.tolist(), np.append(heads[1:], len(of)).tolist(), strict=True):
@@ -230,27 +230,35 @@ class Block:
 
     def removed(self, answers: dict[int, np.ndarray]) -> list[list[tuple[int, int]]]:
         """Maximal runs of bytes to remove, by row."""
-        flags: list[np.ndarray | None] = [None] * len(self.least)
-        for k, table in self.strings():
-            sizes = np.array([len(x.as_buffer()) for x in table["string"]]) - self.length + 1
-            ends = np.cumsum(sizes)
-            numbers = self.order[np.array(self.bucket)[self.order] == k]
-            for number, end, size in zip(numbers.tolist(), ends.tolist(), sizes.tolist(), strict=True):
-                flags[number] = answers[k][end - size : end]
-        hit: dict[int, list[np.ndarray]] = {}
-        for row, at, number in self.local:
-            own = flags[number]
-            if self.ids[row] > self.least[number]:
-                hit.setdefault(row, []).append(np.arange(at, at + len(own)))
-            elif own.any():
-                hit.setdefault(row, []).append(at + np.flatnonzero(own))
         out: list[list[tuple[int, int]]] = [[] for _ in self.texts]
-        for row, parts in hit.items():
-            starts = np.unique(np.concatenate(parts))
-            gaps = np.flatnonzero(np.diff(starts) > self.length)
-            out[row] = list(zip(starts[np.append(0, gaps + 1)].tolist(), (starts[np.append(gaps, len(starts) - 1)] + self.length).tolist(), strict=True))
+        if not self.local:
+            return out
+        counts = np.fromiter(map(len, self.sent), np.int64, len(self.sent)) - self.length + 1
+        ordered = counts[self.order]
+        offset = np.empty(len(counts), np.int64)
+        offset[self.order] = np.cumsum(ordered) - ordered
+        flags = np.concatenate([answers[k][:n] for k, n in self.windows_by_bucket(ordered)])
+        row, at, number = np.array(self.local, np.int64).T
+        size = counts[number]
+        own = np.repeat(np.arange(len(row)), size)
+        within = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+        ids = np.array([-1 if d is None else d for d in self.ids], np.int64)
+        later = ids[row] > np.array(self.least, np.int64)[number]
+        hit = flags[offset[number][own] + within] | later[own]
+        rows, starts = row[own][hit], (at[own] + within)[hit]
+        if not len(rows):
+            return out
+        fresh = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (np.diff(starts) > self.length)))
+        last = np.append(fresh[1:], len(rows)) - 1
+        for r, a, b in zip(rows[fresh].tolist(), starts[fresh].tolist(), (starts[last] + self.length).tolist(), strict=True):
+            out[r].append((a, b))
         return out
 
+    def windows_by_bucket(self, ordered: np.ndarray) -> Iterator[tuple[int, int]]:
+        of = np.array(self.bucket)[self.order]
+        heads = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        yield from zip(of[heads].tolist(), np.add.reduceat(ordered, heads).tolist(), strict=True)
+
 
 def _reply(_key: tuple, table: pa.Table, hot: int) -> pa.Table:
     """For each block's anchors in a bucket: 0 if nobody else has it, 1 if shared, 2 if hot."""
@@ -269,31 +277,35 @@ def _judge(_key: tuple, table: pa.Table, length: int, slice_bytes: int = 1 << 21
     whole = pa.concat_tables(parts)
     distinct = whole.group_by(["anchor", "string"]).aggregate([("doc", "min")]).sort_by("anchor")
     strings, docs, anchors = distinct["string"].to_pylist(), distinct["doc_min"].to_numpy(), distinct["anchor"].to_numpy()
-    least: dict[bytes, np.ndarray | int] = {}
+    counts = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    offset = np.cumsum(counts) - counts
+    least = np.repeat(docs, counts)
     heads = np.flatnonzero(np.append(True, anchors[1:] != anchors[:-1]))
+    tails = np.append(heads[1:], len(anchors))
+    several = (tails - heads > 1) & (anchors[heads] != 0)
     batch: list[int] = []
     size = 0
 
     def flush() -> None:
         nonlocal batch, size
         if batch:
-            found = least_sources([strings[i] for i in batch], docs[batch], length)
-            least.update((strings[i], x) for i, x in zip(batch, found, strict=True))
+            for i, x in zip(batch, least_sources([strings[i] for i in batch], docs[batch], length), strict=True):
+                least[offset[i] : offset[i] + counts[i]] = x
         batch, size = [], 0
 
-    for a, b in zip(heads.tolist(), np.append(heads[1:], len(anchors)).tolist(), strict=True):
-        if b - a == 1 or anchors[a] == 0:
-            least.update(zip(strings[a:b], docs[a:b].tolist(), strict=True))
-        else:
-            batch += range(a, b)
-            size += sum(map(len, strings[a:b]))
-            if size > slice_bytes:
-                flush()
+    for a, b in zip(heads[several].tolist(), tails[several].tolist(), strict=True):
+        batch += range(a, b)
+        size += int(counts[a:b].sum()) + (b - a) * (length - 1)
+        if size > slice_bytes:
+            flush()
     flush()
+    number = dict(zip(strings, range(len(strings)), strict=True))
     out = []
     for part in parts:
-        flags = [np.full(len(s) - length + 1, x < d) if isinstance(x := least[s], int) else x < d for s, d in zip(part["string"].to_pylist(), part["doc"].to_pylist(), strict=True)]
-        out.append(common.packed(pa.table({"x": np.packbits(np.concatenate(flags))})))
+        which = np.fromiter(map(number.__getitem__, part["string"].to_pylist()), np.int64, part.num_rows)
+        size = counts[which]
+        at = np.repeat(offset[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        out.append(common.packed(pa.table({"x": np.packbits(least[at] < np.repeat(part["doc"].to_numpy(), size))})))
     return pa.table({"block": table["block"], "bucket": table["bucket"], "kind": pa.array([2] * table.num_rows, pa.int32()), "payload": pa.array(out, pa.binary())})
 
 
