@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jpeg, quality, sharding, simhash, suffix_dedup, token_files
+from . import bpe, decontam, jpeg, pii, quality, sharding, simhash, suffix_dedup, token_files
 from .common import read, shared_path
 
 RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
@@ -83,6 +83,12 @@ def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(pii.KINDS).cast("binary"), 256).alias("base_sha256"), pii.digest((*pii.KINDS, pii.FOUND)).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_suffix": op2_suffix,
@@ -92,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_tokens": op7_tokens,
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
+    "op10_pii": op10_pii,
 }
 SQL: dict[str, str] = {}
