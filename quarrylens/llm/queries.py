@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jpeg, pii, quality, sharding, simhash, suffix_dedup, token_files
+from . import bpe, decontam, jpeg, pii, quality, sharding, simhash, suffix_dedup, token_files, wrapper
 from .common import read, shared_path
 
 RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
@@ -19,6 +19,11 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN, END_ID, shared_path(spark, "tokens"))
     found = token_files.read_tokens(spark, files)
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_simhash": op4_simhash,
     "op5_media": op5_media,
+    "op6_wrapper": op6_wrapper,
     "op7_tokens": op7_tokens,
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
