@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs
@@ -31,40 +31,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import compiled
+from .splitting import Splitter, joined
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMMED = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Words in a worker's cache at most.
-CACHE = 400_000
-#: Documents whose words are looked up together.
-GROUP = 256
-_workers: dict[str, tuple[object, regex.Pattern, dict[str, bytes]]] = {}
+CACHE = 800_000
+#: Bytes of texts whose words are looked up together.
+GROUP = 4 << 20
+#: How a byte-level vocabulary writes a space.
+BLANK = "\u0120"
+_workers: dict[str, tuple[object, Splitter, np.ndarray, dict[bytes, bytes]]] = {}
 
 
 def _worker(path: str, pattern: str):
+    """The tokenizer, the splitter, whether each id's piece starts with a space, and the words known so far."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
-        _workers[path] = tokenizer, compiled(pattern), {}
+        pieces = tokenizer.get_vocab()
+        spaced = np.zeros(max(pieces.values()) + 1, bool)
+        spaced[[k for piece, k in pieces.items() if piece.startswith(BLANK)]] = True
+        _workers[path] = tokenizer, Splitter(pattern), spaced, {}
     return _workers[path]
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
+def encode_texts(texts: list[bytes], path: str, pattern: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    tokenizer, found, cache = _worker(path, pattern)
-    words = [found.findall(t) for t in texts]
+    tokenizer, split, spaced, cache = _worker(path, pattern)
     if len(cache) > CACHE:
         cache.clear()
-    missing = list(dict.fromkeys(w for x in words for w in x if w not in cache))
-    for k in range(0, len(missing), 10_000):
-        part = missing[k : k + 10_000]
-        for w, x in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
-    return [b"".join(map(cache.__getitem__, x)) for x in words]
+    words, numbers, counts = split.words(texts)
+    missing = [w for w in words if w not in cache]
+    # words of one leading space and letters go as one text, since the tokenizer splits them apart again
+    simple = [w for w in missing if split.common and w[0] == 32 and w[1:].decode().isalpha()]
+    for k in range(0, len(simple), 5000):
+        part = simple[k : k + 5000]
+        (found,) = tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        starts = np.flatnonzero(spaced[ids]).tolist()
+        if len(starts) != len(part):
+            raise ValueError("the tokenizer splits words otherwise than the pattern")
+        for w, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True):
+            cache[w] = ids[a:b].tobytes()
+    rest = [w for w in missing if w not in cache]
+    for w, x in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+        cache[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+    return joined([cache[w] for w in words], numbers, counts)
 
 
 class Frame(NamedTuple):
@@ -81,6 +97,16 @@ def file_bytes(frames: list[Frame]) -> bytes:
     return b"".join([*(f.data for f in frames), struct.pack("<II", SKIPPABLE_INDEX, len(index)), index, struct.pack("<II", SKIPPABLE_TABLE, len(table)), table])
 
 
+def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about ``limit`` bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 class TokenFile:
     """Reads a token file by its tail and the frames asked for."""
 
@@ -122,9 +148,8 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1, write_checksum=True).compress
         for batch in batches:
-            for k in range(0, batch.num_rows, GROUP):
-                part = batch.slice(k, GROUP)
-                texts = part["text"].to_pylist()
+            for part in slices(batch, "text", GROUP):
+                texts = part["text"].cast(pa.large_binary()).to_pylist()
                 found = [x + struct.pack("<I", end_id) for x in encode_texts(texts, path, pattern)]
                 ids = part["doc_id"].to_pylist()
                 where = [0 if d is None else int(np.searchsorted(bounds, d, side="left")) for d in ids]
