@@ -2,8 +2,7 @@
 
 Distinct words are encoded once each by Spark's higher-order functions, which fold ranked merges over
 arrays of bytes; the ranks are a literal of the plan. Blocks of documents ask for their distinct words
-by bucket, get the ids back and put them together per document. Decoding looks every id's piece up in a
-literal array and concatenates the pieces.
+by bucket, get the ids back and put them together per document. Decoding concatenates the ids' pieces.
 
 Rows: null texts count as empty and have no ids; repeated rows and ties give a row each; an empty table
 gives an empty result; any further columns are kept out, only ``keep`` is carried.
@@ -12,24 +11,27 @@ gives an empty result; any further columns are kept out, only ``keep`` is carrie
 from __future__ import annotations
 
 import base64
+import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from . import common
+from .splitting import Splitter, joined
 
+#: Bytes of a block's raw texts.
+BLOCK = 8 << 20
 #: No rank: larger than any.
 NONE = 2**31 - 1
+#: Bits for a byte's place in a word; words of more than LONG bytes don't go through the fold.
+SHIFT, LONG = 20, 1024
 #: The ranks' literal is an array of so many small maps, as a lookup in a map literal is linear.
 MAPS = 16384
-#: Unicode's White_Space, which the pattern's ``\s`` means; the class of Python's regex has U+001C to U+001F too.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,11 +39,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-def compiled(pattern: str) -> regex.Pattern:
-    exact = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
-    return regex.compile(exact)
-
-
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """An array of maps from hex digits to ranks, constant in the plan."""
     maps: list[list[str]] = [[] for _ in range(MAPS)]
@@ -51,108 +48,178 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 
 
 def encoded_word(word: Column, ranks: Column) -> Column:
-    """The ids of one word (binary): the pair of least rank is merged, the leftmost of equals first, until none has a rank."""
+    """The ids of one word (binary): the pair of least rank is merged, the leftmost of equals first, until none has a rank.
+
+    The fold's state has a long for each piece: the rank of the piece joined with the next one, shifted
+    left, plus the byte at which the piece starts; a last entry has the word's end.
+    """
+    return F.get(F.transform(F.array(ranks), lambda r: _encoded_word(word, r)), F.lit(0))  # the literal stands in the plan once
+
+
+def _encoded_word(word: Column, ranks: Column) -> Column:
 
-    def rank(piece: Column) -> Column:
+    def rank(start: Column, end: Column) -> Column:
+        piece = F.substring(word, start + 1, end - start)
         return F.element_at(F.get(ranks, (F.crc32(piece) % MAPS).cast("int")), F.hex(piece))
 
-    def or_none(piece: Column) -> Column:
-        return F.coalesce(rank(piece), F.lit(NONE))
+    def entry(start: Column, end: Column) -> Column:
+        return F.shiftleft(F.coalesce(rank(start, end), F.lit(NONE)).cast("long"), SHIFT) + start
 
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
+    def start_of(state: Column, k: Column) -> Column:
+        return F.get(state, k).bitwiseAND(F.lit(2**SHIFT - 1)).cast("int")
+
     def merge(state: Column, _: Column) -> Column:
-        least = F.array_min(state["ranks"])
+        least = F.array_min(state)
 
         def at(place: Column) -> Column:
-            p = place.cast("int")
-            new = F.concat(F.get(state["pieces"], p - 1), F.get(state["pieces"], p))
-
-            def put(piece: Column) -> Column:
-                count = F.size(state["ranks"])
-                left = F.when(p > 1, F.array(or_none(F.concat(F.get(state["pieces"], p - 2), piece)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(p < count, F.array(or_none(F.concat(piece, F.get(state["pieces"], p + 1))))).otherwise(F.array().cast("array<int>"))
-                return F.struct(
-                    F.concat(F.slice(state["pieces"], F.lit(1), p - 1), F.array(piece), F.slice(state["pieces"], p + 2, count + 1)).alias("pieces"),
-                    F.concat(F.slice(state["ranks"], F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(state["ranks"], p + 2, count + 1)).alias("ranks"),
-                )
-
-            return let(new, put)
+            p = place.cast("int")  # from 1; the pieces p - 1 and p (from 0) become one
+            own = start_of(state, p - 1)
+            single = F.lit(NONE << SHIFT) + own
+            new = F.when(p + 2 < F.size(state), entry(own, start_of(state, p + 2))).otherwise(single)
+            return F.when(p > 1, F.concat(F.slice(state, F.lit(1), p - 2), F.array(entry(start_of(state, p - 2), start_of(state, p + 1)), new), F.slice(state, p + 2, F.size(state)))).otherwise(
+                F.concat(F.array(new), F.slice(state, p + 2, F.size(state)))
+            )
 
-        return F.when(least < NONE, let(F.array_position(state["ranks"], least), at)).otherwise(state)
+        return F.when(least < NONE << SHIFT, let(F.array_position(state, least), at)).otherwise(state)
 
     size = F.length(word)
-    steps = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(word, i, F.lit(1))).alias("pieces"),
-        F.transform(steps, lambda i: or_none(F.substring(word, i, F.lit(2)))).alias("ranks"),
-    )
-    folded = F.aggregate(steps, start, merge, lambda state: F.transform(state["pieces"], rank))
-    return F.when(rank(word).isNotNull(), F.array(rank(word))).otherwise(folded)
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and ``ids`` (array of int) for every row: each match of ``pattern`` is encoded by itself."""
+    steps = F.when(size > 1, F.sequence(F.lit(0), size - 2)).otherwise(F.array().cast("array<int>"))
+    ends = F.array(F.lit(NONE << SHIFT) + size - 1, F.lit(NONE << SHIFT) + size)
+    folded = F.aggregate(steps, F.concat(F.transform(steps, lambda i: entry(i, i + 2)), ends), merge)
+    bounds = F.transform(folded, lambda x: x.bitwiseAND(F.lit(2**SHIFT - 1)).cast("int"))
+    pieces = let(bounds, lambda x: F.transform(F.slice(x, F.lit(1), F.size(x) - 1), lambda a, k: rank(a, F.get(x, k + 1))))
+    whole = rank(F.lit(0), size)
+    return F.coalesce(F.when(whole.isNotNull(), F.array(whole)), pieces)
+
+
+def encoded_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same for words too long for the fold, which takes time by the square of the length: a heap of ranked pairs."""
+    if word in ranks:
+        return [ranks[word]]
+    size = len(word)
+    after, before = list(range(1, size + 1)), list(range(-1, size - 1))
+    heap = [(r, i, i + 2) for i in range(size - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    gone = bytearray(size)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        j = after[i]
+        if gone[i] or j >= size or after[j] != end:
+            continue
+        gone[j] = 1
+        after[i] = end
+        if end < size:
+            before[end] = i
+        for a in (before[i], i):
+            if a >= 0 and (b := after[a]) < size and (r := ranks.get(word[a : after[b]])) is not None:
+                heapq.heappush(heap, (r, a, after[b]))
+    out, i = [], 0
+    while i < size:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
+
+
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    then: Callable[[pa.Table], pa.Table] | None = None,
+    schema: str | StructType | None = None,
+) -> DataFrame:
+    """``keep`` and ``ids`` (array of int) for every row: each match of ``pattern`` is encoded by itself.
+
+    ``then``, if given, is applied to each block's table of these columns where it was made; ``schema`` is
+    that of its result.
+    """
     spark = docs.sparkSession
     buckets = common.partitions(spark)
-    rows = docs.select(*keep, common.text_of(text).alias("__text"))
-    base = common.blocks(rows)
-
-    def wanted(words: set[str]) -> list[list[bytes]]:
-        out: list[list[bytes]] = [[] for _ in range(buckets)]
-        for word in words:
-            raw = word.encode()
-            out[zlib.crc32(raw) % buckets].append(raw)
-        for x in out:
-            x.sort()
+    rows = docs.select(*keep, common.text_of(text).cast("binary").alias("__text"))
+    base = common.blocks(rows, BLOCK)
+
+    def wanted(words: list[bytes]) -> list[list[int]]:
+        """The words' numbers by bucket, in order of the words."""
+        out: list[list[int]] = [[] for _ in range(buckets)]
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            out[zlib.crc32(words[k]) % buckets].append(k)
         return out
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = compiled(pattern).findall
+        split = Splitter(pattern)
         for batch in batches:
             for block, payload in zip(batch["block"].to_pylist(), batch["payload"], strict=True):
-                words: set[str] = set()
-                for t in common.unpacked(payload.as_buffer())["__text"]:
-                    words.update(find(t.as_py()))
-                lists = [(k, x) for k, x in enumerate(wanted(words)) if x]
+                words, _, _ = split.words(common.unpacked(payload.as_buffer())["__text"].to_pylist())
+                lists = [(k, [words[i] for i in x]) for k, x in enumerate(wanted(words)) if x]
                 if lists:
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in lists], pa.int32()), pa.array([block] * len(lists), pa.int64()), pa.array([x for _, x in lists], pa.list_(pa.binary()))], names=["bucket", "block", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in lists], pa.int32()), pa.array([block] * len(lists), pa.int64()), pa.array([common.packed(pa.table({"word": pa.array(x, pa.binary())})) for _, x in lists], pa.binary())], names=["bucket", "block", "words"])
 
-    asked = base.mapInArrow(ask, "bucket int, block long, words array<binary>").repartition(buckets, "bucket")
-    distinct = asked.select("bucket", F.explode("words").alias("word")).groupBy("bucket", "word").agg(F.count("*").alias("n"))
-    known = distinct.select("bucket", "word", encoded_word(F.col("word"), rank_literal(ranks)).alias("ids"))
+    def words_of(payload) -> list[bytes]:
+        return common.unpacked(payload.as_buffer())["word"].to_pylist()
+
+    def unite(key: tuple, table: pa.Table) -> pa.Table:
+        words = sorted(set().union(*map(words_of, table["words"])))
+        longs = [encoded_long(w, known_ranks.value) if len(w) > LONG else None for w in words]
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "long": pa.array(longs, pa.list_(pa.int32()))})
+
+    known_ranks = spark.sparkContext.broadcast(ranks)
+    asked = base.mapInArrow(ask, "bucket int, block long, words binary").repartition(buckets, "bucket")
+    distinct = asked.groupBy("bucket").applyInArrow(unite, "bucket int, word binary, long array<int>")
+    known = distinct.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(encoded_word(F.col("word"), rank_literal(ranks))).alias("ids"))
 
     def answer(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = right["ids"].combine_chunks()
         flat, ends = ids.flatten().to_numpy().astype("<u4"), np.cumsum(ids.value_lengths().to_numpy())
         table = {w: flat[a:b].tobytes() for w, a, b in zip(right["word"].to_pylist(), np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)}
-        out = [common.packed(pa.table({"ids": pa.array([table[w] for w in words], pa.binary())})) for words in left["words"].to_pylist()]
+        out = [common.packed(pa.table({"ids": pa.array([table[w] for w in words], pa.binary())})) for words in map(words_of, left["words"])]
         return pa.table({"block": left["block"], "bucket": left["bucket"], "ids": pa.array(out, pa.binary())})
 
     answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "block long, bucket int, ids binary")
     kept = rows.drop("__text").schema
-    schema = StructType([*kept.fields, StructField("ids", ArrayType(IntegerType()))])
+    schema = schema or StructType([*kept.fields, StructField("ids", ArrayType(IntegerType()))])
 
     def finish(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        find = compiled(pattern).findall
         table = common.unpacked(left["payload"][0].as_buffer())
-        found = [find(t.as_py()) for t in table["__text"]]
-        lists = wanted(set().union(*found))
-        table_of: dict[str, bytes] = {}
+        words, numbers, counts = Splitter(pattern).words(table["__text"].to_pylist())
+        lists = wanted(words)
+        of = [b""] * len(words)
         for bucket, ids in zip(right["bucket"].to_pylist(), right["ids"], strict=True):
-            table_of.update(zip((w.decode() for w in lists[bucket]), common.unpacked(ids.as_buffer())["ids"].to_pylist(), strict=True))
-        parts = [b"".join(map(table_of.__getitem__, words)) for words in found]
+            for k, x in zip(lists[bucket], common.unpacked(ids.as_buffer())["ids"].to_pylist(), strict=True):
+                of[k] = x
+        parts = joined(of, numbers, counts)
         offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
-        values = np.frombuffer(b"".join(parts), "<u4").astype(np.int32)
-        return table.drop_columns(["__text"]).append_column("ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+        values = np.frombuffer(b"".join(parts), "<i4")
+        out = table.drop_columns(["__text"]).append_column("ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+        return then(out) if then else out
 
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
-def decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids; an id without a piece gives null."""
-    named = {rank: piece.hex() for piece, rank in ranks.items()}
-    top = max(named, default=-1) + 1
-    table = F.split(F.lit(",".join(named.get(k, "!") for k in range(top))), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda k: F.coalesce(F.get(table, k), F.lit("!"))), ""))
+def piece_list(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Each id's piece."""
+    pieces: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def decode(ids: list[int], pieces: list[bytes | None]) -> bytes:
+    """The bytes of the ids; an id without a piece raises an error."""
+    return b"".join(map(pieces.__getitem__, ids))
+
+
+def decoded(coded: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and data (binary) of rows with ids."""
+    pieces = piece_list(ranks)
+    schema = StructType([*(coded.schema[x] for x in keep), StructField("data", BinaryType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = pa.array([None if x is None else decode(x, pieces) for x in batch["ids"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], data], names=schema.names)
+
+    return coded.select(*keep, "ids").mapInArrow(each, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,27 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_digests(ranks: dict[bytes, int]) -> Callable[[pa.Table], pa.Table]:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 to a table with ids."""
+    pieces = bpe.piece_list(ranks)
+
+    def digests(table: pa.Table) -> pa.Table:
+        names = [str(k) for k in range(len(pieces))]
+        lists = [x.values.to_numpy().tolist() for x in table["ids"]]
+        coded = [hashlib.sha256(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]
+        plain = [hashlib.sha256(bpe.decode(x, pieces)).hexdigest() for x in lists]
+        return table.append_column("n_tokens", pa.array(map(len, lists), pa.int64())).append_column("ids_sha256", pa.array(coded)).append_column("decoded_sha256", pa.array(plain))
+
+    return digests
+
+
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
-    coded = bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(F.col("ids"), ranks), 256).alias("decoded_sha256"),
-    )
+    digests = token_digests(ranks)
+    return bpe.encode(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, then=lambda x: digests(x).drop_columns(["ids"]), schema=f"doc_id long, {DIGESTS}")
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
