@@ -124,21 +124,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id: the least doc_id that can be reached over links."""
-    prints = common.stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, first): each fingerprint's class by its least doc_id, and whether it is the class's own fingerprint of that doc_id."""
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     labels = components(links(distinct.select("fp")))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    classes = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = common.stored(named.join(classes, "label").select("fp", "component_id"), "classes")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    leader = F.min(F.struct(F.col("least").isNull().alias("none"), "least", F.col("fp").alias("own"))).alias("leader")
+    return common.stored(named.join(named.groupBy("label").agg(leader), "label").select("fp", F.col("leader.least").alias("component_id"), (F.col("fp") == F.col("leader.own")).alias("first")), "classes")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id) for every row; component_id: the least doc_id that can be reached over links."""
+    prints = common.stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
+    return prints.join(classes(prints).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, one of each class: the row of its least doc_id; among rows that share it, one. Rows of classes without a doc_id: one of each class too."""
+    """The documents, one of each class: a row of its least doc_id (null if it has no other)."""
     columns = docs.columns
-    prints = near_duplicates(docs)
-    leaders = prints.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__leader")).distinct()
-    kept = docs.join(leaders, docs["doc_id"].eqNullSafe(F.col("__leader")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*columns)
+    prints = common.stored(fingerprints(docs, keep=tuple(columns)), "prints")
+    of = classes(prints.select("doc_id", "fp")).where("first").select(F.col("fp").alias("__fp"), "component_id")
+    kept = prints.join(of, (prints["fp"] == of["__fp"]) & prints["doc_id"].eqNullSafe(of["component_id"]), "left_semi")
+    # only rows that share doc_id and fingerprint are still too many; most tables have none
+    if not kept.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "fp"])
+    return kept.select(*columns)
