@@ -1,7 +1,53 @@
-"""The corpus pipeline: stages that each apply one operator to what the one before kept."""
-STAGES = []
+"""The corpus pipeline: each stage applies one operator to what the stage before it kept."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrylens.llm import bpe, decontam, pii, quality, simhash
+from quarrylens.llm.common import read, shared_path
+from quarrylens.llm.queries import DIGESTS, RANKS, token_digests
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, read(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.deduplicated(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.decontaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def anonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redacted(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents' ids, and digests of the ids and of what they decode to."""
+    ranks = bpe.load_ranks(public_tokenizers.path(RANKS))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return bpe.encode(rows, ranks, public_tokenizers.PATTERN, then=token_digests(ranks), schema=f"doc_id long, ids array<int>, {DIGESTS}")
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", good), ("near_duplicates", distinct), ("decontamination", decontaminated), ("personal_data", anonymous), ("tokens", tokens)]
+
+#: SQL can express neither the fitted ranking nor the ranked merges.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
