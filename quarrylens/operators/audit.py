@@ -106,11 +106,11 @@ def ratio_violations(rows: DataFrame, consumer: str, value: str, produced: DataF
 def fragile_pairs(produced: DataFrame, checked: DataFrame, robust: DataFrame) -> DataFrame:
     """value, producer, consumer, n: values produced and checked in different places that no common definer links; the producer with the most occurrences stands for all.
 
-    ``robust`` has the linked (producer, consumer) pairs.
+    ``robust`` has the linked (producer, consumer) pairs, or those of each value.
     """
     makers = produced.groupBy("value", "producer").agg(F.count("*").alias("n"))
     pairs = makers.join(checked.select("value", "consumer").distinct(), "value").where(F.col("producer") != F.col("consumer"))
-    loose = pairs.join(robust, ["producer", "consumer"], "left_anti")
+    loose = pairs.join(robust, [c for c in ("value", "producer", "consumer") if c in robust.columns], "left_anti")
     best = F.max(F.struct("n", "producer")).alias("m")
     return loose.groupBy("value", "consumer").agg(best).select("value", "consumer", F.col("m.producer").alias("producer"), F.col("m.n").alias("n"))
 
