@@ -143,10 +143,10 @@ def encode(
     base = common.blocks(rows, BLOCK)
 
     def wanted(words: list[bytes]) -> list[list[int]]:
-        """The words' numbers by bucket, in order of the words."""
+        """The words' numbers by bucket; a block always gives its words in the same order."""
         out: list[list[int]] = [[] for _ in range(buckets)]
-        for k in sorted(range(len(words)), key=words.__getitem__):
-            out[zlib.crc32(words[k]) % buckets].append(k)
+        for k, h in enumerate(map(zlib.crc32, words)):
+            out[h % buckets].append(k)
         return out
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +167,8 @@ def encode(
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "long": pa.array(longs, pa.list_(pa.int32()))})
 
     known_ranks = spark.sparkContext.broadcast(ranks)
-    asked = base.mapInArrow(ask, "bucket int, block long, words binary").repartition(buckets, "bucket")
-    distinct = asked.groupBy("bucket").applyInArrow(unite, "bucket int, word binary, long array<int>")
+    asked = base.mapInArrow(common.lean(ask), "bucket int, block long, words binary").repartition(buckets, "bucket")
+    distinct = asked.groupBy("bucket").applyInArrow(common.lean_group(unite), "bucket int, word binary, long array<int>")
     known = distinct.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(encoded_word(F.col("word"), rank_literal(ranks))).alias("ids"))
 
     def answer(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -178,7 +178,7 @@ def encode(
         out = [common.packed(pa.table({"ids": pa.array([table[w] for w in words], pa.binary())})) for words in map(words_of, left["words"])]
         return pa.table({"block": left["block"], "bucket": left["bucket"], "ids": pa.array(out, pa.binary())})
 
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(answer, "block long, bucket int, ids binary")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(common.lean_group(answer), "block long, bucket int, ids binary")
     kept = rows.drop("__text").schema
     schema = schema or StructType([*kept.fields, StructField("ids", ArrayType(IntegerType()))])
 
@@ -196,7 +196,7 @@ def encode(
         out = table.drop_columns(["__text"]).append_column("ids", pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
         return then(out) if then else out
 
-    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
+    return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(common.lean_group(finish), schema)
 
 
 def piece_list(ranks: dict[bytes, int]) -> list[bytes | None]:
@@ -222,4 +222,4 @@ def decoded(coded: DataFrame, ranks: dict[bytes, int], keep: tuple[str, ...] = (
             data = pa.array([None if x is None else decode(x, pieces) for x in batch["ids"].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], data], names=schema.names)
 
-    return coded.select(*keep, "ids").mapInArrow(each, schema)
+    return coded.select(*keep, "ids").mapInArrow(common.lean(each), schema)

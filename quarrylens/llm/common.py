@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -12,12 +15,58 @@ from pyspark.sql import functions as F
 
 #: Raw bytes of text that one packed block holds, unless a single row is larger.
 BLOCK_BYTES = 32 << 20
+#: Bytes of an Arrow batch at most.
+ARROW_BYTES = 8 << 20
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tune(spark: SparkSession) -> None:
+    """Arrow batches of documents by bytes rather than rows, so that workers hold little at once."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name)).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
+def release() -> None:
+    """Give a worker's free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same over a task's batches, leaving nothing behind in a worker that waits for its next task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
+def lean_group(each: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a group or a pair of groups."""
+
+    def pair(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return each(key, left, right)
+        finally:
+            release()
+
+    def one(key: tuple, table: pa.Table) -> pa.Table:
+        try:
+            return each(key, table)
+        finally:
+            release()
+
+    return pair if len(inspect.signature(each).parameters) == 3 else one
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share; it is set here only where the cluster names none."""
     context = spark.sparkContext
@@ -90,7 +139,8 @@ def blocks(df: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
         for k, table in enumerate(pieces(batches, limit)):
             yield pa.RecordBatch.from_arrays([pa.array([task << 24 | k], pa.int64()), pa.array([packed(table)], pa.binary())], names=["block", "payload"])
 
-    return df.mapInArrow(pack, "block long, payload binary").repartition(partitions(df.sparkSession), "block")
+    tune(df.sparkSession)
+    return df.mapInArrow(lean(pack), "block long, payload binary").repartition(partitions(df.sparkSession), "block")
 
 
 def text_of(col: str = "text") -> F.Column:

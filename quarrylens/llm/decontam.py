@@ -158,6 +158,7 @@ SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_WORDS, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``keep`` and, by row: n_words, n_hit, longest (words), items (ids, sorted), word_spans (runs of hit words), spans (their code points), cleaned (the text without them)."""
     spark = docs.sparkSession
+    common.tune(spark)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     state = [StructField("longest", LongType()), StructField("items", ArrayType(StringType())), StructField("word_spans", SPANS)]
     carried = StructType([*rows.schema.fields, *state])
@@ -175,12 +176,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             columns = [batch.column(k) for k in range(batch.num_columns - 3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(longest, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, SPAN)], names=carried.names)
 
-    for block in item_blocks(benchmark, item_id, item_text, max_words):
-        items = spark.sparkContext.broadcast(block)
-        found = found.mapInArrow(lambda batches, items=items: scan(items, batches), carried)
+    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_id, item_text, max_words)]
+    for items in blocks[:-1]:
+        found = found.mapInArrow(common.lean(lambda batches, items=items: scan(items, batches)), carried)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in scan(blocks[-1], batches):
             counts, hit, places, cleaned = [], [], [], []
             for t, runs in zip(batch["__text"].to_pylist(), batch["word_spans"].to_pylist(), strict=True):
                 raw = (t or "").encode().translate(NORMAL)
@@ -194,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(places, SPAN), pa.array(cleaned, pa.string())], names=final.names)
 
     final = StructType([*(x for x in carried.fields if x.name != "__text"), StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("spans", SPANS), StructField("cleaned", StringType())])
-    return found.mapInArrow(finish, final)
+    return found.mapInArrow(common.lean(finish), final)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[dict[str, int]]:

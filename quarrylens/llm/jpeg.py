@@ -556,6 +556,7 @@ def grouped(values: list[bytes], limit: int = BATCH) -> Iterator[list[bytes]]:
 
 def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and media: each text's bytes in a file."""
+    common.tune(docs.sparkSession)
     rows = docs.select(*keep, common.text_of(text).alias("__text"))
     schema = StructType([*(rows.schema[x] for x in keep), StructField("media", BinaryType())])
 
@@ -567,7 +568,7 @@ def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 yield pa.RecordBatch.from_arrays([*(x.slice(done, len(part)) for x in batch.columns[:-1]), pa.array(files, pa.binary())], names=schema.names)
                 done += len(part)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(common.lean(each), schema)
 
 
 def from_media(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), tensors: bool = False) -> DataFrame:
@@ -594,4 +595,4 @@ def from_media(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("
                 yield pa.RecordBatch.from_arrays([*(x.slice(done, len(part)) for x in batch.columns[:-1]), *columns], names=schema.names)
                 done += len(part)
 
-    return chosen.mapInArrow(each, schema)
+    return chosen.mapInArrow(common.lean(each), schema)

@@ -120,7 +120,7 @@ def _with_features(rows: DataFrame, kept: list[str]) -> DataFrame:
             x = pa.array([features(t or b"") for t in batch["__text"].cast(pa.large_binary()).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch[k] for k in kept), x], names=[*kept, "x"])
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(common.lean(each), schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labels: int = MAX_LABELS) -> Ranking:
@@ -135,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
 def scored(docs: DataFrame, ranking: Ranking, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and score, 0 to 1."""
+    common.tune(docs.sparkSession)
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = StructType([*(rows.schema[x] for x in keep), StructField("score", DoubleType())])
 
@@ -143,7 +144,7 @@ def scored(docs: DataFrame, ranking: Ranking, text: str = "text", keep: tuple[st
             x = np.array([features(t or b"") for t in batch["__text"].cast(pa.large_binary()).to_pylist()], float).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ranking.score(x) if len(x) else np.zeros(0), pa.float64())], names=schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(common.lean(each), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def row_bytes(text: str = "text") -> Column:
 
 def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns, and shard and slot (gapless from 0 in each shard)."""
+    common.tune(docs.sparkSession)
     cell = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(CELLS)).cast("int")
     counted = docs.select(cell.alias("cell"), row_bytes(text).alias("size")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toArrow()
     order = np.argsort(counted["cell"].to_numpy())
@@ -59,9 +60,9 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "t
         return table.take(pa.array(order)).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - edges[shard], pa.int64()))
 
     wide = docs.withColumn("__cell", cell)
-    with_bucket = wide.mapInArrow(bucket, StructType([*docs.schema.fields, StructField("__bucket", IntegerType())]))
+    with_bucket = wide.mapInArrow(common.lean(bucket), StructType([*docs.schema.fields, StructField("__bucket", IntegerType())]))
     schema = StructType([*docs.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
-    return with_bucket.groupBy("__bucket").applyInArrow(shuffle, schema)
+    return with_bucket.groupBy("__bucket").applyInArrow(common.lean_group(shuffle), schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:

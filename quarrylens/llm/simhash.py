@@ -52,6 +52,7 @@ def fingerprint(data: bytes, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and fp, the fingerprint as a signed long."""
+    common.tune(docs.sparkSession)
     rows = docs.select(*keep, common.text_of(text).alias("__text"))
     schema = StructType([*(x for x in rows.schema.fields if x.name != "__text"), StructField("fp", LongType())])
 
@@ -60,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             found = np.array([fingerprint(x) for x in batch["__text"].cast(pa.large_binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(common.lean(each), schema)
 
 
 def _find(parent: list[int], a: int) -> int:
@@ -107,7 +108,7 @@ def links(distinct: DataFrame) -> DataFrame:
             found = [x for slot, entries in zip(batch["slot"].to_pylist(), batch["entries"].to_pylist(), strict=True) for x in posting_links(np.array(sorted(entries), np.int64), OPEN[slot])]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
-    return postings.select("slot", "entries").mapInArrow(verify, "a long, b long").distinct()
+    return postings.select("slot", "entries").mapInArrow(common.lean(verify), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

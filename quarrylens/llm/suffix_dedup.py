@@ -27,7 +27,7 @@ from . import common
 #: Bytes of the q-gram that anchors a window, and of the first buckets of the suffix array.
 ANCHOR, FIRST = 20, 8
 #: Bytes hashed at once.
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 #: Bytes of a block's raw texts.
 BLOCK = 8 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -321,8 +321,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = 1024, text: str
                 if found := Block(payload, buckets, length).anchors():
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([block] * len(found), pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["bucket", "block", "payload"])
 
-    told = base.mapInArrow(tell, "bucket int, block long, payload binary").repartition(buckets, "bucket")
-    shared = told.groupBy("bucket").applyInArrow(lambda key, table: _reply(key, table, hot), answer)
+    told = base.mapInArrow(common.lean(tell), "bucket int, block long, payload binary").repartition(buckets, "bucket")
+    shared = told.groupBy("bucket").applyInArrow(common.lean_group(lambda key, table: _reply(key, table, hot)), answer)
 
     def answers(right: pa.Table, kind: int) -> dict[int, np.ndarray]:
         rows = zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["payload"], strict=True)
@@ -334,8 +334,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = 1024, text: str
         found = [(k, common.packed(x)) for k, x in block.strings()]
         return pa.table({"bucket": pa.array([k for k, _ in found], pa.int32()), "block": pa.array([key[0].as_py()] * len(found), pa.int64()), "payload": pa.array([x for _, x in found], pa.binary())})
 
-    sent = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "bucket int, block long, payload binary")
-    judged = sent.groupBy("bucket").applyInArrow(lambda key, table: _judge(key, table, length), answer)
+    sent = base.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(common.lean_group(send), "bucket int, block long, payload binary")
+    judged = sent.groupBy("bucket").applyInArrow(common.lean_group(lambda key, table: _judge(key, table, length)), answer)
 
     def finish(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(left["payload"][0], buckets, length)
@@ -348,4 +348,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, hot: int = 1024, text: str
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"doc_id": block.table["__id"], "n_bytes": pa.array([len(x) for x in block.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], span), "kept": pa.array(kept, pa.binary())})
 
-    return base.groupBy("block").cogroup(shared.unionByName(judged).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return base.groupBy("block").cogroup(shared.unionByName(judged).groupBy("block")).applyInArrow(common.lean_group(finish), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -140,6 +140,7 @@ class TokenFile:
 def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder: str, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, int, int]]:
     """Writes the token files, in order of doc_id from one file to the next; (file, documents, ids) of each."""
     spark = docs.sparkSession
+    common.tune(spark)
     files = common.partitions(spark)
     levels = [k / files for k in range(1, files)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
@@ -168,8 +169,8 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder:
         where.move(own, name)  # a task that runs again puts the same file there
         return pa.table({"file": pa.array([key[0].as_py()], pa.int32()), "docs": pa.array([len(frames)], pa.int64()), "ids": pa.array([sum(f.size for f in frames) // 4], pa.int64())})
 
-    coded = rows.mapInArrow(encode, "file int, doc_id long, tie long, data binary, size long, check long")
-    made = coded.groupBy("file").applyInArrow(write, "file int, docs long, ids long").collect()
+    coded = rows.mapInArrow(common.lean(encode), "file int, doc_id long, tie long, data binary, size long, check long")
+    made = coded.groupBy("file").applyInArrow(common.lean_group(write), "file int, docs long, ids long").collect()
     return [(f"{folder}/part-{x.file:06d}.zst", x.docs, x.ids) for x in sorted(made, key=lambda x: x.file)]
 
 
@@ -190,4 +191,4 @@ def read_tokens(spark, files: list[tuple[str, int, int]]) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[k : part.stop], pa.int64()), pa.array(starts[k : part.stop]), pa.array([file.ids(i) for i in part], pa.binary())], names=["doc_id", "start", "ids"])
 
     table = spark.createDataFrame(rows, "k int, name string, start long")
-    return table.repartition(max(1, len(rows)), "k").select("name", "start").mapInArrow(read, "doc_id long, start long, ids binary")
+    return table.repartition(max(1, len(rows)), "k").select("name", "start").mapInArrow(common.lean(read), "doc_id long, start long, ids binary")
