@@ -143,6 +143,20 @@ def blocks(df: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     return df.mapInArrow(lean(pack), "block long, payload binary").repartition(partitions(df.sparkSession), "block")
 
 
+#: The column that carries a whole row through an operator, out of the way of its own columns.
+ROW = "__row"
+
+
+def boxed(df: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns, and ROW with all columns."""
+    return df.select(*needed, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(ROW))
+
+
+def unboxed(df: DataFrame, columns: list[str], **changed: F.Column) -> DataFrame:
+    """The columns of ROW again, some of them changed."""
+    return df.select(*(changed.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in columns))
+
+
 def text_of(col: str = "text") -> F.Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -225,10 +225,10 @@ def cut_spans(text: str, raw: bytes, runs: list[dict[str, int]]) -> list[tuple[i
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """The documents without the hit spans; those hit on more than ``max_coverage`` of their words go. Untouched rows stay as they are."""
-    columns = docs.columns
-    found = contamination(docs.select(*columns), benchmark, window, keep=tuple(columns))
+    found = contamination(common.boxed(docs, "text"), benchmark, window, keep=(common.ROW,))
     kept = found.where(F.col("n_hit") <= F.col("n_words") * max_coverage)
-    changed = {"text": F.when(F.col("n_hit") > 0, F.col("cleaned")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(F.col("n_hit") > 0, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.withColumns(changed).select(*columns)
+    hit, old = F.col("n_hit") > 0, lambda c: F.col(f"{common.ROW}.{c}")
+    changed = {"text": F.when(hit, F.col("cleaned")).otherwise(old("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length("cleaned").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return common.unboxed(kept, docs.columns, **changed)

@@ -186,8 +186,7 @@ def _marker(kind: str):
 
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind's name in angle brackets."""
-    columns = docs.columns
-    wide = docs.withColumn("__key", row_key("doc_id", "__text")) if "__text" in columns else docs.withColumn("__text", common.text_of("text")).withColumn("__key", row_key("doc_id", "__text"))
+    wide = common.boxed(docs, "doc_id", "text").select(common.ROW, "doc_id", common.text_of("text").alias("__text")).select("*", row_key("doc_id", "__text").alias("__key"))
     spans = personal_data(docs).where(F.size(F.concat(*KINDS, FOUND)) > 0)
     marks = spans.select(F.col("key").alias("__key"), *(F.transform(k, lambda s: s["text"]).alias(f"__{k}") for k in (*KINDS, FOUND))).dropDuplicates(["__key"])
     rows = wide.join(marks, "__key", "left")
@@ -198,8 +197,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         marked = F.transform("__found", _marker(kind))
         pieces = F.zip_with("__gaps", marked, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
         rows = rows.withColumn("__text", F.when(named, F.array_join(pieces, "")).otherwise(F.col("__text")))
-    touched = F.col("__email").isNotNull()
-    changed = {"text": F.when(touched, F.col("__text")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
-        changed["n_chars"] = F.when(touched, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.withColumns(changed).select(*columns)
+    touched, old = F.col("__email").isNotNull(), lambda c: F.col(f"{common.ROW}.{c}")
+    changed = {"text": F.when(touched, F.col("__text")).otherwise(old("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(touched, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))
+    return common.unboxed(rows, docs.columns, **changed)

@@ -149,5 +149,5 @@ def scored(docs: DataFrame, ranking: Ranking, text: str = "text", keep: tuple[st
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches the cut."""
-    columns = docs.columns
-    return scored(docs, train(docs, labels), keep=tuple(columns)).where(F.col("score") >= PASS).select(*columns)
+    found = scored(common.boxed(docs, "text"), train(docs, labels), keep=(common.ROW,))
+    return common.unboxed(found.where(F.col("score") >= PASS), docs.columns)

@@ -6,7 +6,7 @@ brings its rows into a fixed order, shuffles them with a seeded Fisher-Yates shu
 their shards. Shards are equal cuts of the whole order, so their row counts are at most one apart.
 
 Rows: a null text counts no bytes; a null doc_id is hashed as such; repeated rows stay rows of their own;
-an empty table gives an empty result; further columns are carried along.
+an empty table gives an empty result; further columns are carried along, but for any named shard or slot.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ def row_bytes(text: str = "text") -> Column:
 def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "text", doc_id: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns, and shard and slot (gapless from 0 in each shard)."""
     common.tune(docs.sparkSession)
+    docs = docs.drop("shard", "slot")
     cell = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(CELLS)).cast("int")
     counted = docs.select(cell.alias("cell"), row_bytes(text).alias("size")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toArrow()
     order = np.argsort(counted["cell"].to_numpy())

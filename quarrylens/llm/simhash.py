@@ -142,11 +142,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, one of each class: a row of its least doc_id (null if it has no other)."""
-    columns = docs.columns
-    prints = common.stored(fingerprints(docs, keep=tuple(columns)), "prints")
+    prints = common.stored(fingerprints(common.boxed(docs, "doc_id", "text"), keep=("doc_id", common.ROW)), "prints")
     of = classes(prints.select("doc_id", "fp")).where("first").select(F.col("fp").alias("__fp"), "component_id")
     kept = prints.join(of, (prints["fp"] == of["__fp"]) & prints["doc_id"].eqNullSafe(of["component_id"]), "left_semi")
     # only rows that share doc_id and fingerprint are still too many; most tables have none
     if not kept.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "fp"])
-    return kept.select(*columns)
+        kept = kept.groupBy("doc_id", "fp").agg(F.min_by(common.ROW, F.xxhash64(f"{common.ROW}.text")).alias(common.ROW))
+    return common.unboxed(kept, docs.columns)
