@@ -55,6 +55,10 @@ def features(data: bytes) -> list[float]:
     return [*ratios, *(float(np.log(x + 0.01)) for x in ratios), float(np.log1p(n)), len(data) / m if words else 0.0, 1 / m]
 
 
+#: Features of a text.
+WIDTH = len(features(b""))
+
+
 @dataclass(frozen=True)
 class Ranking:
     """A fitted ranking; without weights all texts have the same score."""
@@ -128,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     chosen = usable.orderBy(F.xxhash64("__id"), "__label").limit(max_labels)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").select("__label", "__text")
     found = _with_features(rows, ["__label"]).toArrow()
-    x = np.array(found["x"].to_pylist(), float).reshape(found.num_rows, -1)
+    x = np.array(found["x"].to_pylist(), float).reshape(-1, WIDTH)
     order = np.lexsort([*x.T, found["__label"].to_numpy()]) if found.num_rows else np.zeros(0, int)
     return fit(x[order], found["__label"].to_numpy().astype(int)[order])
 
@@ -141,7 +145,7 @@ def scored(docs: DataFrame, ranking: Ranking, text: str = "text", keep: tuple[st
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t or b"") for t in batch["__text"].cast(pa.large_binary()).to_pylist()], float).reshape(batch.num_rows, -1)
+            x = np.array([features(t or b"") for t in batch["__text"].cast(pa.large_binary()).to_pylist()], float).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ranking.score(x) if len(x) else np.zeros(0), pa.float64())], names=schema.names)
 
     return rows.mapInArrow(common.lean(each), schema)

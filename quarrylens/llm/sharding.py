@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -54,7 +55,7 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "t
     def shuffle(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
         table = table.drop_columns(["__bucket"])
-        order = np.array(table.append_column("__row", pa.array(range(table.num_rows))).sort_by([(doc_id, "ascending"), (text, "ascending")])["__row"])
+        order = pc.sort_indices(pa.table({"id": table[doc_id], "text": table[text]}), sort_keys=[("id", "ascending"), ("text", "ascending")]).to_numpy()
         order = np.random.default_rng([seed, number]).permutation(order)
         place = first[number] + np.arange(len(order))
         shard = np.searchsorted(edges, place, side="right") - 1
