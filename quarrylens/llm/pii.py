@@ -4,7 +4,7 @@ Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers.
 the words before a span are a lexical pattern, what follows a pattern is an instance, and the graph of
 patterns and instances covers the surroundings of all identifier-like tokens of the corpus, with ordinary
 words as instances too. In each round a pattern's confidence is the share of known instances among all that
-follow it; an unknown token whose confident patterns add up to a high score becomes known, and supports
+follow it (unknown tokens count half); an unknown token whose confident patterns add up to a high score becomes known, and supports
 further patterns in the next round.
 
 Rows: a null text has no spans; rows are told apart by doc_id (null as a value) and text, so repeated rows
@@ -143,7 +143,9 @@ def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CON
     for k in range(1, rounds + 1):
         known = state.where("known").select("instance", F.lit(True).alias("token"), F.lit(1).alias("one"))
         seen = links.join(known, ["instance", "token"], "left")
-        scores = seen.groupBy("pattern").agg(F.count("one").alias("known"), F.count("*").alias("all")).where((F.col("known") >= support) & (F.col("known") >= F.col("all") * confidence))
+        # an unknown token speaks half against a pattern, an ordinary word fully
+        against = F.when(F.col("one").isNotNull(), 0.0).when(F.col("token"), 0.5).otherwise(1.0)
+        scores = seen.groupBy("pattern").agg(F.count("one").alias("known"), (F.count("one") + F.sum(against)).alias("all")).where((F.col("known") >= support) & (F.col("known") >= F.col("all") * confidence))
         trusted = scores.select("pattern", (F.col("known") / (F.col("all") + 1)).alias("trust"))
         # log of the chance that all of an instance's patterns are wrong
         voted = links.where("token").join(trusted, "pattern").groupBy("instance").agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
