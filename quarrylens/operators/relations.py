@@ -41,10 +41,9 @@ def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str
     words = F.split("__passage", " ", -1)
     long = given.where(F.size(words) >= 6).withColumn("__anchor", F.array_join(F.slice(words, 2, 4), " "))
     own = texts.select(F.col(key).alias("__k"), F.col(text).alias("__text"))
-    tokens = F.split("__text", " ", -1)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(tokens) - 3), lambda i: F.array_join(F.slice(tokens, i, 4), " ")))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__tokens") - 3), lambda i: F.array_join(F.slice("__tokens", i, 4), " ")))
     # only keys go through the join of all grams; texts come back for the few pairs that are left
-    spread = own.where(F.size(tokens) > 3).select("__k", F.explode(grams).alias("__anchor"))
+    spread = own.select("__k", F.split("__text", " ", -1).alias("__tokens")).where(F.size("__tokens") > 3).select("__k", F.explode(grams).alias("__anchor"))
     met = spread.join(long.select("__p", "__anchor"), "__anchor").select("__k", "__p").distinct()
     hits = met.join(own, "__k").join(long, "__p").where(F.contains("__text", F.col("__passage"))).select("__k", "__p")
     short = given.where(F.size(words) < 6)
