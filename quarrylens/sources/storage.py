@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is named."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return named or context._jsc.sc().getCheckpointDir().get()
