@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import cut, shared_path  # noqa: F401 - the operators take both from here
+
 #: Raw bytes of text that one packed block holds, unless a single row is larger.
 BLOCK_BYTES = 32 << 20
 #: Bytes of an Arrow batch at most.
@@ -26,7 +27,8 @@ def partitions(spark: SparkSession) -> int:
 def tune(spark: SparkSession) -> None:
     """Arrow batches of documents by bytes rather than rows, so that workers hold little at once."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name)).rstrip("b")) > ARROW_BYTES:
+    given = str(spark.conf.get(name)).rstrip("bB")
+    if not given.isdigit() or int(given) > ARROW_BYTES:
         spark.conf.set(name, str(ARROW_BYTES))
 
 
@@ -67,26 +69,6 @@ def lean_group(each: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return pair if len(inspect.signature(each).parameters) == 3 else one
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share; it is set here only where the cluster names none."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return named or context._jsc.sc().getCheckpointDir().get()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back."""
     path = shared_path(df.sparkSession, name)
