@@ -72,7 +72,7 @@ def _find(parent: list[int], a: int) -> int:
 
 
 def posting_links(entries: np.ndarray, open_: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links (higher, lower) that span the linked entries of one posting; open_: its two free byte positions."""
+    """Links (higher, lower) that hold the linked entries of one posting together; open_: its two free byte positions."""
     shifts = [np.uint64(8 * k) for k in open_]
     own = entries.view(np.uint64)
     rest = ((own >> shifts[0]) & np.uint64(255)) | (((own >> shifts[1]) & np.uint64(255)) << np.uint64(8))
@@ -84,13 +84,14 @@ def posting_links(entries: np.ndarray, open_: tuple[int, int]) -> list[tuple[int
         pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
     else:
         pairs = ((i, j) for r, i in place.items() for flip in FLIPS if (j := place.get(r ^ flip, -1)) > i)
-    links = []
     for i, j in pairs:
         x, y = _find(parent, i), _find(parent, j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            links.append((int(entries[i]), int(entries[j])))
-    return [(max(x), min(x)) for x in links]
+        parent[max(x, y)] = min(x, y)
+    classes_: dict[int, list[int]] = {}
+    for i in range(len(entries)):
+        classes_.setdefault(_find(parent, i), []).append(int(entries[i]))
+    # a binary tree over the sorted members of each class: no entry gets more than three links here
+    return [(own[k], own[(k - 1) // 2]) for own in map(sorted, classes_.values()) for k in range(1, len(own))]
 
 
 OPEN = list(combinations(range(8), 2))
