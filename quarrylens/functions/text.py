@@ -39,7 +39,7 @@ def line_count(text: Column) -> Column:
 
 def universal_line_count(text: Column) -> Column:
     """Lines as a universal-newline reader counts them: more terminators, and none after the last."""
-    ends = F.regexp_replace(text, "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085  ]", "\n")
+    ends = F.regexp_replace(text, "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]", "\n")
     return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(ends, "\n\\z", ""), "\n", -1))).cast("long")
 
 

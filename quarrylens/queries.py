@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import audit, graph, intervals, lines, relations
-from .streaming import incremental
+from .plans import evaluation, merging
+from .streaming import incremental, limits
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -607,3 +608,44 @@ def leader_cluster(spark, sf_dir):
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id, event_type")
 def stream_incremental(spark, sf_dir):
     return incremental.replayed(spark, f"{sf_dir}/events.parquet")
+
+
+# ---- budgets, splits, agreement
+
+
+@query("""
+SELECT source, doc_id, n_chars FROM (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents) WHERE s <= 40000""")
+def running_cap(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return merging.ranked_within(docs, ["source"], [F.col("doc_id")], "n_chars", 40_000)
+
+
+@query("""
+WITH w AS (SELECT user_id, event_id, list_sort(list(length(props) * 40 + floor(value)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS l FROM events)
+SELECT user_id AS key, event_id AS ord, ceil(greatest(l[ceil(len(l) * 0.9)::INT] * 1.2::DOUBLE, list_avg(l) * 1.35::DOUBLE, 128.0::DOUBLE))::BIGINT AS reserve FROM w""")
+def output_reservation(spark, sf_dir):
+    tokens = F.length("props") * 40 + F.floor("value").cast("long")
+    return limits.reservations(table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), tokens.alias("tokens")))
+
+
+@query("""
+SELECT doc_id AS slug, 'no split' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id + 5 FROM labels)
+UNION ALL SELECT doc_id + 5, 'no case' FROM labels WHERE doc_id + 5 NOT IN (SELECT doc_id FROM documents)""")
+def split_coverage(spark, sf_dir):
+    cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slug"))
+    splits = table(spark, sf_dir, "labels").select((F.col("doc_id") + 5).alias("slug"))
+    return evaluation.split_coverage(cases, splits)
+
+
+@query("""
+SELECT lang AS category, count(*) AS n, round(avg((quality = (n_chars > 300)::INT)::INT), 6) AS rate FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+def bootstrap_agreement(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    entries = rows.select(F.col("lang").alias("category"), F.col("quality").alias("expected"), (F.col("n_chars") > 300).cast("int").alias("verdict"))
+    return evaluation.agreement(entries).withColumn("rate", F.round("rate", 6))
+
+
+@query()
+def request_windows(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), seconds("ts").cast("double").alias("at"), F.length("props").cast("long").alias("tokens"))
+    return limits.request_windows(log, 3600.0 * 24)
