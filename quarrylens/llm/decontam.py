@@ -24,8 +24,8 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from . import common
 
 WINDOW = 10
-#: Words in one automaton at most, but for a single longer item.
-MAX_WORDS = 1_000_000
+#: Words in one automaton at most, but for a single longer item: some 100 MB in a worker.
+MAX_WORDS = 200_000
 #: A-Z lower-cased; all that is in no word is a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
