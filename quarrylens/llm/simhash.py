@@ -26,6 +26,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import common
 
 SHINGLE, SEED, BITS = 3, 42, 2
+#: Parts that a label's nodes are dealt to.
+SALTS = 16
 #: Flips of the 16 bits that a posting leaves open, by number of bits.
 FLIPS = [1 << a for a in range(16)] + [1 << a | 1 << b for a, b in combinations(range(16), 2)]
 
@@ -119,8 +121,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         told = labels.join(heard, "node").select("node", F.least("label", "heard").alias("next"), "label")
-        jump = told.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        step = common.cut(told.join(jump, "next").select("node", F.least("next", "further").alias("label"), (F.least("next", "further") != F.col("label")).alias("moved")))
+        # labels that are no roots yet; a large component's nodes share theirs, so the join is salted
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        jump = told.where(F.col("next") != F.col("node")).select(F.col("node").alias("next"), F.col("next").alias("further"), salts)
+        salted = told.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(jump, ["next", "salt"], "left")
+        step = common.cut(salted.select("node", F.coalesce("further", "next").alias("label"), (F.coalesce("further", "next") != F.col("label")).alias("moved")))
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
             return labels
