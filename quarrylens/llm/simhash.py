@@ -134,7 +134,8 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(prints: DataFrame) -> DataFrame:
     """(fp, component_id, first): each fingerprint's class by its least doc_id, and whether it is the class's own fingerprint of that doc_id."""
     distinct = common.stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    labels = components(links(distinct.select("fp")))
+    # a small table of long rows: dealt out, since each gives a posting for every pair of bytes
+    labels = components(links(distinct.select("fp").repartition(common.partitions(prints.sparkSession), "fp")))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     leader = F.min(F.struct(F.col("least").isNull().alias("none"), "least", F.col("fp").alias("own"))).alias("leader")
     return common.stored(named.join(named.groupBy("label").agg(leader), "label").select("fp", F.col("leader.least").alias("component_id"), (F.col("fp") == F.col("leader.own")).alias("first")), "classes")
