@@ -25,7 +25,7 @@ from . import common
 from .splitting import Splitter, joined
 
 #: Bytes of a block's raw texts.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: No rank: larger than any.
 NONE = 2**31 - 1
 #: Bits for a byte's place in a word; words of more than LONG bytes don't go through the fold.

@@ -16,6 +16,8 @@ from ..sources.storage import cut, shared_path  # noqa: F401 - the operators tak
 
 #: Raw bytes of text that one packed block holds, unless a single row is larger.
 BLOCK_BYTES = 32 << 20
+#: Compression of blocks of texts.
+LEVEL = 6
 #: Bytes of an Arrow batch at most.
 ARROW_BYTES = 8 << 20
 
@@ -98,9 +100,9 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def packed(table: pa.Table) -> bytes:
+def packed(table: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write_table(table.combine_chunks())
     return sink.getvalue().to_pybytes()
 
@@ -119,7 +121,7 @@ def blocks(df: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         for k, table in enumerate(pieces(batches, limit)):
-            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | k], pa.int64()), pa.array([packed(table)], pa.binary())], names=["block", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | k], pa.int64()), pa.array([packed(table, LEVEL)], pa.binary())], names=["block", "payload"])
 
     tune(df.sparkSession)
     return df.mapInArrow(lean(pack), "block long, payload binary").repartition(partitions(df.sparkSession), "block")
