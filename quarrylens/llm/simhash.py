@@ -32,10 +32,11 @@ SALTS = 16
 FLIPS = [1 << a for a in range(16)] + [1 << a | 1 << b for a, b in combinations(range(16), 2)]
 
 
-def fingerprint(data: bytes, width: int = SHINGLE) -> int:
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of each shingle of so many words, in order; of all words if there are fewer."""
     words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(words)
     if len(words) < width:
         spans = [(0, len(joined))]
@@ -44,7 +45,13 @@ def fingerprint(data: bytes, width: int = SHINGLE) -> int:
         ends = np.cumsum(sizes + 1) - 1
         spans = zip((ends - sizes)[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(data: bytes, width: int = SHINGLE) -> int:
+    hashes = shingle_hashes(data, width)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 16):
         part = hashes[k : k + (1 << 16)]
