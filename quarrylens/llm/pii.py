@@ -3,9 +3,10 @@
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. They seed the second step:
 the words before a span are a lexical pattern, what follows a pattern is an instance, and the graph of
 patterns and instances covers the surroundings of all identifier-like tokens of the corpus, with ordinary
-words as instances too. In each round a pattern's confidence is the share of known instances among all that
+words as instances too. Where fewer than two words are there, or the context begins within reach, marks stand
+for the words that lack: one for the start of the text, one for any other place. In each round a pattern's confidence is the share of known instances among all that
 follow it (unknown tokens count half); an unknown token whose confident patterns add up to a high score becomes known, and supports
-further patterns in the next round.
+further patterns in the next round, until a round finds none.
 
 Rows: a null text has no spans; rows are told apart by doc_id (null as a value) and text, so repeated rows
 have the same spans; ties cannot arise, since spans are ordered by kind and place; an empty table gives an
@@ -14,6 +15,8 @@ empty result; other columns pass through ``redacted``.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ PATTERNS = {
 }
 #: An identifier-like token: eight signs or more, two of them digits.
 TOKEN = r"(?<![\p{L}0-9_-])(?=[A-Za-z0-9_-]*[0-9][A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}+(?![\p{L}])"
-#: Code points before a span that give its pattern; patterns need so many known instances, and this confidence; rounds.
-BEFORE, SUPPORT, CONFIDENCE, ROUNDS = 60, 3, 0.8, 3
+#: Code points before a span that give its pattern; patterns need so many known instances, and this confidence.
+BEFORE, SUPPORT, CONFIDENCE = 60, 3, 0.8
+#: What stands for words before the start of a text, and before other contexts that are too short.
+START, BREAK = "^", "~"
 #: Numbers summed together in prefix sums.
 STRIDE = 256
 
@@ -119,10 +124,14 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
 
 def graph(found: DataFrame) -> DataFrame:
     """(pattern, instance, token, known): what follows each two words before a span or token, once."""
-    seeds = F.transform(F.concat(*KINDS), lambda s: F.struct(s["text"].alias("text"), s["before"].alias("before"), F.lit(True).alias("known")))
-    tokens = F.transform(FOUND, lambda s: F.struct(s["text"].alias("text"), s["before"].alias("before"), F.lit(False).alias("known")))
+    seeds = F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"), s["before"].alias("before"), F.lit(True).alias("known")))
+    tokens = F.transform(FOUND, lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"), s["before"].alias("before"), F.lit(False).alias("known")))
     spots = found.where(F.size(F.concat(*KINDS, FOUND)) > 0).select(F.explode(F.concat(seeds, tokens)).alias("spot"))
-    words = spots.select("spot.text", "spot.known", F.regexp_extract_all(F.lower("spot.before"), F.lit(r"\p{L}+"), F.lit(0)).alias("words")).where(F.size("words") > 1)
+    words = spots.select("spot", F.regexp_extract_all(F.lower("spot.before"), F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    size = F.length("spot.before")
+    mark = F.when(F.col("spot.start") == size, START).otherwise(BREAK)
+    padded = F.when((size < BEFORE) | (F.size("words") < 2), F.concat(F.array(mark, mark), "words")).otherwise(F.col("words"))
+    words = words.select("spot.text", "spot.known", padded.alias("words"))
     last = F.size("words") - 1
     steps = F.transform(
         F.sequence(F.lit(1), last),
@@ -136,11 +145,11 @@ def graph(found: DataFrame) -> DataFrame:
     return words.select(F.explode(steps).alias("e")).select("e.*").groupBy("pattern", "instance", "token").agg(F.max("known").alias("known"))
 
 
-def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(instance): the tokens that became known."""
     state = common.cut(edges.groupBy("instance", "token").agg(F.max("known").alias("known")).where("token").select("instance", "known", F.lit(0).alias("round")))
     links = common.stored(edges.select("pattern", "instance", "token"), "graph")
-    for k in range(1, rounds + 1):
+    for k in count(1):
         known = state.where("known").select("instance", F.lit(True).alias("token"), F.lit(1).alias("one"))
         seen = links.join(known, ["instance", "token"], "left")
         # an unknown token speaks half against a pattern, an ordinary word fully

@@ -77,6 +77,24 @@ def test_second_round_uses_what_the_first_found(spark):
     assert found[400] == ["ref-99-77777"] and not any(k >= 200 and k < 300 for k in found)
 
 
+def test_rounds_go_on_until_nothing_new_is_found(spark):
+    places = ["amber brook", "cedar dune", "ember fjord", "grove heath", "inlet jetty", "knoll larch"]
+    rows = []
+    for r, place in enumerate(places):
+        known = [f"m{r}{k}@mail.example.org" for k in range(2)] + [f"ref-{r}{r}-8841{r}" if r else "m9@mail.example.org"]
+        rows += [(10 * r + k, f"our {place} {x} now", "", "", 0) for k, x in enumerate([*known, f"ref-{r + 1}{r + 1}-8841{r + 1}"])]
+    found = {s.text for r in pii.personal_data(table(spark, rows)).collect() for s in r.id}
+    assert found == {f"ref-{r}{r}-8841{r}" for r in range(1, 7)}
+
+
+def test_starts_and_single_words_are_contexts(spark):
+    rows = [(k, f"SSN: m{k}@mail.example.org", "", "", 0) for k in range(6)] + [(10, "SSN: ref-00-88410 it is", "", "", 0)]
+    rows += [(20 + k, f"m{k}{k}@mail.example.org wrote this", "", "", 0) for k in range(12)] + [(50, "ref-11-88411 wrote this", "", "", 0)]
+    rows += [(60 + k, f"Build: build-2024{k}11 is well", "", "", 0) for k in range(3)]
+    found = {r.doc_id: [s.text for s in r.id] for r in pii.personal_data(table(spark, rows)).collect() if r.id}
+    assert found == {10: ["ref-00-88410"], 50: ["ref-11-88411"]}
+
+
 def test_redaction_leaves_clean_documents_alone(spark):
     docs = with_clashes(table(spark))
     kept = {(repr(r.doc_id), r.n_chars): r for r in pii.redacted(docs).collect()}
