@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -191,24 +191,51 @@ def digest(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
-def _marker(kind: str):
-    return lambda m: F.when(F.array_contains(f"__{kind}", m), f"<{kind.upper()}>").otherwise(m)
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(key, marks: array of start, end and kind): the spans of all kinds in order, those that overlap as one of the first one's kind."""
+
+    def ranked(rank: int, kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind.upper()).alias("kind")))
+
+    each = F.concat(*(ranked(n, kind) for n, kind in enumerate((*KINDS, FOUND))))
+    flat = spans.dropDuplicates(["key"]).select("key", F.explode(each).alias("s")).select("key", "s.*")
+    order = Window.partitionBy("key").orderBy("start", "rank")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = flat.withColumn("head", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int"))
+    numbered = heads.withColumn("group", F.sum("head").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = numbered.groupBy("key", "group").agg(F.min(F.struct("start", "rank", "kind")).alias("first"), F.max("end").alias("end"))
+    return whole.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("first.start", "end", "first.kind"))).alias("marks"))
+
+
+def _marked(text: Column, marks: Column) -> Column:
+    """The text with every mark's place replaced; marks are cut from parts of STRIDE of them, so that no cut looks at a long text."""
+
+    def after(k: Column) -> Column:
+        return F.coalesce(F.get(marks, k - 1)["end"], F.lit(0).cast("long"))
+
+    def cut(of: Column, start: Column, end: Column) -> Column:
+        return F.substring(of, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def part(block: Column) -> Column:
+        first, own = block * STRIDE, F.slice(marks, block * STRIDE + 1, F.lit(STRIDE))
+
+        def pieces(of: Column) -> Column:
+            base = after(first)
+            return F.array_join(F.transform(own, lambda m, k: F.concat(cut(of, after(first + k) - base, m["start"] - base), F.lit("<"), m["kind"], F.lit(">"))), "")
+
+        return F.get(F.transform(F.array(cut(text, after(first), F.element_at(own, -1)["end"])), pieces), F.lit(0))
+
+    parts = F.transform(F.sequence(F.lit(0), ((F.size(marks) - 1) / STRIDE).cast("int")), part)
+    return F.concat(F.array_join(parts, ""), cut(text, F.element_at(marks, -1)["end"], F.length(text)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind's name in angle brackets."""
+    """The documents with every span replaced by its kind's name in angle brackets; spans that overlap by the first one's."""
     wide = common.boxed(docs, "doc_id", "text").select(common.ROW, "doc_id", common.text_of("text").alias("__text")).select("*", row_key("doc_id", "__text").alias("__key"))
     spans = personal_data(docs).where(F.size(F.concat(*KINDS, FOUND)) > 0)
-    marks = spans.select(F.col("key").alias("__key"), *(F.transform(k, lambda s: s["text"]).alias(f"__{k}") for k in (*KINDS, FOUND))).dropDuplicates(["__key"])
-    rows = wide.join(marks, "__key", "left")
-    for kind, pattern in (*PATTERNS.items(), (FOUND, TOKEN)):
-        named = F.coalesce(F.size(f"__{kind}") > 0, F.lit(False))
-        rows = rows.withColumn("__found", F.when(named, F.regexp_extract_all("__text", F.lit(pattern), F.lit(0))))
-        rows = rows.withColumn("__gaps", F.when(named, F.split("__text", pattern, -1)))
-        marked = F.transform("__found", _marker(kind))
-        pieces = F.zip_with("__gaps", marked, lambda g, m: F.concat(g, F.coalesce(m, F.lit(""))))
-        rows = rows.withColumn("__text", F.when(named, F.array_join(pieces, "")).otherwise(F.col("__text")))
-    touched, old = F.col("__email").isNotNull(), lambda c: F.col(f"{common.ROW}.{c}")
+    rows = wide.join(merged_spans(spans).select(F.col("key").alias("__key"), F.col("marks").alias("__marks")), "__key", "left")
+    rows = rows.withColumn("__text", F.when(F.col("__marks").isNotNull(), _marked(F.col("__text"), F.col("__marks"))))
+    touched, old = F.col("__marks").isNotNull(), lambda c: F.col(f"{common.ROW}.{c}")
     changed = {"text": F.when(touched, F.col("__text")).otherwise(old("text"))}
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(touched, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(old("n_chars"))

@@ -105,6 +105,13 @@ def test_redaction_leaves_clean_documents_alone(spark):
     assert sorted(repr((r.doc_id, r.text, r.n_chars)) for r in pii.redacted(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") != 8)).collect()) == before
 
 
+def test_redaction_cuts_overlapping_spans_whole(spark):
+    many = "é10.0.0.1 a@b.c, " * 700
+    rows = [(1, "ring +1 555 010 2030@x.y now", "", "", 0), (2, "+1 555 10.0.0.1 203", "", "", 0), (3, many, "", "", 0)]
+    found = {r.doc_id: r.text for r in pii.redacted(table(spark, rows)).collect()}
+    assert found == {1: "ring <PHONE> now", 2: "<PHONE>", 3: "é<IP> <EMAIL>, " * 700}
+
+
 def test_plan_has_no_python(spark):
     df = pii.redacted(table(spark))
     plan = df._jdf.queryExecution().executedPlan().toString()
