@@ -7,7 +7,8 @@ the number of frames, a descriptor and the magic number). A reader takes the tai
 decompresses only the frames it wants; other zstandard tools can decompress the whole.
 
 Words are encoded by the tokenizers library once per worker and kept in a bounded cache: the tokenizer
-encodes each match of its own pattern by itself, so a text's ids are its words' ids in order.
+encodes each match of its own pattern by itself, so a text's ids are its words' ids in order. Texts that have an
+added token of the tokenizer (such as ``<|endoftext|>``) are encoded whole by the library, which gives it its id.
 
 Rows: null texts are empty and have the end id alone; rows without a doc_id come first; rows that share one
 are ordered by their text's hash; an empty table writes no file and gives an empty result.
@@ -41,11 +42,11 @@ CACHE = 800_000
 GROUP = 4 << 20
 #: How a byte-level vocabulary writes a space.
 BLANK = "\u0120"
-_workers: dict[str, tuple[object, Splitter, np.ndarray, dict[bytes, bytes]]] = {}
+_workers: dict[str, tuple[object, Splitter, np.ndarray, list[bytes], dict[bytes, bytes]]] = {}
 
 
 def _worker(path: str, pattern: str):
-    """The tokenizer, the splitter, whether each id's piece starts with a space, and the words known so far."""
+    """The tokenizer, the splitter, whether each id's piece starts with a space, the added tokens, and the words known so far."""
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -55,13 +56,24 @@ def _worker(path: str, pattern: str):
         pieces = tokenizer.get_vocab()
         spaced = np.zeros(max(pieces.values()) + 1, bool)
         spaced[[k for piece, k in pieces.items() if piece.startswith(BLANK)]] = True
-        _workers[path] = tokenizer, Splitter(pattern), spaced, {}
+        added = [x.content.encode() for x in tokenizer.get_added_tokens_decoder().values()]
+        _workers[path] = tokenizer, Splitter(pattern), spaced, added, {}
     return _workers[path]
 
 
 def encode_texts(texts: list[bytes], path: str, pattern: str) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers."""
-    tokenizer, split, spaced, cache = _worker(path, pattern)
+    tokenizer, split, spaced, added, cache = _worker(path, pattern)
+    whole: dict[int, bytes] = {}
+    marked = [k for k, t in enumerate(texts) if any(a in t for a in added)]
+    if marked:
+        tokenizer.encode_special_tokens = False
+        try:
+            for k in marked:
+                whole[k] = np.array(tokenizer.encode(texts[k].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            tokenizer.encode_special_tokens = True
+        texts = [b"" if k in whole else t for k, t in enumerate(texts)]
     if len(cache) > CACHE:
         cache.clear()
     words, numbers, counts = split.words(texts)
@@ -80,7 +92,7 @@ def encode_texts(texts: list[bytes], path: str, pattern: str) -> list[bytes]:
     rest = [w for w in missing if w not in cache]
     for w, x in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
         cache[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
-    return joined([cache[w] for w in words], numbers, counts)
+    return [whole.get(k, x) for k, x in enumerate(joined([cache[w] for w in words], numbers, counts))]
 
 
 class Frame(NamedTuple):

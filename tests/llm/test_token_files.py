@@ -65,3 +65,10 @@ def test_files_are_plain_zstandard_and_damage_is_found(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     files = token_files.write_tokens(table(spark, []), PATH, public_tokenizers.PATTERN, 2, f"file://{tmp_path}/t")
     assert files == [] and token_files.read_tokens(spark, files).collect() == []
+
+
+def test_added_tokens_like_the_library_by_default():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["a b<|endoftext|>c", "<|endoftext|>", "x <|endoftext|> it's <|endoftext|><|endoftext|>\n", "none", "", "<|endoftext"]
+    found = token_files.encode_texts([t.encode() for t in texts], PATH, public_tokenizers.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
