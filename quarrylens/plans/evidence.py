@@ -1,4 +1,4 @@
-"""Evidence for findings: references elsewhere, surrounding code, intent, callees, cited names.
+"""Evidence for findings: references elsewhere, surrounding code, callees, cited names.
 
 Every builder takes findings (id, path, symbol, line_start, message) and what it reads, and gives
 (id, payload), payload being a JSON string; EvidenceKinds that find nothing give no row. Caps are part of
