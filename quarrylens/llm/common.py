@@ -5,9 +5,12 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import inspect
+import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,6 +114,45 @@ def unpacked(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers of less than 2^32, compressed byte plane by byte plane."""
+    raw = np.ascontiguousarray(values, "<u4")
+    width = max(1, -(-int(raw.max(initial=0)).bit_length() // 8))
+    planes = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4)[:, :width].T)
+    return struct.pack("<BI", width, len(raw)) + zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def unsqueezed(payload) -> np.ndarray:
+    width, count = struct.unpack_from("<BI", payload)
+    planes = zstandard.ZstdDecompressor().decompress(memoryview(payload)[5:], max_output_size=max(1, width * count))
+    out = np.zeros((count, 4), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, count).T
+    return out.view("<u4").reshape(count)
+
+
+def ragged(flat: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Lists of bytes or numbers: all their items, and the lists' sizes."""
+    lengths = squeezed(sizes)
+    items = b"\0" + zstandard.ZstdCompressor(level=3).compress(flat.tobytes()) if flat.dtype == np.uint8 else b"\1" + squeezed(flat)
+    return struct.pack("<I", len(lengths)) + lengths + items
+
+
+def unragged(payload) -> tuple[np.ndarray, np.ndarray]:
+    view = memoryview(payload)
+    (size,) = struct.unpack_from("<I", view)
+    sizes, rest = unsqueezed(view[4 : 4 + size]), view[4 + size :]
+    if rest[0]:
+        return unsqueezed(rest[1:]), sizes
+    total = int(sizes.sum(dtype=np.int64))
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(rest[1:], max_output_size=max(1, total)), np.uint8), sizes
+
+
+def binaries(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The lists of bytes as an Arrow array."""
+    offsets = np.append(0, np.cumsum(sizes, dtype=np.int64)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+
+
 def blocks(df: DataFrame, limit: int = BLOCK_BYTES) -> DataFrame:
     """Rows (block, payload): the rows of ``df`` in compressed blocks, dealt out by block once.
 

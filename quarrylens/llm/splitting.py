@@ -85,14 +85,19 @@ def _plain_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarra
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
 
 
+def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """The parts of these numbers one after the other; flat has all parts, of these sizes."""
+    sizes = sizes.astype(np.int64)
+    own = sizes[numbers]
+    ends = np.cumsum(own)
+    at = np.repeat((np.cumsum(sizes) - sizes)[numbers] - (ends - own), own)
+    at += np.arange(len(at))
+    return flat[at]
+
+
 def joined(parts: list[bytes], numbers: np.ndarray, counts: np.ndarray, width: int = 4) -> list[bytes]:
     """For each text, the parts of its words one after the other; a part has items of ``width`` bytes."""
     sizes = np.array([len(x) // width for x in parts], np.int64)
-    flat = np.frombuffer(b"".join(parts), f"<u{width}")
-    begin = np.cumsum(sizes) - sizes
-    own = sizes[numbers]
-    ends = np.cumsum(own)
-    at = np.repeat(begin[numbers] - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)
-    data = memoryview(flat[at].tobytes())
-    stops = np.append(0, ends)[np.cumsum(np.append(0, counts))] * width
+    data = memoryview(gathered(np.frombuffer(b"".join(parts), f"<u{width}"), sizes, numbers).tobytes())
+    stops = np.append(0, np.cumsum(sizes[numbers]))[np.cumsum(np.append(0, counts))] * width
     return [bytes(data[a:b]) for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]

@@ -56,9 +56,27 @@ def test_ids_without_a_piece_raise():
 def test_long_words_merge_as_the_fold_does(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("theingaé") for _ in range(rng.randint(1, 40))) for _ in range(60)]
-    df = spark.createDataFrame([(w.encode(),) for w in words], "word binary")
-    folded = [r[0] for r in df.select(bpe.encoded_word(df["word"], bpe.rank_literal(RANKS))).collect()]
-    assert folded == [bpe.encoded_long(w.encode(), RANKS) for w in words]
+    assert folded(spark, words, RANKS) == [bpe.encoded_long(w.encode(), RANKS) for w in words]
+
+
+def folded(spark, words, ranks):
+    df = spark.createDataFrame([(w.encode(), [ranks[bytes([b])] for b in w.encode()]) for w in words], "word binary, ids array<bigint>")
+    return [r[0] for r in df.select(bpe.encoded_word(df["word"], df["ids"], bpe.rank_literal(ranks))).collect()]
+
+
+def test_words_that_merges_do_not_reach(spark):
+    ranks = {bytes([b]): b for b in range(256)} | {b"xy": 256, b"abcd": 257}
+    encoding = tiktoken.Encoding("small", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["abcd", "abcde", "xyxy", "x", "axy"]
+    assert folded(spark, words, ranks) == [encoding.encode_ordinary(w) for w in words] == [bpe.encoded_long(w.encode(), ranks) for w in words]
+
+
+def test_the_hash_of_pairs_is_perfect():
+    rng = random.Random(9)
+    pairs = {rng.randrange(1 << 2 * bpe.ID): rng.randrange(bpe.NONE) for _ in range(3000)}
+    shifts, slots = bpe.perfect_hash(pairs)
+    assert all(slots[(k % len(slots) + shifts[k % len(shifts)]) % len(slots)] == k << bpe.ID | v for k, v in pairs.items())
+    assert sum(x != bpe.EMPTY for x in slots) == len(pairs)
 
 
 def test_splitting_like_the_pattern():
