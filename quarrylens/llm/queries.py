@@ -23,7 +23,7 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = wrapper.extract(read(spark, sf_dir, "pages"))
-    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template")
 
 
 def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,20 @@
 """Main text of web pages by wrapper induction.
 
-Each host has a reference page (its least page_id). Pages of the host are aligned with it by simple tree
-matching over their block elements; an aligned node with the reference's text votes that the node is
-constant, one with another text that it is a varying slot. Votes of all pages of the host are added up;
-nodes that most pages have alike become template and are left out, as are menus, page headers, footers,
-sidebars, notices, adverts, forms, scripts, styles and reader comments by their elements, roles and names.
-What is left of the article is decoded and joined block by block.
-
-Pages that repeat the reference's whole text don't vote, and text of ``LONG`` code points or more is never
-template, so copies of one article on a host don't make it vanish.
-
-Rows: a null or empty html has an empty text; a null url is a host of its own; repeated rows give a row
-each; of pages that share the least page_id, the one of least html is the reference; an empty table gives an
-empty result; other columns are not read. Broken markup is read as far as it goes.
+Pages of a host are told apart by their layout (the elements around the content). Each layout that enough
+pages have gets a reference page, and so does the commonest layout of a host, for the pages of rarer ones.
+Pages are aligned with their reference by simple tree matching over their block elements; an aligned node
+with the reference's text votes that the node is constant, one with another text that it is a varying slot.
+Votes of all pages are added up; nodes that most pages have alike become template and go first, wherever
+they stand and whatever they are called. Of the varying slots, menus, page headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and reader comments go by their elements, roles and names, as their text may
+vary too. The rest of the content elements is decoded and joined block by block.
+
+A page that repeats four fifths of its reference's main text is a copy of it and does not vote, so copies of one
+article don't make it vanish.
+
+Rows: a null or empty html has an empty text and is no reference; a null url is a host of its own; repeated rows
+give a row each; a layout's reference is the page of least page_id, of least html if several share that; an empty
+table gives an empty result; other columns are not read. Broken markup is read as far as it goes.
 """
 
 from __future__ import annotations
@@ -22,18 +24,20 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes of a block of pages; pages that must have voted, share of alike votes, code points that no template text reaches.
-BLOCK, VOTERS, ALIKE, LONG = 8 << 20, 3, 0.8, 200
-#: Cells of one alignment's table at most; longer lists of children are aligned tag by tag in order.
-CELLS = 1_000_000
-#: Elements nested deeper than this count as their parent's neighbours.
-DEPTH = 256
+#: Bytes of a block of pages; pages that a reference must stand for and that must have voted, share of alike votes, of main text that makes a copy.
+BLOCK, VOTERS, ALIKE, COPY = 4 << 20, 3, 0.8, 0.8
+#: Cells of an alignment that are kept at once; larger alignments are halved until they fit.
+CELLS = 1 << 14
+#: Levels of elements that tell layouts apart; parts that a host's references are dealt to.
+LEVELS, SALTS = 4, 16
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -48,7 +52,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 OUT = {"head", "nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "object", "video", "audio", "template", "search", "map", "label", "datalist", "math", *RAW}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist replies respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget skip".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist replies respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget skip teaser teasers".split()
 )
 HEADS = {"header", "masthead", "topbar"}
 MAIN = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main)(?:[^a-z]|$)")
@@ -62,7 +66,6 @@ class Node:
     kids: list[Node] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     main: int = 0
-    depth: int = 0
     sign: int = 0
     size: int = 1
 
@@ -120,9 +123,7 @@ class Page:
         self.flow.append((node, None))
         if tag == "hr":
             return node
-        if node.depth >= DEPTH:
-            node = node.parent
-        new = Node(tag, node, node.out or tag in OUT, depth=node.depth + 1)
+        new = Node(tag, node, node.out or tag in OUT)
         inside, heads = node.main, False
         if attributes.strip():
             given = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
@@ -159,43 +160,60 @@ class Page:
         self.flow.append((place.parent, None))
         return place.parent
 
-    def region(self) -> Node:
-        """The element that holds the main text: the longest of the best kind there is."""
-        best = max((n.main for n in self.nodes if not n.out), default=0)
-        if not best:
-            return self.root
-        tops = [n for n in self.nodes if not n.out and n.main == best and (n.parent is None or n.parent.main < best)]
-        lengths = dict.fromkeys(map(id, tops), 0)
+    def layout(self) -> int:
+        """Tells layouts apart: the upper elements outside the content, runs of equal ones as one."""
+
+        def shape(node: Node, levels: int) -> str:
+            if not levels or node.main:
+                return node.tag
+            kids = [shape(k, levels - 1) for k in node.kids]
+            return f"{node.tag}({','.join(k for k, before in zip(kids, [None, *kids], strict=False) if k != before)})"
+
+        return xxhash.xxh64_intdigest(shape(self.root, LEVELS).encode()) >> 1
+
+    def regions(self, template: set[int]) -> list[Node]:
+        """The content elements in page order: those of the best kind if they hold half of what all hold, else all.
+
+        A first heading before them belongs to them if they have none of their own. Without such elements it is the whole page.
+        """
+        held = {id(n): 0 for n in [self.root, *self.nodes]}
         for node, text in self.flow:
-            if text and not node.out:
-                top = node
-                while top and id(top) not in lengths:
-                    top = top.parent
-                if top:
-                    lengths[id(top)] += len(text)
-        return max(tops, key=lambda n: lengths[id(n)])
-
-    def blocks(self, template: set[int] = frozenset()) -> list[tuple[Node, str]]:
-        region = self.region()
-        inside: dict[int, bool] = {id(region): True}
-
-        def within(node: Node | None) -> bool:
-            if node is None:
-                return False
-            if id(node) not in inside:
-                inside[id(node)] = within(node.parent)
-            return inside[id(node)]
-
-        out: list[tuple[Node, str]] = []
+            if text and not node.out and id(node) not in template:
+                held[id(node)] += len(text.strip())
+        for node in reversed(self.nodes):
+            held[id(node.parent)] += held[id(node)]
+        tops = {k: [n for n in self.nodes if not n.out and n.main >= k > n.parent.main] for k in (1, 2, 3)}
+        total = sum(held[id(n)] for n in tops[1])
+        found = next((tops[k] for k in (3, 2) if tops[k] and 2 * sum(held[id(n)] for n in tops[k]) >= total), tops[1])
+        if not found:
+            return [self.root]
+        inside = self.within(found)
+        heads = [n for n in self.nodes if n.tag == "h1" and not n.out and held[id(n)]]
+        if not any(inside[id(n)] for n in heads):
+            place = {id(n): k for k, n in enumerate(self.nodes)}
+            found = [n for n in heads[:1] if place[id(n)] < place[id(found[0])]] + found
+        return found
+
+    def within(self, tops: list[Node]) -> dict[int, bool]:
+        own = set(map(id, tops))
+        inside = {id(self.root): id(self.root) in own}
+        for node in self.nodes:
+            inside[id(node)] = inside[id(node.parent)] or id(node) in own
+        return inside
+
+    def blocks(self, template: set[int] = frozenset()) -> list[tuple[list[Node], str]]:
+        """The main text's blocks, each with the nodes whose texts it has."""
+        inside = self.within(self.regions(template))
+        out: list[tuple[list[Node], str]] = []
         held: list[str] = []
-        owner: Node | None = None
+        owners: list[Node] = []
         for node, text in [*self.flow, (self.root, None)]:
             if text is None:
                 if held and (words := " ".join(entities.unescape("".join(held)).split())):
-                    out.append((owner, words))
-                held = []
-            elif not node.out and id(node) not in template and within(node) and node.tag not in ("header", "hgroup"):
-                owner = owner if held else node
+                    out.append((owners, words))
+                held, owners = [], []
+            elif not node.out and id(node) not in template and inside[id(node)] and node.tag not in ("header", "hgroup"):
+                owners.append(node)
                 held.append(text)
         return out
 
@@ -206,42 +224,68 @@ class Matcher:
     def __init__(self):
         self.known: dict[tuple[int, int], int] = {}
 
-    def score(self, a: Node, b: Node) -> int:
-        if a.tag != b.tag:
-            return 0
-        if a.sign == b.sign:
-            return a.size
-        key = (a.sign, b.sign)
-        if key not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[key] = 1 + sum(self.score(x, y) for x, y in self.children(a.kids, b.kids))
-        return self.known[key]
+    def _simple(self, a: Node, b: Node) -> int | None:
+        return 0 if a.tag != b.tag else a.size if a.sign == b.sign else self.known.get((a.sign, b.sign))
 
-    def children(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+    def score(self, a: Node, b: Node) -> int:
+        todo = [(a, b)]
+        while todo:
+            x, y = todo[-1]
+            if self._simple(x, y) is None:
+                _, left, right, _ = self.middle(x.kids, y.kids)
+                distinct = [list({n.sign: n for n in own}.values()) for own in (left, right)]
+                open_ = [(u, v) for u in distinct[0] for v in distinct[1] if self._simple(u, v) is None]
+                if open_:
+                    todo += open_
+                    continue
+                self.known[x.sign, y.sign] = 1 + sum(self._simple(u, v) for u, v in self.children(x.kids, y.kids))
+            todo.pop()
+        return self._simple(a, b)
+
+    @staticmethod
+    def middle(left: list[Node], right: list[Node]) -> tuple[list[tuple[Node, Node]], list[Node], list[Node], list[tuple[Node, Node]]]:
+        """Equal children at both ends are pairs of a best alignment; what is between them."""
         head = 0
         while head < min(len(left), len(right)) and left[head].sign == right[head].sign:
             head += 1
         tail = 0
         while tail < min(len(left), len(right)) - head and left[-1 - tail].sign == right[-1 - tail].sign:
             tail += 1
-        out = list(zip(left[:head], right[:head], strict=True))
-        last = list(zip(left[len(left) - tail :], right[len(right) - tail :], strict=True))
-        left, right = left[head : len(left) - tail], right[head : len(right) - tail]
-        if left and right:
-            if len(left) * len(right) > CELLS:
-                out += [(a, b) for a, b in zip(left, right, strict=False) if a.tag == b.tag]
-            else:
-                out += self._best(left, right)
-        return out + last
+        ends = len(left) - tail, len(right) - tail
+        return list(zip(left[:head], right[:head], strict=True)), left[head : ends[0]], right[head : ends[1]], list(zip(left[ends[0] :], right[ends[1] :], strict=True))
+
+    def children(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        first, left, right, last = self.middle(left, right)
+        return first + self._best(left, right) + last
+
+    def _row(self, a: Node, right: list[Node]) -> np.ndarray:
+        of: dict[int, int] = {}
+        return np.array([of[b.sign] if b.sign in of else of.setdefault(b.sign, self.score(a, b)) for b in right], np.int64)
+
+    def _totals(self, left: list[Node], right: list[Node]) -> np.ndarray:
+        """The best alignment's weight of all of left with each prefix of right."""
+        above = np.zeros(len(right) + 1, np.int64)
+        for a in left:
+            row = np.append(0, np.maximum(above[1:], above[:-1] + self._row(a, right)))
+            above = np.maximum.accumulate(row)
+        return above
 
     def _best(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
+        if not left or not right:
+            return []
+        if len(left) == 1:
+            row = self._row(left[0], right)
+            return [(left[0], right[int(row.argmax())])] if row.max() else []
+        if len(left) * len(right) > CELLS:
+            half = len(left) // 2
+            both = self._totals(left[:half], right) + self._totals(left[half:][::-1], right[::-1])[::-1]
+            at = int(both.argmax())
+            return self._best(left[:half], right[:at]) + self._best(left[half:], right[at:])
         rows = [[0] * (len(right) + 1)]
-        weights = [[self.score(a, b) for b in right] for a in left]
-        for own in weights:
+        for a in left:
             above, row = rows[-1], [0]
-            for j, w in enumerate(own):
-                row.append(max(above[j + 1], row[j], above[j] + w))
+            for j, b in enumerate(right):
+                row.append(max(above[j + 1], row[j], above[j] + self.score(a, b)))
             rows.append(row)
         i, j, out = len(left), len(right), []
         while i and j:
@@ -255,6 +299,9 @@ class Matcher:
         return out[::-1]
 
     def pairs(self, a: Node, b: Node) -> Iterator[tuple[Node, Node]]:
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.score(a, b)
         todo = [(a, b)]
         while todo:
             pair = todo.pop()
@@ -263,25 +310,26 @@ class Matcher:
 
 
 class Reference:
-    """A host's reference page, its nodes numbered, and their texts that could be template."""
+    """A layout's reference page, its nodes numbered, and their texts."""
 
     def __init__(self, source: str):
         self.page = Page(source)
         self.number = {id(n): k for k, n in enumerate(self.page.nodes)}
-        self.texts = {k: t for k, n in enumerate(self.page.nodes) if not n.out and 0 < len(t := n.own()) < LONG}
-        self.whole = [t for _, t in self.page.blocks()]
+        self.texts = {k: t for k, n in enumerate(self.page.nodes) if (t := n.own())}
+        self.main = {self.number[id(n)] for owners, _ in self.page.blocks() for n in owners if id(n) in self.number} & self.texts.keys()
+
+    def _aligned(self, page: Page, match: Matcher) -> list[tuple[int, Node]]:
+        return [(k, b) for a, b in match.pairs(self.page.root, page.root) if (k := self.number.get(id(a), -1)) in self.texts]
 
     def votes(self, page: Page, match: Matcher) -> list[tuple[int, bool]]:
-        if not self.texts or [t for _, t in page.blocks()] == self.whole:
-            return []
-        found = [(k, b.own()) for a, b in match.pairs(self.page.root, page.root) if (k := self.number.get(id(a), -1)) in self.texts]
-        return [(k, t == self.texts[k]) for k, t in found]
+        """Whether each aligned node has the reference's text; a copy has no votes."""
+        found = [(k, b.own() == self.texts[k]) for k, b in self._aligned(page, match)]
+        same = sum(len(self.texts[k]) for k, alike in found if alike and k in self.main)
+        return [] if same and same >= COPY * sum(len(self.texts[k]) for k in self.main) else found
 
     def template(self, page: Page, match: Matcher, constant: set[int]) -> set[int]:
         """The page's nodes that have a constant node's place and text."""
-        if not constant:
-            return set()
-        return {id(b) for a, b in match.pairs(self.page.root, page.root) if (k := self.number.get(id(a), -1)) in constant and b.own() == self.texts[k]}
+        return {id(b) for k, b in self._aligned(page, match) if k in constant and b.own() == self.texts[k]} if constant else set()
 
 
 def main_text(page: Page, template: set[int]) -> str:
@@ -293,50 +341,81 @@ def host_of(url: str) -> Column:
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text) for every row."""
+    """(page_id, url, text, n_template: nodes that votes removed) for every row."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(url).alias("__host"), common.text_of(html).alias("__html"))
     base = common.blocks(rows, BLOCK)
-    first = F.struct(F.coalesce(F.col("page_id").cast("long"), F.lit(2**63 - 1)).alias("page"), F.col("__html").alias("html"))
-    references = rows.groupBy(F.col("__host").alias("host")).agg(F.min(first).alias("first")).select("host", F.col("first.html").alias("reference"))
 
-    def hosts_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sources(payload) -> Iterator[tuple[object, str, str]]:
+        table = common.unpacked(payload.as_buffer())
+        yield from zip(table["page_id"].to_pylist(), table["__host"].to_pylist(), table["__html"].to_pylist(), strict=True)
+
+    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each layout of a host in a block: its pages, and the first page."""
         for batch in batches:
             for block, payload in zip(batch["block"].to_pylist(), batch["payload"], strict=True):
-                hosts = common.unpacked(payload.as_buffer())["__host"].unique().to_pylist()
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(hosts), pa.int64()), pa.array(hosts, pa.string())], names=["block", "host"])
-
-    wanted = base.mapInArrow(common.lean(hosts_in), "block long, host string")
-    known = wanted.join(references, "host").select("block", "host", "reference")
-
-    def by_host(left: pa.Table) -> Iterator[tuple[str, str | None]]:
-        table = common.unpacked(left["payload"][0].as_buffer())
-        yield from zip(table["__host"].to_pylist(), table["__html"].to_pylist(), strict=True)
+                counts: dict[tuple[str, int], int] = {}
+                first: dict[tuple[str, int], tuple] = {}
+                for name, host, source in sources(payload):
+                    page = Page(source)
+                    key = host, page.layout()
+                    counts[key] = counts.get(key, 0) + any(n.own() for n in page.nodes)
+                    own = (name is None, name or 0, source)
+                    first[key] = min(first.get(key, own), own) if source else first.get(key, own)
+                keys = list(counts)
+                columns = ([block] * len(keys), pa.int64()), ([h for h, _ in keys], pa.string()), ([x for _, x in keys], pa.int64()), ([counts[k] for k in keys], pa.int64()), ([None if first[k][0] else first[k][1] for k in keys], pa.int64()), ([first[k][2] if counts[k] else None for k in keys], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(*x) for x in columns], names=["block", "host", "layout", "pages", "page", "html"])
+
+    seen = common.stored(base.mapInArrow(common.lean(survey), "block long, host string, layout long, pages long, page long, html string"), "layouts")
+    first = F.min(F.when(F.col("html").isNotNull(), F.struct(F.col("page").isNull().alias("none"), "page", "html"))).alias("first")
+    layouts = common.stored(seen.groupBy("host", "layout").agg(F.sum("pages").alias("pages"), first).where("pages > 0").select("host", "layout", "pages", F.col("first.html").alias("reference")), "references")
+    main = layouts.groupBy("host").agg(F.max(F.struct("pages", "layout")).alias("main")).select("host", F.col("main.layout").alias("main"))
+    # the layout whose reference a page is aligned with
+    of = layouts.join(main, "host").select("host", "layout", F.when(F.col("pages") >= VOTERS, F.col("layout")).otherwise(F.col("main")).alias("by"))
+    wanted = common.stored(seen.select("block", "host", "layout").join(of, ["host", "layout"]).select("block", "host", "layout", "by"), "wanted")
+
+    def told(references: DataFrame) -> DataFrame:
+        """For each block the references that its pages need; a large host's are dealt out."""
+        salted = references.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("layout", "by")
+        return wanted.withColumn("salt", F.pmod("block", F.lit(SALTS)).cast("int")).join(salted, ["host", "by", "salt"]).drop("salt")
+
+    def by_layout(right: pa.Table, *columns: str) -> dict[tuple[str, int], tuple]:
+        made: dict[tuple[str, int], Reference] = {}
+        out = {}
+        for host, layout, by, source, *rest in zip(*(right[c].to_pylist() for c in ("host", "layout", "by", "reference", *columns)), strict=True):
+            if (host, by) not in made:
+                made[host, by] = Reference(source)
+            out[host, layout] = (by, made[host, by], *rest)
+        return out
 
     def vote(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        of = {h: Reference(x) for h, x in zip(right["host"].to_pylist(), right["reference"].to_pylist(), strict=True)}
-        counts: dict[tuple[str, int], list[int]] = {}
+        known = by_layout(right)
+        counts: dict[tuple[str, int, int], list[int]] = {}
         match = Matcher()
-        for host, source in by_host(left):
-            for k, alike in of[host].votes(Page(source), match):
-                counts.setdefault((host, k), [0, 0])[alike] += 1
+        for _, host, source in sources(left["payload"][0]):
+            page = Page(source)
+            by, reference = known.get((host, page.layout()), (0, None))
+            for k, alike in reference.votes(page, match) if reference else ():
+                counts.setdefault((host, by, k), [0, 0])[alike] += 1
         keys = list(counts)
-        return pa.table({"host": pa.array([h for h, _ in keys], pa.string()), "node": pa.array([k for _, k in keys], pa.int32()), "other": pa.array([counts[k][0] for k in keys], pa.int64()), "alike": pa.array([counts[k][1] for k in keys], pa.int64())})
+        return pa.table({"host": pa.array([k[0] for k in keys], pa.string()), "layout": pa.array([k[1] for k in keys], pa.int64()), "node": pa.array([k[2] for k in keys], pa.int32()), "other": pa.array([counts[k][0] for k in keys], pa.int64()), "alike": pa.array([counts[k][1] for k in keys], pa.int64())})
 
-    votes = base.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(common.lean_group(vote), "host string, node int, other long, alike long")
-    summed = votes.groupBy("host", "node").agg(F.sum("other").alias("other"), F.sum("alike").alias("alike"))
+    references = layouts.select("host", "layout", "reference")
+    votes = base.groupBy("block").cogroup(told(references).groupBy("block")).applyInArrow(common.lean_group(vote), "host string, layout long, node int, other long, alike long")
+    summed = votes.groupBy("host", "layout", "node").agg(F.sum("other").alias("other"), F.sum("alike").alias("alike"))
     constant = summed.where((F.col("alike") + F.col("other") >= VOTERS) & (F.col("alike") >= ALIKE * (F.col("alike") + F.col("other"))))
-    templates = constant.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    told = wanted.join(references.join(templates, "host"), "host").select("block", "host", "reference", "nodes")
-    schema = rows.select("page_id", "url").schema.add("text", "string")
+    templates = constant.groupBy("host", "layout").agg(F.collect_list("node").alias("nodes"))
+    schema = rows.select("page_id", "url").schema.add("text", "string").add("n_template", "long")
 
     def finish(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        table = common.unpacked(left["payload"][0].as_buffer())
-        of = {h: (Reference(x), set(nodes)) for h, x, nodes in zip(right["host"].to_pylist(), right["reference"].to_pylist(), right["nodes"].to_pylist(), strict=True)}
-        match, texts = Matcher(), []
-        for host, source in by_host(left):
+        known = by_layout(right, "nodes")
+        match, texts, gone = Matcher(), [], []
+        for _, host, source in sources(left["payload"][0]):
             page = Page(source)
-            reference, nodes = of.get(host, (None, set()))
-            texts.append(main_text(page, reference.template(page, match, nodes) if reference else set()))
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string())})
+            _, reference, nodes = known.get((host, page.layout()), (0, None, ()))
+            template = reference.template(page, match, set(nodes)) if reference else set()
+            texts.append(main_text(page, template))
+            gone.append(len(template))
+        table = common.unpacked(left["payload"][0].as_buffer())
+        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array(texts, pa.string()), "n_template": pa.array(gone, pa.int64())})
 
-    return base.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(common.lean_group(finish), schema)
+    return base.groupBy("block").cogroup(told(references.join(templates, ["host", "layout"])).groupBy("block")).applyInArrow(common.lean_group(finish), schema)
