@@ -1,13 +1,16 @@
-"""Near copies by the exact Jaccard similarity of word shingles, 4/5 or more, found by prefix filtering.
+"""Near copies: the SimHash index on five-word shingles, and what it cannot reach by the exact Jaccard similarity, 4/5 or more.
 
-Every text is the set of its shingles' hashes, the rarest first in one order for all texts. Two sets that
+Fingerprints of texts at that similarity may differ in twenty bits, which share no positional byte, so the
+index of ``simhash`` gives a first part of the candidates only, and prefix filtering completes them. Every
+text is the set of its shingles' hashes, the rarest first in one order for all texts. Two sets that
 reach the similarity share one of the first n - ceil(4/5 n) + 1 hashes of each, so the postings of those
 prefixes lack no pair. The order puts hashes that a sample of the texts has often last; it is a matter of
 speed, as any order gives all pairs. Postings of up to ``SMALL`` sets give all their pairs; larger ones first
-compare each set with a few leaders, and then all sets that the links so far leave in different classes.
-A pair then needs sketches that are near enough: the parities of a set's hashes by their low bits, which two sets
-have different at most as often as there are hashes in one of them only. What is left is verified on the whole
-sets, made again from the texts that a bitmap of their keys lets through. Classes are chains of links, as in ``simhash``.
+compare each set with a few leaders, then twice with the nearest set of another class, and then with all sets that
+the links so far leave in another class. There, pairs need sketches that are near enough: the parities of a set's
+hashes by their low bits, which two sets have different at most as often as there are hashes in one of them only.
+All candidates, the index's too, are verified on the whole sets, made again from the texts that a bitmap of their keys lets
+through. Classes are chains of links, as in ``simhash``.
 
 Rows: a null or blank text has the empty set, and those are one class; texts of fewer words than a shingle are one
 shingle; repeated rows and ties share a class; a class gives a row of its least doc_id (null if it has no
@@ -26,14 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import common
-from .simhash import components, shingle_hashes
+from .simhash import components, links, majority, shingle_hashes
 
 #: Words of a shingle; the similarity that links, as a fraction.
 WIDTH, NUM, DEN = 5, 4, 5
 #: Share of texts that are sampled for the order, sampled texts that make a hash frequent, frequent hashes at most.
 SAMPLE, OFTEN, FREQUENT = 8, 8, 20_000
-#: Sets of a posting that gives all pairs at once; leaders of a larger one in each turn; turns, the last one with all pairs that are left.
-SMALL, LEADERS, TURNS = 16, 4, 3
+#: Sets of a posting that gives all pairs at once; leaders of a larger one; turns, the last one with all pairs that are left.
+SMALL, LEADERS, TURNS = 16, 4, 4
+#: Bytes of a sketch that postings hold at most.
+SHORT = 256
 #: Pairs of a batch; bits of the bitmap of texts' keys, in Spark's buckets of 2^15.
 PAIRS, CELLS = 1 << 16, 1 << 26
 
@@ -51,9 +56,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nda
     return found[:size]
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size."""
-    size = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+def sketch(found: np.ndarray, limit: int = 1 << 60) -> bytes:
+    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size; ``limit`` bytes at most."""
+    size = min(8 * limit, max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
     parities = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parities.astype(np.uint8), bitorder="little").tobytes()
 
@@ -87,39 +92,73 @@ def frequent_hashes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def text_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, node, n, prefix, sketch): each row's set by its own hash, its size, prefix and sketch."""
+    """(doc_id, key, node, n, prefix, sketch, short, fp): each row's set by its own hash, its size, prefix and sketches, and the fingerprint."""
     frequent, ranks = frequent_hashes(rows)
-    schema = StructType([rows.schema["doc_id"]]).add("key", "long").add("node", "long").add("n", "integer").add("prefix", ArrayType(LongType())).add("sketch", "binary")
+    schema = StructType([rows.schema["doc_id"]]).add("key", "long").add("node", "long").add("n", "integer").add("prefix", ArrayType(LongType())).add("sketch", "binary").add("short", "binary").add("fp", "long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x) for x in batch["text"].cast(pa.large_binary()).to_pylist()]
+            hashes = [shingle_hashes(x, WIDTH) for x in batch["text"].cast(pa.large_binary()).to_pylist()]
+            prints = np.array(list(map(majority, hashes)), np.uint64).view(np.int64)
+            sets = list(map(np.unique, hashes))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, frequent, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary()), pa.array([sketch(x, SHORT) for x in sets], pa.binary()), pa.array(prints)], names=schema.names)
 
     return rows.mapInArrow(common.lean(each), schema)
 
 
-def posting_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a posting's sets that are in different classes and near enough in size; of all, or with the turn's leaders."""
+def posting_pairs(nodes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a posting's sets that are near enough in size; of all, or with the leaders of a large posting."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes, labels = nodes[order], sizes[order].astype(np.int64), labels[order]
-    if len(nodes) <= SMALL or turn == TURNS - 1:
+    nodes, sizes = nodes[order], sizes[order].astype(np.int64)
+    if len(nodes) <= SMALL:
         stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
         for i in range(len(nodes)):
-            other = np.arange(i + 1, stops[i])
-            other = other[labels[other] != labels[i]]
-            yield np.full(len(other), nodes[i]), nodes[other]
+            yield np.full(stops[i] - i - 1, nodes[i]), nodes[i + 1 : stops[i]]
     else:
-        mixed = (nodes.view(np.uint64) ^ np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = nodes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for i in np.argsort(mixed ^ (mixed >> np.uint64(29)))[:LEADERS]:
-            other = np.flatnonzero((labels != labels[i]) & (NUM * np.maximum(sizes, sizes[i]) <= DEN * np.minimum(sizes, sizes[i])))
+            other = np.flatnonzero((nodes != nodes[i]) & (NUM * np.maximum(sizes, sizes[i]) <= DEN * np.minimum(sizes, sizes[i])))
+            yield np.full(len(other), nodes[i]), nodes[other]
+
+
+def folded(sketches: list[bytes], width: int) -> np.ndarray:
+    """The sketches as rows of ``width`` bytes."""
+    out = np.empty((len(sketches), width // 8), np.uint64)
+    for k, x in enumerate(sketches):
+        own = np.frombuffer(x, np.uint64)
+        while len(own) > width // 8:
+            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+        out[k] = own
+    return out
+
+
+def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a posting's sets of different classes that sizes and sketches let through; of each set only the nearest larger one, if so asked."""
+    order = np.lexsort((nodes, sizes))
+    nodes, sizes, labels, sketches = nodes[order], sizes[order].astype(np.int64), labels[order], [sketches[i] for i in order]
+    stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
+    widths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for width in np.unique(widths).tolist():
+        # the sets of this width, and those of twice the width that can be near in size
+        first, last = np.searchsorted(widths, width), np.searchsorted(widths, width, side="right")
+        own = folded(sketches[first : int(stops[first:last].max())], width)
+        for i in range(first, last):
+            other = np.arange(i + 1, stops[i])
+            other = other[labels[other] != labels[i]]
+            if not len(other):
+                continue
+            apart = np.bitwise_count(own[other - first] ^ own[i - first]).sum(axis=1, dtype=np.int64)
+            near = (DEN + NUM) * apart <= (DEN - NUM) * (sizes[other] + sizes[i])
+            other, apart = other[near], apart[near]
+            if nearest and len(other):
+                other = other[[apart.argmin()]]
             yield np.full(len(other), nodes[i]), nodes[other]
 
 
 def candidates(postings: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: pairs to verify. postings: (members: node, n, and label if it is not the node)."""
+    """(a, b), a < b: pairs to verify. postings: (members: node and n, and label and a short sketch after the first turn)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -134,7 +173,9 @@ def candidates(postings: DataFrame, turn: int) -> DataFrame:
             ends, flat = members.offsets.to_numpy(), members.values
             nodes, sizes, labels = (flat.field(k).to_numpy() for k in ("node", "n", "label" if turn else "node"))
             for start, stop in zip(ends[:-1], ends[1:], strict=True):
-                for pair in posting_pairs(nodes[start:stop], sizes[start:stop], labels[start:stop], turn):
+                at = slice(start, stop)
+                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist(), turn < TURNS - 1) if turn else posting_pairs(nodes[at], sizes[at])
+                for pair in of:
                     held.append(pair)
                     count += len(pair[0])
                     if count >= PAIRS:
@@ -211,18 +252,29 @@ def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return verified(near, common.stored(sets_of(rows, wanted), "sets"))
 
 
+def index_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets whose fingerprints the SimHash index links; of sets with one fingerprint the least stands for all."""
+    least = common.stored(nodes.groupBy("fp").agg(F.min("node").alias("least")), "prints")
+    found = links(least.select("fp").repartition(common.partitions(nodes.sparkSession), "fp"))
+    for side in ("a", "b"):
+        found = found.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"node_{side}")), side)
+    equal = nodes.select("fp", "node").join(least, "fp").where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).union(equal)
+
+
 def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) of the sets that are linked to another. nodes: (node, n, sketch, doc_id, key), the last two of a row that has the set."""
+    """(node, label) of the sets that are linked to another. nodes: (node, n, sketch, short, fp, doc_id, key), the last two of a row that has the set."""
     members = found.select(F.explode("prefix").alias("hash"), F.struct("node", "n").alias("member"))
     postings = common.stored(members.groupBy("hash").agg(F.collect_set("member").alias("members")).where(F.size("members") > 1), "postings")
-    edges = common.stored(linked(rows, nodes, candidates(postings, 0)), "links")
+    edges = common.stored(linked(rows, nodes, candidates(postings, 0).union(index_pairs(nodes)).distinct()), "links")
     large = postings.where(F.size("members") > SMALL)
     for turn in range(1, 1 if large.isEmpty() else TURNS):
         labels = components(edges).withColumnRenamed("label", "now")
-        spots = large.select("hash", F.explode("members").alias("m")).select("hash", F.col("m.node").alias("node"), F.col("m.n").alias("n")).join(labels, "node", "left")
-        member = F.struct("node", "n", F.coalesce("now", "node").alias("label"))
+        spots = large.select("hash", F.explode("members.node").alias("node")).join(nodes.select("node", "n", "short"), "node").join(labels, "node", "left")
+        member = F.struct("node", "n", F.coalesce("now", "node").alias("label"), F.col("short").alias("sketch"))
         split = spots.groupBy("hash").agg(F.collect_list(member).alias("members")).where(F.size(F.array_distinct("members.label")) > 1)
-        edges = common.stored(edges.union(linked(rows, nodes, candidates(split, turn))), "links")
+        new = common.stored(linked(rows, nodes, candidates(split, turn)), "links")
+        edges = edges.union(new)
     return components(edges)
 
 
@@ -232,7 +284,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     found = common.stored(text_rows(rows), "texts")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    nodes = common.stored(found.groupBy("node").agg(least, F.first("n").alias("n"), F.first("sketch").alias("sketch")).select("node", "n", "sketch", "least.doc_id", "least.key"), "nodes")
+    own = [F.min(c).alias(c) for c in ("n", "sketch", "short", "fp")]
+    nodes = common.stored(found.groupBy("node").agg(least, *own).select("node", "n", "sketch", "short", "fp", "least.doc_id", "least.key"), "nodes")
     labels = near_labels(rows, found, nodes)
     first = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(least)
     winners = common.stored(first.select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "winners")

@@ -1,9 +1,11 @@
 """SimHash near-duplicates through a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most two bits share at least six of their eight positional
-bytes. The index's posting keys are six positional bytes at once, so to meet in a posting is to have
-reached that count; the tally is completed with the two bytes left, and the bits are verified. A posting
-has 2^16 distinct fingerprints at most, whatever the corpus. Equal fingerprints are one entry, and a
+bytes. A posting of single bytes would hold a 256th of the corpus, so the index posts six positional bytes
+at once: every pair that can reach the count meets in such a posting. There each pair's shared positional
+bytes are tallied, pairs that reach the guaranteed six are kept, and their bits are verified. A posting
+has 2^16 distinct fingerprints at most, whatever the corpus; in a large one, entries look up the partners
+that the verification can let through, and those are tallied. Equal fingerprints are one entry, and a
 posting gives no more links than a spanning forest of them needs. Classes are found by min-label
 propagation with pointer jumping, checkpointed between rounds.
 
@@ -26,6 +28,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from . import common
 
 SHINGLE, SEED, BITS = 3, 42, 2
+#: Positional bytes of a fingerprint, and those that linked ones share at least.
+BYTES, SHARED = 8, 8 - BITS
+#: Entries of a posting whose pairs are all tallied.
+SMALL = 128
 #: Parts that a label's nodes are dealt to.
 SALTS = 16
 #: Flips of the 16 bits that a posting leaves open, by number of bits.
@@ -49,7 +55,11 @@ def shingle_hashes(data: bytes, width: int) -> np.ndarray:
 
 
 def fingerprint(data: bytes, width: int = SHINGLE) -> int:
-    hashes = shingle_hashes(data, width)
+    return majority(shingle_hashes(data, width))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     ones = np.zeros(64, np.int64)
@@ -80,20 +90,32 @@ def _find(parent: list[int], a: int) -> int:
     return a
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes the fingerprints of each pair share."""
+    return ((a ^ b).view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
+
+
+def partners(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places whose two open bytes (distinct numbers of 16 bits) differ in no more bits than are allowed."""
+    place = np.full(1 << 16, -1, np.int32)
+    place[rest] = np.arange(len(rest))
+    found = [(np.flatnonzero(hit), other[hit]) for flip in FLIPS for other in (place[rest ^ flip],) for hit in (other > np.arange(len(rest)),)]
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def posting_links(entries: np.ndarray, open_: tuple[int, int]) -> list[tuple[int, int]]:
     """Links (higher, lower) that hold the linked entries of one posting together; open_: its two free byte positions."""
-    shifts = [np.uint64(8 * k) for k in open_]
     own = entries.view(np.uint64)
-    rest = ((own >> shifts[0]) & np.uint64(255)) | (((own >> shifts[1]) & np.uint64(255)) << np.uint64(8))
-    place = dict(zip(rest.tolist(), range(len(rest)), strict=True))
-    parent = list(range(len(rest)))
-    if len(rest) <= 128:
-        a, b = np.triu_indices(len(rest), 1)
-        near = np.bitwise_count(rest[a] ^ rest[b]) <= BITS
-        pairs = zip(a[near].tolist(), b[near].tolist(), strict=True)
+    if len(own) <= SMALL:
+        a, b = np.triu_indices(len(own), 1)
     else:
-        pairs = ((i, j) for r, i in place.items() for flip in FLIPS if (j := place.get(r ^ flip, -1)) > i)
-    for i, j in pairs:
+        low, high = (((own >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64) for k in open_)
+        a, b = partners(low | high << 8)
+    enough = tally(own[a], own[b]) >= SHARED
+    a, b = a[enough], b[enough]
+    near = np.bitwise_count(own[a] ^ own[b]) <= BITS
+    parent = list(range(len(own)))
+    for i, j in zip(a[near].tolist(), b[near].tolist(), strict=True):
         x, y = _find(parent, i), _find(parent, j)
         parent[max(x, y)] = min(x, y)
     classes_: dict[int, list[int]] = {}
@@ -152,14 +174,3 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """(doc_id, fp, component_id) for every row; component_id: the least doc_id that can be reached over links."""
     prints = common.stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))), "prints")
     return prints.join(classes(prints).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-
-
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents, one of each class: a row of its least doc_id (null if it has no other)."""
-    prints = common.stored(fingerprints(common.boxed(docs, "doc_id", "text"), keep=("doc_id", common.ROW)), "prints")
-    of = classes(prints.select("doc_id", "fp")).where("first").select(F.col("fp").alias("__fp"), "component_id")
-    kept = prints.join(of, (prints["fp"] == of["__fp"]) & prints["doc_id"].eqNullSafe(of["component_id"]), "left_semi")
-    # only rows that share doc_id and fingerprint are still too many; most tables have none
-    if not kept.groupBy("doc_id", "fp").count().where("count > 1").isEmpty():
-        kept = kept.groupBy("doc_id", "fp").agg(F.min_by(common.ROW, F.xxhash64(f"{common.ROW}.text")).alias(common.ROW))
-    return common.unboxed(kept, docs.columns)
