@@ -227,7 +227,8 @@ def encode(
         longs = [encoded_long(w.as_py(), known_ranks.value) if n > LONG else None for w, n in zip(words, pc.binary_length(words).to_pylist(), strict=True)]
         return pa.table({"bucket": pa.array([key[0].as_py()] * len(words), pa.int32()), "word": words, "bytes": byte_ids(words, known_ranks.value), "long": pa.array(longs, pa.list_(pa.int32()))})
 
-    asked = base.select("block", "words", "sizes").mapInArrow(common.lean(ask), "bucket int, block long, words binary").repartition(buckets, "bucket")
+    # all columns of base, so that both of its readers share one exchange
+    asked = base.mapInArrow(common.lean(ask), "bucket int, block long, words binary").repartition(buckets, "bucket")
     distinct = asked.groupBy("bucket").applyInArrow(common.lean_group(unite), "bucket int, word binary, bytes array<bigint>, long array<int>")
     known = distinct.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(encoded_word(F.col("word"), F.col("bytes"), rank_literal(ranks))).alias("ids"))
 
