@@ -1,12 +1,14 @@
 """Personal data: fixed shapes, and identifiers found by bootstrapped contextual extraction. DataFrame functions only.
 
-Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. They seed the second step:
-the words before a span are a lexical pattern, what follows a pattern is an instance, and the graph of
+Base spans are e-mail addresses, IPv4 addresses, card numbers and phone numbers. They are seeds of the second
+step, and so are identifier-like tokens that a text assigns to a name of credentials (``SEEDS``). What stands before a
+span is a lexical pattern: its two words, and its last word with the signs after it if there are any but white space
+(``token = "``). What follows a pattern is an instance, and the graph of
 patterns and instances covers the surroundings of all identifier-like tokens of the corpus, with ordinary
 words as instances too. Where fewer than two words are there, or the context begins within reach, marks stand
 for the words that lack: one for the start of the text, one for any other place. In each round a pattern's confidence is the share of known instances among all that
 follow it (unknown tokens count half); an unknown token whose confident patterns add up to a high score becomes known, and supports
-further patterns in the next round, until a round finds none.
+further patterns in the next round, until a round finds none. Seeds and found tokens are spans of the kind ``id``.
 
 Rows: a null text has no spans; rows are told apart by doc_id (null as a value) and text, so repeated rows
 have the same spans; ties cannot arise, since spans are ordered by kind and place; an empty table gives an
@@ -37,6 +39,8 @@ TOKEN = r"(?<![\p{L}0-9_-])(?=[A-Za-z0-9_-]*[0-9][A-Za-z_-]*[0-9])[A-Za-z0-9_-]{
 BEFORE, SUPPORT, CONFIDENCE = 60, 3, 0.8
 #: What stands for words before the start of a text, and before other contexts that are too short.
 START, BREAK = "^", "~"
+#: Seeds: a name of credentials, an equals sign or colon, and the token.
+SEEDS = r"(?i)(?:^|[^\p{L}0-9])(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credentials?|ssn|iban|passport)[\"']?\s*[:=]\s*[\"']?$"
 #: Numbers summed together in prefix sums.
 STRIDE = 256
 
@@ -123,33 +127,43 @@ def base_spans(rows: DataFrame, text: str) -> DataFrame:
 
 
 def graph(found: DataFrame) -> DataFrame:
-    """(pattern, instance, token, known): what follows each two words before a span or token, once."""
-    seeds = F.transform(F.concat(*KINDS), lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"), s["before"].alias("before"), F.lit(True).alias("known")))
-    tokens = F.transform(FOUND, lambda s: F.struct(s["start"].alias("start"), s["text"].alias("text"), s["before"].alias("before"), F.lit(False).alias("known")))
+    """(pattern, instance, token, known, seed): what follows each pattern before a span or token, once; seed: a token that is known from the start."""
+
+    def spot(s: Column, seed: Column, known: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["text"].alias("text"), s["before"].alias("before"), seed.alias("seed"), known.alias("known"))
+
+    seeds = F.transform(F.concat(*KINDS), lambda s: spot(s, F.lit(False), F.lit(True)))
+    tokens = F.transform(FOUND, lambda s: spot(s, s["before"].rlike(SEEDS), s["before"].rlike(SEEDS)))
     spots = found.where(F.size(F.concat(*KINDS, FOUND)) > 0).select(F.explode(F.concat(seeds, tokens)).alias("spot"))
-    words = spots.select("spot", F.regexp_extract_all(F.lower("spot.before"), F.lit(r"\p{L}+"), F.lit(0)).alias("words"))
+    # words, each with the signs that follow it
+    pieces = spots.select("spot", F.regexp_extract_all(F.lower("spot.before"), F.lit(r"\p{L}+[^\p{L}]*"), F.lit(0)).alias("pieces"))
     size = F.length("spot.before")
     mark = F.when(F.col("spot.start") == size, START).otherwise(BREAK)
-    padded = F.when((size < BEFORE) | (F.size("words") < 2), F.concat(F.array(mark, mark), "words")).otherwise(F.col("words"))
-    words = words.select("spot.text", "spot.known", padded.alias("words"))
+    padded = F.when((size < BEFORE) | (F.size("pieces") < 2), F.concat(F.array(mark, mark), "pieces")).otherwise(F.col("pieces"))
+    pieces = pieces.select("spot", padded.alias("pieces")).withColumn("words", F.transform("pieces", lambda x: F.regexp_extract(x, r"^(?:\p{L}+|.)", 0)))
     last = F.size("words") - 1
-    steps = F.transform(
-        F.sequence(F.lit(1), last),
-        lambda i: F.struct(
-            F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)).alias("pattern"),
-            F.when(i < last, F.get("words", i + 1)).otherwise(F.col("text")).alias("instance"),
-            (i == last).alias("token"),
-            ((i == last) & F.col("known")).alias("known"),
-        ),
-    )
-    return words.select(F.explode(steps).alias("e")).select("e.*").groupBy("pattern", "instance", "token").agg(F.max("known").alias("known"))
+
+    def follows(pattern: Column, i: Column) -> Column:
+        end = i == last
+        return F.struct(
+            pattern.alias("pattern"),
+            F.when(end, F.col("spot.text")).otherwise(F.get("words", i + 1)).alias("instance"),
+            end.alias("token"),
+            (end & F.col("spot.known")).alias("known"),
+            (end & F.col("spot.seed")).alias("seed"),
+        )
+
+    words = F.transform(F.sequence(F.lit(1), last), lambda i: follows(F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)), i))
+    signs = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: follows(F.concat(F.get("pieces", i), F.lit("|")), i)), lambda e: e["pattern"].rlike(r"^\p{L}+\s*[^\p{L}\s].*\|$"))
+    edges = pieces.select(F.explode(F.concat(words, signs)).alias("e")).select("e.*")
+    return edges.groupBy("pattern", "instance", "token").agg(F.max("known").alias("known"), F.max("seed").alias("seed"))
 
 
 def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """(instance): the tokens that became known."""
-    state = common.cut(edges.groupBy("instance", "token").agg(F.max("known").alias("known")).where("token").select("instance", "known", F.lit(0).alias("round")))
+    """(instance): the tokens that are seeds or became known."""
+    state = common.cut(edges.where("token").groupBy("instance").agg(F.max("known").alias("known"), F.max("seed").alias("seed")).select("instance", "known", F.when(F.col("seed"), 1).otherwise(0).alias("round")))
     links = common.stored(edges.select("pattern", "instance", "token"), "graph")
-    for k in count(1):
+    for k in count(2):
         known = state.where("known").select("instance", F.lit(True).alias("token"), F.lit(1).alias("one"))
         seen = links.join(known, ["instance", "token"], "left")
         # an unknown token speaks half against a pattern, an ordinary word fully
@@ -159,7 +173,8 @@ def discovered(edges: DataFrame, support: int = SUPPORT, confidence: float = CON
         # log of the chance that all of an instance's patterns are wrong
         voted = links.where("token").join(trusted, "pattern").groupBy("instance").agg(F.sum(F.log(1 - F.col("trust"))).alias("doubt"))
         new = voted.where(F.col("doubt") <= F.log(F.lit(1 - confidence * support / (support + 1)))).select("instance", F.lit(True).alias("new"))
-        after = common.cut(state.join(new, "instance", "left").select("instance", (F.col("known") | F.coalesce("new", F.lit(False))).alias("known"), F.when(~F.col("known") & F.coalesce("new", F.lit(False)), k).otherwise(F.col("round")).alias("round")))
+        fresh = ~F.col("known") & F.coalesce("new", F.lit(False))
+        after = common.cut(state.join(new, "instance", "left").select("instance", (F.col("known") | fresh).alias("known"), F.when(fresh, k).otherwise(F.col("round")).alias("round")))
         grown = not after.where(F.col("round") == k).isEmpty()
         state = after
         if not grown:

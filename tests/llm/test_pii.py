@@ -95,6 +95,89 @@ def test_starts_and_single_words_are_contexts(spark):
     assert found == {10: ["ref-00-88410"], 50: ["ref-11-88411"]}
 
 
+def test_signs_of_a_seed_lead_to_others(spark):
+    rng = random.Random(3)
+
+    def secret():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(38)) + "07"
+
+    rows = [(k, f"word{chr(97 + k)} some text token = \"{secret()}\" and on", "", "", 0) for k in range(4)]
+    rows += [(10 + k, f"other {chr(97 + k)} text token => \"{x}\" and on", "", "", 0) for k, x in enumerate([m for r in rows for m in re.findall('[0-9a-f]{40}', r[1])])]
+    rows += [(20, f"never seen before token => \"{secret()}\" here", "", "", 0), (30, f"the commit {secret()} is fine, the digest: {secret()} too", "", "", 0), (31, "a token of 2024-11-26 and a secret 12345678", "", "", 0)]
+    found = {r.doc_id: [s.text for s in r.id] for r in pii.personal_data(table(spark, rows)).collect()}
+    assert all(len(found[r[0]]) == 1 for r in rows if r[0] <= 20) and not found[30] and not found[31]
+
+
+def discovered_by_hand(rows):
+    """The whole second step in plain Python."""
+    token, letters = re.compile(r"(?<![^\W_0-9]|[0-9_-])(?=[A-Za-z0-9_-]*[0-9][A-Za-z_-]*[0-9])[A-Za-z0-9_-]{8,}+(?![^\W\d_])"), r"[^\W\d_]+"
+    seed = re.compile(pii.SEEDS.replace(r"[^\p{L}0-9]", r"[\W_]").replace("(?i)", ""), re.I)
+    edges, places = {}, []
+    for doc, text in rows:
+        base = sorted((a, b) for spans in brute(text).values() for a, b in spans)
+        spots = []
+        for spans in [*brute(text).values(), [m.span() for m in token.finditer(text) if not any(a < m.end() and m.start() < b for a, b in base)]]:
+            kind_is_token = spans and spans[0] not in base
+            matches = [m.span() for m in token.finditer(text)] if kind_is_token else None
+            for a, b in spans:
+                if kind_is_token:
+                    before = max([y for x, y in matches if y <= a], default=0)
+                else:
+                    kind = next(k for k, v in brute(text).items() if (a, b) in v)
+                    before = max([m.end() for m in re.finditer(SHAPES[kind], text) if m.end() <= a], default=0)
+                context = text[max(before, a - pii.BEFORE) : a]
+                spots.append((a, b, context, not kind_is_token or bool(seed.search(context)), kind_is_token and bool(seed.search(context))))
+                if kind_is_token:
+                    places.append((doc, a, b, text[a:b]))
+        for a, b, context, known, own in spots:
+            pieces = re.findall(letters + r"(?:[\W\d_])*", context.lower())
+            mark = "^" if a == len(context) else "~"
+            if len(context) < pii.BEFORE or len(pieces) < 2:
+                pieces = [mark, mark, *pieces]
+            words = [re.match(f"{letters}|.", x)[0] for x in pieces]
+            for i in range(len(words)):
+                end = i == len(words) - 1
+                instance = (text[a:b] if end else words[i + 1], end)
+                patterns = [f"{words[i - 1]} {words[i]}"] if i else []
+                if re.match(letters + r"\s*[\d\W_]", pieces[i]) and re.search(r"[^\s]", re.sub(f"^{letters}", "", pieces[i])):
+                    patterns.append(pieces[i] + "|")
+                for p in patterns:
+                    old = edges.get((p, instance), (False, False))
+                    edges[p, instance] = (old[0] or (end and known), old[1] or (end and own))
+    known = {i for (_, i), (k, _) in edges.items() if k and i[1]}
+    found = {i[0] for (_, i), (_, s) in edges.items() if s}
+    by = {}
+    for p, i in edges:
+        by.setdefault(p, set()).add(i)
+    while True:
+        trust = {}
+        for p, instances in by.items():
+            n = sum(i in known for i in instances)
+            total = n + sum(0.5 if i[1] else 1.0 for i in instances if i not in known)
+            if n >= pii.SUPPORT and n >= total * pii.CONFIDENCE:
+                trust[p] = n / (total + 1)
+        new = set()
+        for i in {i for _, i in edges if i[1]} - known:
+            doubt = 1.0
+            for p in trust:
+                doubt *= 1 - trust[p] if i in by[p] else 1
+            if doubt <= 1 - pii.CONFIDENCE * pii.SUPPORT / (pii.SUPPORT + 1) + 1e-12:
+                new.add(i)
+        if not new:
+            break
+        known |= new
+        found |= {i[0] for i in new}
+    return sorted((d, a, b) for d, a, b, x in places if x in found)
+
+
+def test_discovery_like_plain_python(spark, data):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choice(["call", "at:", "ref =", "a@b.cd", "10.0.0.1", f"id-{rng.randrange(40)}-7788", "it", "x1234567", "no.", "token:"]) for _ in range(rng.randint(1, 14)))) for k in range(300)]
+    rows += [(r.doc_id + 1000, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, s.start, s.end) for r in got for s in r.id) == discovered_by_hand(rows)
+
+
 def test_redaction_leaves_clean_documents_alone(spark):
     docs = with_clashes(table(spark))
     kept = {(repr(r.doc_id), r.n_chars): r for r in pii.redacted(docs).collect()}
