@@ -497,7 +497,10 @@ def units_rgb(c: np.ndarray, quant: np.ndarray) -> np.ndarray:
 def rgb(parsed: Parsed, c: np.ndarray) -> np.ndarray:
     """The (height, width, 3) tensor."""
     at = parsed.layout
-    units = units_rgb(c, parsed.quant).reshape(at.high, at.wide, 16, 16, 3)
+    units = np.empty((at.high * at.wide, 16, 16, 3), np.uint8)
+    for k in range(0, len(units), 1024):
+        units[k : k + 1024] = units_rgb(c[k * UNIT : (k + 1024) * UNIT], parsed.quant)
+    units = units.reshape(at.high, at.wide, 16, 16, 3)
     return units.swapaxes(1, 2).reshape(at.high * 16, at.wide * 16, 3)[: parsed.height, : parsed.width]
 
 
@@ -572,10 +575,13 @@ def to_media(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
 
 
 def from_media(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id",), tensors: bool = False) -> DataFrame:
-    """``keep``, n_bytes, payload (padded), tail_crc32, media_bytes, media_sha256, feature, and, if asked for, the RGB tensor with its width and height."""
+    """``keep``, n_bytes, payload (padded), tail_crc32, media_bytes, media_sha256, feature, the RGB tensor's width, height and rgb_sha256, and, if asked for, rgb itself.
+
+    The feature has the tensor's size and the sums of its channels.
+    """
     chosen = rows.select(*keep, media)
-    more = [StructField("n_bytes", LongType()), StructField("payload", BinaryType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType())]
-    more += [StructField("width", LongType()), StructField("height", LongType()), StructField("rgb", BinaryType())] if tensors else []
+    more = [StructField("n_bytes", LongType()), StructField("payload", BinaryType()), StructField("tail_crc32", LongType()), StructField("media_bytes", LongType()), StructField("media_sha256", StringType()), StructField("feature", StringType()), StructField("width", LongType()), StructField("height", LongType()), StructField("rgb_sha256", StringType())]
+    more += [StructField("rgb", BinaryType())] if tensors else []
     schema = StructType([*(chosen.schema[x] for x in keep), *more])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -585,14 +591,20 @@ def from_media(rows: DataFrame, media: str = "media", keep: tuple[str, ...] = ("
                 out = []
                 for file, (parsed, c) in zip(part, decode_batch(part), strict=True):
                     size, payload = payload_of(parsed, c)
-                    sums = np.zeros(3, np.int64)
-                    for k in range(0, len(c), UNIT * 1024):
-                        sums += units_rgb(c[k : k + UNIT * 1024], parsed.quant).sum(axis=(0, 1, 2), dtype=np.int64)
-                    feature = ":".join(map(str, (f"{parsed.width}x{parsed.height}", *sums.tolist())))
-                    row = [size, payload, zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature]
-                    out.append(row + ([parsed.width, parsed.height, rgb(parsed, c).tobytes()] if tensors else []))
-                columns = [pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=False)]
+                    tensor = rgb(parsed, c)
+                    sums = tensor.sum(axis=(0, 1), dtype=np.int64).tolist()
+                    feature = ":".join(map(str, (f"{parsed.width}x{parsed.height}", *sums)))
+                    row = [size, payload, zlib.crc32(payload[-64:]), len(file), hashlib.sha256(file).hexdigest(), feature, parsed.width, parsed.height, hashlib.sha256(tensor.tobytes()).hexdigest()]
+                    out.append(row + ([tensor.tobytes()] if tensors else []))
+                columns = [pa.array(x, y) for x, y in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False)]
                 yield pa.RecordBatch.from_arrays([*(x.slice(done, len(part)) for x in batch.columns[:-1]), *columns], names=schema.names)
                 done += len(part)
 
     return chosen.mapInArrow(common.lean(each), schema)
+
+
+def store_tensors(rows: DataFrame, path: str, media: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Writes ``keep``, width, height and rgb (height x width x 3 bytes) of files to ``path``, and reads them back."""
+    found = from_media(rows, media, keep, tensors=True).select(*keep, "width", "height", "rgb")
+    found.write.parquet(path)
+    return rows.sparkSession.read.schema(found.schema).parquet(path)

@@ -18,7 +18,7 @@ RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jpeg.from_media(jpeg.to_media(read(spark, sf_dir, "documents")))
-    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return found.select("doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "rgb_sha256")
 
 
 def op6_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

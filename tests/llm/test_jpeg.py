@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quarrylens.llm import jpeg
+from quarrylens.llm import jpeg, queries
 
 from .cases import awkward, table, with_clashes
 
@@ -72,6 +72,53 @@ def test_awkward_rows(spark):
         assert same.setdefault(bytes(r.payload), (r.media_sha256, r.feature)) == (r.media_sha256, r.feature)
 
 
+def reference_tensor(data):
+    """The padded bytes as coefficients, transformed block by block from the definition, without any file."""
+    padded = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
+    blocks = np.frombuffer(padded, np.uint8).reshape(-1, 64).astype(float) - 128
+    mcus = -(-len(blocks) // 6)
+    wide = -(-mcus // 4095)
+    high = -(-mcus // wide)
+    blocks = np.vstack([blocks, np.zeros((6 * wide * high - len(blocks), 64))])
+    zigzag = sorted(range(64), key=lambda k: (s := k // 8 + k % 8, k // 8 if s % 2 else k % 8))
+    basis = np.array([[(0.5**1.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    out = np.zeros((16 * high, 16 * wide, 3))
+    for m in range(wide * high):
+        planes = []
+        for block in blocks[6 * m : 6 * m + 6]:
+            square = np.zeros(64)
+            square[zigzag] = block
+            planes.append(np.clip(np.floor(basis.T @ square.reshape(8, 8) @ basis + 128.5), 0, 255))
+        y = np.block([[planes[0], planes[1]], [planes[2], planes[3]]])
+        cb, cr = (np.kron(p, np.ones((2, 2))) - 128 for p in planes[4:])
+        own = np.clip(np.round(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=-1)), 0, 255)
+        row, column = divmod(m, wide)
+        out[16 * row : 16 * row + 16, 16 * column : 16 * column + 16] = own
+    return out.astype(int)
+
+
+def test_stored_tensors_like_the_definition(spark, tmp_path):
+    rows = [(k, "".join(random.Random(k).choice("abcdé ,.TZ") for _ in range(n)), "", "", 0) for k, n in enumerate([0, 10, 64, 700, 5000])]
+    found = {r.doc_id: r for r in jpeg.store_tensors(jpeg.to_media(table(spark, rows)), f"file://{tmp_path}/t").collect()}
+    digests = {r.doc_id: r for r in jpeg.from_media(jpeg.to_media(table(spark, rows))).collect()}
+    for k, t, *_ in rows:
+        r = found[k]
+        ours = np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3).astype(int)
+        assert ours.shape == (theirs := reference_tensor(t.encode())).shape and np.abs(ours - theirs).max() <= 2
+        assert digests[k].rgb_sha256 == hashlib.sha256(r.rgb).hexdigest() and digests[k].feature == ":".join(map(str, (f"{r.width}x{r.height}", *ours.sum(axis=(0, 1)).tolist())))
+
+
+def test_query_like_plain_python(spark, data):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in queries.op5_media(spark, data).collect():
+        text = docs.pop(r.doc_id)
+        padded = text + bytes(max(64, -(-len(text) // 64) * 64) - len(text))
+        (file,) = jpeg.encode_batch([jpeg.payload_image(text)])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+    assert not docs
+
+
 def test_features_do_not_depend_on_the_batch(spark):
     rng = random.Random(1)
     rows = [(k, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 900))), "", "", 0) for k in range(60)]
