@@ -3,21 +3,47 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths given out and not yet removed.
+_given: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is named."""
+    """The folder the cluster names in spark.checkpoint.dir; one of its own only where none is named and the session runs on this machine alone."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(named or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared tables made within it when it ends; whatever reads them must have run by then."""
+    before = len(_given)
+    try:
+        yield
+    finally:
+        for path in _given[before:]:
+            remove(spark, path)
+        del _given[before:]
 
 
 def cut(df: DataFrame) -> DataFrame:
