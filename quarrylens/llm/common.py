@@ -183,6 +183,15 @@ def unboxed(df: DataFrame, columns: list[str], **changed: F.Column) -> DataFrame
     return df.select(*(changed.get(c, F.col(f"{ROW}.`{c}`")).alias(c) for c in columns))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name for a column that no column of the table has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> F.Column:
     """The text, with null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

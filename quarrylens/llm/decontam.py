@@ -4,7 +4,8 @@ The normalised words of the test items are put into one automaton per block of a
 documents stream through it word by word while the length of the longest match ending at each word is
 tracked. A run of at least ``window`` matched words, or a whole item of fewer, is hit. A benchmark of more
 words than one automaton may hold takes one pass over the documents for each block, so what is sent to the
-executors stays bounded.
+executors stays bounded, and so is a worker's memory: the passes run one after the other, each written with what
+it has found, and a worker keeps one automaton.
 
 Rows: a null text has no words; repeated rows give a row each; an empty benchmark hits nothing; an empty
 table gives an empty result. Items without an id still mark words but are not listed; an id that several
@@ -14,6 +15,7 @@ items share is listed once. Only ``keep`` is carried of further columns.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -136,6 +138,17 @@ class Automaton:
         return longest, hits, names
 
 
+_kept: dict[str, Automaton] = {}
+
+
+def _automaton(name: str, items, window: int) -> Automaton:
+    """Of broadcast items; a worker keeps the last one it made."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Automaton(items.value, window)
+    return _kept[name]
+
+
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, max_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of bounded size, fetched from Spark one after the other."""
     block: list[tuple[str | None, bytes]] = []
@@ -164,8 +177,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     carried = StructType([*rows.schema.fields, *state])
     found = rows.select("*", F.lit(0).cast("long").alias("longest"), F.array().cast("array<string>").alias("items"), F.array().cast(SPANS).alias("word_spans"))
 
-    def scan(items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(items.value, window)
+    def scan(name: str, items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(name, items, window)
         for batch in batches:
             longest, names, spans = [], [], []
             for t, most, known, runs in zip(batch["__text"].cast(pa.large_binary()).to_pylist(), batch["longest"].to_pylist(), batch["items"].to_pylist(), batch["word_spans"].to_pylist(), strict=True):
@@ -176,12 +189,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
             columns = [batch.column(k) for k in range(batch.num_columns - 3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(longest, pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, SPAN)], names=carried.names)
 
-    blocks = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_id, item_text, max_words)]
-    for items in blocks[:-1]:
-        found = found.mapInArrow(common.lean(lambda batches, items=items: scan(items, batches)), carried)
+    blocks = item_blocks(benchmark, item_id, item_text, max_words)
+    last = next(blocks)
+    for block in blocks:
+        items, name = spark.sparkContext.broadcast(last), uuid.uuid4().hex
+        found = common.stored(found.mapInArrow(common.lean(lambda batches, name=name, items=items: scan(name, items, batches)), carried), "matches")
+        items.unpersist()
+        last = block
+    last_items, last_name = spark.sparkContext.broadcast(last), uuid.uuid4().hex
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in scan(blocks[-1], batches):
+        for batch in scan(last_name, last_items, batches):
             counts, hit, places, cleaned = [], [], [], []
             for t, runs in zip(batch["__text"].to_pylist(), batch["word_spans"].to_pylist(), strict=True):
                 raw = (t or "").encode().translate(NORMAL)

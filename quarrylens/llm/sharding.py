@@ -1,12 +1,13 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters rows uniformly by a seeded hash into buckets that fit into memory; a count of cells of the
-hash, made beforehand, gives each bucket's size and its place in the whole order. Pass two reads a bucket,
+hash, made beforehand and as fine as the table's bytes ask for, gives each bucket's size and its place in the whole order. Pass two reads a bucket,
 brings its rows into a fixed order, shuffles them with a seeded Fisher-Yates shuffle and writes them to
 their shards. Shards are equal cuts of the whole order, so their row counts are at most one apart.
 
 Rows: a null text counts no bytes; a null doc_id is hashed as such; repeated rows stay rows of their own;
 an empty table gives an empty result; further columns are carried along, but for any named shard or slot.
+Rows that are alike in doc_id and text have one hash and share a bucket.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from . import common
 
 SEED = 42
-#: Cells of the hash, the least that a bucket can hold; and the bytes of text that a bucket takes.
-CELLS, BUCKET_BYTES = 1 << 18, 32 << 20
+#: Cells of the hash to a bucket, and at least; the bytes of text that a bucket takes.
+FINE, CELLS, BUCKET_BYTES = 16, 1 << 12, 32 << 20
 
 
 def row_bytes(text: str = "text") -> Column:
@@ -33,10 +34,13 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "t
     """All columns, and shard and slot (gapless from 0 in each shard)."""
     common.tune(docs.sparkSession)
     docs = docs.drop("shard", "slot")
-    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(CELLS)).cast("int")
+    total_bytes = docs.agg(F.sum(row_bytes(text))).head()[0] or 0
+    cells = max(CELLS, 1 << (FINE * total_bytes // bucket_bytes).bit_length())
+    cell_name, bucket_name = common.unused(docs, "cell"), common.unused(docs, "bucket")
+    cell = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)), F.lit(cells)).cast("int")
     counted = docs.select(cell.alias("cell"), row_bytes(text).alias("size")).groupBy("cell").agg(F.count("*").alias("n"), F.sum("size").alias("size")).toArrow()
     order = np.argsort(counted["cell"].to_numpy())
-    rows, sizes = np.zeros(CELLS, np.int64), np.zeros(CELLS, np.int64)
+    rows, sizes = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     rows[counted["cell"].to_numpy()[order]] = counted["n"].to_numpy()[order]
     sizes[counted["cell"].to_numpy()[order]] = counted["size"].to_numpy()[order]
     bucket_of = ((np.cumsum(sizes) - sizes) // bucket_bytes).astype(np.int32)
@@ -49,22 +53,22 @@ def shuffled(docs: DataFrame, shards: int = 24, seed: int = SEED, text: str = "t
 
     def bucket(batches):
         for batch in batches:
-            found = numbers[np.searchsorted(starts, batch["__cell"].to_numpy(), side="right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int32())], names=[*batch.schema.names[:-1], "__bucket"])
+            found = numbers[np.searchsorted(starts, batch[cell_name].to_numpy(), side="right") - 1]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int32())], names=[*batch.schema.names[:-1], bucket_name])
 
     def shuffle(key: tuple, table: pa.Table) -> pa.Table:
         number = key[0].as_py()
-        table = table.drop_columns(["__bucket"])
+        table = table.drop_columns([bucket_name])
         order = pc.sort_indices(pa.table({"id": table[doc_id], "text": table[text]}), sort_keys=[("id", "ascending"), ("text", "ascending")]).to_numpy()
         order = np.random.default_rng([seed, number]).permutation(order)
         place = first[number] + np.arange(len(order))
         shard = np.searchsorted(edges, place, side="right") - 1
         return table.take(pa.array(order)).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - edges[shard], pa.int64()))
 
-    wide = docs.withColumn("__cell", cell)
-    with_bucket = wide.mapInArrow(common.lean(bucket), StructType([*docs.schema.fields, StructField("__bucket", IntegerType())]))
+    wide = docs.withColumn(cell_name, cell)
+    with_bucket = wide.mapInArrow(common.lean(bucket), StructType([*docs.schema.fields, StructField(bucket_name, IntegerType())]))
     schema = StructType([*docs.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
-    return with_bucket.groupBy("__bucket").applyInArrow(common.lean_group(shuffle), schema)
+    return with_bucket.groupBy(bucket_name).applyInArrow(common.lean_group(shuffle), schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> DataFrame:

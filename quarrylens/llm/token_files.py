@@ -40,6 +40,8 @@ SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE, CHECKSUMMED = 0x184D2A50, 0x184D2A5E
 CACHE = 800_000
 #: Bytes of texts whose words are looked up together.
 GROUP = 4 << 20
+#: Bytes of the texts of a file, about.
+FILE = 64 << 20
 #: How a byte-level vocabulary writes a space.
 BLANK = "\u0120"
 _workers: dict[str, tuple[object, Splitter, np.ndarray, list[bytes], dict[bytes, bytes]]] = {}
@@ -85,10 +87,9 @@ def encode_texts(texts: list[bytes], path: str, pattern: str) -> list[bytes]:
         (found,) = tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
         ids = np.array(found.ids, "<u4")
         starts = np.flatnonzero(spaced[ids]).tolist()
-        if len(starts) != len(part):
-            raise ValueError("the tokenizer splits words otherwise than the pattern")
-        for w, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True):
-            cache[w] = ids[a:b].tobytes()
+        if len(starts) == len(part):  # else they are encoded one by one
+            for w, a, b in zip(part, starts, [*starts[1:], len(ids)], strict=True):
+                cache[w] = ids[a:b].tobytes()
     rest = [w for w in missing if w not in cache]
     for w, x in zip(rest, tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
         cache[w] = struct.pack(f"<{len(x.ids)}I", *x.ids)
@@ -140,6 +141,10 @@ class TokenFile:
     def __len__(self) -> int:
         return len(self.doc_ids)
 
+    def find(self, doc_id: int | None) -> list[bytes]:
+        """The ids of every document of this doc_id; no other frame is read."""
+        return [self.ids(k) for k, d in enumerate(self.doc_ids) if d == doc_id]
+
     def ids(self, k: int) -> bytes:
         """The k-th document's ids; its checksums are verified."""
         data = self.file.read_at(int(self.sizes[k]), int(self.starts[k]))
@@ -149,11 +154,12 @@ class TokenFile:
         return found
 
 
-def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder: str, text: str = "text", doc_id: str = "doc_id") -> list[tuple[str, int, int]]:
+def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder: str, text: str = "text", doc_id: str = "doc_id", file_bytes_limit: int = FILE) -> list[tuple[str, int, int]]:
     """Writes the token files, in order of doc_id from one file to the next; (file, documents, ids) of each."""
     spark = docs.sparkSession
     common.tune(spark)
-    files = common.partitions(spark)
+    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).head()[0] or 0
+    files = max(common.partitions(spark), -(-total // file_bytes_limit))
     levels = [k / files for k in range(1, files)]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.text_of(text).alias("text"))
     bounds = np.array(sorted(rows.where("doc_id is not null").select(F.col("doc_id").cast("double")).approxQuantile("doc_id", levels, 0.2 / files)) if levels else [])
@@ -186,6 +192,31 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int, folder:
     return [(f"{folder}/part-{x.file:06d}.zst", x.docs, x.ids) for x in sorted(made, key=lambda x: x.file)]
 
 
+def fetch(spark, files: list[tuple[str, int, int]], doc_ids: DataFrame) -> DataFrame:
+    """(doc_id, ids) of the documents asked for (column doc_id; repeated ones count once), by the tails of the files and their frames only."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                own = TokenFile(name).doc_ids
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), pa.array(range(len(own)), pa.int64()), pa.array(own, pa.int64())], names=["name", "k", "doc_id"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, last = None, None
+        for batch in batches:
+            found = []
+            for name, k in zip(batch["name"].to_pylist(), batch["k"].to_pylist(), strict=True):
+                if name != last:
+                    file, last = TokenFile(name), name
+                found.append(file.ids(k))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "ids"])
+
+    table = spark.createDataFrame([(k, name) for k, (name, *_) in enumerate(files)], "k int, name string").repartition(max(1, len(files)), "k")
+    frames = table.select("name").mapInArrow(common.lean(index), "name string, k long, doc_id long")
+    asked = frames.join(doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id")
+    return asked.select("name", "k", "doc_id").repartition(max(1, len(files)), "name").sortWithinPartitions("name", "k").mapInArrow(common.lean(read), "doc_id long, ids binary")
+
+
 def read_tokens(spark, files: list[tuple[str, int, int]]) -> DataFrame:
     """(doc_id, start, ids) of every document in the files; start: the ids of all documents before it."""
     rows, before = [], 0

@@ -4,7 +4,7 @@ import random
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASHES = {"fp": "1", "block": "2", "payload": "3", "__text": "4", "score": "5", "ids": "6", "spans": "7", "key": "8", "items": "9", "__row": "10", "bucket": "11", "email": "12", "cleaned": "13", "component_id": "14"}
+CLASHES = {"fp": "1", "block": "2", "payload": "3", "__text": "4", "score": "5", "ids": "6", "spans": "7", "key": "8", "items": "9", "__row": "10", "bucket": "11", "email": "12", "cleaned": "13", "component_id": "14", "__cell": "15", "__bucket": "16", "longest": "17", "n_hit": "18", "n_words": "19"}
 
 
 def awkward():

@@ -13,7 +13,6 @@ from .cases import awkward, table, with_clashes
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -62,6 +61,16 @@ def test_files_are_plain_zstandard_and_damage_is_found(spark, tmp_path):
         broken.ids(1)
 
 
+def test_only_documents_asked_for_are_read(spark, tmp_path):
+    rows = [(k, f"text number {k}", "", "", 0) for k in range(50)]
+    files = token_files.write_tokens(table(spark, rows), PATH, public_tokenizers.PATTERN, 2, f"file://{tmp_path}/t", file_bytes_limit=100)
+    assert len(files) > 4
+    asked = spark.createDataFrame([(3,), (41,), (41,), (99,)], "doc_id long")
+    got = token_files.fetch(spark, files, asked).collect()
+    assert sorted((r.doc_id, list(struct.unpack(f"<{len(r.ids) // 4}I", r.ids))) for r in got) == [(k, ids_of(rows[k][1])) for k in (3, 41)]
+    assert sum(len(token_files.TokenFile(name).find(7)) for name, *_ in files) == 1
+
+
 def test_empty_table(spark, tmp_path):
     files = token_files.write_tokens(table(spark, []), PATH, public_tokenizers.PATTERN, 2, f"file://{tmp_path}/t")
     assert files == [] and token_files.read_tokens(spark, files).collect() == []
