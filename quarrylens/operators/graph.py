@@ -60,6 +60,13 @@ def two_hops(edges: DataFrame) -> DataFrame:
     return one.union(more).distinct()
 
 
+def within_two(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the pairs (src, dst) that are linked directly or over one node between, without making any other pair."""
+    one, asked = edges.select("src", "dst").distinct(), pairs.select("src", "dst").distinct()
+    over = asked.join(one.select("src", F.col("dst").alias("via")), "src").join(one.select(F.col("src").alias("via"), "dst"), ["via", "dst"], "left_semi").select("src", "dst")
+    return asked.join(one, ["src", "dst"], "left_semi").union(over).distinct()
+
+
 def fixpoint(start: DataFrame, step) -> DataFrame:
     """Rows of ``start`` and all that ``step(new rows)`` adds, until nothing is new."""
     seen = cut(start.distinct())

@@ -34,21 +34,33 @@ def union_of(parts: dict[str, DataFrame], kind: str = "kind") -> DataFrame:
 def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str, text: str = "text", passage: str = "text") -> DataFrame:
     """(key, passage_key): which texts contain which passages.
 
-    The second to fifth space-separated words of a passage stand whole in a text that contains it, so they
-    are joined first and the rest is checked; only passages of under six words are compared with all texts.
+    All words of a passage but its first and last stand whole in a text that contains it, so the second to fifth
+    (of shorter ones the second) are joined first and the rest is checked; passages of one or two words are
+    joined by their first three signs. No passage is compared with all texts.
     """
     given = passages.select(F.col(passage_key).alias("__p"), F.col(passage).alias("__passage")).where(F.length("__passage") > 0)
+    size = F.size(F.split("__passage", " ", -1))
+    own = texts.select(F.col(key).alias("__k"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
+    tokens = F.split("__text", " ", -1)
+
+    def runs(width: int) -> Column:
+        return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(tokens, i, width), " "))).otherwise(F.array().cast("array<string>"))
+
+    def signs(width: int) -> Column:
+        return F.when(F.length("__text") >= width, F.transform(F.sequence(F.lit(1), F.length("__text") - (width - 1)), lambda i: F.substring("__text", i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+
     words = F.split("__passage", " ", -1)
-    long = given.where(F.size(words) >= 6).withColumn("__anchor", F.array_join(F.slice(words, 2, 4), " "))
-    own = texts.select(F.col(key).alias("__k"), F.col(text).alias("__text"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("__tokens") - 3), lambda i: F.array_join(F.slice("__tokens", i, 4), " ")))
-    # only keys go through the join of all grams; texts come back for the few pairs that are left
-    spread = own.select("__k", F.split("__text", " ", -1).alias("__tokens")).where(F.size("__tokens") > 3).select("__k", F.explode(grams).alias("__anchor"))
-    met = spread.join(long.select("__p", "__anchor"), "__anchor").select("__k", "__p").distinct()
-    hits = met.join(own, "__k").join(long, "__p").where(F.contains("__text", F.col("__passage"))).select("__k", "__p")
-    short = given.where(F.size(words) < 6)
-    rest = own.join(short, F.contains("__text", F.col("__passage"))).select("__k", "__p")
-    return hits.union(rest).distinct().select(F.col("__k").alias(key), F.col("__p").alias(passage_key))
+    kinds = [(size >= 6, F.array_join(F.slice(words, 2, 4), " "), runs(4)), (size.between(3, 5), F.get(words, F.lit(1)), tokens)]
+    kinds += [((size < 3) & (F.length("__passage") >= k if k == 3 else F.length("__passage") == k), F.substring("__passage", 1, k), signs(k)) for k in (1, 2, 3)]
+    counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds))).head()
+    found = own.select("__k", F.lit(None).cast(given.schema["__p"].dataType).alias("__p")).limit(0)
+    for k, (of, anchor, spread) in enumerate(kinds):
+        if counts[k]:  # only keys go through the join of all anchors
+            held = own.select("__k", F.explode(F.array_distinct(spread)).alias("__anchor"))
+            found = found.union(held.join(given.where(of).select("__p", anchor.alias("__anchor")), "__anchor").select("__k", "__p"))
+    # texts come back for the few pairs that are left
+    hits = found.distinct().join(own, "__k").join(given, "__p").where(F.contains("__text", F.col("__passage")))
+    return hits.select(F.col("__k").alias(key), F.col("__p").alias(passage_key)).distinct()
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, total: str = "total") -> DataFrame:

@@ -127,13 +127,15 @@ def implicit_contracts(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     literals = fx.table(facts, "string_literals").where(plausible).where(~repository.is_test(F.col("path")))
     made = literals.where("usage = 'produced'").select("value", F.col("path").alias("producer"))
     checked = literals.where("usage = 'checked'").select("value", F.col("path").alias("consumer"))
-    linked = graph.two_hops(graph.both_ways(fx.import_edges(resolved).select("src", "dst")))
-    near = linked.union(literals.select(F.col("path").alias("src"), F.col("path").alias("dst"))).distinct()
-    defined = literals.where("usage = 'defined'").select("value", F.col("path").alias("definer"))
-    # pairs that a definer of the value is linked with, or is one of
+    defined = literals.where("usage = 'defined'").select("value", F.col("path").alias("definer")).distinct()
+    # definers first: only pairs of a value with its definers are looked up in the graph, so a hub's neighbours never meet
+    edges = graph.both_ways(fx.import_edges(resolved).select("src", "dst"))
+    asked = made.distinct().join(checked.distinct(), "value").where("producer <> consumer").join(defined, "value")
+    ends = asked.select(F.col("definer").alias("src"), F.col("producer").alias("dst")).union(asked.select("definer", "consumer"))
+    near = graph.within_two(ends, edges).union(ends.where("src = dst")).distinct()
     a = near.select(F.col("src").alias("definer"), F.col("dst").alias("producer"))
     b = near.select(F.col("src").alias("definer"), F.col("dst").alias("consumer"))
-    robust = defined.distinct().join(a, "definer").join(b, "definer").select("value", "producer", "consumer").distinct()
+    robust = asked.join(a, ["definer", "producer"], "left_semi").join(b, ["definer", "consumer"], "left_semi").select("value", "producer", "consumer").distinct()
     return audit.fragile_pairs(made, checked, robust)
 
 

@@ -91,9 +91,9 @@ def exact_dup_groups(spark, sf_dir):
 
 @query("""
 SELECT line, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
-WHERE length(line) >= 10 GROUP BY line HAVING count(DISTINCT doc_id) > 1""")
+GROUP BY line HAVING count(DISTINCT doc_id) > 1""")
 def near_dup_line_repeat(spark, sf_dir):
-    rows = lines.explode_lines(table(spark, sf_dir, "documents"), ["doc_id"]).where(F.length("line") >= 10)
+    rows = lines.explode_lines(table(spark, sf_dir, "documents"), ["doc_id"])
     return rows.groupBy("line").agg(F.countDistinct("doc_id").alias("n_docs")).where("n_docs > 1")
 
 
@@ -204,16 +204,15 @@ def fan_in(spark, sf_dir):
     return rows.groupBy("l_partkey").agg(F.countDistinct("o_custkey").alias("n_customers"))
 
 
-def nation_edges(spark, sf_dir, where: str = "true") -> DataFrame:
+def nation_edges(spark, sf_dir) -> DataFrame:
     """(src, dst, l_returnflag): nations of supplier and customer of each line."""
-    rows = table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_suppkey", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag")
     rows = rows.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("src")), "l_suppkey")
     rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
     return rows.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst")), "c_custkey").select("src", "dst", "l_returnflag")
 
 
 NATIONS = "SELECT s_nationkey AS src, c_nationkey AS dst, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"
-SPARSE = "l_quantity = 50 AND l_discount >= 0.09"
 
 
 @query(f"SELECT src, dst, bool_or(l_returnflag = 'R') AS returned, count(*) AS n FROM ({NATIONS}) GROUP BY src, dst")
@@ -221,9 +220,9 @@ def edge_agg(spark, sf_dir):
     return nation_edges(spark, sf_dir).groupBy("src", "dst").agg(F.bool_or(F.col("l_returnflag") == "R").alias("returned"), F.count("*").alias("n"))
 
 
-@query(f"WITH e AS (SELECT DISTINCT src, dst FROM ({NATIONS} WHERE {SPARSE})) SELECT src, dst FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
+@query(f"WITH e AS (SELECT DISTINCT src, dst FROM ({NATIONS})) SELECT src, dst FROM e UNION SELECT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src")
 def two_hop_link(spark, sf_dir):
-    return graph.two_hops(nation_edges(spark, sf_dir, SPARSE))
+    return graph.two_hops(nation_edges(spark, sf_dir))
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0")
@@ -253,14 +252,15 @@ def set_ops(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, event_type, 'previous' AS origin FROM events WHERE event_id % 3 <> 0 AND event_type NOT IN ('click', 'view')
-AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view'))
-UNION ALL SELECT event_id, event_type, 'current' FROM events WHERE event_id % 3 = 0 AND event_type IN ('click', 'view')""")
+WITH e AS (SELECT event_id, user_id, ts::DATE = (SELECT max(ts::DATE) FROM events) AS now FROM events), ran AS (SELECT DISTINCT user_id FROM e WHERE now)
+SELECT event_id, user_id, 'previous' AS origin FROM e WHERE NOT now AND user_id NOT IN (SELECT user_id FROM ran) UNION ALL SELECT event_id, user_id, 'current' FROM e WHERE now""")
 def producer_merge(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    current = events.where("event_id % 3 = 0 AND event_type IN ('click', 'view')").withColumn("origin", F.lit("current"))
-    ran = current.select("event_type").distinct()
-    return relations.replace_partitions(events.where("event_id % 3 <> 0").withColumn("origin", F.lit("previous")), current, "event_type", ran, "event_id")
+    """Users with events on the last day ran again: their earlier rows are replaced."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"))
+    last = events.agg(F.max("day").alias("last"))
+    dated = events.join(F.broadcast(last)).withColumn("now", F.col("day") == F.col("last"))  # one row
+    current = dated.where("now").select("event_id", "user_id", F.lit("current").alias("origin"))
+    return relations.replace_partitions(dated.where("NOT now").select("event_id", "user_id", F.lit("previous").alias("origin")), current, "user_id", current.select("user_id").distinct(), "event_id")
 
 
 @query("""
@@ -362,29 +362,36 @@ def overlap_components(spark, sf_dir):
 # ---- graphs
 
 
-def sparse_graph(spark, sf_dir) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where(SPARSE)
+def supply_graph(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
     return graph.both_ways(rows.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")))
 
 
-GRAPH = f"""
-WITH RECURSIVE o AS (SELECT 's' || l_suppkey::VARCHAR AS a, 'p' || l_partkey::VARCHAR AS b FROM lineitem WHERE {SPARSE}), x AS (SELECT a AS src, b AS dst FROM o UNION SELECT b, a FROM o),
-r(node) AS (SELECT DISTINCT src FROM x WHERE src = 's1' UNION SELECT x.dst FROM r JOIN x ON r.node = x.src)
-"""
+def seed(spark, node: str) -> DataFrame:
+    return spark.createDataFrame([(node,)], "node string")
 
 
-def seed(spark) -> DataFrame:
-    return spark.createDataFrame([("s1",)], "node string")
+@query("""
+WITH RECURSIVE o AS (SELECT DISTINCT 's' || l_suppkey::VARCHAR AS a, 'p' || l_partkey::VARCHAR AS b FROM lineitem), x AS (SELECT a AS src, b AS dst FROM o UNION ALL SELECT b, a FROM o),
+r(node) AS (SELECT DISTINCT src FROM x WHERE src = 's1' UNION SELECT x.dst FROM r JOIN x ON r.node = x.src) SELECT node FROM r""")
+def bfs_reach(spark, sf_dir):
+    return graph.reachable(supply_graph(spark, sf_dir), seed(spark, "s1")).select("node")
 
 
-@query(GRAPH + "SELECT node FROM r")
-def bfs_reach(spark, sf_dir):
-    return graph.reachable(sparse_graph(spark, sf_dir), seed(spark)).select("node")
+TREE = """
+x AS (SELECT 'r' || n_regionkey::VARCHAR AS src, 'n' || n_nationkey::VARCHAR AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey::VARCHAR, 'c' || c_custkey::VARCHAR FROM customer
+UNION ALL SELECT 'c' || o_custkey::VARCHAR, 'o' || o_orderkey::VARCHAR FROM orders)"""
 
 
-@query(GRAPH + "SELECT DISTINCT src AS node FROM x WHERE src NOT IN (SELECT node FROM r)")
+@query(f"WITH RECURSIVE {TREE}, r(node) AS (SELECT 'r0' UNION SELECT x.dst FROM r JOIN x ON r.node = x.src) SELECT src AS node FROM x WHERE src NOT IN (SELECT node FROM r) UNION SELECT dst FROM x WHERE dst NOT IN (SELECT node FROM r)")
 def unreachable(spark, sf_dir):
-    return graph.unreachable(sparse_graph(spark, sf_dir), seed(spark))
+    """Nations, customers and orders that a region does not lead to."""
+
+    def edges(name: str, a: str, above: str, b: str, own: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(F.concat(F.lit(a), above).alias("src"), F.concat(F.lit(b), own).alias("dst"))
+
+    tree = edges("nation", "r", "n_regionkey", "n", "n_nationkey").union(edges("customer", "n", "c_nationkey", "c", "c_custkey")).union(edges("orders", "c", "o_custkey", "o", "o_orderkey"))
+    return graph.unreachable(tree, seed(spark, "r0"))
 
 
 # ---- ranking and windows
@@ -514,13 +521,13 @@ def ratio_violation(spark, sf_dir):
 
 
 @query("""
-WITH l AS (SELECT l_partkey AS value, s_nationkey AS producer, c_nationkey AS consumer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_quantity = 50),
+WITH l AS (SELECT l_partkey AS value, s_nationkey AS producer, c_nationkey AS consumer FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
 m AS (SELECT value, producer, count(*) AS n FROM l GROUP BY value, producer), k AS (SELECT DISTINCT value, consumer FROM l),
 r AS (SELECT a.n_nationkey AS producer, b.n_nationkey AS consumer FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey),
 p AS (SELECT * FROM m JOIN k USING (value) WHERE producer <> consumer AND NOT EXISTS (SELECT 1 FROM r WHERE r.producer = m.producer AND r.consumer = k.consumer))
 SELECT value, consumer, arg_max(producer, (n, producer)) AS producer, max(n) AS n FROM p GROUP BY value, consumer""")
 def fragile_pairs(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select("l_partkey", "l_suppkey", "l_orderkey")
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
     rows = rows.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("producer")), "l_suppkey")
     rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
     rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("consumer")), "c_custkey").select(F.col("l_partkey").alias("value"), "producer", "consumer")
@@ -530,10 +537,10 @@ def fragile_pairs(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey::VARCHAR)), ',') AS v FROM lineitem WHERE l_quantity >= 45 GROUP BY l_orderkey)
+WITH s AS (SELECT l_orderkey, array_to_string(list_sort(list(DISTINCT l_partkey::VARCHAR)), ',') AS v FROM lineitem GROUP BY l_orderkey)
 SELECT v AS "values", min(l_orderkey) AS anchor, count(*) AS n FROM s GROUP BY v""")
 def contract_cluster(spark, sf_dir):
-    return audit.clusters_by_set(table(spark, sf_dir, "lineitem").where("l_quantity >= 45"), "l_orderkey", "l_partkey")
+    return audit.clusters_by_set(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("""

@@ -141,3 +141,20 @@ def test_null_fingerprints_never_hit(spark):
 def test_contradicting_verdicts(spark):
     df = spark.createDataFrame([("confirmed", "Looks bad. So I dismiss it."), ("confirmed", "I would not dismiss it."), ("dismissed", "We confirm this."), ("uncertain", "confirm")], "v string, r string")
     assert [r[0] for r in df.select(T.last_sentence_contradicts(F.col("v"), F.col("r"))).collect()] == [True, False, True, False]
+
+
+def test_containing_takes_passages_of_any_length(spark):
+    import random
+
+    rng = random.Random(4)
+    signs = ["a", "b", " ", "  ", "é", "ab"]
+    texts = [(k, "".join(rng.choice(signs) for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(99, None)]
+    passages = [(k, "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))) for k in range(120)] + [(200, None)]
+    found = relations.containing(spark.createDataFrame(texts, "d int, text string"), "d", spark.createDataFrame(passages, "i int, text string"), "i")
+    assert rows(found) == sorted(((d, i) for d, t in texts for i, p in passages if t is not None and p and p in t), key=repr)
+
+
+def test_links_of_two_steps_are_looked_up_for_given_pairs(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 5)], "src int, dst int")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4), (5, 5), (4, 1), (1, 3)], "src int, dst int")
+    assert rows(graph.within_two(pairs, edges)) == [(1, 2), (1, 3), (2, 4), (5, 5)]
