@@ -6,8 +6,8 @@ text is the set of its shingles' hashes, the rarest first in one order for all t
 reach the similarity share one of the first n - ceil(4/5 n) + 1 hashes of each, so the postings of those
 prefixes lack no pair. The order puts hashes that a sample of the texts has often last; it is a matter of
 speed, as any order gives all pairs. Postings of up to ``SMALL`` sets give all their pairs; larger ones first
-compare each set with a few leaders, then twice with the nearest set of another class, and then with all sets that
-the links so far leave in another class. There, pairs need sketches that are near enough: the parities of a set's
+compare each set with a few leaders, and then with all sets that the links so far leave in another class. There,
+pairs need sketches that are near enough: the parities of a set's
 hashes by their low bits, which two sets have different at most as often as there are hashes in one of them only.
 All candidates, the index's too, are verified on the whole sets, made again from the texts that a bitmap of their keys lets
 through. Classes are chains of links, as in ``simhash``.
@@ -36,7 +36,7 @@ WIDTH, NUM, DEN = 5, 4, 5
 #: Share of texts that are sampled for the order, sampled texts that make a hash frequent, frequent hashes at most.
 SAMPLE, OFTEN, FREQUENT = 8, 8, 20_000
 #: Sets of a posting that gives all pairs at once; leaders of a larger one; turns, the last one with all pairs that are left.
-SMALL, LEADERS, TURNS = 16, 4, 4
+SMALL, LEADERS, TURNS = 16, 4, 2
 #: Bytes of a sketch that postings hold at most.
 SHORT = 256
 #: Pairs of a batch; bits of the bitmap of texts' keys, in Spark's buckets of 2^15.
@@ -134,8 +134,8 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a posting's sets of different classes that sizes and sketches let through; of each set only the nearest larger one, if so asked."""
+def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a posting's sets of different classes that sizes and sketches let through."""
     order = np.lexsort((nodes, sizes))
     nodes, sizes, labels, sketches = nodes[order], sizes[order].astype(np.int64), labels[order], [sketches[i] for i in order]
     stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
@@ -151,9 +151,7 @@ def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketch
                 continue
             apart = np.bitwise_count(own[other - first] ^ own[i - first]).sum(axis=1, dtype=np.int64)
             near = (DEN + NUM) * apart <= (DEN - NUM) * (sizes[other] + sizes[i])
-            other, apart = other[near], apart[near]
-            if nearest and len(other):
-                other = other[[apart.argmin()]]
+            other = other[near]
             yield np.full(len(other), nodes[i]), nodes[other]
 
 
@@ -174,7 +172,7 @@ def candidates(postings: DataFrame, turn: int) -> DataFrame:
             nodes, sizes, labels = (flat.field(k).to_numpy() for k in ("node", "n", "label" if turn else "node"))
             for start, stop in zip(ends[:-1], ends[1:], strict=True):
                 at = slice(start, stop)
-                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist(), turn < TURNS - 1) if turn else posting_pairs(nodes[at], sizes[at])
+                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist()) if turn else posting_pairs(nodes[at], sizes[at])
                 for pair in of:
                     held.append(pair)
                     count += len(pair[0])
@@ -244,9 +242,9 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(common.lean(each), "node long, hashes binary").dropDuplicates(["node"])
 
 
-def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that reach the similarity, by sketches first."""
-    near = common.stored(sketched(pairs, nodes), "near")
+def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketched_: bool = False) -> DataFrame:
+    """The pairs that reach the similarity, by sketches first unless the pairs come from them."""
+    near = common.stored(pairs if sketched_ else sketched(pairs, nodes), "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     wanted = common.stored(nodes.select("node", "doc_id", "key").join(wanted, "node"), "wanted")
     return verified(near, common.stored(sets_of(rows, wanted), "sets"))
@@ -273,7 +271,7 @@ def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFram
         spots = large.select("hash", F.explode("members.node").alias("node")).join(nodes.select("node", "n", "short"), "node").join(labels, "node", "left")
         member = F.struct("node", "n", F.coalesce("now", "node").alias("label"), F.col("short").alias("sketch"))
         split = spots.groupBy("hash").agg(F.collect_list(member).alias("members")).where(F.size(F.array_distinct("members.label")) > 1)
-        new = common.stored(linked(rows, nodes, candidates(split, turn)), "links")
+        new = common.stored(linked(rows, nodes, candidates(split, turn), True), "links")
         edges = edges.union(new)
     return components(edges)
 

@@ -145,8 +145,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each node's component; edges: (a, b)."""
-    both = common.cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = common.cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")))
+    # written tables, whose sizes Spark knows: small ones are joined without an exchange
+    both = common.stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "both")
+    labels = common.stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
     while True:
         heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         told = labels.join(heard, "node").select("node", F.least("label", "heard").alias("next"), "label")
@@ -154,7 +155,7 @@ def components(edges: DataFrame) -> DataFrame:
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
         jump = told.where(F.col("next") != F.col("node")).select(F.col("node").alias("next"), F.col("next").alias("further"), salts)
         salted = told.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(jump, ["next", "salt"], "left")
-        step = common.cut(salted.select("node", F.coalesce("further", "next").alias("label"), (F.coalesce("further", "next") != F.col("label")).alias("moved")))
+        step = common.stored(salted.select("node", F.coalesce("further", "next").alias("label"), (F.coalesce("further", "next") != F.col("label")).alias("moved")), "labels")
         labels = step.select("node", "label")
         if step.where("moved").isEmpty():
             return labels
