@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shapes of home folders that give a person's name away, by system.
+#: Shapes of paths that give a person away, by kind.
 PERSONAL_PATHS = {
-    "windows_user": r"[A-Za-z]:\\+Users\\+(?!Public|Default|All Users)[^\\/\s\"'<>|]+",
-    "mac_user": r"/Users/(?!Shared|runner)[^/\s\"'<>|]+",
-    "linux_home": r"/home/(?!runner|ubuntu|user|vscode)[^/\s\"'<>|]+",
-    "wsl_user": r"/mnt/[a-z]/Users/(?!Public|Default)[^/\s\"'<>|]+",
+    "windows_user": r"[Cc]:[\\/]Users[\\/](?!test[\\/]|user[\\/]|example[\\/]|runner[\\/])[a-zA-Z0-9._-]+[\\/]",
+    "unix_home": r"/(?:Users|home)/(?!test/|user/|example/|runner/|ubuntu/)[a-zA-Z0-9._-]+/",
+    "cloud_storage": r"(?i)[\\/](?:Dropbox|OneDrive|Google\s*Drive|iCloud|Box|pCloud)[\\/][^\\/]+[\\/]",
+    "dated_folder": r"[\\/]\d{6}\s+[A-Z]+[\\/]",
+    "personal_folder": r"(?i)[\\/](?:Documents|Desktop|Downloads|Pictures|Videos)[\\/][^\\/]+[\\/]",
+    "my_folder": r"(?i)[\\/]My\s+[A-Za-z0-9]+[\\/]",
 }
 EMAIL_LIKE = r"[A-Za-z0-9._]+@[A-Za-z0-9]+\.[A-Za-z0-9.]*[A-Za-z0-9]"
 

@@ -20,9 +20,9 @@ def unused(exports: DataFrame, imports: DataFrame, file: str, name: str, star: s
     return exports.join(imports.select(file, name).distinct(), [file, name], "left_anti").join(whole, file, "left_anti")
 
 
-def first_candidate(rows: DataFrame, keys: list[str], candidates: list[Column], targets: DataFrame, target: str) -> DataFrame:
+def first_candidate(rows: DataFrame, keys: list[str], candidates: list[Column] | Column, targets: DataFrame, target: str) -> DataFrame:
     """keys, target, rank: of each row's candidate values the first that is in ``targets``; none: no row."""
-    ranked = rows.select(*keys, F.posexplode(F.array(*candidates)).alias("rank", target)).where(F.col(target).isNotNull())
+    ranked = rows.select(*keys, F.posexplode(F.array(*candidates) if isinstance(candidates, list) else candidates).alias("rank", target)).where(F.col(target).isNotNull())
     found = ranked.join(targets.select(target).distinct(), target, "left_semi")
     return found.groupBy(*keys).agg(F.min(F.struct("rank", target)).alias("m")).select(*keys, F.col(f"m.{target}").alias(target), F.col("m.rank").alias("rank"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, graph, lines
 from ..sources import repository
+from ..sources.storage import cut
 from . import facts as fx
 
 #: Packages that build or test and are never imported.
@@ -129,10 +130,10 @@ def implicit_contracts(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     checked = literals.where("usage = 'checked'").select("value", F.col("path").alias("consumer"))
     defined = literals.where("usage = 'defined'").select("value", F.col("path").alias("definer")).distinct()
     # definers first: only pairs of a value with its definers are looked up in the graph, so a hub's neighbours never meet
-    edges = graph.both_ways(fx.import_edges(resolved).select("src", "dst"))
+    edges = cut(graph.both_ways(fx.import_edges(resolved).select("src", "dst")))
     asked = made.distinct().join(checked.distinct(), "value").where("producer <> consumer").join(defined, "value")
     ends = asked.select(F.col("definer").alias("src"), F.col("producer").alias("dst")).union(asked.select("definer", "consumer"))
-    near = graph.within_two(ends, edges).union(ends.where("src = dst")).distinct()
+    near = cut(graph.within_two(ends, edges).union(ends.where("src = dst")).distinct())
     a = near.select(F.col("src").alias("definer"), F.col("dst").alias("producer"))
     b = near.select(F.col("src").alias("definer"), F.col("dst").alias("consumer"))
     robust = asked.join(a, ["definer", "producer"], "left_semi").join(b, ["definer", "consumer"], "left_semi").select("value", "producer", "consumer").distinct()

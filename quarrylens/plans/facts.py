@@ -35,7 +35,7 @@ def _up(folder: Column, levels: Column) -> Column:
     return F.when(levels <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - levels), "/"))
 
 
-def candidates(path: Column, source: Column) -> list[Column]:
+def candidates(path: Column, source: Column) -> Column:
     """Paths that an import may mean, first come first: relative ones from the file's folder, dotted and plain ones from the root or src."""
     folder = F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), "/")
     dots = F.length(F.regexp_extract(source, r"^(\.+)(?!/|\.*/)", 1))
@@ -43,8 +43,11 @@ def candidates(path: Column, source: Column) -> list[Column]:
     ups = F.size(F.regexp_extract_all(source, F.lit(r"\.\./"), F.lit(0)))
     dotted = F.translate(F.regexp_replace(source, r"^\.+", ""), ".", "/")
     relative = F.when(steps > 0, _join_path(_up(folder, ups), F.regexp_replace(source, r"^(?:\.\.?/)+", ""))).when(dots > 0, _join_path(_up(folder, dots - 1), dotted))
-    bases = [relative, F.when(relative.isNull() & (dots == 0), dotted), F.when(relative.isNull() & (dots == 0), F.concat(F.lit("src/"), dotted)), F.when(relative.isNull() & (dots == 0), source)]
-    return [F.concat(base, F.lit(end)) for base in bases for end in (*EXTENSIONS, *INDEXES)]
+    absolute = F.when((steps == 0) & (dots == 0), F.array(dotted, F.concat(F.lit("src/"), dotted), source))
+    bases = F.coalesce(absolute, F.array(relative))
+    # the ends are put on in lambdas, so that each base stands in the plan once
+    ends = F.array(*map(F.lit, (*EXTENSIONS, *INDEXES)))
+    return F.flatten(F.transform(bases, lambda base: F.transform(ends, lambda end: F.concat(base, end))))
 
 
 def resolved_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
@@ -117,7 +120,8 @@ def cross_references(facts: DataFrame, resolved: DataFrame, symbols: DataFrame)
     methods = wanted.where(F.contains("name", F.lit("."))).withColumn("method", F.element_at(F.split("name", r"\."), -1))
     last = table(facts, "calls").where(F.contains("to", F.lit("."))).select(F.col("path").alias("ref_path"), F.element_at(F.split("to", r"\."), -1).alias("method"), "line")
     uses = importers(resolved, facts).withColumnRenamed("importer", "ref_path")
-    dispatch = methods.join(last, "method").where(F.col("ref_path") != F.col("path")).join(uses, ["path", "ref_path"], "left_semi").join(direct, ["path", "name", "ref_path"], "left_anti")
+    # by importer first: calls of a common method name never meet all classes that have one
+    dispatch = methods.join(uses, "path").join(last, ["ref_path", "method"]).join(direct, ["path", "name", "ref_path"], "left_anti")
     return hits(imports, "import").union(direct).union(dispatch.select("path", "name", "ref_path", F.lit("dispatch").alias("kind"), "line")).union(hits(writes, "member_write")).union(hits(exports, "export")).distinct()
 
 

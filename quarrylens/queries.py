@@ -121,7 +121,7 @@ def chunk_overlap(spark, sf_dir):
 
 
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._]+@[A-Za-z0-9]+\\.[A-Za-z0-9.]*[A-Za-z0-9]')) AS hit FROM documents")
-def personal_paths(spark, sf_dir):
+def email_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(T.EMAIL_LIKE), F.lit(0))).alias("hit"))
 
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrylens import queries
+from quarrylens import plan_queries, queries  # noqa: F401 - the first registers with the second
 
 DATA = "/root/testdata/sf0.001"
 

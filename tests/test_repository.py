@@ -110,7 +110,7 @@ def test_findings(result):
     assert ("dead_symbol", "core.py", "inner") not in found  # used by a live function of its file
     assert ("dead_symbol", "core.py", "Child.act") not in found  # implements a method of its base
     assert ("dead_parameter", "core.py", "trace") in found and ("dead_parameter", "core.py", "depth") not in found
-    assert {("dead_dependency", "pyproject.toml", "left-pad"), ("dead_ci_element", "Makefile", "build"), ("dead_ci_element", "ci.yml", "test"), ("personal_path", "util.py", "/home/alice")} <= found
+    assert {("dead_dependency", "pyproject.toml", "left-pad"), ("dead_ci_element", "Makefile", "build"), ("dead_ci_element", "ci.yml", "test"), ("personal_path", "util.py", "/home/alice/")} <= found
     assert ("implicit_contract", "main.py", "status_ok") in found
     assert ("orphan_file", "lonely.py", None) in found and ("orphan_file", "util.py", None) not in found
     assert not any(c == "dead_dependency" and s in ("requests", "pytest") for c, _, s in found)
