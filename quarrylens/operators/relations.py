@@ -36,27 +36,32 @@ def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str
 
     All words of a passage but its first and last stand whole in a text that contains it, so the second to fifth
     (of shorter ones the second) are joined first and the rest is checked; passages of one or two words are
-    joined by their first three signs. No passage is compared with all texts.
+    joined by the first three signs of their longest word, which lie in one word of the text. No passage is compared with
+    all texts, but for those of spaces only.
     """
     given = passages.select(F.col(passage_key).alias("__p"), F.col(passage).alias("__passage")).where(F.length("__passage") > 0)
     size = F.size(F.split("__passage", " ", -1))
     own = texts.select(F.col(key).alias("__k"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    tokens = F.split("__text", " ", -1)
+    tokens = F.col("__tokens")
 
     def runs(width: int) -> Column:
         return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(tokens, i, width), " "))).otherwise(F.array().cast("array<string>"))
 
     def signs(width: int) -> Column:
-        return F.when(F.length("__text") >= width, F.transform(F.sequence(F.lit(1), F.length("__text") - (width - 1)), lambda i: F.substring("__text", i, F.lit(width)))).otherwise(F.array().cast("array<string>"))
+        return F.regexp_extract_all("__text", F.lit(f"(?=([^ ]{{{width}}}))"), F.lit(1))
 
     words = F.split("__passage", " ", -1)
-    kinds = [(size >= 6, F.array_join(F.slice(words, 2, 4), " "), runs(4)), (size.between(3, 5), F.get(words, F.lit(1)), tokens)]
-    kinds += [((size < 3) & (F.length("__passage") >= k if k == 3 else F.length("__passage") == k), F.substring("__passage", 1, k), signs(k)) for k in (1, 2, 3)]
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    kinds = [(size >= 6, F.array_join(F.slice(words, 2, 4), " "), runs(4)), (size.between(3, 5) & (F.get(words, F.lit(1)) != ""), F.get(words, F.lit(1)), tokens)]
+    rest = ~kinds[0][0] & ~kinds[1][0]
+    kinds += [(rest & (longest["n"] >= k if k == 3 else longest["n"] == k), F.substring(longest["w"], 1, k), signs(k)) for k in (1, 2, 3)]
+    kinds += [(rest & (longest["n"] == 0), F.lit(" "), F.when(F.contains("__text", F.lit(" ")), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))]
     counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds))).head()
     found = own.select("__k", F.lit(None).cast(given.schema["__p"].dataType).alias("__p")).limit(0)
     for k, (of, anchor, spread) in enumerate(kinds):
         if counts[k]:  # only keys go through the join of all anchors
-            held = own.select("__k", F.explode(F.array_distinct(spread)).alias("__anchor"))
+            split = own.withColumn("__tokens", F.split("__text", " ", -1)).where(F.size("__tokens") > 0)  # a column of its own, so that texts are split once
+            held = split.select("__k", F.explode(F.array_distinct(spread)).alias("__anchor"))
             found = found.union(held.join(given.where(of).select("__p", anchor.alias("__anchor")), "__anchor").select("__k", "__p"))
     # texts come back for the few pairs that are left
     hits = found.distinct().join(own, "__k").join(given, "__p").where(F.contains("__text", F.col("__passage")))
