@@ -7,6 +7,7 @@ import corpus_pipeline
 import pytest
 
 from . import test_bpe, test_decontam, test_near_copies
+from .cases import CLASHES, table, with_clashes
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -71,6 +72,16 @@ def test_tokens_and_run(spark, data, kept):
     assert {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, data).collect()} == {d: v[1] for d, v in final.items()}
 
 
+def test_stages_take_empty_tables_and_awkward_rows(spark, data):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table(spark, []), data).collect() == [], name
+        kept = stage(spark, with_clashes(table(spark)), data)
+        assert kept.columns == [*columns, *CLASHES], name
+        assert {r["fp"] for r in kept.collect()} <= {CLASHES["fp"]}
+    assert corpus_pipeline.tokens(spark, table(spark, []), data).collect() == []
+
+
 def test_the_rest_does_without_this_subpackage(tmp_path):
     copy = tmp_path / "repo"
     subprocess.run(["cp", "-r", str(ROOT), str(copy)], check=True)

@@ -65,3 +65,29 @@ def test_labels_are_bounded(spark):
     docs, labels = labelled(spark)
     ranking = quality.train(table(spark, docs), spark.createDataFrame(labels, LABELS), max_labels=40)
     assert ranking.constant is None
+
+
+def test_fit_like_plain_gradient_descent():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(240, 4))
+    label = (x @ [1.5, -1.0, 0.0, 0.5] + rng.normal(size=240) > 0).astype(int)
+    ranking = quality.fit(x, label)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -4, 4)
+    pick = np.random.default_rng(quality.SEED)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    pairs = min(quality.MAX_PAIRS, len(good) * len(bad))
+    d = z[pick.choice(good, pairs)] - z[pick.choice(bad, pairs)]
+    w = np.zeros(4)
+    for _ in range(4000):
+        w -= 0.5 * (-(d.T @ (1 / (1 + np.exp(d @ w)))) / pairs + 1e-3 * w)
+    assert np.allclose(ranking.weights, w, atol=1e-4)
+    # no other cut between two scores has fewer errors
+    s = np.sort(z @ ranking.weights)
+    errors = lambda cut: int(((z @ ranking.weights >= cut) != label).sum())
+    assert errors(ranking.cut) == min(map(errors, [s[0] - 1, *((s[1:] + s[:-1]) / 2), s[-1] + 1]))
+    assert np.isclose(ranking.score(x[:1] * 0 + x.mean(axis=0))[0], 1 / (1 + np.exp(-(ranking.slope * (0 - ranking.cut) + np.log(0.7 / 0.3)))))
+
+
+def test_an_empty_table_is_accepted(spark):
+    docs, labels = labelled(spark)
+    assert quality.accepted(with_clashes(table(spark, [])), spark.createDataFrame(labels, LABELS)).collect() == []
