@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import line_array
 from ..operators import graph, lines
 from . import facts as fx
+from .merging import types_of
 
 #: Rows shown: for a finding, for one file of it, around a line, and code points of a line.
 PER_FINDING, PER_FILE, AROUND, WIDTH = 20, 3, 2, 200
@@ -78,6 +79,28 @@ def surrounding(findings: DataFrame, files: DataFrame, symbols: DataFrame, radiu
     return rows.select("id", F.to_json(F.struct("enclosing", F.array_join(numbered, "\n").alias("code"))).alias("payload"))
 
 
+def declared_intent(findings: DataFrame, files: DataFrame, symbols: DataFrame, before: int = 10, head: int = 15) -> DataFrame:
+    """What the code says it is for: the lines before a finding, and the first lines of the smallest symbol that encloses it."""
+    spans = symbols.select("path", F.col("line_start").alias("s"), F.coalesce("line_end", "line_start").alias("e"))
+    placed = findings.where("line_start IS NOT NULL").select("id", "path", "line_start")
+    inside = placed.join(spans, "path").where(F.col("line_start").between(F.col("s"), F.col("e")))
+    best = inside.groupBy("id").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("n"), "s")).alias("m")).select("id", F.col("m.s").alias("s"))
+    rows = placed.join(files.select("path", "text"), "path").join(best, "id", "left")
+    text = line_array(F.col("text"))
+    first = F.greatest(F.col("line_start") - before, F.lit(1))
+    above = F.array_join(F.slice(text, first, F.col("line_start") - first), "\n")
+    begin = F.when(F.col("s").isNotNull(), F.array_join(F.slice(text, F.col("s"), F.lit(head)), "\n"))
+    return rows.select("id", F.to_json(F.struct(above.alias("before"), begin.alias("enclosing"))).alias("payload"))
+
+
+def type_signatures(findings: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Definitions of the types that a finding's message names."""
+    names = findings.select("id", F.explode(backticked(F.col("message"))).alias("name"))
+    found = names.join(types_of(names, symbols, files), "name")
+    listed = F.array_sort(F.collect_set(F.struct("name", "path", "snippet"))).alias("types")
+    return found.groupBy("id").agg(listed).select("id", F.to_json(F.struct("types")).alias("payload"))
+
+
 def callees(findings: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """What a finding's symbol calls, one step far, with the files that define it."""
     calls = fx.table(facts, "calls").select("path", F.col("from_symbol").alias("symbol"), "to", "line")
@@ -108,4 +131,4 @@ def overlapping_claims(findings: DataFrame) -> DataFrame:
     return graph.components(pairs.select(F.col("id").alias("src"), F.col("id2").alias("dst"))).withColumnRenamed("node", "id")
 
 
-BUILDERS = {"cross_file_reference": references, "surrounding_code": surrounding, "callee_edges": callees, "cited_artifact": cited, "shadow_doc_claim": shadow_claims}
+BUILDERS = {"cross_file_reference": references, "surrounding_code": surrounding, "callee_edges": callees, "cited_artifact": cited, "shadow_doc_claim": shadow_claims, "declared_intent": declared_intent, "type_signature": type_signatures}
