@@ -6,8 +6,8 @@ text is the set of its shingles' hashes, the rarest first in one order for all t
 reach the similarity share one of the first n - ceil(4/5 n) + 1 hashes of each, so the postings of those
 prefixes lack no pair. The order puts hashes that a sample of the texts has often last; it is a matter of
 speed, as any order gives all pairs. Postings of up to ``SMALL`` sets give all their pairs; larger ones first
-compare each set with a few leaders, and then with all sets that the links so far leave in another class. There,
-pairs need sketches that are near enough: the parities of a set's
+compare each set with a few leaders, then with the nearest set of another class, and then with all sets that the
+links so far leave in another class. There, pairs need sketches that are near enough: the parities of a set's
 hashes by their low bits, which two sets have different at most as often as there are hashes in one of them only.
 All candidates, the index's too, are verified on the whole sets, made again from the texts that a bitmap of their keys lets
 through. Classes are chains of links, as in ``simhash``.
@@ -36,9 +36,9 @@ WIDTH, NUM, DEN = 5, 4, 5
 #: Share of texts that are sampled for the order, sampled texts that make a hash frequent, frequent hashes at most.
 SAMPLE, OFTEN, FREQUENT = 8, 8, 20_000
 #: Sets of a posting that gives all pairs at once; leaders of a larger one; turns, the last one with all pairs that are left.
-SMALL, LEADERS, TURNS = 16, 4, 2
-#: Bytes of a sketch that postings hold at most.
-SHORT = 256
+SMALL, LEADERS, TURNS = 16, 4, 3
+#: Bytes of a sketch that postings hold at most, and how much wider it is than a set's own.
+SHORT, WIDER = 256, 4
 #: Pairs of a batch; bits of the bitmap of texts' keys, in Spark's buckets of 2^15.
 PAIRS, CELLS = 1 << 16, 1 << 26
 
@@ -56,9 +56,9 @@ def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.nda
     return found[:size]
 
 
-def sketch(found: np.ndarray, limit: int = 1 << 60) -> bytes:
-    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size; ``limit`` bytes at most."""
-    size = min(8 * limit, max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
+def sketch(found: np.ndarray, limit: int = 1 << 60, wider: int = 1) -> bytes:
+    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size, times ``wider``; ``limit`` bytes at most."""
+    size = min(8 * limit, wider * max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
     parities = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parities.astype(np.uint8), bitorder="little").tobytes()
 
@@ -103,7 +103,7 @@ def text_rows(rows: DataFrame) -> DataFrame:
             sets = list(map(np.unique, hashes))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, frequent, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary()), pa.array([sketch(x, SHORT) for x in sets], pa.binary()), pa.array(prints)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary()), pa.array([sketch(x, SHORT, WIDER) for x in sets], pa.binary()), pa.array(prints)], names=schema.names)
 
     return rows.mapInArrow(common.lean(each), schema)
 
@@ -134,8 +134,8 @@ def folded(sketches: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a posting's sets of different classes that sizes and sketches let through."""
+def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a posting's sets of different classes that sizes and sketches let through; of each set only the nearest larger one, if so asked."""
     order = np.lexsort((nodes, sizes))
     nodes, sizes, labels, sketches = nodes[order], sizes[order].astype(np.int64), labels[order], [sketches[i] for i in order]
     stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
@@ -151,7 +151,9 @@ def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketch
                 continue
             apart = np.bitwise_count(own[other - first] ^ own[i - first]).sum(axis=1, dtype=np.int64)
             near = (DEN + NUM) * apart <= (DEN - NUM) * (sizes[other] + sizes[i])
-            other = other[near]
+            other, apart = other[near], apart[near]
+            if nearest and len(other):
+                other = other[[apart.argmin()]]
             yield np.full(len(other), nodes[i]), nodes[other]
 
 
@@ -172,7 +174,7 @@ def candidates(postings: DataFrame, turn: int) -> DataFrame:
             nodes, sizes, labels = (flat.field(k).to_numpy() for k in ("node", "n", "label" if turn else "node"))
             for start, stop in zip(ends[:-1], ends[1:], strict=True):
                 at = slice(start, stop)
-                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist()) if turn else posting_pairs(nodes[at], sizes[at])
+                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist(), turn < TURNS - 1) if turn else posting_pairs(nodes[at], sizes[at])
                 for pair in of:
                     held.append(pair)
                     count += len(pair[0])

@@ -98,11 +98,11 @@ def test_class_pairs_lack_no_similar_pair():
         sets += [np.unique(np.concatenate([base[int(rng.integers(0, n // 6 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), np.uint64)])) for _ in range(25)]
     nodes, sizes = np.arange(len(sets)), np.array(list(map(len, sets)))
     labels = rng.integers(0, 60, len(sets))
-    short = [near_copies.sketch(x, near_copies.SHORT) for x in sets]
+    short = [near_copies.sketch(x, near_copies.SHORT, near_copies.WIDER) for x in sets]
     similar = set()
     for i, j in combinations(range(len(sets)), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
         if labels[i] != labels[j] and 5 * both >= 4 * (sizes[i] + sizes[j] - both):
             similar.add((i, j))
-    pairs = {(min(a, b), max(a, b)) for x, y in near_copies.class_pairs(nodes, sizes, labels, short) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    assert similar and similar <= pairs and all(labels[i] != labels[j] for i, j in pairs)
+    pairs = [{(min(a, b), max(a, b)) for x, y in near_copies.class_pairs(nodes, sizes, labels, short, nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)} for nearest in (False, True)]
+    assert similar and similar <= pairs[0] and pairs[1] <= pairs[0] and all(labels[i] != labels[j] for i, j in pairs[0])
