@@ -10,10 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jpeg, pii, quality, sharding, simhash, suffix_dedup, token_files, wrapper
+from . import bpe, decontam, jpeg, pii, quality, sentence_pieces, sharding, simhash, suffix_dedup, token_files, wrapper
 from .common import read, shared_path
 
-RANKS, TOKENIZER, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", 2
+RANKS, TOKENIZER, PIECES, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model", 2
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(pii.KINDS).cast("binary"), 256).alias("base_sha256"), pii.digest((*pii.KINDS, pii.FOUND)).alias("spans"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentence_pieces.load_pieces(public_tokenizers.path(PIECES))
+
+    def digests(table: pa.Table) -> pa.Table:
+        names, decode = [str(k) for k in range(len(pieces.surfaces))], sentence_pieces.Decoder(pieces)
+        lists = [x.values.to_numpy() for x in table["ids"]]
+        coded = [hashlib.sha256(" ".join(map(names.__getitem__, x.tolist())).encode()).hexdigest() for x in lists]
+        plain = [hashlib.sha256(decode(x)).hexdigest() for x in lists]
+        return pa.table({"doc_id": table["doc_id"], "n_tokens": pa.array(map(len, lists), pa.int64()), "ids_sha256": pa.array(coded), "decoded_sha256": pa.array(plain)})
+
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return sentence_pieces.encode(rows, pieces, then=digests, schema=f"doc_id long, {DIGESTS}")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_suffix": op2_suffix,
@@ -119,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
