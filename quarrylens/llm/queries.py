@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jpeg, pii, quality, sentence_pieces, sharding, simhash, suffix_dedup, token_files, wrapper
+from . import bpe, decontam, jpeg, pii, quality, sentence_pieces, sharding, simhash, spelling, suffix_dedup, token_files, wrapper
 from .common import read, shared_path
 
 RANKS, TOKENIZER, PIECES, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model", 2
@@ -122,6 +122,10 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encode(rows, pieces, then=digests, schema=f"doc_id long, {DIGESTS}")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontam": op1_decontam,
     "op2_suffix": op2_suffix,
@@ -134,8 +138,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_spelling": op13_spelling,
 }
 WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The CRC-32 of a column of texts s, by the bytes of its table.
+CRC_TABLE = """crc AS (SELECT list(c ORDER BY k) AS t FROM (SELECT k, list_reduce([k::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) AS r(k)))"""
+CRC = "xor(list_reduce([4294967295::UBIGINT] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::UBIGINT), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)"
 
 #: The other operators' results need hashes, codecs, fits or iterations that SQL lacks; tests/llm holds them against brute force.
 SQL: dict[str, str] = {
@@ -158,4 +166,15 @@ r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT doc_id, p, sum(n
 k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r),
 t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t USING (doc_id)""",
+    "op13_spelling": f"""
+WITH RECURSIVE {CRC_TABLE},
+a AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{{6,}}')) AS s FROM documents) GROUP BY ALL),
+b AS (SELECT s, n, {CRC} AS k FROM (SELECT s, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || s)) AS h FROM a), crc),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT n, CASE WHEN k % 199 = 0 THEN substr(s, 1, (k % length(s))::BIGINT) || substr(s, (k % length(s))::BIGINT + 2) ELSE s END AS word FROM b) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+e AS (SELECT x.word AS word, y.word AS other FROM d x JOIN d y ON x.p = y.p AND x.cut = y.cut AND x.word <> y.word UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+m AS (SELECT e.word, count(*) AS n_near, first(e.other ORDER BY o.n DESC, encode(e.other)) AS best, max(o.n) AS best_n FROM e JOIN v o ON o.word = e.other GROUP BY e.word),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM v LEFT JOIN m USING (word)),
+r AS (SELECT word, coalesce(form, word) AS at FROM f UNION SELECT r.word, f.form FROM r JOIN f ON f.word = r.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f g ON g.word = r.at WHERE g.form IS NULL""",
 }
