@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jpeg, pii, quality, sentence_pieces, sharding, simhash, spelling, suffix_dedup, token_files, wrapper
+from . import bpe, conversation_trie, decontam, jpeg, pii, quality, sentence_pieces, sharding, simhash, spelling, suffix_dedup, token_files, wrapper
 from .common import read, shared_path
 
 RANKS, TOKENIZER, PIECES, END_ID = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model", 2
@@ -108,6 +108,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.digest(pii.KINDS).cast("binary"), 256).alias("base_sha256"), pii.digest((*pii.KINDS, pii.FOUND)).alias("spans"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.nodes(read(spark, sf_dir, "conversations"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = sentence_pieces.load_pieces(public_tokenizers.path(PIECES))
 
@@ -137,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_trie": op11_trie,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_spelling": op13_spelling,
 }
@@ -166,6 +171,18 @@ r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS z FROM (SELECT doc_id, p, sum(n
 k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r),
 t AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM k JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM b LEFT JOIN t USING (doc_id)""",
+    "op11_trie": f"""
+WITH {CRC_TABLE},
+t AS (SELECT conv_id, length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '') AS s, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(s ORDER BY turn NULLS FIRST, sha256(s)) AS a, list(w ORDER BY turn NULLS FIRST, sha256(s)) AS ws FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, a, ws, ({CRC} % 4)::BIGINT AS h FROM (SELECT conv_id, a, ws, hex(encode(conv_id::VARCHAR)) AS h FROM o), crc),
+b AS (SELECT h.conv_id, coalesce(b.a[1:h.h], []) || h.a[h.h + 1:] AS a, coalesce(b.ws[1:h.h], []) || h.ws[h.h + 1:] AS ws FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+p AS (SELECT conv_id, d, sha256(array_to_string(list_transform(a[1:d], lambda x: sha256(x)), ',')) AS k, sha256(array_to_string(list_transform(a[1:d - 1], lambda x: sha256(x)), ',')) AS up, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w, len(a) = d AS last FROM (SELECT conv_id, a, ws, unnest(range(0, len(a) + 1)) AS d FROM b)),
+n AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) * (count(*) - 1) AS own, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY k, d),
+c AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+s AS (SELECT a.k, a.d, count(*) FILTER (e.n_children IS NULL) AS n_leaves, sum(u.own)::BIGINT AS saved_tokens FROM n u LEFT JOIN c e ON e.k = u.k AND e.d = u.d JOIN p x ON x.conv_id = u.conv_id AND x.d <= u.d JOIN n a ON a.k = x.k AND a.d = x.d GROUP BY a.k, a.d)
+SELECT n.conv_id, n.d AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.k = n.k AND s.d = n.d LEFT JOIN c ON c.k = n.k AND c.d = n.d LEFT JOIN n m ON m.k = n.up AND m.d = n.d - 1""",
     "op13_spelling": f"""
 WITH RECURSIVE {CRC_TABLE},
 a AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]{{6,}}')) AS s FROM documents) GROUP BY ALL),
