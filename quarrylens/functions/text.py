@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
@@ -25,6 +26,11 @@ def hash16(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def digest16(text: str) -> str:
+    """The same of a text of the driver's."""
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def token_estimate(text: Column) -> Column:
     """A token for every four code points, rounded down."""
     return F.floor(F.length(text) / 4).cast("long")

@@ -137,26 +137,3 @@ def priority(terms: list[tuple[Column, int]], high: int, medium: int) -> tuple[C
     """The summed score of the terms that hold, and its label."""
     score = sum((F.when(test, weight).otherwise(0) for test, weight in terms), F.lit(0))
     return score.cast("long"), F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")
-
-
-def leader_clusters(df: DataFrame, owner: str, items: str, share: float = 0.5) -> DataFrame:
-    """owner, leader: each owner, in order, joins the first leader whose set it overlaps by over ``share`` of the smaller set, else leads.
-
-    Order-dependent by definition, so owners meet only inside the group given by the column ``scope``.
-    """
-    import pandas as pd
-
-    def cluster(part: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[object, set]] = []
-        out = []
-        for own, values in sorted(zip(part[owner], part[items], strict=True), key=lambda x: x[0]):
-            values = set(values)
-            name = next((n for n, s in leaders if len(values & s) > share * min(len(values), len(s))), None)
-            if name is None:
-                name = own
-                leaders.append((own, values))
-            out.append((own, name))
-        return pd.DataFrame(out, columns=[owner, "leader"])
-
-    kind = df.schema[owner].dataType.simpleString()
-    return df.groupBy("scope").applyInPandas(cluster, f"{owner} {kind}, leader {kind}")

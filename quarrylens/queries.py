@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import audit, graph, intervals, lines, relations
+from .operators import audit, graph, intervals, leaders, lines, relations
 from .plans import evaluation, merging
 from .streaming import incremental, limits
 
@@ -606,10 +606,19 @@ def priority_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", score.alias("score"), label.alias("label"))
 
 
-@query()
+@query("""
+WITH RECURSIVE u AS (SELECT user_id, user_id % 8 AS scope, coalesce(list(DISTINCT strftime(ts, '%d')) FILTER (event_type = 'error'), []) AS days, coalesce(list(DISTINCT strftime(ts, '%H')) FILTER (event_type = 'signup'), []) AS hours FROM events GROUP BY user_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY user_id) AS k FROM u),
+r AS (SELECT scope, k, user_id, user_id AS leader, [{'o': user_id, 'd': days, 'h': hours}] AS ls FROM o WHERE k = 1
+UNION ALL SELECT scope, k, user_id, coalesce(hit, user_id), CASE WHEN hit IS NULL THEN ls || [{'o': user_id, 'd': days, 'h': hours}] ELSE ls END FROM
+(SELECT o.*, r.ls, list_filter(r.ls, lambda x: len(list_intersect(x.d, o.days)) > 0.5 * least(len(x.d), len(o.days)) AND len(list_intersect(x.h, o.hours)) > 0)[1].o AS hit FROM r JOIN o ON o.scope = r.scope AND o.k = r.k + 1))
+SELECT user_id, leader FROM r""")
 def leader_cluster(spark, sf_dir):
-    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.date_format("ts", "dd"))).alias("days"))
-    return audit.leader_clusters(users.withColumn("scope", F.col("user_id") % 8), "user_id", "days")
+    def spoken(kind: str, pattern: str) -> Column:
+        return F.collect_set(F.when(F.col("event_type") == kind, F.date_format("ts", pattern)))
+
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(spoken("error", "dd").alias("days"), spoken("signup", "HH").alias("hours"))
+    return leaders.leader_clusters(users.withColumn("scope", F.col("user_id") % 8), "user_id", "days", tags="hours", scope=("scope",))
 
 
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY user_id, event_type")

@@ -34,6 +34,13 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder, whose size Spark knows."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Removes the shared tables made within it when it ends; whatever reads them must have run by then."""

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrylens import plan_queries, queries  # noqa: F401 - the first registers with the second
+from quarrylens import detail_queries, plan_queries, queries  # noqa: F401 - the first two register with the third
 
 DATA = "/root/testdata/sf0.001"
 
