@@ -11,13 +11,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import line_array
-from ..operators import graph, lines
+from ..operators import graph, lines, nearest
 from . import facts as fx
+from . import frames
 from .merging import types_of
 
 #: Rows shown: for a finding, for one file of it, around a line, and code points of a line.
 PER_FINDING, PER_FILE, AROUND, WIDTH = 20, 3, 2, 200
 NEEDLES = 5
+#: Lines above a finding's own in which an annotation counts.
+TYPED = 39
 
 
 def backticked(text: Column) -> Column:
@@ -93,21 +96,28 @@ def declared_intent(findings: DataFrame, files: DataFrame, symbols: DataFrame, b
     return rows.select("id", F.to_json(F.struct(above.alias("before"), begin.alias("enclosing"))).alias("payload"))
 
 
+def inferred_types(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, variable, type): types of the variables whose members a message names, as last annotated at most TYPED lines above."""
+    variables = findings.where("line_start > 0").select("id", "path", F.col("line_start").cast("long").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("message", F.lit(r"`(\w+)\.\w+`"), F.lit(1)))).alias("variable"))
+    text = lines.explode_lines(files, ["path"])
+    found = r"\b(\w+)(?=\s*:\s*[\"']?([A-Z]\w+))"
+    both = F.arrays_zip(F.regexp_extract_all("line", F.lit(found), F.lit(1)).alias("variable"), F.regexp_extract_all("line", F.lit(found), F.lit(2)).alias("type"))
+    bound = text.where(F.contains("line", F.lit(":"))).select("path", F.col("line_no").cast("long").alias("at"), F.posexplode(both).alias("k", "b")).groupBy("path", "at", "b.variable").agg(F.min_by("b.type", "k").alias("type"))
+    return nearest.as_of(variables, bound, ["path", "variable"], "at", TYPED, ["type"]).where("type IS NOT NULL").select("id", "variable", "type")
+
+
 def type_signatures(findings: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Definitions of the types that a finding's message names."""
-    names = findings.select("id", F.explode(backticked(F.col("message"))).alias("name"))
+    """Definitions of the types that a finding's message names, and of those that variables in it have."""
+    named = findings.select("id", F.explode(backticked(F.col("message"))).alias("name"))
+    names = named.union(inferred_types(findings, files).select("id", F.col("type").alias("name"))).distinct()
     found = names.join(types_of(names, symbols, files), "name")
     listed = F.array_sort(F.collect_set(F.struct("name", "path", "snippet"))).alias("types")
     return found.groupBy("id").agg(listed).select("id", F.to_json(F.struct("types")).alias("payload"))
 
 
-def callees(findings: DataFrame, facts: DataFrame, resolved: DataFrame) -> DataFrame:
-    """What a finding's symbol calls, one step far, with the files that define it."""
-    calls = fx.table(facts, "calls").select("path", F.col("from_symbol").alias("symbol"), "to", "line")
-    where = fx.call_sites(facts, resolved).select("path", "to", "definer")
-    rows = findings.select("id", "path", "symbol").join(calls, ["path", "symbol"]).join(where, ["path", "to"], "left")
-    listed = rows.groupBy("id").agg(F.count("*").alias("total"), F.slice(F.array_sort(F.collect_set(F.struct("line", F.substring("to", 1, 80).alias("to"), "definer"))), 1, 40).alias("calls"))
-    return listed.select("id", F.to_json(F.struct("calls", "total")).alias("payload"))
+def callees(findings: DataFrame, facts: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """What the functions tied to a finding call, and those they call; only for findings that tell of an order of calls."""
+    return frames.callee_frames(findings, facts, resolved, symbols).select("id", F.to_json(F.struct("seeds", "edges", "edges_total", "unresolved")).alias("payload"))
 
 
 def cited(findings: DataFrame, facts: DataFrame) -> DataFrame:
