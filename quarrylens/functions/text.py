@@ -45,10 +45,14 @@ def line_count(text: Column) -> Column:
     return F.size(line_array(text)).cast("long")
 
 
-def universal_line_count(text: Column) -> Column:
-    """Lines as a universal-newline reader counts them: more terminators, and none after the last."""
+def universal_lines(text: Column) -> Column:
+    """Lines as a universal-newline reader has them: more terminators, and none after the last."""
     ends = F.regexp_replace(text, "\r\n|[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]", "\n")
-    return F.when(F.length(text) == 0, 0).otherwise(F.size(F.split(F.regexp_replace(ends, "\n\\z", ""), "\n", -1))).cast("long")
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(ends, "\n\\z", ""), "\n", -1))
+
+
+def universal_line_count(text: Column) -> Column:
+    return F.size(universal_lines(text)).cast("long")
 
 
 def message_core(message: Column) -> Column:

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import python_facts, repository
+from ..sources import ci, python_facts, repository
 from . import claims, detectors, facts, scorecard
 
 
@@ -32,7 +32,7 @@ def audit(spark: SparkSession, root: str, ignore: list[str] = (), verdicts: Data
             "dead_parameter": detectors.dead_parameters(text, parsed, imports),
             "orphan_file": detectors.orphans(parsed, imports, detectors.entry_points(found)),
             "dead_dependency": detectors.dead_dependencies(text, repository.dependencies(found), known),
-            "dead_ci_element": detectors.dead_ci_elements(found, repository.ci_elements(text)),
+            "dead_ci_element": detectors.dead_ci_elements(found, ci.ci_elements(text)),
             "contract_violation": detectors.contract_violations(parsed),
             "implicit_contract": detectors.implicit_contracts(parsed, imports),
             "personal_path": detectors.personal_paths(text),

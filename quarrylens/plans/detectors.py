@@ -106,11 +106,10 @@ def dead_dependencies(files: DataFrame, dependencies: DataFrame, known: dict[str
 def dead_ci_elements(files: DataFrame, elements: DataFrame) -> DataFrame:
     """(path, kind, name, missing): elements that name paths which are neither file nor folder, also when cut at a star."""
     there = files.select(F.col("path").alias("ref")).union(repository.directories(files).select("path")).distinct()
-    refs = elements.select("path", "kind", "name", F.explode(repository.command_paths(F.col("command"))).alias("word"))
-    cut = F.regexp_replace(F.split("word", r"\*")[0], "/[^/]*$", "")
-    rows = refs.withColumn("ref", F.when(F.contains("word", F.lit("*")), cut).otherwise(F.col("word")))
-    missing = rows.where("ref <> ''").join(there, "ref", "left_anti")
-    return missing.groupBy("path", "kind", "name").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("missing"))
+    refs = elements.select("path", "kind", "name", F.explode(F.array_distinct("paths")).alias("word")).withColumn("ref", F.translate(F.regexp_replace("word", r"^\./", ""), "\\", "/"))
+    missing = refs.where("ref <> ''").join(there, "ref", "left_anti")
+    cut = missing.withColumn("ref", F.regexp_replace(F.split("ref", r"\*")[0], "/+$", "")).where("ref <> ''").join(there, "ref", "left_anti")
+    return cut.groupBy("path", "kind", "name").agg(F.array_join(F.array_sort(F.collect_set("word")), ",").alias("missing"))
 
 
 def contract_violations(facts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import line_array
 from ..operators.relations import suffixes
+from ..sources.storage import stored
 from . import facts as fx
 
 #: Seeds of a finding, callees of a frame, edges of a finding, lines of an edge; code points of a callee, and of a line's text.
@@ -98,8 +99,8 @@ def callee_frames(findings: DataFrame, facts: DataFrame, resolved: DataFrame, sy
     Null messages tell of nothing; files without facts give no frames; calls without a line are shown without one.
     """
     telling = findings.where(F.coalesce(F.col("message").rlike(ORDER_WORDS), F.lit(False))).join(facts.select("path"), "path", "left_semi")
-    calls = ordered_calls(facts, resolved)
-    of = frames(calls, symbols)
+    calls = stored(ordered_calls(facts, resolved), "ordered-calls")
+    of = stored(frames(calls, symbols), "frames")
     rows = first_seeds(telling, facts, resolved, symbols, calls)
     rows = rows.withColumns({"edges": F.array().cast("array<struct<caller:string,caller_file:string,to:string,lines:array<bigint>>>"), "edges_total": F.lit(0).cast("long"), "done": F.lit(False)})
     for k in range(SEEDS):

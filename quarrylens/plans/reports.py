@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import line_array
+from ..operators import documents
 from ..operators.relations import containing
 
 #: Lines that mark a stale document, by reason; extensions with a language of another name; gap types that a verdict may assign.
@@ -213,9 +214,7 @@ def ledger_entry(ledger: DataFrame, finding_id: str, near: int = 20) -> DataFram
 
 def string_leaves(df: DataFrame, key: str, document: str) -> DataFrame:
     """(key, leaf): every string in JSON documents, however deep: the strings that are no object's keys."""
-    strings = F.regexp_extract_all(document, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(:)?'), F.lit(0))
-    values = F.filter(strings, lambda x: ~x.rlike(r":\s*$"))
-    return df.select(key, F.explode(F.transform(values, lambda x: F.from_json(F.concat(F.lit('{"v":'), x, F.lit("}")), "v string")["v"])).alias("leaf"))
+    return documents.json_leaves(df, [key], document).where("kind = 'string'").select(key, F.col("value").alias("leaf"))
 
 
 def issues(spark: SparkSession, path: str, schema: str) -> DataFrame:

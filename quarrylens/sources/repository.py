@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import folders
 
 #: Bytes that are looked at for a NUL, and the share of non-text bytes that makes a file binary.
 HEAD, STRANGE = 8192, 0.10
@@ -76,15 +77,12 @@ def path_columns(df: DataFrame) -> DataFrame:
 def files(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[str] = (), listed: list[str] | None = None) -> DataFrame:
     """(path, text, is_binary, source_hash, name, ext, depth, parent), deepest first.
 
-    ``listed`` (default: git's listing, if there is one) says which files belong to the repository; ignore
+    ``listed`` (default: git's listing, else all files, which tasks list by folder) says which files belong to the repository; ignore
     patterns fit whole paths, parts or folders, a leading ``!`` takes one back; exclude globs fit whole paths.
     """
-    where, base = fs.FileSystem.from_uri(root if "://" in root else str(Path(root).resolve()))
+    _, base = fs.FileSystem.from_uri(root if "://" in root else str(Path(root).resolve()))
     if listed is None:
         listed = git_files(base)
-    if listed is None:
-        listed = [x.path[len(base) :].lstrip("/") for x in where.get_file_info(fs.FileSelector(base, recursive=True)) if x.is_file]
-    names = spark.createDataFrame([(x,) for x in sorted(listed) if not x.startswith(".git/")], "path string")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the file sources of Spark pass over names that start with a dot or an underscore
@@ -95,7 +93,11 @@ def files(spark: SparkSession, root: str, ignore: list[str] = (), exclude: list[
                     with own.open_input_stream(f"{top}/{path}") as file:
                         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([file.read()], pa.binary())], names=["path", "content"])
 
-    found = names.mapInArrow(read, "path string, content binary")
+    if listed is None:  # every task lists and reads folders of its own
+        found = folders.read_folders(spark, root)
+    else:
+        found = spark.createDataFrame([(x,) for x in sorted(listed)], "path string").mapInArrow(read, "path string, content binary")
+    found = found.where(~F.startswith("path", F.lit(".git/")))
     plain = [x for x in ignore if not x.startswith("!") and f"!{x}" not in ignore]
     if plain:
         found = found.where(~T.matches_any(F.col("path"), plain))
@@ -185,42 +187,3 @@ def import_name(package: Column, ecosystem: Column, known: dict[str, str] = {})
         out = F.when(F.lower(package) == name, value).otherwise(out)
     return out
 
-
-# ---- build and CI files
-
-
-def elements_in(path: str, text: str) -> list[tuple[str, str, int, int]]:
-    """(kind, name, first line, last line) of make targets, workflow jobs and pipeline jobs."""
-    lines = text.split("\n")
-    name = path.rpartition("/")[2]
-    if name in ("Makefile", "makefile", "GNUmakefile"):
-        kind, head, start = "make_target", re.compile(r"^([A-Za-z0-9_][\w./-]*)\s*:(?!=)"), 0
-    elif ".github/workflows/" in path and re.search(r"\.ya?ml$", path):
-        start = next((i + 1 for i, x in enumerate(lines) if re.match(r"jobs:\s*$", x)), len(lines))
-        kind, head = "workflow_job", re.compile(r"^  ([A-Za-z_][\w-]*):\s*$")
-    elif name in (".gitlab-ci.yml", ".gitlab-ci.yaml"):
-        kind, head, start = "pipeline_job", re.compile(r"^(?!(?:stages|variables|include|default|workflow|image|services|cache|before_script|after_script)\s*:)([.A-Za-z_][\w.\- ]*):\s*$"), 0
-    else:
-        return []
-    heads = [(i, m[1]) for i, x in enumerate(lines) if i >= start and (m := head.match(x))]
-    ends = [*(i for i, _ in heads[1:]), len(lines)]
-    return [(kind, own, i + 1, end) for (i, own), end in zip(heads, ends, strict=True)]
-
-
-def ci_elements(files_: DataFrame) -> DataFrame:
-    """(path, kind, name, line_start, line_end, command): elements with the text of their lines."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, *e, "\n".join(t.split("\n")[e[2] - 1 : e[3]])) for p, t in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True) for e in elements_in(p, t or "")]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], names=["path", "kind", "name", "line_start", "line_end", "command"])
-
-    return files_.select("path", "text").mapInArrow(parse, "path string, kind string, name string, line_start int, line_end int, command string")
-
-
-def command_paths(command: Column) -> Column:
-    """The path-like words of a command: no options, variables, addresses or quotes; a slash or a file extension."""
-    words = F.split(F.regexp_replace(F.regexp_replace(command, r"\$[({][^)}]*[)}]|\$\w+|[a-z]+://\S+", " "), "[\"'`;|&()<>=,]", " "), r"\s+")
-    bare = F.transform(words, lambda w: F.regexp_replace(w, r"^(?:\./)+|/+$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: w.rlike(r"^[\w.*-]+(?:/[\w.*-]+)+$|^[\w-]+\.(?:py|js|ts|sh|go|rs|toml|json|ya?ml|md|txt|cfg)$") & ~F.startswith(w, F.lit("-"))))
