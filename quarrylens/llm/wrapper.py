@@ -7,7 +7,7 @@ with the reference's text votes that the node is constant, one with another text
 Votes of all pages are added up; nodes that most pages have alike become template and go first, wherever
 they stand and whatever they are called. Of the varying slots, menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and reader comments go by their elements, roles and names, as their text may
-vary too. The rest of the content elements is decoded and joined block by block.
+vary too; names alone are overruled where what they name holds nearly all prose of the content. The rest of the content elements is decoded and joined block by block.
 
 A page that repeats four fifths of its reference's main text is a copy of it and does not vote, so copies of one
 article don't make it vanish.
@@ -54,6 +54,10 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 NAMES = set(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navigator breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay comment comments commentlist replies respond disqus share sharing social related recommended newsletter subscribe signup login pagination pager toolbar widget skip teaser teasers".split()
 )
+#: Names whose elements go whatever they hold.
+COMMENTS = {"comment", "comments", "commentlist", "replies", "respond", "disqus"}
+#: Names are overruled where elements that go by name alone hold so many times as much prose of the content as all others.
+OVERRULE = 3
 HEADS = {"header", "masthead", "topbar"}
 MAIN = re.compile(r"(?:^|[^a-z])(?:article|content|post|entry|story|main)(?:[^a-z]|$)")
 
@@ -63,6 +67,7 @@ class Node:
     tag: str
     parent: Node | None
     out: bool
+    named: bool = False
     kids: list[Node] = field(default_factory=list)
     text: list[str] = field(default_factory=list)
     main: int = 0
@@ -80,18 +85,23 @@ class Page:
         self.root = Node("", None, False)
         self.nodes: list[Node] = []
         self.flow: list[tuple[Node, str | None]] = []
+        self.linked: set[int] = set()  # entries of the flow inside links
         self._read(source)
+        self.names = not self._overruled()
         for node in [*reversed(self.nodes), self.root]:
             node.sign = hash((node.tag, tuple(k.sign for k in node.kids)))
             node.size = 1 + sum(k.size for k in node.kids)
 
     def _read(self, source: str) -> None:
         at, size, node = 0, len(source), self.root
-        dark = 0  # open inline elements that are left out
+        dark: list[tuple[str, Node, bool]] = []  # open inline elements that are left out, the blocks that hold them, whether they are closed later
+        linked = False
         while at < size:
             m = TOKEN.search(source, at)
             end = m.start() if m else size
             if end > at and not dark:
+                if linked:
+                    self.linked.add(len(self.flow))
                 node.text.append(source[at:end])
                 self.flow.append((node, source[at:end]))
             if not m:
@@ -100,11 +110,17 @@ class Page:
             tag = (m[2] or "").lower()
             if not tag:
                 continue
+            if tag == "a":
+                linked = not m[1]
             if m[1]:
                 if tag in BLOCKS:
                     node = self._close(node, tag)
-                elif tag in OUT and dark:
-                    dark -= 1
+                    linked = False
+                    if dark:  # what a block holds ends with it
+                        above = self._above(node)
+                        dark = [x for x in dark if x[2] and id(x[1]) in above]
+                elif any(x[0] == tag for x in dark):
+                    del dark[next(k for k in reversed(range(len(dark))) if dark[k][0] == tag) :]
                 continue
             if tag in RAW:
                 stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -113,9 +129,13 @@ class Page:
                 node.text.append(" ")
                 self.flow.append((node, " "))
             elif tag in BLOCKS:
+                dark = [x for x in dark if x[2]]
                 node = self._open(node, tag, m[3])
             elif tag in OUT and tag not in VOID and not m[3].endswith("/"):
-                dark += 1
+                # one whose end tag doesn't come before another one of its kind ends at the next block's edge
+                after = re.compile(rf"<(/?){tag}\b", re.I).search(source, at)
+                dark = [x for x in dark if x[2] or x[0] != tag]
+                dark.append((tag, node, bool(after and after[1])))
 
     def _open(self, node: Node, tag: str, attributes: str) -> Node:
         while node.tag == "p" or node.tag in CLOSES.get(tag, ()) or (node.tag in HEADINGS and tag in HEADINGS):
@@ -123,7 +143,7 @@ class Page:
         self.flow.append((node, None))
         if tag == "hr":
             return node
-        new = Node(tag, node, node.out or tag in OUT)
+        new = Node(tag, node, node.out or tag in OUT, node.named)
         inside, heads = node.main, False
         if attributes.strip():
             given = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes)}
@@ -131,7 +151,8 @@ class Page:
             new.out |= given.get("role") in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
             if tag not in ("html", "body", "article", "main"):
                 parts = re.split(r"[^a-z0-9]+", names)
-                new.out |= not NAMES.isdisjoint(parts)
+                new.out |= not COMMENTS.isdisjoint(parts)
+                new.named |= not NAMES.isdisjoint(parts)
                 heads = not HEADS.isdisjoint(parts)
             if given.get("role") == "main":
                 new.main = 2
@@ -151,6 +172,30 @@ class Page:
         self.nodes.append(new)
         return new
 
+    @staticmethod
+    def _above(node: Node | None) -> set[int]:
+        """The node and all nodes around it."""
+        out = set()
+        while node:
+            out.add(id(node))
+            node = node.parent
+        return out
+
+    def _overruled(self) -> bool:
+        """Whether elements that go by name alone hold the content, so that the names mean something else."""
+        kept = named = 0
+        for k, (node, text) in enumerate(self.flow):
+            if text and node.main and not node.out:
+                size = len(text.strip())
+                if not node.named:
+                    kept += size
+                elif k not in self.linked:
+                    named += size
+        return named > 0 and named >= OVERRULE * kept
+
+    def gone(self, node: Node) -> bool:
+        return node.out or (self.names and node.named)
+
     def _close(self, node: Node, tag: str) -> Node:
         place: Node | None = node
         while place and place.tag != tag:
@@ -178,17 +223,17 @@ class Page:
         """
         held = {id(n): 0 for n in [self.root, *self.nodes]}
         for node, text in self.flow:
-            if text and not node.out and id(node) not in template:
+            if text and not self.gone(node) and id(node) not in template:
                 held[id(node)] += len(text.strip())
         for node in reversed(self.nodes):
             held[id(node.parent)] += held[id(node)]
-        tops = {k: [n for n in self.nodes if not n.out and n.main >= k > n.parent.main] for k in (1, 2, 3)}
+        tops = {k: [n for n in self.nodes if not self.gone(n) and n.main >= k > n.parent.main] for k in (1, 2, 3)}
         total = sum(held[id(n)] for n in tops[1])
         found = next((tops[k] for k in (3, 2) if tops[k] and 2 * sum(held[id(n)] for n in tops[k]) >= total), tops[1])
         if not found:
             return [self.root]
         inside = self.within(found)
-        heads = [n for n in self.nodes if n.tag == "h1" and not n.out and held[id(n)]]
+        heads = [n for n in self.nodes if n.tag == "h1" and not self.gone(n) and held[id(n)]]
         if not any(inside[id(n)] for n in heads):
             place = {id(n): k for k, n in enumerate(self.nodes)}
             found = [n for n in heads[:1] if place[id(n)] < place[id(found[0])]] + found
@@ -212,7 +257,7 @@ class Page:
                 if held and (words := " ".join(entities.unescape("".join(held)).split())):
                     out.append((owners, words))
                 held, owners = [], []
-            elif not node.out and id(node) not in template and inside[id(node)] and node.tag not in ("header", "hgroup"):
+            elif not self.gone(node) and id(node) not in template and inside[id(node)] and node.tag not in ("header", "hgroup"):
                 owners.append(node)
                 held.append(text)
         return out

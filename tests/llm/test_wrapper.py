@@ -34,6 +34,18 @@ def text(html, template=()):
         ("<main><p>skip</p><article><p>the text of the page, all of it</p></article></main>", "the text of the page, all of it"),
         ('<article><p hidden>h</p><p style="display: none">n</p><p>v</p></article>', "v"),
         ("<p>1 &lt; 2 &#233; &#x41;</p>", "1 < 2 é A"),
+        # inline elements that are never closed, or close nothing
+        ("<article><div><label>x</div><p>Main text here</p></article>", "Main text here"),
+        ("<article><p>Before</p><button>Share<p>Main text here</p></article>", "Before\n\nMain text here"),
+        ("<article><p>a <button>Share <button>Like</button> b</p><p>c</label> d</p></article>", "a b\n\nc d"),
+        ("<article><button><p>Share</p></button><p>a<select><option>x</select>b</p></article>", "a\n\nb"),
+        # names that what they name overrules
+        ("<div class='related'><article><p>Real body</p></article></div>", "Real body"),
+        ("<div class='ad-free post'><p>Real body</p></div>", "Real body"),
+        ("<article class='widget'><div class='article-notice'><p>Real body</p></div></article>", "Real body"),
+        ("<main><h1>T</h1><div class='share-price'><p>Market text</p></div></main>", "T\n\nMarket text"),
+        ("<main><p>Body</p><div class='share'><p><a href='/'>Share this with everybody that you know</a></p></div></main>", "Body"),
+        ("<div class='ad'><p>buy</p></div><div class='comments post'><p>first</p></div>", ""),
     ],
 )
 def test_main_text(html, expected):
