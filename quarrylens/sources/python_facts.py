@@ -17,8 +17,11 @@ SCHEMA = (
     "string_literals array<struct<value:string,line:int,usage:string,comparison_source:string,context:string>>"
 )
 #: Decorators by which a framework, not the code, calls what they stand on.
-FRAMEWORK = {"property", "staticmethod", "classmethod", "abstractmethod", "overload", "fixture"}
-FRAMEWORK_ENDS = (".route", ".get", ".post", ".put", ".delete", ".patch", ".command", ".group", ".task", ".fixture", ".setter", ".getter", ".deleter", ".register", ".listener", ".event")
+FRAMEWORK = {
+    "property", "classmethod", "staticmethod", "abstractmethod", "pytest.fixture", "fixture", "app.route", "router.get", "router.post", "router.put",
+    "router.delete", "router.patch", "signal.connect", "receiver", "task", "shared_task", "command", "group", "click.command", "click.group",
+}
+FRAMEWORK_ENDS = (".route", ".command", ".group", ".get", ".post", ".put", ".delete", ".patch", ".connect", ".handler", ".listener")
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -58,13 +61,14 @@ class _Facts(ast.NodeVisitor):
 
     def visit_Import(self, node: ast.Import) -> None:
         for alias in node.names:
-            local = alias.asname or alias.name.partition(".")[0]
-            self.imports.append({"source": alias.name, "names": [local], "name_map": [(alias.asname, alias.name)] if alias.asname else [], "is_reexport": False, "line": node.lineno})
+            local = alias.asname or alias.name
+            again = self.is_package and not local.startswith("_") and (self.names is None or local in self.names)
+            self.imports.append({"source": alias.name, "names": [local], "name_map": [(alias.asname, alias.name)] if alias.asname else [], "is_reexport": again, "line": node.lineno})
 
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         source = "." * node.level + (node.module or "")
         names = [a.asname or a.name for a in node.names]
-        again = self.is_package or bool(self.names and self.names.intersection(names))
+        again = self.is_package and any(not n.startswith("_") or n in (self.names or ()) for n in names)
         self.imports.append({"source": source, "names": names, "name_map": [(a.asname, a.name) for a in node.names if a.asname], "is_reexport": again, "line": node.lineno})
 
     def _define(self, node, kind: str, bases: list[str], parameters: list[dict]) -> None:
