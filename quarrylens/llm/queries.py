@@ -51,10 +51,13 @@ def token_digests(ranks: dict[bytes, int]) -> Callable[[pa.Table], pa.Table]:
 
     def digests(table: pa.Table) -> pa.Table:
         names = [str(k) for k in range(len(pieces))]
-        lists = [x.values.to_numpy().tolist() for x in table["ids"]]
-        coded = [hashlib.sha256(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]
-        plain = [hashlib.sha256(bpe.decode(x, pieces)).hexdigest() for x in lists]
-        return table.append_column("n_tokens", pa.array(map(len, lists), pa.int64())).append_column("ids_sha256", pa.array(coded)).append_column("decoded_sha256", pa.array(plain))
+        counts, coded, plain = [], [], []
+        for x in table["ids"]:  # one document's ids as Python numbers at a time
+            ids = x.values.to_numpy().tolist()
+            counts.append(len(ids))
+            coded.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+            plain.append(hashlib.sha256(bpe.decode(ids, pieces)).hexdigest())
+        return table.append_column("n_tokens", pa.array(counts, pa.int64())).append_column("ids_sha256", pa.array(coded, pa.string())).append_column("decoded_sha256", pa.array(plain, pa.string()))
 
     return digests
 
