@@ -76,14 +76,23 @@ def outside_snapshots(files: DataFrame, cases: DataFrame) -> DataFrame:
     return files.join(inside.select("path"), "path", "left_anti")
 
 
-def document_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """(doc, path): documents (doc, text) that name a source by path, file name or dotted module, of four signs or more."""
+def source_names(sources: DataFrame) -> DataFrame:
+    """(path, k, name): the path, the file name and the dotted module by which text may name a source, in this order, of four signs or more."""
     module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"^src/", ""), r"\.py$", ""), "/__init__$", "")
     forms = F.array("path", F.element_at(F.split("path", "/"), -1), F.when(F.endswith("path", F.lit(".py")) & F.contains(module, F.lit("/")), F.translate(module, "/", ".")))
-    keys = sources.select("path", F.explode(F.array_distinct(F.array_compact(forms))).alias("name")).where(F.length("name") >= 4)
+    return sources.select("path", F.posexplode(F.array_distinct(F.array_compact(forms))).alias("k", "name")).where(F.length("name") >= 4)
+
+
+def document_names(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc, path, k, name): the names by which documents (doc, text) name sources."""
+    keys = source_names(sources)
     distinct = keys.select("name").distinct()
-    found = containing(docs, "doc", distinct.select("name", F.col("name").alias("text")), "name")
-    return found.join(keys, "name").select("doc", "path").distinct()
+    return containing(docs, "doc", distinct.select("name", F.col("name").alias("text")), "name").join(keys, "name").select("doc", "path", "k", "name")
+
+
+def document_sources(docs: DataFrame, sources: DataFrame) -> DataFrame:
+    """(doc, path): documents (doc, text) that name a source by path, file name or dotted module, of four signs or more."""
+    return document_names(docs, sources).select("doc", "path").distinct()
 
 
 def without_warnings(text: Column) -> Column:

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quarrylens import detail_queries, plan_queries, queries  # noqa: F401 - the first two register with the third
+from quarrylens import detail_queries, plan_queries, queries, record_queries  # noqa: F401 - the others register with queries
 
 DATA = "/root/testdata/sf0.001"
 
