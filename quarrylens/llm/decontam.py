@@ -51,20 +51,24 @@ class Automaton:
         for v in order:
             if self.length[v] >= window:
                 self.at_window[v] = v if self.length[self.link[v]] < window else self.at_window[self.link[v]]
-        self.items_of: dict[int, set[str | None]] = {}
-        shorts: dict[int, list[tuple[int, str | None]]] = {}
+        #: Items by the state and the length of what they have there: whole windows, or short items as a whole.
+        self.items_of: dict[tuple[int, int], set[str | None]] = {}
         for name, sequence in words:
             v = 0
             for k, w in enumerate(sequence):
                 v = self.next[v][w]
                 if k + 1 >= window:
-                    self.items_of.setdefault(self.at_window[v], set()).add(name)
+                    self.items_of.setdefault((self.at_window[v], window), set()).add(name)
             if 0 < len(sequence) < window:
-                shorts.setdefault(v, []).append((len(sequence), name))
-        #: Whole short items that end where a state's strings end, its own and its suffixes'.
-        self.short: list[list[tuple[int, str | None]] | None] = [None] * len(self.next)
+                self.items_of.setdefault((v, len(sequence)), set()).add(name)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for v, size in self.items_of:
+            if size < window:
+                own.setdefault(v, []).append((v, size))
+        #: Short items that end where a state's strings end, its own and its suffixes', the longest first: fewer than ``window`` lengths, however many items.
+        self.short: list[list[tuple[int, int]] | None] = [None] * len(self.next)
         for v in order:
-            if found := [*(shorts.get(v) or ()), *(self.short[self.link[v]] or ())]:
+            if found := [*sorted(own.get(v, ()), key=lambda x: -x[1]), *(self.short[self.link[v]] or ())]:
                 self.short[v] = found
 
     def _new(self, length: int, link: int, follows: dict[int, int]) -> int:
@@ -102,7 +106,7 @@ class Automaton:
         follow, link, length, short, window = self.next, self.link, self.length, self.short, self.window
         v = matched = longest = 0
         hits: list[tuple[int, int]] = []
-        names: set[str | None] = set()
+        seen: set[tuple[int, int]] = set()
         for i, w in enumerate(map(self.vocabulary.get, words)):
             if w is None:
                 v = matched = 0
@@ -124,18 +128,18 @@ class Automaton:
             run = 0
             if matched >= window:
                 run = matched
-                names |= self.items_of.get(self.at_window[v], set())
+                seen.add((self.at_window[v], window))
             if short[v]:
-                for size, name in short[v]:
-                    if size <= matched:
-                        run = max(run, size)
-                        names.add(name)
+                for part in short[v]:
+                    if part[1] <= matched:
+                        run = max(run, part[1])
+                        seen.add(part)
             if run:
                 start = i + 1 - run
                 while hits and hits[-1][1] >= start:
                     start = min(start, hits.pop()[0])
                 hits.append((start, i + 1))
-        return longest, hits, names
+        return longest, hits, set().union(*(self.items_of.get(part, ()) for part in seen))
 
 
 _kept: dict[str, Automaton] = {}

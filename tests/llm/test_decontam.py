@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -73,3 +74,12 @@ def test_spans_are_cut_and_heavy_documents_go(spark):
 def test_longest_match_is_tracked(spark):
     row = decontam.contamination(table(spark, [(1, "x a b c d y", "", "", 0)]), items_of(spark, [("i", "z a b c d q")])).head()
     assert (row.longest, row.n_hit) == (4, 0)
+
+
+def test_repeated_short_items_cost_no_time_by_word():
+    one = decontam.Automaton([(str(k), b"the") for k in range(20_000)] + [("two", b"of the"), ("w", b"a b c d e f g h i j k")] + [(f"w{k}", b"a b c d e f g h i j k") for k in range(5_000)], 10)
+    started = time.process_time()
+    longest, hits, names = one.scan([b"of", *[b"the"] * 5_000, *b"a b c d e f g h i j k".split() * 200])
+    assert time.process_time() - started < 0.5
+    assert (longest, len(names)) == (11, 25_002)
+    assert hits == [(0, 7201)]
