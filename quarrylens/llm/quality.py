@@ -5,7 +5,8 @@ loss on the pair's feature differences. A document's latent score is its weighte
 the quantile of the training scores with the fewest errors, and scores are mapped so that this quantile
 has the score 0.7.
 
-The fit takes at most ``MAX_LABELS`` labelled rows (least hashes of their doc_ids) and ``MAX_PAIRS`` pairs;
+The fit takes at most ``MAX_LABELS`` labelled rows (least hashes of their doc_ids; of texts that share a doc_id
+the one of the least hash) and ``MAX_PAIRS`` pairs;
 everything else covers all rows. Features come from the text alone.
 
 Rows: null and empty texts have a score too (all ratios zero); labels that are null, neither 0 nor 1, or
@@ -129,8 +130,10 @@ def _with_features(rows: DataFrame, kept: list[str]) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_labels: int = MAX_LABELS) -> Ranking:
     usable = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isin(0, 1) & learnable("__id"))
-    chosen = usable.orderBy(F.xxhash64("__id"), "__label").limit(max_labels)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(chosen), "__id").select("__label", "__text")
+    chosen = usable.distinct().orderBy(F.xxhash64("__id"), "__label").limit(max_labels)
+    labelled = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
+    # a labelled id has one row, however many documents bear it
+    rows = labelled.groupBy("__id", "__label").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), "__text")).alias("__text")).select("__label", "__text")
     found = _with_features(rows, ["__label"]).toArrow()
     x = np.array(found["x"].to_pylist(), float).reshape(-1, WIDTH)
     order = np.lexsort([*x.T, found["__label"].to_numpy()]) if found.num_rows else np.zeros(0, int)

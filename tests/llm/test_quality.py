@@ -67,6 +67,15 @@ def test_labels_are_bounded(spark):
     assert ranking.constant is None
 
 
+def test_fitted_rows_are_bounded_where_many_documents_share_an_id(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda x, label: fitted.append(len(label)))
+    docs = table(spark, [(0, f"text {k}.", "", "", 0) for k in range(500)] + [(k, "other", "", "", 0) for k in range(1, 40)])
+    quality.train(docs, spark.createDataFrame([(k % 40, k % 2, 0) for k in range(400)], LABELS), max_labels=20)
+    quality.train(docs, spark.createDataFrame([(0, 1, 0)] * 9, LABELS))
+    assert fitted[0] <= 20 and fitted[1] == 1
+
+
 def test_fit_like_plain_gradient_descent():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(240, 4))
