@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import line_array
-from ..operators import graph, lines, nearest
+from ..operators import graph, intervals, lines, nearest
 from . import facts as fx
 from . import frames
 from .merging import types_of
@@ -19,6 +20,8 @@ from .merging import types_of
 #: Rows shown: for a finding, for one file of it, around a line, and code points of a line.
 PER_FINDING, PER_FILE, AROUND, WIDTH = 20, 3, 2, 200
 NEEDLES = 5
+#: Code points of documentation shown; lines by which a file's symbols are spread.
+EXCERPT, BUCKET = 2000, 256
 #: Lines above a finding's own in which an annotation counts.
 TYPED = 39
 
@@ -70,30 +73,53 @@ def references(findings: DataFrame, files: DataFrame) -> DataFrame:
     return listed.join(totals, "id").select("id", F.to_json(F.struct(F.transform("hits", lambda h: h["hit"]).alias("hits"), "total", "files")).alias("payload"))
 
 
+def optional(df: DataFrame, name: str, kind: str) -> Column:
+    """A column that a table need not have; null without it."""
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
+
+
+def enclosing(placed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(id, s, e, name): the smallest symbol around the line ``at`` of (id, path, at); of equals the one that starts first, then the least name. Symbols without an end have no inside."""
+    spans = symbols.where("line_start > 0 AND line_end >= line_start").select("path", F.struct(F.col("line_start").cast("long").alias("s"), F.col("line_end").cast("long").alias("e"), "name").alias("symbol"), F.col("line_start").cast("long").alias("s"), F.col("line_end").cast("long").alias("e"))
+    found = intervals.smallest_enclosing(placed, spans, "path", "at", "id", "symbol", "s", "e", BUCKET)
+    return found.select("id", "symbol.*")
+
+
+def _cut(ls: Column, first: Column, last: Column) -> Column:
+    """Lines by their numbers, both ends included, each to its width."""
+    return F.transform(F.slice(ls, first.cast("int"), F.greatest(last - first + 1, F.lit(0)).cast("int")), lambda x: F.substring(x, 1, 2 * WIDTH))
+
+
 def surrounding(findings: DataFrame, files: DataFrame, symbols: DataFrame, radius: int = 10) -> DataFrame:
-    """The lines around a finding, and the smallest symbol that encloses it; the first in order of equals."""
-    spans = symbols.select("path", F.col("name").alias("enclosing"), F.col("line_start").alias("s"), F.coalesce("line_end", "line_start").alias("e"))
-    placed = findings.where("line_start IS NOT NULL").select("id", "path", "line_start")
-    inside = placed.join(spans, "path").where(F.col("line_start").between(F.col("s"), F.col("e")))
-    best = inside.groupBy("id").agg(F.min_by("enclosing", F.struct(F.col("e") - F.col("s"), F.col("s"), F.col("enclosing"))).alias("enclosing"))
-    rows = placed.join(files.select("path", "text"), "path").join(best, "id", "left")
-    window = F.slice(line_array(F.col("text")), F.greatest(F.col("line_start") - radius, F.lit(1)), F.lit(2 * radius + 1))
-    numbered = F.transform(window, lambda x, i: F.concat_ws("\t", (i + F.greatest(F.col("line_start") - radius, F.lit(1))).cast("string"), x))
-    return rows.select("id", F.to_json(F.struct("enclosing", F.array_join(numbered, "\n").alias("code"))).alias("payload"))
+    """The lines around a finding: around its symbol where that is defined in the file, else around the line with the symbol's name that is nearest to the finding, else around its own lines.
+
+    Beside them the smallest symbol that encloses the place, unless it is the place. A finding without a line is about the first one.
+    """
+    placed = findings.select("id", "path", optional(findings, "symbol", "string").alias("symbol"), F.coalesce(F.col("line_start"), F.lit(1)).cast("long").alias("s0"), optional(findings, "line_end", "long").alias("e0"))
+    defined = symbols.where("line_start > 0").groupBy("path", F.col("name").alias("symbol")).agg(F.min(F.struct(F.col("line_start").cast("long").alias("s"), F.coalesce("line_end", "line_start").cast("long").alias("e"))).alias("own"))
+    rows = placed.join(defined, ["path", "symbol"], "left").join(files.select("path", T.universal_lines(F.col("text")).alias("ls")), "path").where(F.size("ls") > 0)
+    word = F.concat(F.lit(r"\b\Q"), "symbol", F.lit(r"\E\b"))
+    near = F.array_min(F.transform("ls", lambda x, i: F.when(F.rlike(x, word), F.struct(F.abs(i + 1 - F.col("s0")).alias("d"), (i + 1).cast("long").alias("at")))))
+    near = F.when(F.col("own").isNull() & (F.col("symbol") != ""), near)["at"]
+    rows = rows.withColumn("__near", near).select(
+        "id", "path", "ls", F.coalesce("own.s", "__near", "s0").alias("at"), F.coalesce("own.e", "__near", F.greatest("e0", "s0"), "s0").alias("to"),
+        F.when(F.coalesce("own.s", "__near").isNotNull(), "symbol").otherwise("lines").alias("anchor"),
+    )
+    around = rows.join(enclosing(rows.select("id", "path", "at"), symbols), "id", "left")
+    first, last = F.greatest(F.col("at") - radius, F.lit(1)), F.least(F.col("to") + radius, F.size("ls").cast("long"))
+    code = F.transform(_cut(F.col("ls"), first, last), lambda x, i: F.concat_ws("\t", (i + first).cast("string"), x))
+    named = F.when((F.col("s") != F.col("at")) | (F.col("e") != F.col("to")), F.col("name"))
+    return around.select("id", F.to_json(F.struct(first.alias("line_start"), last.alias("line_end"), "anchor", named.alias("enclosing"), F.array_join(code, "\n").alias("code"))).alias("payload"))
 
 
 def declared_intent(findings: DataFrame, files: DataFrame, symbols: DataFrame, before: int = 10, head: int = 15) -> DataFrame:
-    """What the code says it is for: the lines before a finding, and the first lines of the smallest symbol that encloses it."""
-    spans = symbols.select("path", F.col("line_start").alias("s"), F.coalesce("line_end", "line_start").alias("e"))
-    placed = findings.where("line_start IS NOT NULL").select("id", "path", "line_start")
-    inside = placed.join(spans, "path").where(F.col("line_start").between(F.col("s"), F.col("e")))
-    best = inside.groupBy("id").agg(F.min(F.struct((F.col("e") - F.col("s")).alias("n"), "s")).alias("m")).select("id", F.col("m.s").alias("s"))
-    rows = placed.join(files.select("path", "text"), "path").join(best, "id", "left")
-    text = line_array(F.col("text"))
-    first = F.greatest(F.col("line_start") - before, F.lit(1))
-    above = F.array_join(F.slice(text, first, F.col("line_start") - first), "\n")
-    begin = F.when(F.col("s").isNotNull(), F.array_join(F.slice(text, F.col("s"), F.lit(head)), "\n"))
-    return rows.select("id", F.to_json(F.struct(above.alias("before"), begin.alias("enclosing"))).alias("payload"))
+    """What the code says it is for: the lines before a finding, and the first lines of the smallest symbol that encloses it, none beyond its end."""
+    placed = findings.select("id", "path", F.coalesce(F.col("line_start"), F.lit(1)).cast("long").alias("at"))
+    rows = placed.join(files.select("path", T.universal_lines(F.col("text")).alias("ls")), "path").join(enclosing(placed, symbols), "id", "left")
+    first = F.greatest(F.col("at") - before, F.lit(1))
+    above = F.when(F.col("at") > 1, F.array_join(_cut(F.col("ls"), first, F.col("at") - 1), "\n"))
+    begin = F.when(F.col("s").isNotNull(), F.array_join(_cut(F.col("ls"), F.col("s"), F.least("e", F.col("s") + (head - 1))), "\n"))
+    return rows.where((F.size("ls") > 0) & ((F.col("at") > 1) | F.col("s").isNotNull())).select("id", F.to_json(F.struct(above.alias("before"), begin.alias("enclosing"))).alias("payload"))
 
 
 def inferred_types(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -127,10 +153,35 @@ def cited(findings: DataFrame, facts: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("name", "path"))).alias("cited")).select("id", F.to_json(F.struct("cited")).alias("payload"))
 
 
-def shadow_claims(findings: DataFrame, shadows: DataFrame) -> DataFrame:
-    """What the documentation of a finding's file says, its header lines left out."""
-    body = F.regexp_replace("text", r"^(?:@[\w-]+:[^\n]*\n)+\n?", "")
-    return findings.select("id", "path").join(shadows.select("path", body.alias("body")), "path").select("id", F.to_json(F.struct("body")).alias("payload"))
+def shadow_claims(findings: DataFrame, shadows: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+    """What documentation says about a finding's place: (file, scope, excerpt).
+
+    That of the finding's file; of its folder too where the finding is about a description. A finding about a description whose own path
+    has none gets that of the least scope around the sources it names (``shadow_ref``, and those ``search_terms`` with a slash that have some): a
+    file, the folder that all lie in, or else the root. ``folders`` has (folder, text), the root being the empty path.
+    """
+    text = F.coalesce("text", F.lit(""))
+    own = shadows.select("path", F.substring(text, 1, EXCERPT).alias("excerpt")).where("excerpt <> ''")
+    above = (folders if folders is not None else shadows.select(F.col("path").alias("folder"), "text").limit(0)).select("folder", F.substring(text, 1, EXCERPT).alias("excerpt")).where("excerpt <> ''")
+    rows = findings.select("id", T.normal_path(F.col("path")).alias("path"), (F.coalesce(optional(findings, "gap_type", "string"), F.lit("")) == "description").alias("described"), optional(findings, "shadow_ref", "string").alias("ref"), optional(findings, "search_terms", "array<string>").alias("terms"))
+    rows = rows.join(own.select("path", F.lit(True).alias("has")), "path", "left").withColumn("has", F.coalesce("has", F.lit(False)))
+    ref = F.translate("ref", "\\", "/")
+    terms = F.filter(F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda x: F.translate(x, "\\", "/")), lambda x: F.contains(x, F.lit("/")))
+    loose = rows.where("described AND NOT has")
+    known = loose.select("id", F.explode(F.array_distinct(terms)).alias("path")).join(own.select("path"), "path", "left_semi").select("id", "path")
+    named = known.union(loose.where(ref != "").select("id", ref.alias("path"))).distinct()
+    folder = F.regexp_replace("path", r"/?[^/]*$", "")
+    counted = named.groupBy("id").agg(F.count("*").alias("n"), F.min("path").alias("one"), F.countDistinct(folder).alias("n_folders"), F.min(folder).alias("folder"))
+    placed = loose.select("id").join(counted, "id", "left")
+    scope = F.when(F.col("n") == 1, "file").when(F.col("n_folders") == 1, "directory").otherwise("root")
+    placed = placed.select("id", scope.alias("scope"), F.when(scope == "file", F.col("one")).when(scope == "directory", F.col("folder")).otherwise("").alias("file"))
+    wanted = rows.where("has").select("id", F.lit("file").alias("scope"), F.col("path").alias("file")).union(placed)
+    # a description's folder counts beside its file; without any documentation of named sources it stands alone
+    files_ = wanted.where("scope = 'file'").join(own.withColumnRenamed("path", "file"), "file")
+    trees = wanted.where("scope <> 'file'").join(above.withColumnRenamed("folder", "file"), "file")
+    found = files_.select("id", "file", "scope", "excerpt").union(trees.select("id", "file", "scope", "excerpt"))
+    beside = rows.where("described").join(found.join(rows.where("NOT has").select("id"), "id", "left_semi").select("id").distinct(), "id", "left_anti").select("id", "path", folder.alias("folder")).join(above, "folder")
+    return found.union(beside.select("id", F.col("path").alias("file"), F.lit("directory").alias("scope"), "excerpt")).select("id", F.to_json(F.struct("file", "scope", "excerpt")).alias("payload"))
 
 
 def overlapping_claims(findings: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import plan_queries as pq
 from .functions import text as T
-from .plans import changes, detectors, reports
+from .plans import changes, detectors, evidence, reports
 from .plans import facts as fx
 from .queries import SQL, query, table
 from .sources import documents, repository, sidecars
@@ -212,3 +212,63 @@ def declared_dependencies(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set(text("part", F.col("l_partkey"), " == 1.0"))), "\n").alias("text"))
     files = single.union(lines.select(text("requirements-", F.col("l_suppkey"), ".txt").alias("path"), F.concat(F.lit("# parts\n"), "text").alias("text")))
     return repository.dependencies(repository.path_columns(files))
+
+
+# ---- evidence about places: modules of forty lines, of which a third of the findings are about a symbol and a third about a name
+
+
+def numbered_modules(spark, sf_dir) -> DataFrame:
+    line = lambda i: text("line ", i, " of ", F.col("k"), F.when(i == 15, text(" near", F.col("k"))).otherwise(""))
+    return pq.modules(spark, sf_dir).select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), line), "\n").alias("text"))
+
+
+def module_symbols(spark, sf_dir) -> DataFrame:
+    k = F.col("k")
+    one = lambda name, start, end, of=F.lit(True): F.when(of, F.struct(name.alias("name"), F.lit(start).alias("line_start"), F.lit(end).alias("line_end")))
+    return pq.modules(spark, sf_dir).select("path", F.inline(F.array_compact(F.array(one(text("fn", F.floor(k / 2)), 1, 10), one(text("Cls", k), 20, 40), one(text("Cls", k, ".run"), 22, 25, k % 2 == 0)))))
+
+
+def placed_findings(spark, sf_dir) -> DataFrame:
+    k = F.col("k")
+    symbol = F.when(k % 3 == 0, text("fn", F.floor(k / 2))).when(k % 3 == 1, text("near", k))
+    return pq.modules(spark, sf_dir).select(k.cast("string").alias("id"), "path", symbol.alias("symbol"), (k % 40 + 1).alias("line_start"), (k % 40 + 3).alias("line_end"))
+
+
+def told(found: DataFrame, *fields: str) -> DataFrame:
+    return found.select("id", *(F.get_json_object("payload", f"$.{f}").alias(f) for f in fields))
+
+
+SHOWN = "i || ' of ' || k || CASE WHEN i = 15 THEN ' near' || k ELSE '' END"
+AROUND = "CASE WHEN l BETWEEN 22 AND 25 AND k % 2 = 0 THEN ['Cls' || k || '.run', '22', '25'] WHEN l >= 20 THEN ['Cls' || k, '20', '40'] WHEN l <= 10 THEN ['fn' || (k // 2), '1', '10'] END"
+
+
+@query(f"""
+WITH {pq.MODULES}, f AS (SELECT k, CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 15 ELSE k % 40 + 1 END AS l, CASE k % 3 WHEN 0 THEN 10 WHEN 1 THEN 15 ELSE k % 40 + 3 END AS z FROM m),
+g AS (SELECT *, greatest(l - 10, 1) AS a, least(z + 10, 40) AS b, {AROUND} AS own FROM f)
+SELECT k::VARCHAR AS id, a::VARCHAR AS line_start, b::VARCHAR AS line_end, CASE WHEN k % 3 < 2 THEN 'symbol' ELSE 'lines' END AS anchor, CASE WHEN own[2]::INT <> l OR own[3]::INT <> z THEN own[1] END AS enclosing,
+array_to_string(list_transform(range(a, b + 1), lambda i: i || chr(9) || 'line ' || {SHOWN}), chr(10)) AS code FROM g""")
+def surrounding_code(spark, sf_dir):
+    found = evidence.surrounding(placed_findings(spark, sf_dir), numbered_modules(spark, sf_dir), module_symbols(spark, sf_dir))
+    return told(found, "line_start", "line_end", "anchor", "enclosing", "code")
+
+
+@query(f"""
+WITH {pq.MODULES}, f AS (SELECT *, {AROUND} AS own FROM (SELECT k, k % 40 + 1 AS l FROM m))
+SELECT k::VARCHAR AS id, CASE WHEN l > 1 THEN array_to_string(list_transform(range(greatest(l - 10, 1), l), lambda i: 'line ' || {SHOWN}), chr(10)) END AS before,
+CASE WHEN own IS NOT NULL THEN array_to_string(list_transform(range(own[2]::INT, least(own[3]::INT, own[2]::INT + 14) + 1), lambda i: 'line ' || {SHOWN}), chr(10)) END AS enclosing FROM f""")
+def declared_intent(spark, sf_dir):
+    return told(evidence.declared_intent(placed_findings(spark, sf_dir), numbered_modules(spark, sf_dir), module_symbols(spark, sf_dir)), "before", "enclosing")
+
+
+@query(f"""
+WITH {pq.MODULES} SELECT k::VARCHAR AS id, path AS file, 'file' AS scope, 'about ' || k AS excerpt FROM m WHERE k % 5 <> 0
+UNION ALL SELECT k::VARCHAR, path, 'directory', 'all of ' || g FROM m WHERE k % 4 = 1 AND k % 5 <> 0 AND g < '6' UNION ALL SELECT k::VARCHAR, '', 'root', 'all' FROM m WHERE k % 4 IN (1, 3) AND k % 5 = 0""")
+def documentation_scopes(spark, sf_dir):
+    """Findings in code, about descriptions in code, and in documents that name a source outright or among their terms."""
+    modules, k = pq.modules(spark, sf_dir), F.col("k")
+    shadows = modules.where("k % 5 <> 0").select("path", text("about ", k).alias("text"))
+    folders = modules.where("g < 6").select("g").distinct().select(text("src/pkg", F.col("g")).alias("folder"), text("all of ", F.col("g")).alias("text"))
+    folders = folders.union(table(spark, sf_dir, "region").select(F.lit("").alias("folder"), F.lit("all").alias("text")).distinct())
+    named = F.when(k % 4 == 3, F.array("path", text("src/pkg", F.col("g"), "/gone.py"), F.lit("word")))
+    found = modules.select(k.cast("string").alias("id"), F.when(k % 4 < 2, F.col("path")).otherwise(text("docs/", k, ".md")).alias("path"), F.when(k % 4 == 0, "dead_code").otherwise("description").alias("gap_type"), F.when(k % 4 == 2, F.col("path")).alias("shadow_ref"), named.alias("search_terms"))
+    return told(evidence.shadow_claims(found, shadows, folders), "file", "scope", "excerpt")

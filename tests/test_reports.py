@@ -122,6 +122,6 @@ def test_intent_and_types_of_findings(spark):
     symbols = spark.createDataFrame([("a.py", "Box", "class", 2, 5), ("a.py", "Box.put", "method", 4, 5)], "path string, name string, kind string, line_start int, line_end int")
     found = spark.createDataFrame([("i", "a.py", 5, "uses `Box` here"), ("j", "a.py", 7, "`Nothing`"), ("k", "a.py", None, "`Box`")], "id string, path string, line_start int, message string")
     intent = {r.id: json.loads(r.payload) for r in evidence.declared_intent(found, files, symbols).collect()}
-    assert intent == {"i": {"before": "# why\nclass Box:\n    # holds\n    def put(self):", "enclosing": "    def put(self):\n        pass\n\nx = 1"}, "j": {"before": "# why\nclass Box:\n    # holds\n    def put(self):\n        pass\n"}}
+    assert intent == {"i": {"before": "# why\nclass Box:\n    # holds\n    def put(self):", "enclosing": "    def put(self):\n        pass"}, "j": {"before": "# why\nclass Box:\n    # holds\n    def put(self):\n        pass\n"}}
     types = {r.id: json.loads(r.payload)["types"] for r in evidence.type_signatures(found, symbols, files).collect()}
     assert types == {x: [{"name": "Box", "path": "a.py", "snippet": "class Box:\n    # holds\n    def put(self):\n        pass"}] for x in ("i", "k")}
