@@ -189,22 +189,29 @@ def encode(
     rows = docs.select(*keep, common.text_of(text).cast("binary").alias("__text"))
     known_ranks = spark.sparkContext.broadcast(ranks)
 
+    def numbered(splitter: Splitter, table: pa.Table, block: int) -> pa.RecordBatch:
+        """A block of rows as numbers of distinct words, the words in order of their buckets; nothing else of it outlives the call."""
+        words, numbers, counts = splitter.words(table["__text"].to_pylist())
+        table = table.drop_columns(["__text"]).append_column("__count", pa.array(counts, pa.int64()))
+        bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
+        often = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
+        # numbers go by frequency, for their compression; the words' order by bucket follows from the buckets
+        place = np.empty(len(words), np.uint32)
+        place[often] = np.arange(len(words))
+        order = often[np.argsort(bucket[often], kind="stable")]
+        sizes = np.bincount(bucket, minlength=buckets)
+        sent = common.ragged(np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8), np.array([len(words[i]) for i in order.tolist()], np.uint32))
+        parts = (common.packed(table), common.squeezed(place[numbers]), common.squeezed(bucket[often]), sent, common.squeezed(sizes))
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["block", "rows", "numbers", "buckets", "words", "sizes"])
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of rows as numbers of distinct words, the words in order of their buckets."""
         task, splitter = TaskContext.get().partitionId(), Splitter(pattern)
         for k, table in enumerate(common.pieces(batches, BLOCK)):
-            words, numbers, counts = splitter.words(table["__text"].to_pylist())
-            table = table.drop_columns(["__text"]).append_column("__count", pa.array(counts, pa.int64()))
-            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(buckets)
-            often = np.argsort(-np.bincount(numbers, minlength=len(words)), kind="stable")
-            # numbers go by frequency, for their compression; the words' order by bucket follows from the buckets
-            place = np.empty(len(words), np.uint32)
-            place[often] = np.arange(len(words))
-            order = often[np.argsort(bucket[often], kind="stable")]
-            sizes = np.bincount(bucket, minlength=buckets)
-            sent = common.ragged(np.frombuffer(b"".join([words[i] for i in order.tolist()]), np.uint8), np.array([len(words[i]) for i in order.tolist()], np.uint32))
-            parts = (common.packed(table), common.squeezed(place[numbers]), common.squeezed(bucket[often]), sent, common.squeezed(sizes))
-            yield pa.RecordBatch.from_arrays([pa.array([task << 24 | k], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["block", "rows", "numbers", "buckets", "words", "sizes"])
+            made = numbered(splitter, table, task << 24 | k)
+            # a block's texts and words go back to the system before the next block's come
+            del table
+            common.release()
+            yield made
 
     base = rows.mapInArrow(common.lean(split), "block long, rows binary, numbers binary, buckets binary, words binary, sizes binary").repartition(buckets, "block")
 
