@@ -5,10 +5,13 @@ index of ``simhash`` gives a first part of the candidates only, and prefix filte
 text is the set of its shingles' hashes, the rarest first in one order for all texts. Two sets that
 reach the similarity share one of the first n - ceil(4/5 n) + 1 hashes of each, so the postings of those
 prefixes lack no pair. The order puts hashes that a sample of the texts has often last; it is a matter of
-speed, as any order gives all pairs. Postings of up to ``SMALL`` sets give all their pairs; larger ones first
-compare each set with a few leaders, then with the nearest set of another class, and then with all sets that the
-links so far leave in another class. There, pairs need sketches that are near enough: the parities of a set's
-hashes by their low bits, which two sets have different at most as often as there are hashes in one of them only.
+speed, as any order gives all pairs. Postings of up to ``SMALL`` sets give all their pairs; of larger ones no more
+than SMALL + 1 sets are ever brought together, and each set is compared with a few leaders. Sets of a larger posting
+that these links leave in different classes are cut into parts by the hashes' values, as many as the most hashes that two near
+sets of that size may not share, one more and some to spare. Near sets have the same hashes in all parts but those, so by
+the same rule for prefixes they share one of the first parts of each; parts of rare hashes come first. A part
+is several hashes at once, so texts that share frequent passages only rarely meet in one. Parts' postings go the same way, and
+where a large one still has several classes, its sets are joined with those of other classes by key.
 All candidates, the index's too, are verified on the whole sets, made again from the texts that a bitmap of their keys lets
 through. Classes are chains of links, as in ``simhash``.
 
@@ -24,41 +27,81 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from . import common
-from .simhash import components, links, majority, shingle_hashes
+from .simhash import SALTS, components, links, majority, shingle_hashes
 
 #: Words of a shingle; the similarity that links, as a fraction.
 WIDTH, NUM, DEN = 5, 4, 5
 #: Share of texts that are sampled for the order, sampled texts that make a hash frequent, frequent hashes at most.
 SAMPLE, OFTEN, FREQUENT = 8, 8, 20_000
-#: Sets of a posting that gives all pairs at once; leaders of a larger one; turns, the last one with all pairs that are left.
-SMALL, LEADERS, TURNS = 16, 4, 3
-#: Bytes of a sketch that postings hold at most, and how much wider it is than a set's own.
-SHORT, WIDER = 256, 4
-#: Pairs of a batch; bits of the bitmap of texts' keys, in Spark's buckets of 2^15.
+#: Sets of a posting that gives all pairs at once; leaders of a larger one.
+SMALL, LEADERS = 16, 4
+#: Pairs of a batch; bits of a bitmap of keys, in Spark's buckets of 2^15.
 PAIRS, CELLS = 1 << 16, 1 << 26
 
 
+def _bounds() -> np.ndarray:
+    """The least size of each level of sizes: a set and a larger one that is near are of one level or of neighbouring ones."""
+    found = [1]
+    while found[-1] < 1 << 31:
+        found.append(DEN * found[-1] // NUM + 1)
+    return np.array(found, np.int64)
+
+
+BOUNDS = _bounds()
+
+
 def shingle_set(data: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(data, WIDTH))
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The first of a set's hashes: rare ones, then frequent ones by rank. frequent: ascending."""
-    size = len(found) - (NUM * len(found) + DEN - 1) // DEN + 1
-    if len(frequent) and len(found):
-        place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-        found = found[np.argsort(np.where(frequent[place] == found, ranks[place] + 1, 0), kind="stable")]
-    return found[:size]
+def places(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """0 for a set's rare hashes, the rank and one more for frequent ones. frequent: ascending."""
+    if not len(frequent) or not len(found):
+        return np.zeros(len(found), np.int64)
+    place = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
+    return np.where(frequent[place] == found, ranks[place] + 1, 0)
 
 
-def sketch(found: np.ndarray, limit: int = 1 << 60, wider: int = 1) -> bytes:
-    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size, times ``wider``; ``limit`` bytes at most."""
-    size = min(8 * limit, wider * max(64, 1 << (len(found) - 1).bit_length())) if len(found) else 64
+def prefix(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The first of a set's hashes: rare ones, then frequent ones by rank."""
+    size = len(found) - (NUM * len(found) + DEN - 1) // DEN + 1
+    return found[np.argsort(places(found, frequent, ranks), kind="stable")][:size]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def parts_of(found: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The keys of a set's first parts, as the smaller and as the larger one of a near pair."""
+    keys, own = [], int(np.searchsorted(BOUNDS, len(found), side="right")) - 1
+    place, split = places(found, frequent, ranks), _mixed(found)
+    # a rare hash weighs more than any number of frequent ones that a part is likely to have
+    weights = np.where(place == 0, 4 * (len(frequent) + 2), len(frequent) + 2 - place).astype(np.float64)
+    for level in (own, own - 1):
+        most = int(BOUNDS[level + 1]) - 1
+        if level < 0 or NUM * len(found) > DEN * most:
+            continue
+        apart = most * (DEN - NUM) // NUM
+        count = apart + 1 + -(-apart // 4)
+        part = (split % np.uint64(count)).astype(np.int64)
+        sums = np.zeros(count, np.uint64)
+        np.add.at(sums, part, _mixed(split + np.uint64(1)))
+        key = _mixed(sums + _mixed(np.arange(1, count + 1, dtype=np.uint64) + np.uint64(level << 32)))
+        keys.append(key[np.lexsort((key, -np.bincount(part, weights, minlength=count)))[: apart + 1]])
+    return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the number of hashes by their low bits, as many as a power of two that is no less than the set's size."""
+    size = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
     parities = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(parities.astype(np.uint8), bitorder="little").tobytes()
 
@@ -91,10 +134,9 @@ def frequent_hashes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], (len(top) - order).astype(np.int64)
 
 
-def text_rows(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, node, n, prefix, sketch, short, fp): each row's set by its own hash, its size, prefix and sketches, and the fingerprint."""
-    frequent, ranks = frequent_hashes(rows)
-    schema = StructType([rows.schema["doc_id"]]).add("key", "long").add("node", "long").add("n", "integer").add("prefix", ArrayType(LongType())).add("sketch", "binary").add("short", "binary").add("fp", "long")
+def text_rows(rows: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """(doc_id, key, node, n, prefix, sketch, fp): each row's set by its own hash, its size, prefix and sketch, and the fingerprint."""
+    schema = StructType([rows.schema["doc_id"]]).add("key", "long").add("node", "long").add("n", "integer").add("prefix", ArrayType(LongType())).add("sketch", "binary").add("fp", "long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,62 +145,30 @@ def text_rows(rows: DataFrame) -> DataFrame:
             sets = list(map(np.unique, hashes))
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             first = pa.array([prefix(s, frequent, ranks).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary()), pa.array([sketch(x, SHORT, WIDER) for x in sets], pa.binary()), pa.array(prints)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(nodes), pa.array(list(map(len, sets)), pa.int32()), first, pa.array(map(sketch, sets), pa.binary()), pa.array(prints)], names=schema.names)
 
     return rows.mapInArrow(common.lean(each), schema)
 
 
-def posting_pairs(nodes: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a posting's sets that are near enough in size; of all, or with the leaders of a large posting."""
+def posting_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a posting's sets of different labels that are near enough in size."""
     order = np.lexsort((nodes, sizes))
-    nodes, sizes = nodes[order], sizes[order].astype(np.int64)
-    if len(nodes) <= SMALL:
-        stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
-        for i in range(len(nodes)):
-            yield np.full(stops[i] - i - 1, nodes[i]), nodes[i + 1 : stops[i]]
-    else:
-        mixed = nodes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for i in np.argsort(mixed ^ (mixed >> np.uint64(29)))[:LEADERS]:
-            other = np.flatnonzero((nodes != nodes[i]) & (NUM * np.maximum(sizes, sizes[i]) <= DEN * np.minimum(sizes, sizes[i])))
-            yield np.full(len(other), nodes[i]), nodes[other]
-
-
-def folded(sketches: list[bytes], width: int) -> np.ndarray:
-    """The sketches as rows of ``width`` bytes."""
-    out = np.empty((len(sketches), width // 8), np.uint64)
-    for k, x in enumerate(sketches):
-        own = np.frombuffer(x, np.uint64)
-        while len(own) > width // 8:
-            own = own[: len(own) // 2] ^ own[len(own) // 2 :]
-        out[k] = own
-    return out
-
-
-def class_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, sketches: list[bytes], nearest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a posting's sets of different classes that sizes and sketches let through; of each set only the nearest larger one, if so asked."""
-    order = np.lexsort((nodes, sizes))
-    nodes, sizes, labels, sketches = nodes[order], sizes[order].astype(np.int64), labels[order], [sketches[i] for i in order]
+    nodes, sizes, labels = nodes[order], sizes[order].astype(np.int64), labels[order]
     stops = np.searchsorted(NUM * sizes, DEN * sizes, side="right")
-    widths = np.fromiter(map(len, sketches), np.int64, len(sketches))
-    for width in np.unique(widths).tolist():
-        # the sets of this width, and those of twice the width that can be near in size
-        first, last = np.searchsorted(widths, width), np.searchsorted(widths, width, side="right")
-        own = folded(sketches[first : int(stops[first:last].max())], width)
-        for i in range(first, last):
-            other = np.arange(i + 1, stops[i])
-            other = other[labels[other] != labels[i]]
-            if not len(other):
-                continue
-            apart = np.bitwise_count(own[other - first] ^ own[i - first]).sum(axis=1, dtype=np.int64)
-            near = (DEN + NUM) * apart <= (DEN - NUM) * (sizes[other] + sizes[i])
-            other, apart = other[near], apart[near]
-            if nearest and len(other):
-                other = other[[apart.argmin()]]
-            yield np.full(len(other), nodes[i]), nodes[other]
-
-
-def candidates(postings: DataFrame, turn: int) -> DataFrame:
-    """(a, b), a < b: pairs to verify. postings: (members: node and n, and label and a short sketch after the first turn)."""
+    for i in range(len(nodes)):
+        other = np.flatnonzero(labels[i + 1 : stops[i]] != labels[i]) + i + 1
+        yield np.full(len(other), nodes[i]), nodes[other]
+
+
+def postings(members: DataFrame) -> DataFrame:
+    """(key, members): of each key SMALL + 1 sets at most, the least by their nodes' hashes; keys of one set only are left out. members: (key, node, n, label)."""
+    place = F.dense_rank().over(Window.partitionBy("key").orderBy("mix", "node"))
+    least = members.withColumn("mix", F.xxhash64("node")).withColumn("place", place).where(F.col("place") <= SMALL + 1)
+    return least.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("mix", "node", "n", "label"))).alias("members")).where(F.size("members") > 1)
+
+
+def small_pairs(posted: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of all postings that are whole."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -171,20 +181,48 @@ def candidates(postings: DataFrame, turn: int) -> DataFrame:
         for batch in batches:
             members = batch["members"]
             ends, flat = members.offsets.to_numpy(), members.values
-            nodes, sizes, labels = (flat.field(k).to_numpy() for k in ("node", "n", "label" if turn else "node"))
+            nodes, sizes, labels = (flat.field(k).to_numpy() for k in ("node", "n", "label"))
             for start, stop in zip(ends[:-1], ends[1:], strict=True):
-                at = slice(start, stop)
-                of = class_pairs(nodes[at], sizes[at], labels[at], flat.field("sketch").slice(start, stop - start).to_pylist(), turn < TURNS - 1) if turn else posting_pairs(nodes[at], sizes[at])
-                for pair in of:
+                for pair in posting_pairs(nodes[start:stop], sizes[start:stop], labels[start:stop]):
                     held.append(pair)
                     count += len(pair[0])
-                    if count >= PAIRS:
-                        yield batch_of()
-                        held, count = [], 0
+                if count >= PAIRS:
+                    yield batch_of()
+                    held, count = [], 0
         if count:
             yield batch_of()
 
-    return postings.select("members").mapInArrow(common.lean(each), "a long, b long").distinct()
+    return posted.where(F.size("members") <= SMALL).select("members").mapInArrow(common.lean(each), "a long, b long").distinct()
+
+
+def crowded(members: DataFrame, posted: DataFrame) -> DataFrame:
+    """(key, node, n, label, leaders): the members of large postings. A frequent key's members are dealt out by salts."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    large = posted.where(F.size("members") > SMALL).select("key", F.slice("members", 1, LEADERS).alias("leaders"), salts)
+    return members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(large, ["key", "salt"]).drop("salt")
+
+
+def _near_in_size(n: str, m: str) -> F.Column:
+    return NUM * F.greatest(n, m) <= DEN * F.least(n, m)
+
+
+def leader_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b), a < b: each set of a large posting with the posting's leaders of other labels."""
+    each = crowd.select("node", "n", "label", F.explode("leaders").alias("leader"))
+    near = each.where((F.col("label") != F.col("leader.label")) & _near_in_size("n", "leader.n"))
+    return near.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b")).distinct()
+
+
+def mixed_keys(crowd: DataFrame) -> DataFrame:
+    """(key): those whose sets have several labels."""
+    return crowd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+
+
+def joined_pairs(crowd: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of one key's sets that have different labels and are near enough in size."""
+    left, right = (crowd.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _near_in_size("n_a", "n_b"))
+    return near.select("a", "b").distinct()
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -220,18 +258,56 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return _with_both(pairs, sets, "hashes").mapInArrow(common.lean(each), "a long, b long")
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, hashes) of the wanted (doc_id, key, node), once each."""
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """A bitmap, always of CELLS bits, of the column ``key``."""
     cell = F.pmod("key", F.lit(CELLS))
-    marks = wanted.select(F.shiftright(cell, 15).alias("bucket"), F.pmod(cell, F.lit(1 << 15)).alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
+    marks = keys.select(F.shiftright(cell, 15).alias("bucket"), F.pmod(cell, F.lit(1 << 15)).alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bits"))
     bitmap = np.zeros(CELLS >> 3, np.uint8)
-    for r in marks.collect():
+    for r in marks.toLocalIterator():
         bitmap[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cells = keys % CELLS
+    return (bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def prefix_members(found: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """(key, node, n, label): the places of prefixes whose hash the bitmap has; each set has a label of its own."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["prefix"]
+            keys = lists.flatten().to_numpy()
+            at = in_bitmap(bitmap, keys)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[at]
+            nodes, sizes = batch["node"].to_numpy()[row], batch["n"].to_numpy()[row]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(nodes), pa.array(sizes), pa.array(nodes)], names=["key", "node", "n", "label"])
+
+    return found.select("node", "n", "prefix").mapInArrow(common.lean(each), "key long, node long, n int, label long")
+
+
+def part_members(sets: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """(key, node, n): the first parts of the sets (node, hashes)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, x in zip(batch["node"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+                found = np.frombuffer(x, np.uint64)
+                keys = parts_of(found, frequent, ranks).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(found), np.int32))], names=["key", "node", "n"])
+
+    return sets.mapInArrow(common.lean(each), "key long, node long, n int")
+
+
+def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, hashes) of the wanted (doc_id, key, node), once each."""
+    bitmap = bitmap_of(wanted)
 
     def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch["key"].to_numpy() % CELLS
-            yield batch.filter(pa.array((bitmap[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)))
+            yield batch.filter(pa.array(in_bitmap(bitmap, batch["key"].to_numpy())))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,9 +320,9 @@ def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(common.lean(each), "node long, hashes binary").dropDuplicates(["node"])
 
 
-def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, sketched_: bool = False) -> DataFrame:
-    """The pairs that reach the similarity, by sketches first unless the pairs come from them."""
-    near = common.stored(pairs if sketched_ else sketched(pairs, nodes), "near")
+def linked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that reach the similarity, by sketches first."""
+    near = common.stored(sketched(pairs, nodes), "near")
     wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
     wanted = common.stored(nodes.select("node", "doc_id", "key").join(wanted, "node"), "wanted")
     return verified(near, common.stored(sets_of(rows, wanted), "sets"))
@@ -262,31 +338,45 @@ def index_pairs(nodes: DataFrame) -> DataFrame:
     return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).union(equal)
 
 
-def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, label) of the sets that are linked to another. nodes: (node, n, sketch, short, fp, doc_id, key), the last two of a row that has the set."""
-    members = found.select(F.explode("prefix").alias("hash"), F.struct("node", "n").alias("member"))
-    postings = common.stored(members.groupBy("hash").agg(F.collect_set("member").alias("members")).where(F.size("members") > 1), "postings")
-    edges = common.stored(linked(rows, nodes, candidates(postings, 0).union(index_pairs(nodes)).distinct()), "links")
-    large = postings.where(F.size("members") > SMALL)
-    for turn in range(1, 1 if large.isEmpty() else TURNS):
-        labels = components(edges).withColumnRenamed("label", "now")
-        spots = large.select("hash", F.explode("members.node").alias("node")).join(nodes.select("node", "n", "short"), "node").join(labels, "node", "left")
-        member = F.struct("node", "n", F.coalesce("now", "node").alias("label"), F.col("short").alias("sketch"))
-        split = spots.groupBy("hash").agg(F.collect_list(member).alias("members")).where(F.size(F.array_distinct("members.label")) > 1)
-        new = common.stored(linked(rows, nodes, candidates(split, turn), True), "links")
-        edges = edges.union(new)
-    return components(edges)
+def relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with these labels, or their own nodes."""
+    return members.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
+    """(node, label) of the sets that are linked to another. nodes: (node, n, sketch, fp, doc_id, key), the last two of a row that has the set."""
+    posted = common.stored(postings(found.select(F.explode("prefix").alias("key"), "node", "n", F.col("node").alias("label"))), "postings")
+    crowd = common.stored(crowded(prefix_members(found, bitmap_of(posted.where(F.size("members") > SMALL))), posted), "crowd")
+    edges = common.stored(linked(rows, nodes, small_pairs(posted).union(leader_pairs(crowd)).union(index_pairs(nodes)).distinct()), "links")
+    labels = components(edges)
+    if crowd.isEmpty():
+        return labels
+    now = common.stored(relabelled(crowd.select("key", "node").distinct(), labels), "crowd")
+    open_ = common.stored(nodes.select("node", "doc_id", "key").join(now.join(mixed_keys(now), "key", "left_semi").select("node").distinct(), "node", "left_semi"), "open")
+    sets = common.stored(sets_of(rows, open_), "sets")
+    parts = common.stored(relabelled(part_members(sets, frequent, ranks), labels), "parts")
+    posted = common.stored(postings(parts), "postings")
+    crowd = common.stored(crowded(parts, posted), "crowd")
+    near = common.stored(sketched(small_pairs(posted).union(leader_pairs(crowd)).distinct(), nodes), "near")
+    edges = common.stored(edges.union(verified(near, sets)), "links")
+    labels = components(edges)
+    if crowd.isEmpty():
+        return labels
+    now = common.stored(relabelled(crowd.select("key", "node", "n"), labels), "crowd")
+    near = common.stored(sketched(joined_pairs(now.join(mixed_keys(now), "key", "left_semi")), nodes), "near")
+    return components(edges.union(verified(near, sets)))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents, one of each class: a row of its least doc_id (null if it has no other)."""
     common.tune(docs.sparkSession)
     rows = _keyed(docs)
-    found = common.stored(text_rows(rows), "texts")
+    frequent, ranks = frequent_hashes(rows)
+    found = common.stored(text_rows(rows, frequent, ranks), "texts")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
-    own = [F.min(c).alias(c) for c in ("n", "sketch", "short", "fp")]
-    nodes = common.stored(found.groupBy("node").agg(least, *own).select("node", "n", "sketch", "short", "fp", "least.doc_id", "least.key"), "nodes")
-    labels = near_labels(rows, found, nodes)
+    own = [F.min(c).alias(c) for c in ("n", "sketch", "fp")]
+    nodes = common.stored(found.groupBy("node").agg(least, *own).select("node", "n", "sketch", "fp", "least.doc_id", "least.key"), "nodes")
+    labels = near_labels(rows, found, nodes, frequent, ranks)
     first = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(least)
     winners = common.stored(first.select(F.col("least.doc_id").alias("__id"), F.col("least.key").alias("__key")), "winners")
     wide = common.boxed(docs, "doc_id", "text").select(common.ROW, "doc_id", F.xxhash64(common.text_of()).alias("key"))

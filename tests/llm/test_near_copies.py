@@ -90,19 +90,48 @@ def test_sketches_keep_all_similar_pairs():
     assert not near_copies.may_reach(300, 300, *map(near_copies.sketch, far))
 
 
-def test_class_pairs_lack_no_similar_pair():
+def test_parts_of_similar_sets_meet():
     rng = np.random.default_rng(6)
-    sets = []
-    for n in (30, 70, 200, 3000):
-        base = rng.integers(0, 2**63, n, np.uint64)
-        sets += [np.unique(np.concatenate([base[int(rng.integers(0, n // 6 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 8 + 1)), np.uint64)])) for _ in range(25)]
-    nodes, sizes = np.arange(len(sets)), np.array(list(map(len, sets)))
-    labels = rng.integers(0, 60, len(sets))
-    short = [near_copies.sketch(x, near_copies.SHORT, near_copies.WIDER) for x in sets]
-    similar = set()
-    for i, j in combinations(range(len(sets)), 2):
-        both = len(np.intersect1d(sets[i], sets[j]))
-        if labels[i] != labels[j] and 5 * both >= 4 * (sizes[i] + sizes[j] - both):
-            similar.add((i, j))
-    pairs = [{(min(a, b), max(a, b)) for x, y in near_copies.class_pairs(nodes, sizes, labels, short, nearest) for a, b in zip(x.tolist(), y.tolist(), strict=True)} for nearest in (False, True)]
-    assert similar and similar <= pairs[0] and pairs[1] <= pairs[0] and all(labels[i] != labels[j] for i, j in pairs[0])
+    for n in (1, 3, 4, 5, 6, 9, 10, 57, 300, 3000):
+        for _ in range(30):
+            pool = rng.integers(0, 2**63, 2 * n, np.uint64)
+            less, more = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[less:n], pool[n : n + more]]))
+            frequent = np.sort(rng.permutation(pool)[: int(rng.integers(0, n + 1))])
+            ranks = rng.permutation(len(frequent)) + 1
+            both = len(np.intersect1d(a, b))
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                assert len(np.intersect1d(near_copies.parts_of(a, frequent, ranks), near_copies.parts_of(b, frequent, ranks)))
+    assert not len(near_copies.parts_of(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2))
+
+
+def test_texts_of_frequent_passages_rarely_share_a_part():
+    rng = np.random.default_rng(7)
+    passages = rng.integers(0, 2**63, (400, 12), np.uint64)
+    sets = [np.unique(passages[rng.choice(400, 30, replace=False)]) for _ in range(200)]
+    frequent = np.unique(passages)
+    ranks = np.arange(len(frequent)) + 1
+    parts = [set(near_copies.parts_of(x, frequent, ranks).tolist()) for x in sets]
+    prefixes = [set(near_copies.prefix(x, frequent, ranks).tolist()) for x in sets]
+    met, before = (sum(bool(a & b) for a, b in combinations(x, 2)) for x in (parts, prefixes))
+    assert 10 * met < before
+
+
+def test_large_postings_are_never_brought_together(spark):
+    members = spark.range(5000).selectExpr("id % 2 key", "id node", "10 n", "id label").union(spark.createDataFrame([(2, 1, 10, 1), (3, 1, 10, 1), (3, 2, 10, 2)], "key long, node long, n int, label long"))
+    posted = near_copies.postings(members.union(members))
+    assert {r.key: len(r.members) for r in posted.collect()} == {0: near_copies.SMALL + 1, 1: near_copies.SMALL + 1, 3: 2}
+    crowd = near_copies.crowded(members, posted)
+    assert crowd.count() == 5000
+    pairs = near_copies.leader_pairs(crowd).collect()
+    assert len(pairs) <= 5000 * near_copies.LEADERS and {x for p in pairs for x in p} == set(range(5000))
+
+
+def test_all_turns_keep_one_of_each_class(spark, monkeypatch):
+    """With postings that are large from three sets on, most links come from parts."""
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    monkeypatch.setattr(near_copies, "LEADERS", 1)
+    rows = planted()
+    rows += [(len(rows) + k, f"{t} {t}"[:-k], "en", "a", 1) for k, (_, t, *_) in enumerate(rows[:40], 1)]
+    kept = near_copies.deduplicated(table(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == kept_by_brute_force(rows)
