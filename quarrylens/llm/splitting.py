@@ -15,6 +15,8 @@ COMMON = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 ASCII = bytes(range(128))
 #: Latin letters beyond ASCII.
 LETTERS = frozenset(c for c in map(chr, range(128, 0x250)) if unicodedata.category(c)[0] == "L")
+#: Bytes of texts whose words' starts are found at once, unless a single text is longer.
+STRETCH = 1 << 20
 #: Byte classes: other signs, letters (all beyond ASCII), digits, white space.
 OTHER, LETTER, DIGIT, BLANK, EDGE = range(5)
 CLASS = np.zeros(256, np.uint8)
@@ -59,30 +61,39 @@ def _plain_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarra
         return [], np.zeros(0, np.int32), np.zeros(0, np.int64)
     data = b"".join(texts)
     buf = np.frombuffer(data, np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    begins = np.append(0, ends[:-1])
+    # whole texts of some STRETCH bytes at a time, as the starts take many times the memory of the texts on the way
+    cuts = np.flatnonzero(np.diff(begins // STRETCH, prepend=-1)).tolist()
+    found = [_word_starts(buf[begins[a] : ends[b - 1]], ends[a:b] - begins[a]) + begins[a] for a, b in zip(cuts, [*cuts[1:], len(texts)], strict=True)]
+    found.append(np.array([len(buf)], np.int64))
+    offsets = np.concatenate(found)
+    del found
+    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    counts = np.diff(np.append(np.searchsorted(offsets[:-1], begins), len(offsets) - 1))
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
+
+
+def _word_starts(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the words of texts start that end there."""
     own = CLASS[buf]
     before = np.empty_like(own)
     before[1:] = own[:-1]
-    ends = np.cumsum([len(t) for t in texts])
-    begins = np.append(0, ends[:-1])
-    before[begins] = EDGE
+    before[np.append(0, ends[:-1])] = EDGE
     blank = own == BLANK
     # a run of one class starts a word, with the single space before it if there is one
     first = np.flatnonzero(~blank & (own != before))
     first -= (before[first] == BLANK) & (buf[first - 1] == 32)
     # a run of white space is a word but for its last sign; that goes with what follows if it is a space, else by itself
     run = np.flatnonzero(blank & (before != BLANK))
-    stops = np.flatnonzero(~blank)
+    stops = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     stop = np.append(stops, len(buf))[np.searchsorted(stops, run)]
     edge = ends[np.searchsorted(ends, run, side="right")]
     last = stop >= edge
     stop = np.minimum(stop, edge)
     alone = ~last & (buf[stop - 1] != 32)
     starts = np.sort(np.concatenate([first, run[last | (stop - run > 1)], stop[alone] - 1]))
-    starts = starts[np.append(True, starts[1:] != starts[:-1])]
-    offsets = np.append(starts, len(buf)).astype(np.int64)
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-    counts = np.diff(np.append(np.searchsorted(starts, begins), len(starts)))
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), counts
+    return starts[np.append(True, starts[1:] != starts[:-1])]
 
 
 def gathered(flat: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
