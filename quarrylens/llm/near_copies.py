@@ -161,10 +161,9 @@ def posting_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> I
 
 
 def postings(members: DataFrame) -> DataFrame:
-    """(key, members): of each key SMALL + 1 sets at most, the least by their nodes' hashes; keys of one set only are left out. members: (key, node, n, label)."""
-    place = F.dense_rank().over(Window.partitionBy("key").orderBy("mix", "node"))
-    least = members.withColumn("mix", F.xxhash64("node")).withColumn("place", place).where(F.col("place") <= SMALL + 1)
-    return least.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("mix", "node", "n", "label"))).alias("members")).where(F.size("members") > 1)
+    """(key, members): of each key SMALL + 1 sets at most, those of the least nodes, which are hashes; keys of one set only are left out. members: (key, node, n, label)."""
+    least = members.withColumn("place", F.dense_rank().over(Window.partitionBy("key").orderBy("node"))).where(F.col("place") <= SMALL + 1)
+    return least.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n", "label"))).alias("members")).where(F.size("members") > 1)
 
 
 def small_pairs(posted: DataFrame) -> DataFrame:
@@ -288,17 +287,20 @@ def prefix_members(found: DataFrame, bitmap: np.ndarray) -> DataFrame:
     return found.select("node", "n", "prefix").mapInArrow(common.lean(each), "key long, node long, n int, label long")
 
 
-def part_members(sets: DataFrame, frequent: np.ndarray, ranks: np.ndarray) -> DataFrame:
-    """(key, node, n): the first parts of the sets (node, hashes)."""
+def part_members(sets: DataFrame, frequent: np.ndarray, ranks: np.ndarray, bitmap: np.ndarray | None = None) -> DataFrame:
+    """(key, node, n, label): the first parts of the sets (node, hashes, label), those that the bitmap has if one is given."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, x in zip(batch["node"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
+            for node, x, label in zip(*(batch[c].to_pylist() for c in ("node", "hashes", "label")), strict=True):
                 found = np.frombuffer(x, np.uint64)
                 keys = parts_of(found, frequent, ranks).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), node)), pa.array(np.full(len(keys), len(found), np.int32))], names=["key", "node", "n"])
+                if bitmap is not None:
+                    keys = keys[in_bitmap(bitmap, keys)]
+                columns = (keys, np.full(len(keys), node), np.full(len(keys), len(found), np.int32), np.full(len(keys), label))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["key", "node", "n", "label"])
 
-    return sets.mapInArrow(common.lean(each), "key long, node long, n int")
+    return sets.mapInArrow(common.lean(each), "key long, node long, n int, label long")
 
 
 def sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -353,10 +355,10 @@ def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame, frequent: n
         return labels
     now = common.stored(relabelled(crowd.select("key", "node").distinct(), labels), "crowd")
     open_ = common.stored(nodes.select("node", "doc_id", "key").join(now.join(mixed_keys(now), "key", "left_semi").select("node").distinct(), "node", "left_semi"), "open")
-    sets = common.stored(sets_of(rows, open_), "sets")
-    parts = common.stored(relabelled(part_members(sets, frequent, ranks), labels), "parts")
-    posted = common.stored(postings(parts), "postings")
-    crowd = common.stored(crowded(parts, posted), "crowd")
+    sets = common.stored(relabelled(sets_of(rows, open_), labels), "sets")
+    # parts are made twice rather than stored, the second time those of large postings only
+    posted = common.stored(postings(part_members(sets, frequent, ranks)), "postings")
+    crowd = common.stored(crowded(part_members(sets, frequent, ranks, bitmap_of(posted.where(F.size("members") > SMALL))), posted), "crowd")
     near = common.stored(sketched(small_pairs(posted).union(leader_pairs(crowd)).distinct(), nodes), "near")
     edges = common.stored(edges.union(verified(near, sets)), "links")
     labels = components(edges)
