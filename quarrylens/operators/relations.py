@@ -31,13 +31,34 @@ def union_of(parts: dict[str, DataFrame], kind: str = "kind") -> DataFrame:
     return reduce(DataFrame.unionByName, (df.withColumn(kind, F.lit(name)) for name, df in parts.items()))
 
 
+#: Lengths of the pieces by which short passages are looked up, longest last.
+PIECES = (1, 2, 3, 6, 12, 24)
+
+
+def _by_pieces(texts: DataFrame, short: DataFrame, widths: list[int]) -> DataFrame:
+    """(__k, __p): texts (__k, __text) with a word that contains the word ``__w`` of a passage (__p, __w).
+
+    A passage is looked up by the piece of its word, of the greatest width that fits, that fewest passages have, so a beginning that
+    all share brings nothing together; pieces are made of distinct words, not of every text.
+    """
+    fits = F.greatest(*(F.when(F.length("__w") >= w, F.lit(w)) for w in widths)) if len(widths) > 1 else F.lit(widths[0])
+    pieces = F.transform(F.sequence(F.lit(1), F.length("__w") - F.col("__width") + 1), lambda i: F.substring("__w", i, F.col("__width")))
+    spread = short.select("__w").distinct().withColumn("__width", fits).select("__w", F.explode(F.array_distinct(pieces)).alias("__piece"))
+    often = spread.groupBy("__piece").agg(F.count("*").alias("__often"))
+    chosen = spread.join(often.hint("merge"), "__piece").groupBy("__w").agg(F.min(F.struct("__often", "__piece")).alias("m")).select("__w", F.col("m.__piece").alias("__piece"))
+    words = texts.select("__k", F.explode(F.array_distinct(F.split("__text", " ", -1))).alias("__word")).where("__word <> ''")
+    held = F.flatten(F.array(*(F.regexp_extract_all("__word", F.lit(f"(?=([^ ]{{{w}}}))"), F.lit(1)) for w in widths)))
+    met = words.select("__word").distinct().select("__word", F.explode(F.array_distinct(held)).alias("__piece")).join(chosen.hint("merge"), "__piece").where(F.contains("__word", F.col("__w"))).select("__word", "__w")
+    return words.join(met.hint("merge"), "__word").select("__k", "__w").distinct().join(short.hint("merge"), "__w").select("__k", "__p")
+
+
 def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str, text: str = "text", passage: str = "text") -> DataFrame:
     """(key, passage_key): which texts contain which passages.
 
     All words of a passage but its first and last stand whole in a text that contains it, so the second to fifth
-    (of shorter ones the second) are joined first and the rest is checked; passages of one or two words are
-    joined by the first three signs of their longest word, which lie in one word of the text. No passage is compared with
-    all texts, but for those of spaces only.
+    (of shorter ones the second) are joined first and the rest is checked; the longest word of passages of one or two words
+    lies in one word of the text, and is looked up there by a rare piece of it. No passage is compared with all texts, but for those of
+    spaces only.
     """
     given = passages.select(F.col(passage_key).alias("__p"), F.col(passage).alias("__passage")).where(F.length("__passage") > 0)
     size = F.size(F.split("__passage", " ", -1))
@@ -47,25 +68,29 @@ def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str
     def runs(width: int) -> Column:
         return F.when(F.size(tokens) >= width, F.transform(F.sequence(F.lit(1), F.size(tokens) - (width - 1)), lambda i: F.array_join(F.slice(tokens, i, width), " "))).otherwise(F.array().cast("array<string>"))
 
-    def signs(width: int) -> Column:
-        return F.regexp_extract_all("__text", F.lit(f"(?=([^ ]{{{width}}}))"), F.lit(1))
-
     words = F.split("__passage", " ", -1)
     longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     kinds = [(size >= 6, F.array_join(F.slice(words, 2, 4), " "), runs(4)), (size.between(3, 5) & (F.get(words, F.lit(1)) != ""), F.get(words, F.lit(1)), tokens)]
     rest = ~kinds[0][0] & ~kinds[1][0]
-    kinds += [(rest & (longest["n"] >= k if k == 3 else longest["n"] == k), F.substring(longest["w"], 1, k), signs(k)) for k in (1, 2, 3)]
     kinds += [(rest & (longest["n"] == 0), F.lit(" "), F.when(F.contains("__text", F.lit(" ")), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))]
-    counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds))).head()
+    pieced = [rest & (longest["n"] >= w) & (longest["n"] < above) for w, above in zip(PIECES, (*PIECES[1:], 2**31 - 1), strict=True)]
+    counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds)), *(F.count_if(of).alias(f"w{w}") for w, of in zip(PIECES, pieced, strict=True))).head()
     found = own.select("__k", F.lit(None).cast(given.schema["__p"].dataType).alias("__p")).limit(0)
+    whole = found
     for k, (of, anchor, spread) in enumerate(kinds):
         if counts[k]:  # only keys go through the join of all anchors
             split = own.withColumn("__tokens", F.split("__text", " ", -1)).where(F.size("__tokens") > 0)  # a column of its own, so that texts are split once
             held = split.select("__k", F.explode(F.array_distinct(spread)).alias("__anchor"))
             found = found.union(held.join(given.where(of).select("__p", anchor.alias("__anchor")), "__anchor").select("__k", "__p"))
+    widths = [w for w in PIECES if counts[f"w{w}"]]
+    if widths:
+        short = given.where(rest & (longest["n"] > 0)).select("__p", longest["w"].alias("__w"), (size == 1).alias("__one"))
+        # a passage of one word needs no second look
+        whole = _by_pieces(own, short.where("__one").select("__p", "__w"), widths)
+        found = found.union(_by_pieces(own, short.where("NOT __one").select("__p", "__w"), widths))
     # texts come back for the few pairs that are left
     hits = found.distinct().join(own, "__k").join(given, "__p").where(F.contains("__text", F.col("__passage")))
-    return hits.select(F.col("__k").alias(key), F.col("__p").alias(passage_key)).distinct()
+    return hits.select("__k", "__p").union(whole).select(F.col("__k").alias(key), F.col("__p").alias(passage_key)).distinct()
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, total: str = "total") -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on small tables, and random ones against plain Python."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +159,14 @@ def test_links_of_two_steps_are_looked_up_for_given_pairs(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 5)], "src int, dst int")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 4), (5, 5), (4, 1), (1, 3)], "src int, dst int")
     assert rows(graph.within_two(pairs, edges)) == [(1, 2), (1, 3), (2, 4), (5, 5)]
+
+
+def test_containing_brings_no_passages_together_by_a_common_beginning(spark):
+    """20,000 passages and texts that all begin alike are 400 million pairs by their beginnings."""
+    n = 20_000
+    texts = spark.range(n).select("id", F.concat(F.lit("see "), F.lit("src/mod"), F.col("id").cast("string"), F.lit(".py\nand more")).alias("text"))
+    passages = spark.range(n).select(F.col("id").alias("i"), F.concat(F.lit("src/mod"), F.col("id").cast("string"), F.lit(".py")).alias("text"))
+    begun = time.monotonic()
+    found = relations.containing(texts, "id", passages, "i")
+    assert found.agg(F.count("*"), F.count_if(F.col("id") == F.col("i"))).head()[:] == (n, n)
+    assert time.monotonic() - begun < 60
