@@ -170,3 +170,14 @@ def test_containing_brings_no_passages_together_by_a_common_beginning(spark):
     found = relations.containing(texts, "id", passages, "i")
     assert found.agg(F.count("*"), F.count_if(F.col("id") == F.col("i"))).head()[:] == (n, n)
     assert time.monotonic() - begun < 60
+
+
+def test_containing_by_pieces_equals_a_search(spark):
+    rng = random.Random(7)
+    word = lambda most: "".join(rng.choice("ab/ä𝄞\n") for _ in range(rng.randint(1, most)))
+    texts = [(i, " ".join(word(30) for _ in range(rng.randint(0, 4)))) for i in range(60)] + [(60, ""), (61, None), (62, "  ")]
+    passages = [(i, " ".join(word(rng.choice((1, 3, 6, 14))) for _ in range(rng.randint(1, 2)))) for i in range(120)]
+    passages += [(200 + i, t[a : a + n]) for i, (_, t) in enumerate(texts[:60]) if t for a in [rng.randrange(len(t))] for n in [rng.randint(1, 26)]]
+    expected = sorted((d, i) for d, t in texts for i, p in passages if t is not None and p and p in t)
+    found = relations.containing(spark.createDataFrame(texts, "d int, text string"), "d", spark.createDataFrame(passages, "i int, text string"), "i")
+    assert sorted(map(tuple, found.collect())) == expected
