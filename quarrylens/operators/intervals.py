@@ -47,7 +47,7 @@ def smallest_enclosing(points: DataFrame, intervals: DataFrame, key: str, point:
     """row, interval: for each point the shortest interval of its key around it, the least interval id of equals; points without one are left out."""
     spread = intervals.select(F.col(key), F.col(interval), F.col(start), F.col(end), F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))).alias("__bucket"))
     placed = points.select(F.col(key), F.col(row), F.col(point), F.floor(F.col(point) / width).alias("__bucket"))
-    inside = placed.join(spread, [key, "__bucket"]).where(F.col(point).between(F.col(start), F.col(end)))
+    inside = placed.join(spread.hint("merge"), [key, "__bucket"]).where(F.col(point).between(F.col(start), F.col(end)))
     best = F.min(F.struct((F.col(end) - F.col(start)).alias("size"), F.col(interval).alias("id")))
     return inside.groupBy(row).agg(best.alias("m")).select(row, F.col("m.id").alias(interval))
 

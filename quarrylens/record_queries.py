@@ -219,7 +219,8 @@ def declared_dependencies(spark, sf_dir):
 
 def numbered_modules(spark, sf_dir) -> DataFrame:
     line = lambda i: text("line ", i, " of ", F.col("k"), F.when(i == 15, text(" near", F.col("k"))).otherwise(""))
-    return pq.modules(spark, sf_dir).select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), line), "\n").alias("text"))
+    spread = pq.modules(spark, sf_dir).repartition("path")  # texts are made where they are read, not in the few tasks of a small table
+    return spread.select("path", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), line), "\n").alias("text"))
 
 
 def module_symbols(spark, sf_dir) -> DataFrame:
