@@ -102,7 +102,7 @@ def surrounding(findings: DataFrame, files: DataFrame, symbols: DataFrame, radiu
     """
     placed = findings.select("id", "path", optional(findings, "symbol", "string").alias("symbol"), F.coalesce(F.col("line_start"), F.lit(1)).cast("long").alias("s0"), optional(findings, "line_end", "long").alias("e0"))
     defined = symbols.where("line_start > 0").groupBy("path", F.col("name").alias("symbol")).agg(F.min(F.struct(F.col("line_start").cast("long").alias("s"), F.coalesce("line_end", "line_start").cast("long").alias("e"))).alias("own"))
-    rows = placed.join(defined, ["path", "symbol"], "left").join(files.select("path", T.universal_lines(F.col("text")).alias("ls")), "path").where(F.size("ls") > 0)
+    rows = placed.join(defined.hint("merge"), ["path", "symbol"], "left").join(numbered(files), "path").where(F.size("ls") > 0)
     word = F.concat(F.lit(r"\b\Q"), "symbol", F.lit(r"\E\b"))
     near = F.array_min(F.transform("ls", lambda x, i: F.when(F.rlike(x, word), F.struct(F.abs(i + 1 - F.col("s0")).alias("d"), (i + 1).cast("long").alias("at")))))
     near = F.when(F.col("own").isNull() & (F.col("symbol") != ""), near)["at"]
@@ -110,7 +110,7 @@ def surrounding(findings: DataFrame, files: DataFrame, symbols: DataFrame, radiu
         "id", "path", "ls", F.coalesce("own.s", "__near", "s0").alias("at"), F.coalesce("own.e", "__near", F.greatest("e0", "s0"), "s0").alias("to"),
         F.when(F.coalesce("own.s", "__near").isNotNull(), "symbol").otherwise("lines").alias("anchor"),
     )
-    around = rows.join(enclosing(rows.select("id", "path", "at"), symbols), "id", "left")
+    around = rows.join(enclosing(rows.select("id", "path", "at"), symbols).hint("merge"), "id", "left")
     first, last = F.greatest(F.col("at") - radius, F.lit(1)), F.least(F.col("to") + radius, F.size("ls").cast("long"))
     code = F.transform(_cut(F.col("ls"), first, last), lambda x, i: F.concat_ws("\t", (i + first).cast("string"), x))
     named = F.when((F.col("s") != F.col("at")) | (F.col("e") != F.col("to")), F.col("name"))

@@ -69,6 +69,6 @@ def test_lines_and_symbols_of_files_are_not_broadcast(spark):
     files = spark.createDataFrame([("p", "a\nb\nc")], "path string, text string")
     symbols = spark.createDataFrame([("p", "f", 1, 3)], SYMBOLS)
     found = spark.createDataFrame([("a", "p", "f", 2, 2)], FOUND)
-    for made in (evidence.declared_intent(found, files, symbols),):
+    for made in (evidence.declared_intent(found, files, symbols), evidence.surrounding(found, files, symbols)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
         assert made.count() == 1
