@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.relations import first_candidate, suffixes
+from ..operators.relations import suffixes
 
 #: What a bare import of a file can mean, in order.
 EXTENSIONS = ("", ".py", ".pyi", ".ts", ".tsx", ".js", ".jsx", ".mjs")
@@ -35,32 +35,40 @@ def _up(folder: Column, levels: Column) -> Column:
     return F.when(levels <= F.size(parts), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - levels), "/"))
 
 
-def candidates(path: Column, source: Column) -> Column:
-    """Paths that an import may mean, first come first: relative ones from the file's folder, dotted and plain ones from the root or src."""
-    folder = F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.size(F.split(path, "/")) - 1), "/")
+def bases(folder: Column, source: Column) -> Column:
+    """What an import may mean, but for the end of a file's name, first come first: relative ones from the file's folder, dotted and plain ones from the root or src."""
     dots = F.length(F.regexp_extract(source, r"^(\.+)(?!/|\.*/)", 1))
     steps = F.length(F.regexp_replace(F.regexp_extract(source, r"^((?:\.\.?/)+)", 1), r"[^.]", ""))
     ups = F.size(F.regexp_extract_all(source, F.lit(r"\.\./"), F.lit(0)))
     dotted = F.translate(F.regexp_replace(source, r"^\.+", ""), ".", "/")
     relative = F.when(steps > 0, _join_path(_up(folder, ups), F.regexp_replace(source, r"^(?:\.\.?/)+", ""))).when(dots > 0, _join_path(_up(folder, dots - 1), dotted))
     absolute = F.when((steps == 0) & (dots == 0), F.array(dotted, F.concat(F.lit("src/"), dotted), source))
-    bases = F.coalesce(absolute, F.array(relative))
-    # the ends are put on in lambdas, so that each base stands in the plan once
-    ends = F.array(*map(F.lit, (*EXTENSIONS, *INDEXES)))
-    return F.flatten(F.transform(bases, lambda base: F.transform(ends, lambda end: F.concat(base, end))))
+    return F.coalesce(absolute, F.array(relative))
 
 
 def resolved_imports(facts: DataFrame, files: DataFrame) -> DataFrame:
-    """The imports with ``target``: the file of the first candidate there is, then of the least path that ends in the dotted name; null for outside ones."""
+    """The imports with ``target``: the file of the first candidate there is, then of the least path that ends in the dotted name; null for outside ones.
+
+    A candidate is a base with one of the known ends. Files are cut at their ends, so that bases meet instead of all candidates, once for
+    each source (of relative ones for each folder and source), however many files import it.
+    """
     imports = table(facts, "imports")
     known = files.select(F.col("path").alias("target"))
-    own = imports.select("path", "source").distinct()
-    direct = first_candidate(own, ["path", "source"], candidates(F.col("path"), F.col("source")), known, "target").drop("rank")
+    parts = F.split("path", "/")
+    folder = F.when(F.startswith("source", F.lit(".")), F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).otherwise("")
+    rows = imports.withColumn("__from", folder)
+    own = rows.select("__from", "source").distinct()
+    ends = (*EXTENSIONS, *INDEXES)
+    asked = own.select("__from", "source", F.posexplode(bases(F.col("__from"), F.col("source"))).alias("__k", "__base"))
+    cuts = F.array(*(F.when(F.endswith("target", F.lit(end)), F.struct(F.expr(f"left(target, length(target) - {len(end)})").alias("base"), F.lit(k).alias("end"))) for k, end in enumerate(ends)))
+    there = known.select("target", F.inline(F.array_compact(cuts))).select("target", F.col("base").alias("__base"), "end")
+    direct = asked.join(there.hint("merge"), "__base").select("__from", "source", (F.col("__k") * len(ends) + F.col("end")).alias("rank"), "target")
     # every tail of a file's dotted name; the least path of equals, where the order of a listing would be arbitrary
     bare = F.regexp_replace(F.regexp_replace("target", r"\.[^./]*$", ""), "/(?:__init__|index)$", "")
     tails = known.select("target", F.explode(suffixes(F.translate(bare, "/", "."))).alias("source")).groupBy("source").agg(F.min("target").alias("target"))
-    rest = own.join(direct, ["path", "source"], "left_anti").where(~F.startswith("source", F.lit("."))).join(tails, "source").select("path", "source", "target")
-    return imports.join(direct.unionByName(rest), ["path", "source"], "left")
+    rest = own.where(~F.startswith("source", F.lit("."))).join(tails.hint("merge"), "source").select("__from", "source", F.lit(2**31 - 1).alias("rank"), "target")
+    found = direct.union(rest).groupBy("__from", "source").agg(F.min(F.struct("rank", "target")).alias("m")).select("__from", "source", F.col("m.target").alias("target"))
+    return rows.join(found.hint("merge"), ["__from", "source"], "left").select(*imports.columns, "target")
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:
@@ -73,7 +81,7 @@ def import_edges(resolved: DataFrame) -> DataFrame:
 def importers(resolved: DataFrame, facts: DataFrame) -> DataFrame:
     """(path, importer): who imports a file, but for itself and documents."""
     edges = resolved.where(F.col("target").isNotNull() & (F.col("target") != F.col("path"))).select(F.col("target").alias("path"), F.col("path").alias("importer")).distinct()
-    return edges.join(code_only(facts).select(F.col("path").alias("importer")), "importer", "left_semi").select("path", "importer")
+    return edges.join(code_only(facts).select(F.col("path").alias("importer")).hint("merge"), "importer", "left_semi").select("path", "importer")
 
 
 def docs_referencing(facts: DataFrame) -> DataFrame:
@@ -92,7 +100,7 @@ def unused_exports(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """(path, name): exports that nobody imports, of files that nobody imports whole."""
     exports = table(facts, "exports").select("path", "name").distinct()
     names = imported_names(resolved)
-    return exports.join(names, ["path", "name"], "left_anti").join(names.where("name = '*'").select("path"), "path", "left_anti")
+    return exports.join(names.hint("merge"), ["path", "name"], "left_anti").join(names.where("name = '*'").select("path").hint("merge"), "path", "left_anti")
 
 
 def definers(facts: DataFrame) -> DataFrame:
@@ -114,14 +122,15 @@ def cross_references(facts: DataFrame, resolved: DataFrame, symbols: DataFrame)
     exports = table(facts, "exports").select(F.col("path").alias("ref_path"), "name", "line")
 
     def hits(rows: DataFrame, kind: str) -> DataFrame:
-        return wanted.join(rows, "name").where(F.col("ref_path") != F.col("path")).select("path", "name", "ref_path", F.lit(kind).alias("kind"), "line")
+        # names of many files come from small tables: none is sent to all machines
+        return wanted.join(rows.hint("merge"), "name").where(F.col("ref_path") != F.col("path")).select("path", "name", "ref_path", F.lit(kind).alias("kind"), "line")
 
     direct = hits(calls, "call")
     methods = wanted.where(F.contains("name", F.lit("."))).withColumn("method", F.element_at(F.split("name", r"\."), -1))
     last = table(facts, "calls").where(F.contains("to", F.lit("."))).select(F.col("path").alias("ref_path"), F.element_at(F.split("to", r"\."), -1).alias("method"), "line")
     uses = importers(resolved, facts).withColumnRenamed("importer", "ref_path")
     # by importer first: calls of a common method name never meet all classes that have one
-    dispatch = methods.join(uses, "path").join(last, ["ref_path", "method"]).join(direct, ["path", "name", "ref_path"], "left_anti")
+    dispatch = methods.join(uses.hint("merge"), "path").join(last.hint("merge"), ["ref_path", "method"]).join(direct.hint("merge"), ["path", "name", "ref_path"], "left_anti")
     return hits(imports, "import").union(direct).union(dispatch.select("path", "name", "ref_path", F.lit("dispatch").alias("kind"), "line")).union(hits(writes, "member_write")).union(hits(exports, "export")).distinct()
 
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from quarrylens.plans import concepts, evidence, traces
+from quarrylens.plans import facts as fx
 from quarrylens.streaming import limits
 
 from .conftest import rows
@@ -72,3 +73,15 @@ def test_traces(spark):
     assert rows(traces.with_earlier_hits(found), "seq", "hits") == [(0, []), (1, ["a"]), (2, ["a"])]
     kind = traces.search_kind(F.col("p"), F.array(F.lit("foo")))
     assert [r[0] for r in spark.createDataFrame([("foo.*",), ("class X",), ("import y",), ("z",)], "p string").select(kind).collect()] == ["needle", "definition", "import", "other"]
+
+
+def test_imports_of_many_files_meet_by_bases_and_without_broadcasts(spark):
+    imports = [("a/x.py", [("./y", ["f"]), ("../b/z", ["*"]), ("b.z", ["g"]), ("z", ["g"]), ("os", ["path"]), (".y", ["f"]), ("../../b/z", ["g"]), (None, ["g"])]), ("b/z.py", None), ("src/b/z.py", None), ("a/y/__init__.py", None), ("b/y.py", [("./y", ["f"])])]
+    known = spark.createDataFrame([(p, [(s, n, None) for s, n in i] if i else [], [("g", "function", 1)], []) for p, i in imports], "path string, imports array<struct<source:string,names:array<string>,name_map:map<string,string>>>, exports array<struct<name:string,kind:string,line:int>>, calls array<struct<to:string,line:int>>")
+    known = known.withColumn("imports", F.transform("imports", lambda x: x.withField("line", F.lit(1)))).withColumn("member_writes", F.array().cast("array<struct<member:string,line:int>>"))
+    found = fx.resolved_imports(known, known)
+    assert found.columns == ["path", "source", "names", "name_map", "line", "target"]
+    expected = {("a/x.py", "./y", "a/y/__init__.py"), ("a/x.py", "../b/z", "b/z.py"), ("a/x.py", "b.z", "b/z.py"), ("a/x.py", "z", "b/z.py"), ("a/x.py", "os", None), ("a/x.py", ".y", "a/y/__init__.py"), ("a/x.py", "../../b/z", "b/z.py"), ("a/x.py", None, None), ("b/y.py", "./y", "b/y.py")}
+    assert {tuple(r) for r in found.select("path", "source", "target").collect()} == expected
+    for made in (found, fx.unused_exports(known, found), fx.cross_references(known, found, known.select("path", F.lit("g").alias("name"))), fx.importers(found, known)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
