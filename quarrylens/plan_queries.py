@@ -15,6 +15,7 @@ from .plans import claims, concepts, detectors, evaluation, evidence, merging, r
 from .plans import facts as fx
 from .queries import query, table
 from .sources import repository
+from .sources.storage import stored
 
 # ---- the code base
 
@@ -79,7 +80,8 @@ def facts(spark, sf_dir, *wanted: str) -> DataFrame:
 
 
 def resolved(spark, sf_dir) -> DataFrame:
-    return fx.resolved_imports(facts(spark, sf_dir, "imports"), modules(spark, sf_dir))
+    """The imports are stored once: their resolution reads them twice, and what follows from them reads the result of it."""
+    return fx.resolved_imports(stored(facts(spark, sf_dir, "imports"), "imports"), modules(spark, sf_dir))
 
 
 MODULES = "m AS (SELECT p_partkey AS k, (p_size % 8)::VARCHAR AS g, 'src/pkg' || (p_size % 8) || '/mod' || p_partkey || '.py' AS path FROM part)"
@@ -129,8 +131,8 @@ UNION SELECT path, name, ref_path, 'call', line FROM d UNION SELECT a.path, a.na
 UNION SELECT x.path, x.name, c.path, 'dispatch', c.line FROM x JOIN u ON u.path = x.path JOIN c ON c.path = u.importer AND c."to" LIKE '%.run' WHERE x.name LIKE '%.run' AND NOT EXISTS (SELECT 1 FROM d WHERE d.path = x.path AND d.name = x.name AND d.ref_path = c.path))
 SELECT path, name, kind, count(*) AS n, count(DISTINCT ref_path) AS files FROM h GROUP BY path, name, kind""")
 def symbol_references(spark, sf_dir):
-    known = facts(spark, sf_dir, "exports", "imports", "calls", "member_writes")
-    found = fx.cross_references(known, resolved(spark, sf_dir), detectors.symbols(known))
+    known = stored(facts(spark, sf_dir, "exports", "imports", "calls", "member_writes"), "known-facts")
+    found = fx.cross_references(known, stored(fx.resolved_imports(known, modules(spark, sf_dir)), "resolved"), detectors.symbols(known))
     return found.groupBy("path", "name", "kind").agg(F.count("*").alias("n"), F.countDistinct("ref_path").alias("files"))
 
 
