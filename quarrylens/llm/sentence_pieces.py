@@ -14,6 +14,7 @@ vocabulary become their bytes, or one unknown id a run if the model has no piece
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import ahocorasick
@@ -75,37 +76,42 @@ class Encoder:
         self.cut = not any(SPACE in p.lstrip(SPACE) for p in pieces.ids)
         self.matches = ahocorasick.Automaton()
         for piece in pieces.ids:
-            self.matches.add_word(piece, len(piece))
+            self.matches.add_word(piece, piece)
         self.matches.make_automaton()
-        self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        #: By the piece before (none: the empty text) and the piece: whether it may follow; and how many are remembered.
+        self.fits: dict[str, dict[str, bool]] = {}
+        self.count = 0
         self.shorter: dict[str, str] = {}
         self.known: dict[bytes, list[int]] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """What merging leaves: of adjacent parts those of least rank are joined, the leftmost of equals first."""
-        rank, parts = self.pieces.ranks, list(text)
-        while len(parts) > 1:
-            ranks = [rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+    def merged(self, text: str, edge: int = 0) -> list[str]:
+        """What merging leaves: of adjacent parts those of least rank are joined, the leftmost of equals first. Nothing if a place that must stay an edge is crossed."""
+        rank, parts = self.pieces.ranks.get, list(text)
+        ranks = [rank(a + b, np.inf) for a, b in pairwise(parts)]
+        while ranks:
             least = min(ranks)
             if least == np.inf:
                 break
             k = ranks.index(least)
+            if k < edge:
+                edge -= 1
+                if k == edge:
+                    return []
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank(parts[k] + parts[k + 1], np.inf)
+            if k:
+                ranks[k - 1] = rank(parts[k - 1] + parts[k], np.inf)
         return parts
 
-    def may_follow(self, last: str | None, piece: str) -> bool:
-        """Whether merging leaves these pieces as they are, side by side."""
-        if last is None:
-            found = self.whole.get(piece)
-            if found is None:
-                found = self.whole[piece] = self.merged(piece) == [piece]
-            return found
-        found = self.fits.get((last, piece))
-        if found is None:
-            if len(self.fits) >= REMEMBERED:
-                self.fits.clear()
-            found = self.fits[last, piece] = self.merged(last + piece) == [last, piece]
+    def may_follow(self, last: str, piece: str) -> bool:
+        """Whether merging leaves these pieces as they are, side by side; an empty last one stands for the word's start."""
+        if self.count >= REMEMBERED:
+            self.fits.clear()
+            self.count = 0
+        self.count += 1
+        found = self.fits.setdefault(last, {})[piece] = self.merged(last + piece, len(last)) == ([last, piece] if last else [piece])
         return found
 
     def shortened(self, piece: str) -> str:
@@ -117,33 +123,47 @@ class Encoder:
 
     def split(self, word: str) -> list[str]:
         """The word's pieces."""
-        longest = [1] * len(word)
-        for end, size in self.matches.iter(word):
-            if size > longest[end + 1 - size]:
-                longest[end + 1 - size] = size
-        failed = bytearray(len(word) // 8 + 1)
+        # by place the longest piece that starts there, as the vocabulary's own text, whose hash is known; later matches are longer
+        longest = list(word)
+        for end, piece in self.matches.iter(word):
+            longest[end + 1 - len(piece)] = piece
+        fits, none, size = self.fits, {}, len(word)
+        failed = None
         out: list[str] = []
-        at = 0
-        piece = word[: longest[0]] if word else ""
-        while at < len(word):
-            last = out[-1] if out else None
+        at, last = 0, ""
+        piece = longest[0] if word else ""
+        while at < size:
+            follows = fits.get(last, none)
             while piece:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and self.may_follow(last, piece):
-                    break
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    found = follows.get(piece)
+                    if found is None:
+                        found = self.may_follow(last, piece)
+                    if found:
+                        break
                 piece = self.shortened(piece)
             if piece:
                 out.append(piece)
-                at += len(piece)
-                piece = word[at : at + longest[at]] if at < len(word) else ""
+                at, last = end, piece
+                if at < size:
+                    piece = longest[at]
             else:
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else ""
+                piece = self.shortened(piece)
         return out
 
     def numbered(self, parts: list[str]) -> list[int]:
         ids, of_byte, unknown = self.pieces.ids, self.pieces.bytes, self.pieces.unknown
+        try:
+            return [ids[part] for part in parts]
+        except KeyError:
+            pass
         out: list[int] = []
         for part in parts:
             found = ids.get(part)
@@ -179,9 +199,10 @@ class Encoder:
         data, ends = b"".join(texts), np.cumsum([len(t) for t in texts], dtype=np.int64)
         begins = np.append(0, ends[:-1]) if len(texts) else ends
         if self.cut:
-            blank = np.frombuffer(data, np.uint8) == 32
-            starts = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1 if len(data) else np.zeros(0, np.int64)
-            starts = np.union1d(starts, begins[begins < ends])
+            first = np.frombuffer(data, np.uint8) == 32
+            first[1:] &= ~first[:-1]
+            first[begins[begins < ends]] = True
+            starts = np.flatnonzero(first)
         else:
             starts = begins[begins < ends]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
@@ -202,6 +223,17 @@ class Encoder:
         return flat[kept], np.append(0, np.cumsum(kept))[ends]
 
 
+#: The encoder that this worker had last.
+_held: list[Encoder] = []
+
+
+def held_encoder(pieces: Pieces) -> Encoder:
+    """A worker's encoder, kept for its next task, whose broadcast vocabulary is the same object; what it remembers is bounded."""
+    if not _held or _held[0].pieces is not pieces:
+        _held[:] = [Encoder(pieces)]
+    return _held[0]
+
+
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: tuple[str, ...] = ("doc_id",), then: Callable[[pa.Table], pa.Table] | None = None, schema: str | StructType | None = None) -> DataFrame:
     """``keep`` and ``ids`` (array of int, the last one the end id) for every row.
 
@@ -214,7 +246,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text", keep: tuple[str,
     vocabulary = spark.sparkContext.broadcast(pieces)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = held_encoder(vocabulary.value)
         for table in common.pieces(batches, BLOCK):
             flat, ends = encoder.encoded(table["__text"].to_pylist())
             ids = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat, pa.int32()))

@@ -86,3 +86,24 @@ def test_query(spark, data):
         ids = LIBRARY.encode(r.text or "", add_eos=True)
         expected[r.doc_id] = len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
     assert found == expected
+
+
+def test_merging_looks_up_each_new_neighbour_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *of):
+            self.asked += 1
+            return super().get(*of)
+
+    ranks = Counted(PIECES.ranks)
+    word = "▁" + "internationalisation" * 5
+    parts = sp.Encoder(PIECES._replace(ranks=ranks)).merged(word)
+    assert "".join(parts) == word and len(parts) < len(word)
+    assert ranks.asked <= 3 * len(word)
+
+
+def test_a_worker_keeps_the_encoder_of_its_vocabulary():
+    first = sp.held_encoder(PIECES)
+    assert sp.held_encoder(PIECES) is first
+    assert sp.held_encoder(PIECES._replace(end=9)) is not first
