@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut, shared_path  # noqa: F401 - the operators take both from here
+from ..sources.storage import cut, shared_path, stored  # noqa: F401 - the operators take them from here
 
 #: Raw bytes of text that one packed block holds, unless a single row is larger.
 BLOCK_BYTES = 32 << 20
@@ -74,13 +74,6 @@ def lean_group(each: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return pair if len(inspect.signature(each).parameters) == 3 else one
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -1,3 +1,4 @@
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -22,3 +23,18 @@ def test_a_cluster_must_name_the_folder():
     context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: empty), getConf=lambda: {})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         storage.shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    def shuffled() -> int:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).length() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_"))
+
+    before = shuffled()
+    df = spark.range(200_000).selectExpr("id", "hash(id) AS x").repartition(4, "x")
+    found = storage.stored(df.groupBy("x").count(), "counts")
+    deadline = time.time() + 20
+    while shuffled() > before and time.time() < deadline:
+        time.sleep(0.2)
+    assert shuffled() <= before
+    assert found.count() == df.select("x").distinct().count()
