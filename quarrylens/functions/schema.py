@@ -6,6 +6,7 @@ VARIANT values, so nothing runs row by row. A document that is no JSON is an err
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column
@@ -16,13 +17,24 @@ KINDS = {"string": "string", "boolean": "boolean", "integer": "integer", "number
 NONE = "array<string>"
 
 
+def is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is computed once, however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def kind_of(value: Column) -> Column:
     """string, boolean, integer, number, array, object or null, of a VARIANT value."""
+    # the schema of what has parts would describe all of them
     name = F.schema_of_variant(value)
     return (
-        F.when(value.isNull() | (name == "VOID"), "null")
-        .when(F.startswith(name, F.lit("OBJECT")), "object")
-        .when(F.startswith(name, F.lit("ARRAY")), "array")
+        F.when(value.isNull(), "null")
+        .when(is_object(value), "object")
+        .when(F.try_variant_get(value, "$", "array<variant>").isNotNull(), "array")
+        .when(name == "VOID", "null")
         .when(name == "BIGINT", "integer")
         .when(F.startswith(name, F.lit("DECIMAL(")) & name.rlike(r",\s*0\)$") & ~value.cast("string").contains("."), "integer")
         .when(name.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), "number")
@@ -49,7 +61,12 @@ def _errors(value: Column, schema: dict[str, Any], path: Column, depth: int) ->
     none = F.array().cast(NONE)
     if wanted is None:
         return none
-    kind = kind_of(value)
+    return bound(value, lambda v: bound(kind_of(v), lambda kind: _errors_of(v, kind, schema, path, depth)))
+
+
+def _errors_of(value: Column, kind: Column, schema: dict[str, Any], path: Column, depth: int) -> Column:
+    """The same of a value of a known kind."""
+    wanted, none = schema["type"], F.array().cast(NONE)
     right = kind.rlike(f"^{KINDS[wanted]}$")
     wrong = F.array(_said(path, f"expected {wanted}, got ", kind))
     found: list[Column] = []
@@ -66,8 +83,7 @@ def _errors(value: Column, schema: dict[str, Any], path: Column, depth: int) ->
                 found.append(F.when(passed, F.array(_said(path, "value ", value.cast("string"), f" {sign} {name} {bound}"))))
     if wanted == "object":
         fields = {k: F.try_variant_get(value, f"$['{k}']", "variant") for k in {**schema.get("properties", {}), **dict.fromkeys(schema.get("required", []))}}
-        names = F.json_object_keys(F.to_json(value))
-        there = {k: F.array_contains(names, k) for k in fields}
+        there = {k: v.isNotNull() for k, v in fields.items()}  # one that holds JSON's null is there
         found += [F.when(~there[k], F.array(_said(path, f"missing required field '{k}'"))) for k in schema.get("required", [])]
         found += [F.when(there[k], _errors(fields[k], part, _below(path, k), depth)) for k, part in schema.get("properties", {}).items()]
     if wanted == "array" and "items" in schema:

@@ -166,7 +166,9 @@ def change_references(spark, sf_dir):
 @query(f"WITH {pq.MODULES}, {NOTES} SELECT doc, path, min(line_no) AS line_no, arg_min(line, line_no) AS line, k % 4 = 2 AS source_deleted FROM t WHERE k % 5 = 0 GROUP BY doc, path, k")
 def change_references_by_facts(spark, sf_dir):
     rows = changes.reference_facts(order_notes(spark, sf_dir), pq.modules(spark, sf_dir).select("path"))
-    return impact(spark, sf_dir, sidecars.facts(sidecars.packed(spark, written(spark, rows), "facts"))).references
+    # of the facts only what says which documents name which sources, read once
+    known = sidecars.facts(sidecars.packed(spark, written(spark, rows), "facts")).select("path", "classification", F.transform("imports", lambda x: F.struct(x["source"].alias("source"))).alias("imports"))
+    return impact(spark, sf_dir, stored(known, "loaded-facts")).references
 
 
 @query(f"""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.schema import kind_of
+from ..functions.schema import is_object
 from . import folders, python_facts, repository
 
 SYMBOL = "name string, kind string, line_start int, line_end int"
@@ -40,7 +40,7 @@ def packed(spark: SparkSession, root: str, kind: str) -> DataFrame:
 def loaded(sidecars: DataFrame, key: str) -> DataFrame:
     """(path, doc: VARIANT): one document for each key, with slashes only."""
     doc = F.try_parse_json("text")
-    named = sidecars.select(F.col("path").alias("__at"), "text", doc.alias("doc")).where(kind_of(F.col("doc")) == "object")
+    named = sidecars.select(F.col("path").alias("__at"), "text", doc.alias("doc")).where(is_object(F.col("doc")))
     keyed = named.select("__at", "text", "doc", F.translate(F.try_variant_get("doc", f"$.{key}", "string"), "\\", "/").alias("path")).where("path <> ''")
     return keyed.groupBy("path").agg(F.max_by("text", F.struct("__at", "text")).alias("text")).select("path", doc.alias("doc"))
 
@@ -53,7 +53,7 @@ def entries(field: str, fields: str) -> Column:
     """The objects of an array, as structs with those fields; none of what is no array."""
     wanted = StructType.fromDDL(fields)
     one = lambda x: F.struct(*(F.try_variant_get(x, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in wanted))
-    found = F.transform(F.filter(value(field, "array<variant>"), lambda x: kind_of(x) == "object"), one)
+    found = F.transform(F.filter(value(field, "array<variant>"), is_object), one)
     return F.coalesce(found, F.array().cast(f"array<{wanted.simpleString()}>"))
 
 
@@ -101,7 +101,7 @@ def findings(sidecars: DataFrame) -> DataFrame:
 def analyses(sidecars: DataFrame) -> DataFrame:
     """A row for each analysed document, which the sidecar's own path names; all findings count as errors of accuracy, whatever their severity, even those that are no objects."""
     end = ".analysis.json"
-    docs = sidecars.where(F.endswith("path", F.lit(end))).select(F.expr(f"left(path, length(path) - {len(end)})").alias("path"), F.try_parse_json("text").alias("doc")).where(kind_of(F.col("doc")) == "object")
+    docs = sidecars.where(F.endswith("path", F.lit(end))).select(F.expr(f"left(path, length(path) - {len(end)})").alias("path"), F.try_parse_json("text").alias("doc")).where(is_object(F.col("doc")))
     errors = F.transform(entries("findings", ERROR), lambda e: F.struct(F.coalesce(e["description"], F.lit("")).alias("description"), F.coalesce(e["severity"], F.lit("warning")).alias("severity"), e["evidence"].alias("evidence"), e["shadow_ref"].alias("shadow_ref"), e["remediation"].alias("remediation")))
     none = F.array().cast("array<string>")
     return docs.select(

@@ -100,3 +100,10 @@ def test_references_of_documents_by_the_first_form_that_fits(spark):
     assert rows(known.select("path", "classification", F.array_join("imports.source", ","))) == [("d.md", "doc", "src/pkg/mod.py,src/pkg/other.py"), ("e.md", "doc", ""), ("f.md", "doc", ""), ("g.md", "doc", "src/pkg/mod.py")]
     said = json.loads(changes.reference_facts(docs, sources).where("path = 'd.md.facts.json'").head().text)["imports"]
     assert [x["context"] for x in said] == ["doc references src/pkg/mod.py via 'src/pkg/mod.py'", "doc references src/pkg/other.py via 'pkg.other'"]
+
+
+def test_the_schema_of_whole_documents_is_not_made(spark):
+    texts = spark.createDataFrame([("a.facts.json", '{"source": "a", "imports": [{"source": "b"}, 1]}')], "path string, text string")
+    found = sidecars.facts(texts)
+    assert "schema_of_variant" not in found._jdf.queryExecution().toString()
+    assert [x["source"] for x in found.head()["imports"]] == ["b"]
