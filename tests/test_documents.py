@@ -108,3 +108,10 @@ def test_sample_sizes_and_gates(spark):
     assert {x.r: x.n for x in df.select("r", statistics.sample_size(F.col("r")).alias("n")).collect()} == {r: size(r) for r in rates} | {None: None}
     gate = spark.createDataFrame([(19, 20, 0.9), (12, 20, 0.9)], "k int, n int, r double").select(statistics.pass_rate(F.col("k"), F.col("n"), F.col("r")).alias("g")).collect()
     assert [x.g.holds for x in gate] == [True, False] and abs(gate[1].g.p_value - tail(12, 20, 0.9 * 0.6)) < 1e-9
+
+
+def test_a_value_is_looked_at_once(spark):
+    rules = {"type": "object", "required": ["a", "b"], "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "object", "properties": {"c": {"type": "string"}}}}}}
+    df = spark.createDataFrame([(1, '{"a": null, "b": [{"c": 1}, {}, []]}')], "k int, d string").select(schema.schema_errors(F.col("d"), rules).alias("e"))
+    assert df.head()[0] == ["a: expected integer, got null", "b[0].c: expected string, got integer", "b[2]: expected object, got array"]
+    assert df._jdf.queryExecution().analyzed().toString().count("schema_of_variant") < 50
