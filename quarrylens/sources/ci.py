@@ -25,7 +25,7 @@ COMMANDS = (
     "pip", "pip3", "python", "python3", "node", "npm", "npx", "yarn", "pnpm", "cargo", "go", "make", "git", "docker", "kubectl",
     "curl", "wget", "tar", "unzip", "gzip", "sudo", "env", "bash", "sh", "zsh",
 )
-STATE = "struct<section:int,last:int,block:int,jobs:array<struct<name:string,start:int>>,found:array<struct<job:int,command:string,shell:boolean>>>"
+STATE = "struct<section:int,last:int,block:int,jobs:array<struct<name:string,start:int,told:int>>,found:array<struct<job:int,command:string,shell:boolean>>>"
 
 
 def stripped(text: Column) -> Column:
@@ -39,10 +39,25 @@ def command_paths(command: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("^(?:-|https?://)") & ~F.lower(w).isin(*COMMANDS) & ~(F.contains(w, F.lit("=")) & ~F.contains(w, F.lit("/"))) & w.rlike(r"[/.]") & w.rlike("[a-zA-Z]"))
 
 
+def seen(line: Column, named: str) -> Column:
+    """A line with all that its text alone says, so that the fold, which asks for it again and again, matches it once."""
+    text, bare = line["text"], line["bare"]
+    return F.struct(
+        line["at"].alias("at"),
+        text.alias("text"),
+        bare.alias("bare"),
+        F.length(F.regexp_extract(text, r"^\s*", 0)).alias("indent"),
+        F.regexp_extract(text, named, 1).alias("name"),
+        bare.rlike(r"^-?\s*run:").alias("run"),
+        bare.rlike(r"^-?\s*uses:").alias("uses"),
+        F.regexp_replace(stripped(F.regexp_extract(bare, r"^-?\s*run:\s*(.*)", 1)), r"^\|+|\|+$", "").alias("rest"),
+    )
+
+
 def _next(state: Column, line: Column, header: Column, name: Column, *, section: Column, block: Column, told: list[Column]) -> Column:
     """The state after a line: a header opens a job; ``told`` has the line's commands (struct or null)."""
     at = line["at"]
-    job = F.struct(name.alias("name"), at.alias("start"))
+    job = F.struct(name.alias("name"), at.alias("start"), F.size(state["found"]).alias("told"))
     return F.struct(
         section.alias("section"),
         F.when(section == 2, state["last"]).otherwise(at).alias("last"),
@@ -61,18 +76,17 @@ def _told(state: Column, header: Column, when: Column, command: Column, shell: b
 def workflow_step(state: Column, line: Column) -> Column:
     """Jobs stand two deep in the jobs section; run and uses lines have commands, a run without one opens a block."""
     text = line["text"]
-    bare, indent = stripped(text), F.length(F.regexp_extract(text, r"^\s*", 0))
+    bare, indent, name = line["bare"], line["indent"], line["name"]
     inside = state["section"] == 1
-    name = F.regexp_extract(text, r"^  ([a-zA-Z_][\w-]*):\s*$", 1)
     header = inside & (name != "")
     closes = inside & ~header & (bare != "") & ~text.rlike("^[ #]")
     active = inside & ~closes & (header | (F.size(state["jobs"]) > 0))
     open_ = F.when(header, -1).otherwise(state["block"])
-    run = active & bare.rlike(r"^-?\s*run:")
-    rest = F.regexp_replace(stripped(F.regexp_extract(bare, r"^-?\s*run:\s*(.*)", 1)), r"^\|+|\|+$", "")
+    run = active & line["run"]
+    rest = line["rest"]
     held = active & ~run & (open_ >= 0)
     deeper, blank = held & (bare != "") & (indent > open_), held & (bare == "")
-    uses = active & ~run & ~blank & bare.rlike(r"^-?\s*uses:")
+    uses = active & ~run & ~blank & line["uses"]
     told = [_told(state, header, run & (rest != ""), rest, True), _told(state, header, deeper, bare, True), _told(state, header, uses, stripped(F.regexp_extract(bare, r"^-?\s*uses:\s*(.*)", 1)), False)]
     block = F.when(run, F.when(rest == "", indent).otherwise(-1)).when(held & ~deeper & ~blank, -1).otherwise(open_)
     section = F.when((state["section"] == 0) & text.rlike(r"^jobs:\s*$"), 1).when(closes, 2).otherwise(state["section"])
@@ -82,8 +96,7 @@ def workflow_step(state: Column, line: Column) -> Column:
 def pipeline_step(state: Column, line: Column) -> Column:
     """Jobs are keys at the top but for the format's own; items of their script are commands."""
     text = line["text"]
-    bare = stripped(text)
-    name = F.regexp_extract(text, r"^([a-zA-Z_][\w.\-/]*):", 1)
+    bare, name = line["bare"], line["name"]
     header = (name != "") & ~name.isin(*PIPELINE_KEYS)
     active = header | (F.size(state["jobs"]) > 0)
     script = active & F.startswith(bare, F.lit("script:"))
@@ -97,18 +110,17 @@ def pipeline_step(state: Column, line: Column) -> Column:
 def make_step(state: Column, line: Column) -> Column:
     """Targets, and the lines below them that start with a tab."""
     text = line["text"]
-    name = F.regexp_extract(text, r"^([a-zA-Z_][\w.\-]*)(?:\s+[a-zA-Z_][\w.\-]*)?\s*:(?!=)", 1)
+    name, command = line["name"], line["bare"]
     header = name != ""
-    command = stripped(text)
     told = ~header & F.startswith(text, F.lit("\t")) & (F.size(state["jobs"]) > 0) & (command != "") & ~F.startswith(command, F.lit("#"))
     return _next(state, line, header, name, section=state["section"], block=state["block"], told=[_told(state, header, told, command, True)])
 
 
-#: Kinds of elements: which paths have them, the fold's step, the section a file starts in.
+#: Kinds of elements: which paths have them, how a line names one, the fold's step, the section a file starts in.
 KINDS = {
-    "workflow_job": (r"(?:^|/)\.github/workflows/[^/]+\.ya?ml$", workflow_step, 0),
-    "pipeline_job": (r"(?:^|/)\.gitlab-ci\.ya?ml$", pipeline_step, 1),
-    "make_target": (r"(?:^|/)(?:GNUmakefile|Makefile|makefile)$", make_step, 1),
+    "workflow_job": (r"(?:^|/)\.github/workflows/[^/]+\.ya?ml$", r"^  ([a-zA-Z_][\w-]*):\s*$", workflow_step, 0),
+    "pipeline_job": (r"(?:^|/)\.gitlab-ci\.ya?ml$", r"^([a-zA-Z_][\w.\-/]*):", pipeline_step, 1),
+    "make_target": (r"(?:^|/)(?:GNUmakefile|Makefile|makefile)$", r"^([a-zA-Z_][\w.\-]*)(?:\s+[a-zA-Z_][\w.\-]*)?\s*:(?!=)", make_step, 1),
 }
 
 
@@ -118,12 +130,15 @@ def ci_elements(files: DataFrame) -> DataFrame:
     ``paths`` are the path-like words of commands, not of what a job uses. A name that comes twice is two elements.
     """
     found = None
-    lines = F.transform(T.universal_lines(F.coalesce("text", F.lit(""))), lambda x, i: F.struct(i.alias("at"), x.alias("text")))
-    for kind, (pattern, step, section) in KINDS.items():
+    bare = F.transform(T.universal_lines(F.coalesce("text", F.lit(""))), lambda x, i: F.struct(i.alias("at"), x.alias("text"), stripped(x).alias("bare")))
+    for kind, (pattern, named, step, section) in KINDS.items():
+        lines = F.transform(bare, lambda x: seen(x, named))  # noqa: B023 - called at once
         start = F.struct(F.lit(section).alias("section"), F.lit(-1).alias("last"), F.lit(-1).alias("block"), F.array().alias("jobs"), F.array().alias("found")).cast(STATE)
         folded = files.where(F.col("path").rlike(pattern)).select("path", F.aggregate(lines, start, step).alias("s"))
         each = folded.select("path", "s", F.posexplode("s.jobs").alias("k", "job"))
-        own = F.filter("s.found", lambda f: f["job"] == F.col("k"))
+        # a job's commands stand together, from those that were there when it was opened to those of the next one
+        until = F.coalesce(F.get("s.jobs", F.col("k") + 1)["told"], F.size("s.found"))
+        own = F.slice("s.found", F.col("job.told") + 1, until - F.col("job.told"))
         commands = F.transform(own, lambda f: f["command"])
         paths = F.flatten(F.transform(F.filter(own, lambda f: f["shell"]), lambda f: command_paths(f["command"])))
         last = F.coalesce(F.get("s.jobs", F.col("k") + 1)["start"], F.col("s.last") + 1)
