@@ -14,7 +14,10 @@ def coverage(concepts: DataFrame, docs: DataFrame) -> DataFrame:
     ``docs`` has (path, classification, matched); a document covers a concept if it matches one of its files.
     """
     files = concepts.select("concept_id", F.explode("source_files").alias("source")).distinct()
-    hits = files.join(docs.select("classification", F.explode("matched").alias("source")), "source").groupBy("concept_id").agg(F.array_sort(F.collect_set("classification")).alias("covered"))
+    # a file's types and a concept's come once each, however many documents and files give them
+    types = docs.select("classification", F.explode("matched").alias("source")).distinct()
+    found = files.join(types, "source").select("concept_id", "classification").distinct()
+    hits = found.groupBy("concept_id").agg(F.array_sort(F.collect_set("classification")).alias("covered"))
     joined = concepts.join(hits, "concept_id", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<string>")))
     return joined.withColumn("missing", F.array_sort(F.array_except("appropriate_types", "covered")))
 
