@@ -140,6 +140,9 @@ def is_test_loosely(path: Column) -> Column:
 
 # ---- manifests
 
+#: Entries of manifests that a worker holds before it hands them on, but for those of one manifest.
+ENTRIES = 1 << 14
+
 
 def dependencies_in(name: str, text: str) -> list[tuple[str, str]]:
     """(ecosystem, package) of a manifest; unreadable ones have none."""
@@ -171,9 +174,20 @@ def dependencies(files_: DataFrame) -> DataFrame:
     """(manifest, ecosystem, package) of the manifests at the top of a repository."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, str]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["manifest", "ecosystem", "package"])
+
         for batch in batches:
-            rows = [(p, *d) for p, t in zip(batch["path"].to_pylist(), batch["text"].to_pylist(), strict=True) for d in dependencies_in(p, t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["manifest", "ecosystem", "package"])
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                name = path.as_py()
+                rows += [(name, *d) for d in dependencies_in(name, text.as_py() or "")]
+                if len(rows) >= ENTRIES:
+                    yield batch_of()
+                    rows = []
+        if rows:
+            yield batch_of()
 
     top = files_.where((F.col("depth") == 1) & F.col("name").rlike(r"^(?:pyproject\.toml|package\.json|Cargo\.toml|go\.mod|requirements[\w.\-]*\.(?:txt|in))$"))
     return top.select("path", "text").mapInArrow(parse, "manifest string, ecosystem string, package string").distinct()
