@@ -72,6 +72,6 @@ def fixpoint(start: DataFrame, step) -> DataFrame:
     seen = cut(start.distinct())
     new = seen
     while not new.isEmpty():
-        new = cut(step(new).select(*seen.columns).distinct().join(seen, seen.columns, "left_anti"))
+        new = cut(step(new).select(*seen.columns).distinct().join(seen.hint("merge"), seen.columns, "left_anti"))
         seen = cut(seen.union(new))
     return seen

@@ -30,14 +30,15 @@ def implemented_methods(facts: DataFrame) -> DataFrame:
     up = one.select("cls", F.explode("bases").alias("base")).select("cls", F.element_at(F.split("base", r"\."), -1).alias("base"))
 
     def step(new: DataFrame) -> DataFrame:
-        return new.join(up.select(F.col("cls").alias("base"), F.col("base").alias("further")), "base").select("cls", F.col("further").alias("base"))
+        return new.join(up.select(F.col("cls").alias("base"), F.col("base").alias("further")).hint("merge"), "base").select("cls", F.col("further").alias("base"))
 
     above = graph.fixpoint(up, step)
     methods = fx.table(facts, "exports").where("kind = 'method'").select("path", "name", F.get(F.split("name", r"\."), F.lit(0)).alias("cls"), F.element_at(F.split("name", r"\."), -1).alias("method"))
     theirs = methods.select(F.col("cls").alias("base"), "method")
-    inherited = methods.join(above, "cls").join(theirs, ["base", "method"], "left_semi").select("path", "name")
-    outside = above.join(one.select(F.col("cls").alias("base")), "base", "left_anti").where("base <> 'object'").select("cls").distinct()
-    return inherited.union(methods.join(outside, "cls", "left_semi").select("path", "name")).distinct()
+    # names of classes are as many as files: none of these tables is sent to all machines
+    inherited = methods.join(above.hint("merge"), "cls").join(theirs.hint("merge"), ["base", "method"], "left_semi").select("path", "name")
+    outside = above.join(one.select(F.col("cls").alias("base")).hint("merge"), "base", "left_anti").where("base <> 'object'").select("cls").distinct()
+    return inherited.union(methods.join(outside.hint("merge"), "cls", "left_semi").select("path", "name")).distinct()
 
 
 def alive_inside(files: DataFrame, found: DataFrame, referenced: DataFrame) -> DataFrame:
