@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
 Distinct words are encoded once each by Spark's higher-order functions, which fold ranked merges over
-arrays of bytes; the ranks are a literal of the plan. Each block of documents is split once, into numbers of
+arrays of bytes; the ranks are the one row of a scalar subquery. Each block of documents is split once, into numbers of
 its distinct words; it asks for the words' ids by bucket, gets them back and puts them together per document.
 Decoding concatenates the ids' pieces.
 
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
@@ -68,10 +68,14 @@ def perfect_hash(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     return shifts, slots
 
 
+def rank_map(ranks: dict[bytes, int]) -> tuple[list[int], list[int], dict[str, int]]:
+    """A perfect hash of pairs (shifts, slots), and whole words that merges don't reach by their hex digits."""
+    return *perfect_hash(pair_ranks(ranks)), {piece.hex().upper(): rank for piece, rank in ranks.items() if merged_ids(piece, ranks) != [rank]}
+
+
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map, constant in the plan: a perfect hash of pairs, and whole words that merges don't reach by their hex digits."""
-    shifts, slots = perfect_hash(pair_ranks(ranks))
-    whole = {piece.hex().upper(): rank for piece, rank in ranks.items() if merged_ids(piece, ranks) != [rank]}
+    """The rank map, constant in the plan and in all of its descriptions."""
+    shifts, slots, whole = rank_map(ranks)
 
     def constant(value: object, kind: str) -> Column:
         return F.from_json(F.lit(json.dumps(value)), kind)
@@ -79,6 +83,12 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
     return F.struct(constant(shifts, "array<bigint>").alias("shifts"), constant(slots, "array<bigint>").alias("slots"), constant(whole, "map<string,bigint>").alias("whole"))
 
 
+def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The rank map as a scalar subquery: the driver describes a plan each time a stage ends, and these descriptions don't spell it out."""
+    one = spark.createDataFrame([rank_map(ranks)], "shifts array<bigint>, slots array<bigint>, whole map<string,bigint>", verifySchema=False)
+    return one.select(F.struct("shifts", "slots", "whole")).scalar()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -89,7 +99,7 @@ def encoded_word(word: Column, ids: Column, ranks: Column) -> Column:
     The fold's state has a long for each piece: the rank of the piece joined with the next one, the byte at
     which the piece starts, and the piece's id.
     """
-    return let(ranks, lambda r: _encoded_word(word, ids, r))  # the literal stands in the plan once
+    return let(ranks, lambda r: _encoded_word(word, ids, r))  # the ranks stand in the plan once
 
 
 def _encoded_word(word: Column, ids: Column, ranks: Column) -> Column:
@@ -237,7 +247,8 @@ def encode(
     # all columns of base, so that both of its readers share one exchange
     asked = base.mapInArrow(common.lean(ask), "bucket int, block long, words binary").repartition(buckets, "bucket")
     distinct = asked.groupBy("bucket").applyInArrow(common.lean_group(unite), "bucket int, word binary, bytes array<bigint>, long array<int>")
-    known = distinct.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(encoded_word(F.col("word"), F.col("bytes"), rank_literal(ranks))).alias("ids"))
+    # higher-order functions take no subquery but by a column, which the optimizer puts in its place
+    known = distinct.withColumn("ranks", rank_row(spark, ranks)).select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(encoded_word(F.col("word"), F.col("bytes"), F.col("ranks"))).alias("ids"))
 
     def answer(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.combine_chunks()

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from quarrylens.llm import bpe, queries, splitting
 
@@ -90,3 +91,13 @@ def test_splitting_like_the_pattern():
         distinct, numbers, counts = split.words([t.encode() for t in texts])
         assert [distinct[k].decode() for k in numbers] == [w for t in texts for w in exact(t)]
         assert counts.tolist() == [len(exact(t)) for t in texts]
+
+
+def test_the_plan_does_not_spell_out_the_ranks(spark):
+    """The driver keeps and sends a plan's description each time a stage ends."""
+    coded = bpe.encode(table(spark), RANKS, public_tokenizers.PATTERN)
+    assert len(coded._jdf.queryExecution().toString()) < 100_000
+    word = "thethethe"
+    df = spark.createDataFrame([(word.encode(), [RANKS[bytes([b])] for b in word.encode()])], "word binary, ids array<bigint>")
+    by_row = df.withColumn("ranks", bpe.rank_row(spark, RANKS)).select(bpe.encoded_word(df["word"], df["ids"], F.col("ranks")))
+    assert by_row.head()[0] == ENCODING.encode_ordinary(word)
