@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from quarrylens.operators import leaders
 from quarrylens.operators.leaders import leader_clusters
 
 from .conftest import rows
@@ -41,3 +42,21 @@ def test_a_chain_and_an_item_that_all_share(spark):
     df = spark.createDataFrame(chain + hub, "owner long, items array<int>, tags array<string>")
     assert rows(leader_clusters(df, "owner", "items", 0.4, "tags")) == sequential(chain + hub, 0.4)
     assert rows(leader_clusters(df.limit(0), "owner", "items")) == []
+
+
+def test_blocks_change_nothing_and_pairs_are_not_all_made(spark, monkeypatch):
+    rng = random.Random(5)
+    sets = [(k, rng.sample(range(12), rng.randint(1, 6)), rng.sample("abc", rng.randint(1, 2))) for k in range(240)]
+    df = spark.createDataFrame([*sets, (None, [1], ["a"])], "owner long, items array<int>, tags array<string>")
+    made, keep = [], leaders.stored
+
+    def counted(table, name):
+        out = keep(table, name)
+        made.extend([out.count()] if name == "edges" else [])
+        return out
+
+    monkeypatch.setattr(leaders, "stored", counted)
+    monkeypatch.setattr(leaders, "BLOCK", 4)
+    assert rows(leader_clusters(df, "owner", "items", 0.5, "tags")) == sorted([*sequential(sets, 0.5), (None, None)], key=repr)
+    every = sum(len(set(a[1]) & set(b[1])) > 0.5 * min(len(a[1]), len(b[1])) and bool({*a[2]} & {*b[2]}) for a in sets for b in sets if a[0] < b[0])
+    assert len(made) > 1 and sum(made) < every / 4
