@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Producers of a value that one row holds, about.
+GATHERED = 256
+
 
 def closure(baseline: DataFrame, current: DataFrame, id_: str, composite: str, order: str, dismissed: str) -> DataFrame:
     """bucket, b, c: rows of two audits paired one to one, first by id, then by the composite of what is left.
@@ -109,10 +112,15 @@ def fragile_pairs(produced: DataFrame, checked: DataFrame, robust: DataFrame) ->
     ``robust`` has the linked (producer, consumer) pairs, or those of each value.
     """
     makers = produced.groupBy("value", "producer").agg(F.count("*").alias("n"))
-    pairs = makers.join(checked.select("value", "consumer").distinct(), "value").where(F.col("producer") != F.col("consumer"))
-    loose = pairs.join(robust, [c for c in ("value", "producer", "consumer") if c in robust.columns], "left_anti")
-    best = F.max(F.struct("n", "producer")).alias("m")
-    return loose.groupBy("value", "consumer").agg(best).select("value", "consumer", F.col("m.producer").alias("producer"), F.col("m.n").alias("n"))
+    # each consumer looks through its value's ranked producers, some at a time, so that pairs are not made only to be sorted
+    part = F.floor(F.pmod(F.hash("producer"), F.ceil(F.count("*").over(Window.partitionBy("value")) / GATHERED)))
+    ranked = makers.withColumn("part", part).groupBy("value", "part").agg(F.sort_array(F.collect_list(F.struct("n", "producer")), asc=False).alias("ranked")).drop("part")
+    by = [c for c in ("value", "consumer") if c in robust.columns]
+    linked = robust.groupBy(*by).agg(F.collect_set("producer").alias("linked"))
+    pairs = checked.select("value", "consumer").distinct().join(linked, by, "left").join(ranked, "value")
+    loose = F.filter("ranked", lambda x: (x["producer"] != F.col("consumer")) & F.coalesce(~F.array_contains("linked", x["producer"]), F.lit(True)))
+    first = pairs.select("value", "consumer", F.get(loose, 0).alias("m")).where(F.col("m").isNotNull())
+    return first.groupBy("value", "consumer").agg(F.max("m").alias("m")).select("value", "consumer", F.col("m.producer").alias("producer"), F.col("m.n").alias("n"))
 
 
 def clusters_by_set(rows: DataFrame, owner: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import audit, graph, intervals, leaders, lines, relations
 from .plans import evaluation, merging
+from .sources.storage import stored
 from .streaming import incremental, limits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -527,10 +528,12 @@ r AS (SELECT a.n_nationkey AS producer, b.n_nationkey AS consumer FROM nation a
 p AS (SELECT * FROM m JOIN k USING (value) WHERE producer <> consumer AND NOT EXISTS (SELECT 1 FROM r WHERE r.producer = m.producer AND r.consumer = k.consumer))
 SELECT value, consumer, arg_max(producer, (n, producer)) AS producer, max(n) AS n FROM p GROUP BY value, consumer""")
 def fragile_pairs(spark, sf_dir):
+    homes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("consumer"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(homes, "o_custkey").select("l_orderkey", "consumer")
     rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey")
     rows = rows.join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("producer")), "l_suppkey")
-    rows = rows.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
-    rows = rows.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("consumer")), "c_custkey").select(F.col("l_partkey").alias("value"), "producer", "consumer")
+    # both sides read them, so lines meet their orders once; dealt by value, they need no further shuffle
+    rows = stored(rows.join(orders, "l_orderkey").select(F.col("l_partkey").alias("value"), "producer", "consumer"), "met").repartition("value")
     nations = table(spark, sf_dir, "nation")
     same = nations.select(F.col("n_nationkey").alias("producer"), "n_regionkey").join(nations.select(F.col("n_nationkey").alias("consumer"), "n_regionkey"), "n_regionkey").select("producer", "consumer")
     return audit.fragile_pairs(rows, rows, same)

@@ -1,5 +1,6 @@
 """Operators on small tables, and random ones against plain Python."""
 
+import collections
 import random
 import time
 
@@ -181,3 +182,26 @@ def test_containing_by_pieces_equals_a_search(spark):
     expected = sorted((d, i) for d, t in texts for i, p in passages if t is not None and p and p in t)
     found = relations.containing(spark.createDataFrame(texts, "d int, text string"), "d", spark.createDataFrame(passages, "i int, text string"), "i")
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_fragile_pairs_look_through_ranked_producers(spark, monkeypatch):
+    monkeypatch.setattr(audit, "GATHERED", 2)  # a value's producers in several rows
+    rng = random.Random(3)
+    made = [(f"v{rng.randrange(5)}", rng.choice("abcdefgh")) for _ in range(120)]
+    checked = [(f"v{rng.randrange(6)}", rng.choice("abcdefghij")) for _ in range(60)]
+    linked = sorted({(rng.choice("abcdefgh"), rng.choice("abcdefghij")) for _ in range(30)})
+    counts = collections.Counter(made)
+
+    def expected(robust):
+        best = {}
+        for value, consumer in set(checked):
+            loose = [(n, p) for (v, p), n in counts.items() if v == value and p != consumer and not robust(v, p, consumer)]
+            if loose:
+                best[value, consumer] = max(loose)
+        return sorted(((v, c, p, n) for (v, c), (n, p) in best.items()), key=repr)
+
+    frames = [spark.createDataFrame(x, f"value string, {name} string") for x, name in ((made, "producer"), (checked, "consumer"))]
+    pairs = spark.createDataFrame(linked, "producer string, consumer string")
+    assert rows(audit.fragile_pairs(*frames, pairs)) == expected(lambda v, p, c: (p, c) in linked)
+    own = spark.createDataFrame([("v1", *x) for x in linked], "value string, producer string, consumer string")
+    assert rows(audit.fragile_pairs(*frames, own)) == expected(lambda v, p, c: v == "v1" and (p, c) in linked)
