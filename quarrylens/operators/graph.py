@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import cut
+from ..sources.storage import cut, stored
 
 #: Parts that a label's nodes are dealt to.
 SALTS = 16
@@ -16,18 +16,22 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth): all nodes that directed edges lead to from seeds that are in the graph, breadth first."""
-    edges = cut(edges.select("src", "dst").distinct())
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    seen = cut(seeds.select("node").distinct().join(nodes, "node", "left_semi").withColumn("depth", F.lit(0)))
-    front, depth = seen, 0
+    """(node, depth): all nodes that directed edges lead to from seeds that are in the graph, breadth first.
+
+    Edges and fronts are tables whose sizes Spark knows, so edges are shuffled only for a large front.
+    """
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
+    asked = stored(seeds.select("node").distinct(), "seeds")
+    ends = [edges.select(F.col(end).alias("node")).join(asked, "node").distinct() for end in ("src", "dst")]
+    seen = front = stored(ends[0].union(ends[1]).distinct().withColumn("depth", F.lit(0)), "front")
+    depth = 0
     while not front.isEmpty():
         depth += 1
         step = edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
+        front = stored(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "front")
         seen = seen.union(front)
         if depth % 8 == 0:
-            seen = cut(seen)
+            seen = stored(seen, "seen")
     return seen
 
 

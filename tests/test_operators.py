@@ -205,3 +205,13 @@ def test_fragile_pairs_look_through_ranked_producers(spark, monkeypatch):
     assert rows(audit.fragile_pairs(*frames, pairs)) == expected(lambda v, p, c: (p, c) in linked)
     own = spark.createDataFrame([("v1", *x) for x in linked], "value string, producer string, consumer string")
     assert rows(audit.fragile_pairs(*frames, own)) == expected(lambda v, p, c: v == "v1" and (p, c) in linked)
+
+
+def test_reachable_does_not_shuffle_all_edges_for_a_small_front(spark, monkeypatch):
+    written, keep = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.append((name, df)) or keep(df, name))
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(11)] + [("n11", "n0")], "src string, dst string")
+    seeds = spark.createDataFrame([("n3",), ("n3",), ("none",)], "node string")
+    assert rows(graph.reachable(edges, seeds)) == sorted(((f"n{(3 + k) % 12}", k) for k in range(12)), key=repr)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for name, df in written if name == "front"]
+    assert plans[1:] and all("SortMergeJoin" not in plan for plan in plans[1:])
