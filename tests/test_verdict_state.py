@@ -78,3 +78,45 @@ def test_version_stamp(spark):
 
     got = [r[0] for r in df.select(verdicts.version_stamp(F.col("s"), F.col("e"), F.col("r"))).collect()]
     assert got == ["1:abc", "1:abc", "2:abc:rules-" + hashlib.sha256(b"be strict").hexdigest()[:16]]
+
+
+def test_a_state_keeps_one_timer_and_tells_only_if_asked():
+    import pandas as pd
+
+    class Handle:
+        """Of one key; anything else that is asked of it raises."""
+
+        timers, value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Watermark:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def batch(*us):
+        return iter([pd.DataFrame({"us": us, "ord": range(len(us)), "fingerprint": "x", "verdict": "confirmed", "version": "1:a"})])
+
+    keeper, handle = verdicts.Keeper(50_000, told=False), Handle()
+    keeper.init(handle)
+    assert list(keeper.handleInputRows(("f",), batch(20_000, 10_000), None)) == [] and handle.timers == [71]
+    assert list(keeper.handleInputRows(("f",), batch(60_000), None)) == [] and handle.timers == [71]
+    assert list(keeper.handleExpiredTimer(("f",), Watermark(100), None)) == [] and handle.timers == [71, 111] and handle.value[3:6] == (60_000, 3, 2)
+    keeper.told = True
+    assert list(keeper.handleExpiredTimer(("f",), Watermark(120), None))[0]["ended"].tolist() == [True] and handle.value is None
