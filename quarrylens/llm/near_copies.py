@@ -11,7 +11,10 @@ that these links leave in different classes are cut into parts by the hashes' va
 sets of that size may not share, one more and some to spare. Near sets have the same hashes in all parts but those, so by
 the same rule for prefixes they share one of the first parts of each; parts of rare hashes come first. A part
 is several hashes at once, so texts that share frequent passages only rarely meet in one. Parts' postings go the same way, and
-where a large one still has several classes, its sets are joined with those of other classes by key.
+where a large one still has several classes, its sets are taken as differences from the group's core, the hashes that most of some
+members have. Differences are as far apart as the sets are, but short where sets are copies of one text: two that are short enough
+are near for certain, so one set links all of these, and of the others a near pair shares so many elements that it shares one of
+the rarest few of each. Hashes that one class alone has count as not shared, so copies that are too far from all others meet none.
 All candidates, the index's too, are verified on the whole sets, made again from the texts that a bitmap of their keys lets
 through. Classes are chains of links, as in ``simhash``.
 
@@ -40,6 +43,8 @@ WIDTH, NUM, DEN = 5, 4, 5
 SAMPLE, OFTEN, FREQUENT = 8, 8, 20_000
 #: Sets of a posting that gives all pairs at once; leaders of a larger one.
 SMALL, LEADERS = 16, 4
+#: Members of a group that elect its core.
+VOTERS = 15
 #: Pairs of a batch; bits of a bitmap of keys, in Spark's buckets of 2^15.
 PAIRS, CELLS = 1 << 16, 1 << 26
 
@@ -213,15 +218,80 @@ def leader_pairs(crowd: DataFrame) -> DataFrame:
 
 
 def mixed_keys(crowd: DataFrame) -> DataFrame:
-    """(key): those whose sets have several labels."""
-    return crowd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+    """(key, group): those whose sets have several labels, with the least of their nodes."""
+    ends = crowd.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("group"))
+    return ends.where("low != high").select("key", "group")
 
 
-def joined_pairs(crowd: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of one key's sets that have different labels and are near enough in size."""
-    left, right = (crowd.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    near = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & _near_in_size("n_a", "n_b"))
-    return near.select("a", "b").distinct()
+def cores(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, core): the hashes that most of a group's first members have; no row where there is none. Any core gives all pairs. members: (group, node)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, voters, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), group)), pa.array(np.full(len(found), voters)), pa.array(found)], names=["group", "voters", "hash"])
+
+    first = members.withColumn("place", F.row_number().over(Window.partitionBy("group").orderBy("node"))).where(F.col("place") <= VOTERS)
+    voters = first.join(first.groupBy("group").agg(F.count("*").cast("long").alias("voters")), "group").join(sets, "node").select("group", "voters", "hashes")
+    votes = voters.mapInArrow(common.lean(each), "group long, voters long, hash long").groupBy("group", "voters", "hash").count()
+    return votes.where(2 * F.col("count") > F.col("voters")).groupBy("group").agg(F.collect_list("hash").alias("core"))
+
+
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(group, node, label, far, difference): what is in a set or its group's core only; two sets are near for certain if their far sum up to 0 or less. members: (group, node, label)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, found = [], []
+            for x, core in zip(batch["hashes"].to_pylist(), batch["core"].to_pylist(), strict=True):
+                x = np.frombuffer(x, np.int64)
+                found.append(np.setxor1d(x, np.array(core or [], np.int64), assume_unique=True))
+                far.append((DEN + NUM) * len(found[-1]) - (DEN - NUM) * len(x))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(far, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["group", "node", "label", "far", "difference"])
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    dealt = members.join(sets, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    both = dealt.join(cores(members, sets).select("group", "core", salts), ["group", "salt"], "left")
+    return both.select("group", "node", "label", "hashes", "core").mapInArrow(common.lean(each), "group long, node long, label long, far long, difference array<long>")
+
+
+def group_classes(found: DataFrame) -> DataFrame:
+    """(group, label, class, other, a, b): labels whose least far set is near the group's least far one for certain are of that one's class, by the link a, b;
+    other is the least far of the other classes, null if there is none."""
+    lows = found.groupBy("group", "label").agg(F.min(F.struct("far", "node")).alias("low"))
+    lows = lows.join(lows.groupBy("group").agg(F.min(F.struct("low", "label")).alias("first")), "group")
+    joins = (F.col("label") != F.col("first.label")) & (F.col("low.far") + F.col("first.low.far") <= 0)
+    lows = lows.withColumn("joins", joins).withColumn("class", F.when(F.col("joins"), F.col("first.label")).otherwise(F.col("label")))
+    second = lows.where(F.col("class") != F.col("first.label")).groupBy("group").agg(F.min("low.far").alias("second"))
+    other = F.when(F.col("class") != F.col("first.label"), F.col("first.low.far")).otherwise(F.col("second"))
+    ends = [F.when(F.col("joins"), end("low.node", "first.low.node")) for end in (F.least, F.greatest)]
+    return lows.join(second, "group", "left").select("group", "label", "class", other.alias("other"), ends[0].alias("a"), ends[1].alias("b"))
+
+
+def apart_pairs(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets of one group and different classes that may be near, by their differences' rarest elements.
+
+    Near sets share at least (far + far) / (2 * (DEN + NUM)) elements of their differences. In one order for a group, no more are left from the first
+    one they share on, so what is left there bounds how far the partner can be. Of a pair, the less far set is the near one; its partners are as far at least.
+    """
+    items = found.join(classes.where("other is not null").select("group", "label", "class", "other"), ["group", "label"]).select("group", "node", "class", "far", "other", F.explode("difference").alias("element"))
+    shared = items.groupBy("group", "element").agg(F.count("*").alias("count"), F.min("class").alias("low"), F.max("class").alias("high")).where("low != high")
+    left = F.row_number().over(Window.partitionBy("group", "node").orderBy(F.desc("count"), "element"))
+    items = items.join(shared.select("group", "element", "count"), ["group", "element"]).withColumn("reach", 2 * (DEN + NUM) * left - F.col("far"))
+    items = common.stored(items.where(F.col("reach") >= F.col("other")).select("group", "element", "node", "class", "far", "other", "reach"), "items")
+    a, b = (items.select("group", "element", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "class", "far", "other", "reach"))) for x in "ab")
+    b = b.where(F.col("reach_b") >= F.col("far_b"))
+    order = (F.col("far_a") > F.col("far_b")) | (F.col("far_a") == F.col("far_b")) & (F.col("node_a") > F.col("node_b"))
+    near = a.join(b, ["group", "element"]).where(order & (F.col("class_a") != F.col("class_b")) & (F.col("reach_a") >= F.col("far_b")) & (F.col("reach_b") >= F.col("far_a")))
+    return near.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def group_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: candidates that link all classes of a group which near sets of it link. members: (group, node, label)."""
+    found = common.stored(differences(members, sets), "differences")
+    classes = common.stored(group_classes(found), "classes")
+    return classes.where("a is not null").select("a", "b").union(apart_pairs(found, classes)).distinct()
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
@@ -364,8 +434,9 @@ def near_labels(rows: DataFrame, found: DataFrame, nodes: DataFrame, frequent: n
     labels = components(edges)
     if crowd.isEmpty():
         return labels
-    now = common.stored(relabelled(crowd.select("key", "node", "n"), labels), "crowd")
-    near = common.stored(sketched(joined_pairs(now.join(mixed_keys(now), "key", "left_semi")), nodes), "near")
+    now = common.stored(relabelled(crowd.select("key", "node"), labels), "crowd")
+    members = common.stored(now.join(mixed_keys(now), "key").select("group", "node", "label").distinct(), "members")
+    near = common.stored(sketched(group_pairs(members, sets.select("node", "hashes")), nodes), "near")
     return components(edges.union(verified(near, sets)))
 
 

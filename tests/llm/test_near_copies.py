@@ -135,3 +135,61 @@ def test_all_turns_keep_one_of_each_class(spark, monkeypatch):
     rows += [(len(rows) + k, f"{t} {t}"[:-k], "en", "a", 1) for k, (_, t, *_) in enumerate(rows[:40], 1)]
     kept = near_copies.deduplicated(table(spark, rows)).collect()
     assert sorted(repr(r.doc_id) for r in kept) == kept_by_brute_force(rows)
+
+
+def family(copies, seed):
+    """Copies of one text of which some are near many others, and some are too far from all but have most parts in common with them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for k in range(copies):
+        text = list(base)
+        for at in rng.sample(range(len(base)), rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            text[at] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(text), "en", "a", 1))
+    return rows
+
+
+def test_sets_of_a_crowd_that_are_in_no_class_do_not_meet_all_others(spark, monkeypatch):
+    seen, before = [], near_copies.sketched
+
+    def counted(pairs, nodes):
+        seen.append(pairs.count())
+        return before(pairs, nodes)
+
+    monkeypatch.setattr(near_copies, "sketched", counted)
+    rows = family(500, 3)
+    kept = near_copies.deduplicated(table(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == kept_by_brute_force(rows)
+    assert len(kept) > 50 and len(seen) == 3 and seen[-1] <= len(rows)
+
+
+def test_groups_lose_no_link(spark):
+    """Whatever the labels, and with or without a core."""
+    rng = np.random.default_rng(9)
+    for start in range(6):
+        sets, size = {}, (20, 60, 150)[start % 3]
+        pool = rng.integers(0, 2**63, 40 * size, np.uint64)
+        for k in range(60):
+            base = pool[:size] if k % 3 else pool[size * (k % 9) : size * (k % 9 + 1)]
+            lost = rng.choice(size, int(rng.integers(0, size // 5 + 1)), replace=False)
+            gained = rng.choice(pool if k % 2 else pool[: 2 * size], int(rng.integers(0, size // 8 + 1)), replace=False)
+            sets[k] = np.unique(np.concatenate([np.delete(base, lost), gained]))
+        labels = {k: k if start < 3 else k % 20 for k in sets}
+        members = spark.createDataFrame([(g, k, labels[k]) for g in (7, 8) for k in sets if g == 7 or k % 2], "group long, node long, label long")
+        hashes = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in sets.items()], "node long, hashes binary")
+        found = [(r.a, r.b) for r in near_copies.group_pairs(members, hashes).collect()]
+
+        def near(a, b, sets=sets):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            return 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)
+
+        def classes(pairs, labels=labels):
+            group = dict(labels)
+            for a, b in pairs:
+                group = {k: group[a] if g == group[b] else g for k, g in group.items()}
+            return {frozenset(k for k in group if group[k] == g) for g in group.values()}
+
+        links = [x for x in combinations(sets, 2) if near(*x)]
+        assert links and classes(x for x in found if near(*x)) == classes(links)
+        assert all(a < b for a, b in found)
