@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, graph, lines
 from ..sources import repository
-from ..sources.storage import cut
+from ..sources.storage import stored
 from . import facts as fx
 
 #: Packages that build or test and are never imported.
@@ -126,18 +126,37 @@ def implicit_contracts(facts: DataFrame, resolved: DataFrame) -> DataFrame:
     """(value, producer, consumer, n): strings made in one file and checked in another, without a linked definer of both."""
     plausible = (F.length("value") >= SHORT) & ~F.lower("value").isin(list(COMMON)) & F.col("value").rlike(r"^[A-Za-z_][\w-]*$")
     literals = fx.table(facts, "string_literals").where(plausible).where(~repository.is_test(F.col("path")))
-    made = literals.where("usage = 'produced'").select("value", F.col("path").alias("producer"))
-    checked = literals.where("usage = 'checked'").select("value", F.col("path").alias("consumer"))
-    defined = literals.where("usage = 'defined'").select("value", F.col("path").alias("definer")).distinct()
-    # definers first: only pairs of a value with its definers are looked up in the graph, so a hub's neighbours never meet
-    edges = cut(graph.both_ways(fx.import_edges(resolved).select("src", "dst")))
-    asked = made.distinct().join(checked.distinct(), "value").where("producer <> consumer").join(defined, "value")
-    ends = asked.select(F.col("definer").alias("src"), F.col("producer").alias("dst")).union(asked.select("definer", "consumer"))
-    near = cut(graph.within_two(ends, edges).union(ends.where("src = dst")).distinct())
-    a = near.select(F.col("src").alias("definer"), F.col("dst").alias("producer"))
-    b = near.select(F.col("src").alias("definer"), F.col("dst").alias("consumer"))
-    robust = asked.join(a, ["definer", "producer"], "left_semi").join(b, ["definer", "consumer"], "left_semi").select("value", "producer", "consumer").distinct()
-    return audit.fragile_pairs(made, checked, robust)
+    # a row for each value made and checked, with its producers, most occurrences first
+    counts = literals.repartition("value").groupBy("value", "usage", "path").agg(F.count("*").alias("n"))
+    of = lambda usage, x: F.collect_list(F.when(F.col("usage") == usage, x))
+    lists = [F.sort_array(of("produced", F.struct("n", F.col("path").alias("producer"))), asc=False).alias("makers"), of("checked", F.col("path")).alias("consumers"), of("defined", F.col("path")).alias("definers")]
+    values = stored(counts.groupBy("value").agg(*lists).where("size(makers) > 0 AND size(consumers) > 0"), "values")
+    around = graph.neighbours(graph.both_ways(resolved.where(F.col("target").isNotNull()).select(F.col("path").alias("src"), F.col("target").alias("dst"))))
+    shared = values.where(F.size("definers") > 0)
+
+    def near(rows: DataFrame, file: str) -> DataFrame:
+        """Rows whose definer is the file, or linked with it within two steps; each pair of files is looked up once."""
+        pairs = rows.groupBy(F.col("definer").alias("src"), F.col(file).alias("dst")).agg(F.collect_list(F.struct(*rows.columns)).alias("rows"))
+        apart = stored(pairs, "asked-pairs")
+        return apart.where("src = dst").union(graph.linked(apart.where("src <> dst"), around)).select(F.inline("rows"))
+
+    def robust(made: DataFrame, checked: DataFrame) -> DataFrame:
+        """(value, producer, consumer) that a linked definer of both has, of (value, producer) and (value, consumer)."""
+        makers = stored(near(made.join(shared.select("value", "definers"), "value").select("value", "producer", F.explode("definers").alias("definer")), "producer"), "linked-producers")
+        asked = makers.join(checked, "value").where("producer <> consumer")
+        return stored(near(asked.select("value", "producer", "consumer", "definer"), "consumer").select("value", "producer", "consumer").distinct(), "robust")
+
+    # only consumers that are linked with the first producer ask for the others
+    first = shared.select("value", F.get("makers", F.lit(0))["producer"].alias("producer"))
+    each = values.select("value", "makers", F.explode("consumers").alias("consumer"))
+    linked = robust(first, each.select("value", "consumer"))
+    own = shared.select("value", F.get("makers", F.lit(0))["producer"].alias("consumer"), "makers", "consumers").where(F.array_contains("consumers", F.col("consumer")) & (F.size("makers") > 1)).select("value", "consumer")
+    left = stored(linked.select("value", "consumer").union(own).distinct(), "open-consumers")
+    others = shared.join(left.select("value").distinct(), "value", "left_semi").select("value", F.explode(F.slice("makers", F.lit(2), F.size("makers"))).alias("m")).select("value", "m.producer")
+    all_linked = linked.union(robust(others, left)).groupBy("value", "consumer").agg(F.collect_set("producer").alias("linked"))
+    free = each.select("value", "consumer", F.get(F.filter("makers", lambda x: x["producer"] != F.col("consumer")), F.lit(0)).alias("m")).join(all_linked, ["value", "consumer"], "left_anti")
+    bound = all_linked.join(values.select("value", "makers"), "value").select("value", "consumer", F.get(F.filter("makers", lambda x: (x["producer"] != F.col("consumer")) & ~F.array_contains("linked", x["producer"])), F.lit(0)).alias("m"))
+    return free.union(bound).where("m IS NOT NULL").select("value", "consumer", "m.producer", "m.n")
 
 
 def personal_paths(files: DataFrame) -> DataFrame:

@@ -215,3 +215,29 @@ def test_reachable_does_not_shuffle_all_edges_for_a_small_front(spark, monkeypat
     assert rows(graph.reachable(edges, seeds)) == sorted(((f"n{(3 + k) % 12}", k) for k in range(12)), key=repr)
     plans = [df._jdf.queryExecution().executedPlan().toString() for name, df in written if name == "front"]
     assert plans[1:] and all("SortMergeJoin" not in plan for plan in plans[1:])
+
+
+def test_links_of_two_steps_are_found_where_codes_clash_and_lists_are_long(spark, monkeypatch):
+    rng = random.Random(5)
+    links = [(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(70)] + [("n0", f"n{k}") for k in range(1, 12)]
+    pairs = sorted({(f"n{rng.randrange(42)}", f"n{rng.randrange(42)}") for _ in range(600)})
+    to = collections.defaultdict(set)
+    for a, b in links:
+        to[a].add(b)
+    expected = sorted(((a, b) for a, b in pairs if b in to[a] or any(b in to[v] for v in to[a])), key=repr)
+    edges, asked = spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame(pairs, "src string, dst string")
+    plain = rows(graph.within_two(asked, edges))
+    monkeypatch.setattr(graph, "LONG", 3)  # many lists stay, the pairs' other ends come to them
+    monkeypatch.setattr(graph, "code", lambda node: F.pmod(F.hash(node), F.lit(7)))  # codes settle nothing
+    assert plain == rows(graph.within_two(asked, edges)) == expected
+
+
+def test_pairs_meet_their_neighbours_as_one_row(spark, monkeypatch):
+    """200 pairs whose ends have 500 neighbours each were 100,000 rows when neighbours were looked up one by one."""
+    written, keep = {}, graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: written.setdefault(name, keep(df, name)))
+    edges = spark.range(200 * 500).select(F.concat(F.lit("a"), F.col("id") % 200).alias("src"), F.concat(F.lit("v"), "id").alias("dst"))
+    pairs = spark.range(200).select(F.concat(F.lit("a"), "id").alias("src"), F.lit("b").alias("dst"))
+    found = graph.within_two(pairs, edges.union(spark.createDataFrame([("v7", "b")], edges.schema)))
+    assert rows(found) == [("a7", "b")]
+    assert written["met"].count() == 1 and "over" not in written

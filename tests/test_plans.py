@@ -1,10 +1,12 @@
 """Evidence, concepts, traces and limits on small tables."""
 
+import collections
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from quarrylens.plans import concepts, evidence, traces
+from quarrylens.plans import concepts, detectors, evidence, traces
 from quarrylens.plans import facts as fx
 from quarrylens.streaming import limits
 
@@ -85,3 +87,27 @@ def test_imports_of_many_files_meet_by_bases_and_without_broadcasts(spark):
     assert {tuple(r) for r in found.select("path", "source", "target").collect()} == expected
     for made in (found, fx.unused_exports(known, found), fx.cross_references(known, found, known.select("path", F.lit("g").alias("name"))), fx.importers(found, known)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_implicit_contracts_of_linked_producers(spark):
+    """Every pair of a value's producers and consumers, by brute force, on a graph in which many first producers are linked."""
+    rng = random.Random(7)
+    files = [f"src/m{k}.py" for k in range(30)]
+    imports = {(rng.choice(files), rng.choice(files)) for _ in range(25)}
+    uses = [(rng.choice(files), f"value{rng.randrange(12)}", rng.choice(["produced", "produced", "checked", "defined", "defined"])) for _ in range(400)]
+    near = {(a, a) for a in files} | imports | {(b, a) for a, b in imports}
+    near |= {(a, d) for a, b in near for c, d in near if b == c}
+    of = lambda usage: {(p, v) for p, v, u in uses if u == usage}
+    counts, expected = collections.Counter((v, p) for p, v, u in uses if u == "produced"), []
+    linked = 0
+    for consumer, value in of("checked"):
+        loose = [(n, p) for (v, p), n in counts.items() if v == value and p != consumer]
+        free = [x for x in loose if not any(v == value and (d, x[1]) in near and (d, consumer) in near for d, v in of("defined"))]
+        linked += bool(loose) and (not free or max(loose) != max(free))
+        if free:
+            expected.append((value, consumer, max(free)[1], max(free)[0]))
+    assert linked > 10 and len(expected) > 20
+    literals = [(p, [(v, u) for q, v, u in uses if q == p]) for p in files]
+    facts = spark.createDataFrame(literals, "path string, string_literals array<struct<value:string,usage:string>>")
+    resolved = spark.createDataFrame([(a, b) for a, b in imports] + [("src/m1.py", None)], "path string, target string")
+    assert rows(detectors.implicit_contracts(facts, resolved), "value", "consumer", "producer", "n") == sorted(expected, key=repr)
