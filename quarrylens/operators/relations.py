@@ -49,7 +49,9 @@ def _by_pieces(texts: DataFrame, short: DataFrame, widths: list[int]) -> DataFra
     words = texts.select("__k", F.explode(F.array_distinct(F.split("__text", " ", -1))).alias("__word")).where("__word <> ''")
     held = F.flatten(F.array(*(F.regexp_extract_all("__word", F.lit(f"(?=([^ ]{{{w}}}))"), F.lit(1)) for w in widths)))
     met = words.select("__word").distinct().select("__word", F.explode(F.array_distinct(held)).alias("__piece")).join(chosen.hint("merge"), "__piece").where(F.contains("__word", F.col("__w"))).select("__word", "__w")
-    return words.join(met.hint("merge"), "__word").select("__k", "__w").distinct().join(short.hint("merge"), "__w").select("__k", "__p")
+    # words meet their passages before they meet the texts, so what goes through the texts' join is done
+    holds = met.join(short.hint("merge"), "__w").select("__word", "__p").distinct()
+    return words.join(holds.hint("merge"), "__word").select("__k", "__p")
 
 
 def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str, text: str = "text", passage: str = "text") -> DataFrame:
@@ -74,11 +76,12 @@ def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str
     rest = ~kinds[0][0] & ~kinds[1][0]
     kinds += [(rest & (longest["n"] == 0), F.lit(" "), F.when(F.contains("__text", F.lit(" ")), F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")))]
     pieced = [rest & (longest["n"] >= w) & (longest["n"] < above) for w, above in zip(PIECES, (*PIECES[1:], 2**31 - 1), strict=True)]
-    counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds)), *(F.count_if(of).alias(f"w{w}") for w, of in zip(PIECES, pieced, strict=True))).head()
+    several = rest & (longest["n"] > 0) & (size > 1)
+    counts = given.agg(*(F.count_if(of).alias(f"n{k}") for k, (of, _, _) in enumerate(kinds)), *(F.count_if(of).alias(f"w{w}") for w, of in zip(PIECES, pieced, strict=True)), F.count_if(several).alias("several")).head()
     found = own.select("__k", F.lit(None).cast(given.schema["__p"].dataType).alias("__p")).limit(0)
     whole = found
     for k, (of, anchor, spread) in enumerate(kinds):
-        if counts[k]:  # only keys go through the join of all anchors
+        if counts[f"n{k}"]:  # only keys go through the join of all anchors
             split = own.withColumn("__tokens", F.split("__text", " ", -1)).where(F.size("__tokens") > 0)  # a column of its own, so that texts are split once
             held = split.select("__k", F.explode(F.array_distinct(spread)).alias("__anchor"))
             found = found.union(held.join(given.where(of).select("__p", anchor.alias("__anchor")), "__anchor").select("__k", "__p"))
@@ -87,7 +90,10 @@ def containing(texts: DataFrame, key: str, passages: DataFrame, passage_key: str
         short = given.where(rest & (longest["n"] > 0)).select("__p", longest["w"].alias("__w"), (size == 1).alias("__one"))
         # a passage of one word needs no second look
         whole = _by_pieces(own, short.where("__one").select("__p", "__w"), widths)
-        found = found.union(_by_pieces(own, short.where("NOT __one").select("__p", "__w"), widths))
+        if counts["several"]:
+            found = found.union(_by_pieces(own, short.where("NOT __one").select("__p", "__w"), widths))
+    if not counts["several"] and not any(counts[f"n{k}"] for k in range(len(kinds))):  # no text comes back for nothing
+        return whole.select(F.col("__k").alias(key), F.col("__p").alias(passage_key)).distinct()
     # texts come back for the few pairs that are left
     hits = found.distinct().join(own, "__k").join(given, "__p").where(F.contains("__text", F.col("__passage")))
     return hits.select("__k", "__p").union(whole).select(F.col("__k").alias(key), F.col("__p").alias(passage_key)).distinct()

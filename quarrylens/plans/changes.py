@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import lines
+from ..sources.storage import stored
 from . import detectors, reports
 from . import facts as fx
 
@@ -85,10 +86,13 @@ def marked(shadows: DataFrame, stale: DataFrame) -> DataFrame:
 
 def reference_facts(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """(kind, path, text): sidecars of documents (path, text), which import the sources that they name and say by which name; one of a document without any is empty."""
-    best = reports.document_names(docs.select(F.col("path").alias("doc"), "text"), sources).groupBy("doc", F.col("path").alias("source")).agg(F.min_by("name", "k").alias("name"))
-    said = F.concat(F.lit("doc references "), "source", F.lit(" via '"), "name", F.lit("'"))
+    # a document's names meet once, and become sentences only where they are gathered
+    named = stored(reports.document_names(docs.select(F.col("path").alias("doc"), "text"), sources), "document-names")
+    best = named.repartition("doc").groupBy("doc", F.col("path").alias("source")).agg(F.min_by("name", "k").alias("name"))
     none = F.array().cast("array<string>")
-    listed = best.groupBy(F.col("doc").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source", none.alias("names"), said.alias("context")))).alias("imports"))
+    said = lambda x: F.concat(F.lit("doc references "), x["source"], F.lit(" via '"), x["name"], F.lit("'"))
+    listed = best.groupBy(F.col("doc").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source", "name"))).alias("named"))
+    listed = listed.select("path", F.transform("named", lambda x: F.struct(x["source"].alias("source"), none.alias("names"), said(x).alias("context"))).alias("imports"))
     hashed = docs.select("path", T.hash16(F.coalesce("text", F.lit(""))).alias("source_hash")).join(listed, "path", "left")
     imports = F.coalesce("imports", F.array().cast("array<struct<source:string,names:array<string>,context:string>>"))
     fields = [F.col("path").alias("source"), "source_hash", imports.alias("imports"), *(none.alias(x) for x in ("exports", "calls", "string_literals", "topics")), F.lit("doc").alias("classification")]

@@ -153,9 +153,9 @@ def changed_shadows(spark, sf_dir):
     return changes.stale_shadows(changed_modules(spark, sf_dir), files, shadows, "v2")
 
 
-def impact(spark, sf_dir, facts: DataFrame) -> changes.Impact:
+def impact(spark, sf_dir, facts: DataFrame, notes: DataFrame | None = None) -> changes.Impact:
     files, shadows = module_state(spark, sf_dir)
-    return changes.impact(changed_modules(spark, sf_dir), files, shadows, order_notes(spark, sf_dir), facts, "v2")
+    return changes.impact(changed_modules(spark, sf_dir), files, shadows, order_notes(spark, sf_dir) if notes is None else notes, facts, "v2")
 
 
 @query(f"WITH {pq.MODULES}, {NOTES} SELECT doc, path, line_no, line, k % 4 = 2 AS source_deleted FROM t WHERE k % 5 = 0")
@@ -165,10 +165,11 @@ def change_references(spark, sf_dir):
 
 @query(f"WITH {pq.MODULES}, {NOTES} SELECT doc, path, min(line_no) AS line_no, arg_min(line, line_no) AS line, k % 4 = 2 AS source_deleted FROM t WHERE k % 5 = 0 GROUP BY doc, path, k")
 def change_references_by_facts(spark, sf_dir):
-    rows = changes.reference_facts(order_notes(spark, sf_dir), pq.modules(spark, sf_dir).select("path"))
+    notes = stored(order_notes(spark, sf_dir), "notes")
+    rows = changes.reference_facts(notes, pq.modules(spark, sf_dir).select("path"))
     # of the facts only what says which documents name which sources, read once
     known = sidecars.facts(sidecars.packed(spark, written(spark, rows), "facts")).select("path", "classification", F.transform("imports", lambda x: F.struct(x["source"].alias("source"))).alias("imports"))
-    return impact(spark, sf_dir, stored(known, "loaded-facts")).references
+    return impact(spark, sf_dir, stored(known, "loaded-facts"), notes).references
 
 
 @query(f"""

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.schema import is_object
 from . import folders, python_facts, repository
+from .storage import cleaned
 
 SYMBOL = "name string, kind string, line_start int, line_end int"
 FINDING = "category string, line_start int, line_end int, severity string, description string, suggestion string"
@@ -42,7 +43,7 @@ def loaded(sidecars: DataFrame, key: str) -> DataFrame:
     doc = F.try_parse_json("text")
     named = sidecars.select(F.col("path").alias("__at"), "text", doc.alias("doc")).where(is_object(F.col("doc")))
     keyed = named.select("__at", "text", "doc", F.translate(F.try_variant_get("doc", f"$.{key}", "string"), "\\", "/").alias("path")).where("path <> ''")
-    return keyed.groupBy("path").agg(F.max_by("text", F.struct("__at", "text")).alias("text")).select("path", doc.alias("doc"))
+    return keyed.groupBy("path").agg(F.max(F.struct("__at", "text")).alias("m")).select("path", F.col("m.text").alias("text")).select("path", doc.alias("doc"))
 
 
 def value(field: str, kind: str = "string") -> Column:
@@ -155,5 +156,6 @@ def documents(rows: DataFrame, impl_hash: str) -> DataFrame:
 
 
 def write(sidecars: DataFrame, root: str) -> None:
-    """Sidecars (kind, path, text) as a folder of JSON lines for each kind, in one job that reads its rows once; kinds that come again are replaced, others stay."""
-    sidecars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").json(root)
+    """Sidecars (kind, path, text) as a folder of zipped JSON lines for each kind, in one job that reads its rows once; kinds that come again are replaced, others stay."""
+    with cleaned(sidecars.sparkSession):
+        sidecars.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").json(root, compression="gzip")

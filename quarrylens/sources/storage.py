@@ -38,14 +38,21 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by a table in the shared folder, whose size Spark knows; what was shuffled for it goes from the machines' disks."""
-    spark = df.sparkSession
-    path, before = shared_path(spark, name), spark.conf.get(CLEANUP, "false")
+    path = shared_path(df.sparkSession, name)
+    with cleaned(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What queries within it shuffled goes from the machines' disks when they end."""
+    before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager

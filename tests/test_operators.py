@@ -241,3 +241,11 @@ def test_pairs_meet_their_neighbours_as_one_row(spark, monkeypatch):
     found = graph.within_two(pairs, edges.union(spark.createDataFrame([("v7", "b")], edges.schema)))
     assert rows(found) == [("a7", "b")]
     assert written["met"].count() == 1 and "over" not in written
+
+
+def test_texts_do_not_come_back_for_passages_of_one_word(spark):
+    texts = spark.createDataFrame([(1, "see mod12.py now"), (2, "src/mod1.py mod1.py"), (3, "")], "id int, text string")
+    passages = spark.createDataFrame([(1, "mod1"), (2, "mod1.py"), (3, "none")], "i int, text string")
+    found = relations.containing(texts, "id", passages, "i")
+    assert rows(found) == [(1, 1), (2, 1), (2, 2)]
+    assert "contains(__text" not in found._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -107,3 +107,12 @@ def test_the_schema_of_whole_documents_is_not_made(spark):
     found = sidecars.facts(texts)
     assert "schema_of_variant" not in found._jdf.queryExecution().toString()
     assert [x["source"] for x in found.head()["imports"]] == ["b"]
+
+
+def test_written_sidecars_are_small_and_whole(spark, tmp_path):
+    rows = spark.createDataFrame([("facts", f"a{k}.facts.json", f'{{"source": "a{k}"}}' + " " * 2000) for k in range(50)], "kind string, path string, text string")
+    sidecars.write(rows.repartition(2), str(tmp_path / "s"))
+    files = list((tmp_path / "s").rglob("part-*"))
+    assert files and sum(p.stat().st_size for p in files) < 20_000
+    back = sidecars.packed(spark, str(tmp_path / "s"), "facts")
+    assert sorted(map(tuple, back.collect())) == sorted((r.path, r.text) for r in rows.collect())
