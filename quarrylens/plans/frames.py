@@ -56,13 +56,14 @@ def frames(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     bare = spans.join(own.select("path", "name").distinct(), ["path", "name"], "left_anti").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line_start") / BUCKET), F.floor(F.col("end") / BUCKET))))
     placed = calls.where(F.col("line").isNotNull()).withColumn("bucket", F.floor(F.col("line") / BUCKET))
     inside = placed.join(bare, ["path", "bucket"]).where(F.col("line").between(F.col("line_start"), F.col("end"))).select("path", "name", "to", "line", "at", "definer")
-    rows = own.unionByName(inside).withColumn("shown", shown_name(F.coalesce("to", F.lit(""))))
+    # three groupings read these rows: they are joined and named once
+    rows = stored(own.unionByName(inside).withColumn("shown", shown_name(F.coalesce("to", F.lit("")))).select("path", "name", "shown", last_part(F.col("to")).alias("to"), "line", "at", "definer"), "frame-calls")
     key = ["path", "name"]
     lines = F.slice(F.transform(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("at", "line")))), lambda x: x["line"]), 1, LINES)
     edges = rows.where("shown <> ''").groupBy(*key, "shown").agg(F.min("at").alias("at"), lines.alias("lines"))
     edges = edges.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "shown", "lines"))), 1, TARGETS).alias("edges"))
     # the first 2 * SEEDS are enough: at most SEEDS of them can be seeds already
-    further = rows.where("shown <> '' AND definer IS NOT NULL").groupBy(*key, last_part(F.col("to")).alias("to"), "definer").agg(F.min("at").alias("at"))
+    further = rows.where("shown <> '' AND definer IS NOT NULL").groupBy(*key, "to", "definer").agg(F.min("at").alias("at"))
     further = further.groupBy(*key).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", F.col("to").alias("name"), F.col("definer").alias("file")))), 1, 2 * SEEDS).alias("next"))
     return rows.groupBy(*key).agg(F.count("*").alias("total")).join(edges, key, "left").join(further, key, "left").withColumnRenamed("path", "file")
 

@@ -51,3 +51,13 @@ def test_symbols_without_calls_have_those_in_their_lines(spark):
     told = frames.with_line_texts(spark.createDataFrame([one.asDict()], "id string, seeds array<struct<name:string,file:string,origin:string>>, edges array<struct<caller:string,caller_file:string,to:string,lines:array<bigint>>>, edges_total long, unresolved array<string>"), spark.createDataFrame([("a.py", "\n" * 11 + "  x(y)\n")], "path string, text string"))
     assert [(e.to, e.line_text) for e in told.head().edges] == [("x", "x(y)"), ("y z", "")]
     assert rows(told.select(F.size("seeds"))) == [(1,)]
+
+
+def test_calls_are_joined_with_spans_once(spark, monkeypatch):
+    written, keep = {}, frames.stored
+    monkeypatch.setattr(frames, "stored", lambda df, name: keep(written.setdefault(name, df), name))
+    facts = [("a.py", [("f",)], [("f", "b.g", 2), ("f", "x.print", 3), (None, "b.h", 8)]), ("b.py", [("g",), ("h",)], None)]
+    found = framed(spark, facts, [("a.py", ["b.g", "b.h"], "b.py", 1)], [("a.py", "late", 7, 9)], [("1", "a.py", 2, 2, "it raises before `f` and `late`")])
+    assert {(e.caller, e.to, *e.lines) for e in found["1"].edges} == {("f", "b.g", 2), ("f", "x.print", 3), ("late", "b.h", 8)}
+    plan = written["frames"]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("bucket") == 0 and "frame-calls" in written
